@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ids_string, pieces
+from ..functions.text import ids_string, pieces, r6
+from ..operators import mixing as mx
 from ..operators import tokenizer as tk
 from ..operators import tokens as tok
 from ..operators.bpe import BpeModel, learn_merges, pair_counts
@@ -215,3 +216,65 @@ def a5_token_blocks(spark, sf):
     b = tok.to_blocks(segs)
     return b.select("source", "split", "block_id", F.size("toks").cast("bigint").alias("n"),
                     ids_string(F.col("toks")).alias("toks"))
+
+
+# --- D: mixing loader ---------------------------------------------------------------
+
+def byte_blocks(spark, sf):
+    """The stored token corpus at byte level (whole corpus: the reference's budget),
+    materialised once in the session's checkpoint folder like the reference's
+    token files, so every loader reads a stored table."""
+    return cb.stored_blocks(tables.corpus(spark, sf), None, P.FULL_BUDGET)
+
+
+@query("d1_split_resolution")
+def d1_split_resolution(spark, sf):
+    lengths = mx.split_lengths(byte_blocks(spark, sf))
+    r = mx.resolve_mix(mx.mix_frame(spark, P.MIX), lengths, "val", P.SEQ_LEN)
+    return r.select("source", "ord", "read_split", "n", "fell_back", "drop_reason")
+
+
+@query("d3_mix_weights")
+def d3_mix_weights(spark, sf):
+    lengths = mx.split_lengths(byte_blocks(spark, sf))
+    b = mx.mix_bounds(mx.resolve_mix(mx.mix_frame(spark, P.MIX), lengths, "train", P.SEQ_LEN))
+    return b.select("source", "n", r6(F.col("p")).alias("p"), r6(F.col("lo")).alias("lo"),
+                    r6(F.col("hi")).alias("hi"))
+
+
+@query("d4_source_picks")
+def d4_source_picks(spark, sf):
+    b = mx.resolved_bounds(spark, byte_blocks(spark, sf), P.MIX, "train", P.SEQ_LEN)
+    d = mx.draw_windows(spark, b, P.N_BATCHES * P.BATCH, P.SEQ_LEN, P.BATCH, P.SEED, "train")
+    return d.select("i", "source", "start")
+
+
+@query("d6_mixed_windows")
+def d6_mixed_windows(spark, sf):
+    w = mx.mixed_batches(spark, byte_blocks(spark, sf), P.MIX, P.SEQ_LEN, P.BATCH,
+                         P.N_BATCHES, P.SEED)
+    return mx.windows_as_strings(w)
+
+
+@query("d9_batch_audit")
+def d9_batch_audit(spark, sf):
+    w = mx.mixed_batches(spark, byte_blocks(spark, sf), P.MIX, P.SEQ_LEN, P.BATCH,
+                         P.N_BATCHES, P.SEED)
+    return mx.batch_audit(w, P.SEQ_LEN, P.BYTE_VOCAB)
+
+
+@query("d10_run_plan")
+def d10_run_plan(spark, sf):
+    lengths = mx.split_lengths(byte_blocks(spark, sf))
+    presets = spark.createDataFrame(list(P.PRESETS),
+                                    "preset string, seq_len int, batch_size int, grad_accum int, max_steps int")
+    return mx.run_plan(presets, lengths)
+
+
+@query("d11_val_windows")
+def d11_val_windows(spark, sf):
+    srcs = [s for s in P.MIX if s != "xx"]
+    w = mx.val_windows(spark, byte_blocks(spark, sf), srcs, P.SEQ_LEN, P.VAL_BATCH,
+                       P.VAL_BATCHES, P.EVAL_ROUNDS, P.SEED)
+    return w.select("loader", "eval_round", "batch_id", "seq_in_batch", "source", "split",
+                    "start", ids_string(F.col("x")).alias("x"), ids_string(F.col("y")).alias("y"))

@@ -11,7 +11,9 @@ from ..functions.ordering import prefix_sum
 from ..functions.text import EOT_ID, byte_ids
 from ..operators.bpe import BpeModel
 from ..operators.tokenizer import encode
-from ..operators.tokens import VAL_FRAC, append_eot, budget_cut, head_split, with_length
+from ..operators.tokens import (VAL_FRAC, append_eot, budget_cut, head_split, to_blocks,
+                                with_length)
+from ..session import checkpoint_dir
 
 
 def byte_lengths(corpus: DataFrame) -> DataFrame:
@@ -56,3 +58,21 @@ def token_segments(corpus: DataFrame, model: BpeModel | None, budget: int,
                    val_frac: float = VAL_FRAC) -> DataFrame:
     """C3 on real ids: ``(source, split, doc_id, pos, len, ids)``."""
     return head_split(token_documents(corpus, model, budget), val_frac)
+
+
+def stored_blocks(corpus: DataFrame, model: BpeModel | None, budget: int,
+                  val_frac: float = VAL_FRAC) -> DataFrame:
+    """A5: the block table, materialised through a reliable checkpoint (the
+    session's shared checkpoint folder), so later jobs read it instead of
+    re-running the build and a lost executor does not lose it."""
+    checkpoint_dir(corpus.sparkSession)
+    blocks = to_blocks(token_segments(corpus, model, budget, val_frac))
+    return blocks.checkpoint(eager=True)
+
+
+def write_blocks(blocks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A5 sink: parquet partitioned by source and split, blocks sorted by id
+    inside each file so a window read can skip row groups."""
+    (blocks.repartition("source", "split")
+     .sortWithinPartitions("source", "split", "block_id")
+     .write.mode(mode).partitionBy("source", "split").parquet(path))

@@ -165,3 +165,119 @@ _SQL["a5_token_blocks"] = _w(CORPUS, LENS, cut_sql(P.FULL_BUDGET), _DOC_IDS,
 
 def oracle() -> dict[str, str]:
     return dict(_SQL)
+
+
+# --- D: mixing --------------------------------------------------------------------
+
+_FLAT = [CORPUS, LENS, cut_sql(P.FULL_BUDGET), _DOC_IDS,
+         """u as (select source, doc_id, unnest(ids) as tok, unnest(range(0, len(ids))) as j from docids)""",
+         """t as (select s.source, s.split, s.pos + u.j - s.skip as p, u.tok
+  from segs s join u on s.source = u.source and s.doc_id = u.doc_id
+  and u.j >= s.skip and u.j < s.skip + s.len)""",
+         """flat as (select source, split, list(tok order by p) as arr, count(*)::bigint as n
+  from t group by all)"""]
+
+_MIX = "mix as (select * from (values " + ", ".join(
+    f"('{k}', {i}, {float(v)}::double)" for i, (k, v) in enumerate(P.MIX.items())) + \
+    ") m(source, ord, weight))"
+
+
+def _resolve(split: str) -> str:
+    fb = "false" if split == "train" else "(coalesce(r.n, 0) = 0 and coalesce(t.n, 0) > 0)"
+    return f"""res as (
+  select m.source, m.ord, m.weight,
+         case when coalesce(r.n, 0) > 0 then '{split}' when coalesce(t.n, 0) > 0 then 'train' end as read_split,
+         (case when coalesce(r.n, 0) > 0 then r.n when coalesce(t.n, 0) > 0 then t.n else 0 end)::bigint as n,
+         {fb} as fell_back
+  from mix m left join (select source, n from flat where split = '{split}') r on m.source = r.source
+             left join (select source, n from flat where split = 'train') t on m.source = t.source),
+res2 as (select *, case when read_split is null then 'no data'
+                        when n <= {P.SEQ_LEN + 1} then 'too short' end as drop_reason from res)"""
+
+
+_BOUNDS = """b0 as (select *, weight / sum(weight) over () as p from res2 where drop_reason is null),
+b1 as (select *, sum(p) over (order by ord rows between unbounded preceding and current row) as hi0 from b0),
+bounds as (select *, hi0 - p as lo,
+  case when ord = max(ord) over () then 1.0::double else hi0 end as hi from b1)"""
+
+
+def _uniform(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 8))::bigint / 4294967296.0)"
+
+
+def _draws(n_seq: int, seed: int, split: str, tag: str = "", batch: int = P.BATCH,
+           src_tab: str = "bounds") -> str:
+    pre = f"'{seed}:{split}:" + (f"{tag}:" if tag else "") + "'"
+    return f"""(select d.i, d.i // {batch} as batch_id, (d.i % {batch})::int as seq_in_batch,
+    b.source, b.read_split as split,
+    floor(d.u2 * (b.n - {P.SEQ_LEN} - 1))::bigint as start
+  from (select i, {_uniform(pre + " || i || ':src'")} as u, {_uniform(pre + " || i || ':start'")} as u2
+        from range(0, {n_seq}) r(i)) d
+  join {src_tab} b on d.u >= b.lo and d.u < b.hi)"""
+
+
+_WIN = f"""win as {_draws(P.N_BATCHES * P.BATCH, P.SEED, 'train')}"""
+_WIN_BODY = f"""wt as (select w.batch_id, w.seq_in_batch, w.source, w.split, w.start, t.p, t.tok
+  from win w join t on w.source = t.source and w.split = t.split
+  and t.p >= w.start and t.p <= w.start + {P.SEQ_LEN}),
+wx as (select batch_id, seq_in_batch, source, split, start,
+  list(tok order by p)[1:{P.SEQ_LEN}] as x, list(tok order by p)[2:{P.SEQ_LEN + 1}] as y
+  from wt group by all)"""
+
+_SQL["d1_split_resolution"] = _w(*_FLAT, _MIX, _resolve("val")) + \
+    "select source, ord, read_split, n, fell_back, drop_reason from res2"
+
+_SQL["d3_mix_weights"] = _w(*_FLAT, _MIX, _resolve("train"), _BOUNDS) + \
+    "select source, n, round(p, 6) as p, round(lo, 6) as lo, round(hi, 6) as hi from bounds"
+
+_SQL["d4_source_picks"] = _w(*_FLAT, _MIX, _resolve("train"), _BOUNDS, _WIN) + \
+    "select i, source, start from win"
+
+_SQL["d6_mixed_windows"] = _w(*_FLAT, _MIX, _resolve("train"), _BOUNDS, _WIN, _WIN_BODY) + \
+    """select batch_id, seq_in_batch, source, split, start, array_to_string(x, ' ') as x,
+  array_to_string(y, ' ') as y from wx"""
+
+_SQL["d9_batch_audit"] = _w(*_FLAT, _MIX, _resolve("train"), _BOUNDS, _WIN, _WIN_BODY) + \
+    f"""select count(*)::bigint as windows, count(distinct batch_id)::bigint as batches,
+  sum(case when len(x) <> {P.SEQ_LEN} or len(y) <> {P.SEQ_LEN} then 1 else 0 end)::bigint as bad_shape,
+  sum(case when x[2:] = y[:{P.SEQ_LEN - 1}] then 0 else 1 end)::bigint as bad_shift,
+  sum(case when list_min(x) >= 0 and list_max(x) < {P.BYTE_VOCAB} and list_min(y) >= 0
+           and list_max(y) < {P.BYTE_VOCAB} then 0 else 1 end)::bigint as bad_range
+from wx"""
+
+_PRESETS = "presets as (select * from (values " + ", ".join(
+    f"('{a}', {b}, {c}, {d}, {e})" for a, b, c, d, e in P.PRESETS) + \
+    ") p(preset, seq_len, batch_size, grad_accum, max_steps))"
+
+_SQL["d10_run_plan"] = _w(*_FLAT, _PRESETS) + """select preset,
+  (batch_size * grad_accum * seq_len)::bigint as tokens_per_step,
+  (batch_size * grad_accum * seq_len * max_steps)::bigint as total_tokens,
+  (select sum(n) from flat where split = 'train')::bigint as corpus_tokens,
+  round((batch_size * grad_accum * seq_len * max_steps)::double
+        / (select sum(n) from flat where split = 'train')::double, 6) as epochs
+from presets"""
+
+
+def _val_sql() -> str:
+    srcs = [s for s in P.MIX if s != "xx"]
+    parts = []
+    for s in srcs:
+        for r in range(P.EVAL_ROUNDS):
+            d = _draws(P.VAL_BATCHES * P.VAL_BATCH, P.SEED + 99, "val", f"{s}:{r}", P.VAL_BATCH,
+                       f"(select * from vb where source = '{s}')")
+            parts.append(f"select '{s}' as loader, {r} as eval_round, * from {d}")
+    vb = f"""vb as (select source, 'val' as read_split, n, 0.0::double as lo, 1.0::double as hi
+  from flat where split = 'val' and n > {P.SEQ_LEN + 1})"""
+    win = "win as (" + "\nunion all\n".join(parts) + ")"
+    body = f"""wt as (select w.loader, w.eval_round, w.batch_id, w.seq_in_batch, w.source, w.split,
+  w.start, t.p, t.tok
+  from win w join t on w.source = t.source and w.split = t.split
+  and t.p >= w.start and t.p <= w.start + {P.SEQ_LEN}),
+wx as (select loader, eval_round, batch_id, seq_in_batch, source, split, start,
+  list(tok order by p)[1:{P.SEQ_LEN}] as x, list(tok order by p)[2:{P.SEQ_LEN + 1}] as y
+  from wt group by all)"""
+    return _w(*_FLAT, vb, win, body) + """select loader, eval_round, batch_id, seq_in_batch,
+  source, split, start, array_to_string(x, ' ') as x, array_to_string(y, ' ') as y from wx"""
+
+
+_SQL["d11_val_windows"] = _val_sql()

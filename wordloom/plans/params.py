@@ -13,3 +13,8 @@ BATCH = 8
 N_BATCHES = 250             # 2,000 windows
 SEED = 1337
 MIX = {"en": 0.5, "de": 0.2, "es": 0.2, "fr": 0.2, "xx": 0.5}
+VAL_BATCH = 4               # val loader batch in the reference's check script
+VAL_BATCHES = 2
+EVAL_ROUNDS = 2
+# Run presets (fixed values): name, seq_len, batch_size, grad_accum, max_steps.
+PRESETS = (("smoke", 128, 4, 2, 20), ("local30m", 512, 8, 8, 6000), ("small60m", 1024, 16, 8, 4000))
