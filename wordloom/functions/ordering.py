@@ -25,7 +25,8 @@ def hashed_uniform(*parts) -> Column:
 
 def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str,
                out: str = "off", bucket_width: int = DEFAULT_BUCKET,
-               stop_at: Column | int | None = None) -> DataFrame:
+               stop_at: Column | int | None = None,
+               bucket: Column | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``part``,
     ordered by the integer key ``order`` (exclusive running sum).
 
@@ -35,7 +36,9 @@ def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str,
     """
     part = list(part)
     b = "__bkt"
-    keyed = df.withColumn(b, F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint"))
+    if bucket is None:  # integer keys: fixed-width ranges of the key
+        bucket = F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint")
+    keyed = df.withColumn(b, bucket)
     totals = keyed.groupBy(*part, b).agg(F.sum(value).alias("__btot"))
     w_b = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__boff", F.coalesce(F.sum("__btot").over(w_b), F.lit(0)))
@@ -57,3 +60,24 @@ def dense_rank_rows(df: DataFrame, part: Sequence[str], order: str, out: str = "
     res = prefix_sum(df.withColumn(tmp, F.lit(1).cast("bigint")), part, order, tmp, out,
                      bucket_width)
     return res.drop(tmp)
+
+
+def hash_key(*parts) -> Column:
+    """Deterministic shuffle key: md5 hex of ``p1:p2:...``."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p))
+                                    for p in parts]))
+
+
+def rank_by_hash(df: DataFrame, key: str, part: Sequence[str] = (), out: str = "rank",
+                 prefix_hex: int = 4) -> DataFrame:
+    """0-based global rank by a hex hash key (E6/E10 shuffles).
+
+    Buckets are the key's first ``prefix_hex`` hex digits - uniform by
+    construction, so no bucket is hot - and the rank is the two-level prefix
+    count: bucket counts, their running sum, then a window inside a bucket.
+    """
+    one = "__one"
+    bucket = F.conv(F.substring(F.col(key), 1, prefix_hex), 16, 10).cast("bigint")
+    res = prefix_sum(df.withColumn(one, F.lit(1).cast("bigint")), part, key, one, out,
+                     bucket=bucket)
+    return res.drop(one)

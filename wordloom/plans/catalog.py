@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ids_string, pieces, r6
+from ..operators import chat as ch
 from ..operators import mixing as mx
 from ..operators import tokenizer as tk
 from ..operators import tokens as tok
@@ -278,3 +279,111 @@ def d11_val_windows(spark, sf):
                        P.VAL_BATCHES, P.EVAL_ROUNDS, P.SEED)
     return w.select("loader", "eval_round", "batch_id", "seq_in_batch", "source", "split",
                     "start", ids_string(F.col("x")).alias("x"), ids_string(F.col("y")).alias("y"))
+
+
+# --- E: instruction sets ----------------------------------------------------------------
+
+def _chat_union(spark, sf):
+    return ch.quota_union({
+        "mcq": (ch.mcq_to_chat(tables.mcq(spark, sf)), P.QUOTAS["mcq"]),
+        "qa": (ch.qa_to_chat(tables.qa(spark, sf)), P.QUOTAS["qa"]),
+        "instr": (ch.instr_to_chat(tables.instr(spark, sf)), P.QUOTAS["instr"]),
+    })
+
+
+def _examples(spark, sf):
+    return ch.truncate_examples(ch.chat_encode(_chat_union(spark, sf), None), P.SFT_MAX_LEN)
+
+
+def _collated(spark, sf):
+    b = ch.epoch_batches(_examples(spark, sf), P.SFT_EPOCHS, P.SFT_BATCH, P.SFT_SEED)
+    return ch.collate(b)
+
+
+@query("e1_mcq_pairs")
+def e1_mcq_pairs(spark, sf):
+    return ch.mcq_to_chat(tables.mcq(spark, sf))
+
+
+@query("e2_qa_pairs")
+def e2_qa_pairs(spark, sf):
+    return ch.qa_to_chat(tables.qa(spark, sf))
+
+
+@query("e3_instr_pairs")
+def e3_instr_pairs(spark, sf):
+    return ch.instr_to_chat(tables.instr(spark, sf))
+
+
+@query("e4_source_quota")
+def e4_source_quota(spark, sf):
+    return _chat_union(spark, sf).groupBy("source").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("row_id").alias("first_row"),
+        F.max("row_id").alias("last_row"))
+
+
+@query("e5_chat_union")
+def e5_chat_union(spark, sf):
+    return _chat_union(spark, sf).select("source", "row_id", "user", "assistant")
+
+
+@query("e6_seeded_shuffle")
+def e6_seeded_shuffle(spark, sf):
+    s = ch.seeded_shuffle(_chat_union(spark, sf), P.SFT_SEED)
+    return s.select("source", "row_id", F.col("position").cast("bigint").alias("position"))
+
+
+@query("e7_chat_encode")
+def e7_chat_encode(spark, sf):
+    e = ch.chat_encode(_chat_union(spark, sf), None)
+    return e.select("source", "row_id", F.col("n_prompt").cast("int").alias("n_prompt"),
+                    F.size("full").cast("int").alias("n_full"),
+                    F.md5(ids_string(F.col("full"))).alias("full_md5"),
+                    F.md5(ids_string(F.col("labels"))).alias("labels_md5"))
+
+
+@query("e8_truncate_mask")
+def e8_truncate_mask(spark, sf):
+    e = _examples(spark, sf)
+    return e.select("source", "row_id", F.size("full").cast("int").alias("n_full"),
+                    F.col("n_target").cast("int").alias("n_target"))
+
+
+@query("e9_short_drop")
+def e9_short_drop(spark, sf):
+    enc = ch.chat_encode(_chat_union(spark, sf), None)
+    kept = ch.truncate_examples(enc, P.SFT_MAX_LEN)
+    a = enc.groupBy("source").agg(F.count(F.lit(1)).alias("encoded"))
+    b = kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept"),
+                                   F.sum(F.when(F.col("n_target") == 0, 1).otherwise(0))
+                                   .cast("bigint").alias("no_target"))
+    return a.join(b, "source", "left").select(
+        "source", "encoded", F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"),
+        F.coalesce("no_target", F.lit(0)).cast("bigint").alias("no_target"))
+
+
+@query("e10_epoch_batches")
+def e10_epoch_batches(spark, sf):
+    b = ch.epoch_batches(_examples(spark, sf), P.SFT_EPOCHS, P.SFT_BATCH, P.SFT_SEED)
+    return b.select("epoch", "batch_id", "row", "source", "row_id")
+
+
+@query("e11_collate")
+def e11_collate(spark, sf):
+    c = _collated(spark, sf)
+    return c.select("epoch", "batch_id", "row", "source", "row_id", "n_pad",
+                    F.size("x").cast("int").alias("width"),
+                    F.md5(ids_string(F.col("x"))).alias("x_md5"),
+                    F.md5(ids_string(F.col("y"))).alias("y_md5"))
+
+
+@query("e12_inference_prompts")
+def e12_inference_prompts(spark, sf):
+    p = ch.inference_prompts(tables.table(spark, sf, "benchmark"), None)
+    return p.select("item_id", ids_string(F.col("chat")).alias("chat"),
+                    ids_string(F.col("plain")).alias("plain"))
+
+
+@query("e14_padding_report")
+def e14_padding_report(spark, sf):
+    return ch.padding_report(_collated(spark, sf))

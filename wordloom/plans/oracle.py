@@ -281,3 +281,117 @@ wx as (select loader, eval_round, batch_id, seq_in_batch, source, split, start,
 
 
 _SQL["d11_val_windows"] = _val_sql()
+
+
+# --- E: instruction sets ---------------------------------------------------------------
+
+def _strip(x: str) -> str:
+    return ("trim(" + x + ", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) "
+            "|| chr(28) || chr(29) || chr(30) || chr(31))")
+
+
+_MCQ = """mcq as (select p_partkey as row_id,
+  concat('  Which brand is ', p_name, ' number ', cast(p_partkey as varchar), '? ') as question,
+  p_brand as opa, case when p_partkey % 17 = 0 then '' else p_type end as opb,
+  case when p_partkey % 19 = 0 then null else p_name end as opc, cast(p_size as varchar) as opd,
+  case when p_partkey % 13 = 0 then null else cast(p_partkey % 4 as int) end as cop,
+  case p_partkey % 3 when 0 then null when 1 then concat(' Listed as ', p_type, '. ') else '   ' end as exp
+  from part)"""
+
+_QA = """qa as (select o_orderkey as row_id,
+  case when o_orderkey % 23 = 0 then '  ' else concat('Is order ', cast(o_orderkey as varchar), ' open? ') end as question,
+  case o_orderkey % 5 when 0 then 'yes' when 1 then ' NO ' when 2 then 'maybe' when 3 then '' else null end as final_decision,
+  case when o_orderkey % 29 = 0 then null else concat(' Status ', o_orderstatus, ', priority ', o_orderpriority, '. ') end as long_answer
+  from orders)"""
+
+_INSTR = """instr as (select conv_id * 100 + turn as row_id, text as instruction, coalesce(sys, '') as input,
+  nxt as output
+  from (select conv_id, turn, role, text,
+    lead(text) over (partition by conv_id order by turn) as nxt,
+    lead(role) over (partition by conv_id order by turn) as nrole,
+    max(case when role = 'system' then text end) over (partition by conv_id) as sys
+   from conversations) t
+  where role = 'user' and nrole = 'assistant')"""
+
+_MCQP = f"""mcqp as (select row_id,
+  {_strip('question')} || chr(10) || 'A. ' || opa || chr(10) || 'B. ' || opb || chr(10) || 'C. ' || opc
+    || chr(10) || 'D. ' || opd as "user",
+  'The correct answer is ' || ['A', 'B', 'C', 'D'][cop + 1] || '. ' || [opa, opb, opc, opd][cop + 1] || '.'
+    || case when exp is not null and exp <> '' then ' ' || {_strip('exp')} else '' end as assistant
+  from mcq where opa is not null and opa <> '' and opb is not null and opb <> ''
+    and opc is not null and opc <> '' and opd is not null and opd <> ''
+    and cop is not null and cop between 0 and 3)"""
+
+_QAP = f"""qap as (select row_id, q as "user",
+  case when dec <> '' then upper(substr(dec, 1, 1)) || lower(substr(dec, 2)) || '. ' || lng else lng end as assistant
+  from (select row_id, {_strip("coalesce(question, '')")} as q, {_strip("coalesce(final_decision, '')")} as dec,
+               {_strip("coalesce(long_answer, '')")} as lng from qa) s
+  where q <> '' and lng <> '')"""
+
+_INSTRP = f"""instrp as (select row_id, case when inp <> '' then ins || chr(10) || inp else ins end as "user",
+  outp as assistant
+  from (select row_id, {_strip("coalesce(instruction, '')")} as ins, {_strip("coalesce(input, '')")} as inp,
+               {_strip("coalesce(output, '')")} as outp from instr) s
+  where ins <> '' and outp <> '')"""
+
+_UNION = f"""allp as (select 'mcq' as source, * from mcqp union all select 'qa', * from qap
+  union all select 'instr', * from instrp),
+chatu as (select source, row_id, "user", assistant from (
+  select *, row_number() over (partition by source order by row_id) as rn from allp) s
+  where (source = 'mcq' and rn <= {P.QUOTAS['mcq']}) or (source = 'qa' and rn <= {P.QUOTAS['qa']})
+     or (source = 'instr' and rn <= {P.QUOTAS['instr']}))"""
+
+_CHAT = [_MCQ, _QA, _INSTR, _MCQP, _QAP, _INSTRP, _UNION]
+
+_ENC = f"""enc as (select source, row_id,
+  list_concat([3], {byte_ids_sql("chr(10) || " + '"user"')}, [4]) as prompt,
+  list_concat({byte_ids_sql("chr(10) || assistant")}, [0]) as resp from chatu),
+enc2 as (select source, row_id, len(prompt) as n_prompt, list_concat(prompt, resp) as "full",
+  list_concat(list_transform(prompt, lambda x: -1), resp) as labels from enc)"""
+
+_EX = f"""ex as (select source, row_id, n_prompt, "full"[1:{P.SFT_MAX_LEN}] as "full",
+  labels[1:{P.SFT_MAX_LEN}] as labels from enc2),
+ex2 as (select *, len(list_filter(labels, lambda x: x <> -1)) as n_target from ex where len("full") >= 4)"""
+
+_EPOCHS = f"""eb as (select e.epoch, x.*,
+  row_number() over (partition by e.epoch order by md5('{P.SFT_SEED}:' || e.epoch || ':' || x.source || ':' || x.row_id)) - 1 as rnk
+  from ex2 x, range(0, {P.SFT_EPOCHS}) e(epoch)),
+eb2 as (select *, rnk // {P.SFT_BATCH} as batch_id, (rnk % {P.SFT_BATCH})::int as "row" from eb)"""
+
+_COLL = """co as (select *, max(len("full")) over (partition by epoch, batch_id) as m from eb2),
+co2 as (select epoch, batch_id, "row", source, row_id, (m - len("full"))::int as n_pad,
+  list_concat("full"[1:len("full") - 1], list_transform(range(0, m - len("full")), lambda i: 1)) as x,
+  list_concat(labels[2:], list_transform(range(0, m - len("full")), lambda i: -1)) as y from co)"""
+
+_SQL["e1_mcq_pairs"] = _w(_MCQ, _MCQP) + 'select row_id, "user", assistant from mcqp'
+_SQL["e2_qa_pairs"] = _w(_QA, _QAP) + 'select row_id, "user", assistant from qap'
+_SQL["e3_instr_pairs"] = _w(_INSTR, _INSTRP) + 'select row_id, "user", assistant from instrp'
+_SQL["e4_source_quota"] = _w(*_CHAT) + """select source, count(*)::bigint as rows, min(row_id) as first_row,
+  max(row_id) as last_row from chatu group by source"""
+_SQL["e5_chat_union"] = _w(*_CHAT) + 'select source, row_id, "user", assistant from chatu'
+_SQL["e6_seeded_shuffle"] = _w(*_CHAT) + f"""select source, row_id,
+  (row_number() over (order by md5('{P.SFT_SEED}:' || source || ':' || row_id)) - 1)::bigint as position
+from chatu"""
+_SQL["e7_chat_encode"] = _w(*_CHAT, _ENC) + """select source, row_id, n_prompt::int as n_prompt,
+  len("full")::int as n_full, md5(array_to_string("full", ' ')) as full_md5,
+  md5(array_to_string(labels, ' ')) as labels_md5 from enc2"""
+_SQL["e8_truncate_mask"] = _w(*_CHAT, _ENC, _EX) + \
+    'select source, row_id, len("full")::int as n_full, n_target::int as n_target from ex2'
+_SQL["e9_short_drop"] = _w(*_CHAT, _ENC, _EX) + """select e.source, count(*)::bigint as encoded,
+  coalesce(max(k.kept), 0)::bigint as kept, coalesce(max(k.no_target), 0)::bigint as no_target
+from enc2 e left join (select source, count(*) as kept, sum(case when n_target = 0 then 1 else 0 end) as no_target
+  from ex2 group by source) k on e.source = k.source group by e.source"""
+_SQL["e10_epoch_batches"] = _w(*_CHAT, _ENC, _EX, _EPOCHS) + \
+    'select epoch::int as epoch, batch_id::bigint as batch_id, "row", source, row_id from eb2'
+_SQL["e11_collate"] = _w(*_CHAT, _ENC, _EX, _EPOCHS, _COLL) + """select epoch::int as epoch,
+  batch_id::bigint as batch_id, "row", source, row_id, n_pad, len(x)::int as width,
+  md5(array_to_string(x, ' ')) as x_md5, md5(array_to_string(y, ' ')) as y_md5 from co2"""
+_SQL["e12_inference_prompts"] = f"""select item_id,
+  array_to_string(list_concat([3], {byte_ids_sql("chr(10) || text")}, [4, 15]), ' ') as chat,
+  array_to_string({byte_ids_sql("text")}, ' ') as plain from benchmark"""
+_SQL["e14_padding_report"] = _w(*_CHAT, _ENC, _EX, _EPOCHS, _COLL) + """select epoch::int as epoch,
+  count(*)::bigint as rows, count(distinct batch_id)::bigint as batches, sum(len(x))::bigint as positions,
+  sum(n_pad)::bigint as pad, sum(len(list_filter(y, lambda v: v = -1)))::bigint as masked,
+  round(sum(n_pad)::double / sum(len(x))::double, 6) as pad_share,
+  round(sum(len(list_filter(y, lambda v: v = -1)))::double / sum(len(x))::double, 6) as masked_share
+from co2 group by epoch"""

@@ -18,3 +18,8 @@ VAL_BATCHES = 2
 EVAL_ROUNDS = 2
 # Run presets (fixed values): name, seq_len, batch_size, grad_accum, max_steps.
 PRESETS = (("smoke", 128, 4, 2, 20), ("local30m", 512, 8, 8, 6000), ("small60m", 1024, 16, 8, 4000))
+QUOTAS = {"mcq": 6000, "qa": 4000, "instr": 2000}   # E4 first-n per source (reference defaults)
+SFT_MAX_LEN = 512
+SFT_EPOCHS = 3
+SFT_BATCH = 16
+SFT_SEED = 0
