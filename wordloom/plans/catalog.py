@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ids_string, pieces, r6
 from ..operators import chat as ch
+from ..operators import evaluation as ev
 from ..operators import mixing as mx
 from ..operators import tokenizer as tk
 from ..operators import tokens as tok
@@ -387,3 +388,97 @@ def e12_inference_prompts(spark, sf):
 @query("e14_padding_report")
 def e14_padding_report(spark, sf):
     return ch.padding_report(_collated(spark, sf))
+
+
+# --- F: evaluation ----------------------------------------------------------------------
+
+def _scorer(spark, sf, lam: float = P.LAMBDA):
+    return ev.fit_bigram(byte_blocks(spark, sf), P.BYTE_VOCAB, lam)
+
+
+def _cands(spark, sf):
+    return ev.mcq_candidates(tables.mcq(spark, sf), P.EVAL_LIMIT).unionByName(
+        ev.qa_candidates(tables.qa(spark, sf), P.EVAL_LIMIT))
+
+
+@query("f1_mcq_candidates")
+def f1_mcq_candidates(spark, sf):
+    c = ev.mcq_candidates(tables.mcq(spark, sf), P.EVAL_LIMIT)
+    return c.select("row_id", F.col("idx").cast("int").alias("idx"), "option", "context", "gold")
+
+
+@query("f2_qa_candidates")
+def f2_qa_candidates(spark, sf):
+    c = ev.qa_candidates(tables.qa(spark, sf), P.EVAL_LIMIT)
+    return c.select("row_id", F.col("idx").cast("int").alias("idx"), "option", "context", "gold")
+
+
+@query("f3_prompt_tokens")
+def f3_prompt_tokens(spark, sf):
+    t = ev.candidate_tokens(_cands(spark, sf), None, P.EVAL_MAX_LEN)
+    return t.select("task", "row_id", F.col("idx").cast("int").alias("idx"),
+                    F.col("n_ctx").cast("int").alias("n_ctx"), F.col("n_opt").cast("int").alias("n_opt"),
+                    ids_string(F.col("ids")).alias("ids"))
+
+
+@query("f10_bigram_counts")
+def f10_bigram_counts(spark, sf):
+    return ev.bigram_counts(byte_blocks(spark, sf)).select(
+        F.col("v").cast("int").alias("v"), F.col("w").cast("int").alias("w"),
+        F.col("c").cast("bigint").alias("c"))
+
+
+@query("f4_option_scores")
+def f4_option_scores(spark, sf):
+    t = ev.candidate_tokens(_cands(spark, sf), None, P.EVAL_MAX_LEN)
+    s = ev.option_scores(t, _scorer(spark, sf))
+    return s.select("task", "row_id", F.col("idx").cast("int").alias("idx"),
+                    r6(F.col("score")).alias("score"))
+
+
+@query("f5_truncated_scores")
+def f5_truncated_scores(spark, sf):
+    t = ev.candidate_tokens(_cands(spark, sf), None, P.TRUNC_MAX_LEN)
+    s = ev.option_scores(t, _scorer(spark, sf))
+    return s.select("task", "row_id", F.col("idx").cast("int").alias("idx"),
+                    r6(F.col("score")).alias("score"))
+
+
+def _preds(spark, sf, lam=P.LAMBDA):
+    c = _cands(spark, sf)
+    s = ev.option_scores(ev.candidate_tokens(c, None, P.EVAL_MAX_LEN), _scorer(spark, sf, lam))
+    return ev.predictions(s, c)
+
+
+@query("f6_predictions")
+def f6_predictions(spark, sf):
+    return _preds(spark, sf).select("task", "row_id", F.col("pred").cast("int").alias("pred"),
+                                    F.col("gold").cast("int").alias("gold"), "correct")
+
+
+@query("f7_accuracy")
+def f7_accuracy(spark, sf):
+    return ev.accuracy(_preds(spark, sf))
+
+
+@query("f8_model_comparison")
+def f8_model_comparison(spark, sf):
+    a = ev.accuracy(_preds(spark, sf, 0.0)).withColumn("model", F.lit("unigram"))
+    b = ev.accuracy(_preds(spark, sf, P.LAMBDA)).withColumn("model", F.lit("bigram"))
+    return ev.compare_models(a.unionByName(b), "unigram", "bigram")
+
+
+@query("f9_heldout_loss")
+def f9_heldout_loss(spark, sf):
+    blocks = byte_blocks(spark, sf)
+    srcs = [s for s in P.MIX if s != "xx"]
+    w = mx.val_windows(spark, blocks, srcs, P.SEQ_LEN, P.VAL_BATCH, P.VAL_BATCHES,
+                       P.EVAL_ROUNDS, P.SEED)
+    return ev.heldout_loss(w, ev.fit_bigram(blocks, P.BYTE_VOCAB, P.LAMBDA))
+
+
+@query("f11_topk_next_token")
+def f11_topk_next_token(spark, sf):
+    t = ev.topk_distribution(_scorer(spark, sf), P.TOPK, P.TEMPERATURE)
+    return t.select(F.col("prev").cast("int").alias("prev"), F.col("cur").cast("int").alias("cur"),
+                    "prob")

@@ -269,18 +269,26 @@ def _val_sql() -> str:
     vb = f"""vb as (select source, 'val' as read_split, n, 0.0::double as lo, 1.0::double as hi
   from flat where split = 'val' and n > {P.SEQ_LEN + 1})"""
     win = "win as (" + "\nunion all\n".join(parts) + ")"
-    body = f"""wt as (select w.loader, w.eval_round, w.batch_id, w.seq_in_batch, w.source, w.split,
+    return [vb, win]
+
+
+def _val_body() -> str:
+    return f"""wt as (select w.loader, w.eval_round, w.batch_id, w.seq_in_batch, w.source, w.split,
   w.start, t.p, t.tok
   from win w join t on w.source = t.source and w.split = t.split
   and t.p >= w.start and t.p <= w.start + {P.SEQ_LEN}),
 wx as (select loader, eval_round, batch_id, seq_in_batch, source, split, start,
   list(tok order by p)[1:{P.SEQ_LEN}] as x, list(tok order by p)[2:{P.SEQ_LEN + 1}] as y
   from wt group by all)"""
-    return _w(*_FLAT, vb, win, body) + """select loader, eval_round, batch_id, seq_in_batch,
+
+
+def _val_sql_full() -> str:
+    vb, win = _val_sql()
+    return _w(*_FLAT, vb, win, _val_body()) + """select loader, eval_round, batch_id, seq_in_batch,
   source, split, start, array_to_string(x, ' ') as x, array_to_string(y, ' ') as y from wx"""
 
 
-_SQL["d11_val_windows"] = _val_sql()
+_SQL["d11_val_windows"] = _val_sql_full()
 
 
 # --- E: instruction sets ---------------------------------------------------------------
@@ -395,3 +403,125 @@ _SQL["e14_padding_report"] = _w(*_CHAT, _ENC, _EX, _EPOCHS, _COLL) + """select e
   round(sum(n_pad)::double / sum(len(x))::double, 6) as pad_share,
   round(sum(len(list_filter(y, lambda v: v = -1)))::double / sum(len(x))::double, 6) as masked_share
 from co2 group by epoch"""
+
+
+# --- F: evaluation ----------------------------------------------------------------
+
+_NV = f"(select count(*) from tr) + {P.BYTE_VOCAB}"
+_SCORER = [*_FLAT,
+           "tr as (select source, p, tok from t where split = 'train')",
+           """bg as (select a.tok as v, b.tok as w, count(*)::bigint as c from tr a join tr b
+  on a.source = b.source and b.p = a.p + 1 group by all)""",
+           "uni as (select tok as w, count(*)::bigint as cw from tr group by all)",
+           "ctxc as (select v, sum(c)::bigint as cv from bg group by v)"]
+
+
+def _logp(lam: float) -> str:
+    return (f"ln({lam} * (case when cx.cv > 0 then coalesce(b.c, 0)::double / cx.cv else 0.0 end) + "
+            f"{1.0 - lam} * (coalesce(u.cw, 0) + 1)::double / ({_NV})::double)")
+
+
+def _score_join(src: str, lam: float) -> str:
+    return f"""(select s.*, {_logp(lam)} as logp from {src} s
+  left join bg b on b.v = s.prev and b.w = s.cur
+  left join uni u on u.w = s.cur
+  left join ctxc cx on cx.v = s.prev)"""
+
+
+_CANDS = [_MCQ, _QA,
+          f"""mcqv as (select * from mcq where opa is not null and opa <> '' and opb is not null and opb <> ''
+    and opc is not null and opc <> '' and opd is not null and opd <> '' and cop is not null
+    and cop between 0 and 3 order by row_id limit {P.EVAL_LIMIT})""",
+          """mc as (select 'mcq' as task, row_id, 'Question: ' || question || chr(10) || 'Answer:' as context,
+    cop as gold, unnest([0, 1, 2, 3]) as idx, unnest([opa, opb, opc, opd]) as option from mcqv)""",
+          f"""qav as (select row_id, question, lower({_strip("coalesce(final_decision, '')")}) as gold_text
+    from qa where lower({_strip("coalesce(final_decision, '')")}) in ('yes', 'no', 'maybe')
+    order by row_id limit {P.EVAL_LIMIT})""",
+          """qc as (select 'qa' as task, row_id, 'Question: ' || question || chr(10) || 'Answer:' as context,
+    (case gold_text when 'yes' then 0 when 'no' then 1 else 2 end)::int as gold,
+    unnest([0, 1, 2]) as idx, unnest(['yes', 'no', 'maybe']) as option from qav)""",
+          "cands as (select * from mc union all select * from qc)"]
+
+
+def _toks(max_len: int) -> str:
+    return f"""ctok as (select task, row_id, idx, list_concat({byte_ids_sql('context')},
+    {byte_ids_sql("' ' || option")}) as ids, len({byte_ids_sql('context')}) as n_ctx,
+    len({byte_ids_sql("' ' || option")}) as n_opt from cands),
+ctok2 as (select *, greatest(len(ids) - {max_len}, 0) as cut from ctok)"""
+
+
+def _scores(max_len: int, lam: float, name: str = "sc") -> list[str]:
+    return [_toks(max_len),
+            """pos as (select task, row_id, idx, ids, unnest(range(greatest(n_ctx, cut + 1), n_ctx + n_opt)) as j
+  from ctok2)""",
+            "prs as (select task, row_id, idx, ids[j] as prev, ids[j + 1] as cur from pos)",
+            f"""{name} as (select c.task, c.row_id, c.idx,
+    coalesce(x.tot, 0.0) / greatest(c.n_opt, 1) as score from ctok2 c
+  left join (select task, row_id, idx, sum(logp) as tot from {_score_join('prs', lam)} z
+             group by all) x using (task, row_id, idx))"""]
+
+
+def _preds_sql(sc: str = "sc", name: str = "pr") -> str:
+    return f"""{name} as (select s.task, s.row_id, first(s.idx order by s.score desc, s.idx) as pred,
+    max(g.gold) as gold from {sc} s join (select distinct task, row_id, gold from cands) g
+    using (task, row_id) group by s.task, s.row_id)"""
+
+
+_ACC = """select task, count(*)::bigint as n, sum(case when pred = gold then 1 else 0 end)::bigint as correct,
+  round(sum(case when pred = gold then 1 else 0 end)::double / count(*), 6) as accuracy,
+  round(case when task = 'mcq' then 0.25 else 1.0 / 3 end, 6) as chance from {} group by task"""
+
+_SQL["f1_mcq_candidates"] = _w(*_CANDS) + \
+    "select row_id, idx::int as idx, option, context, gold from mc"
+_SQL["f2_qa_candidates"] = _w(*_CANDS) + \
+    "select row_id, idx::int as idx, option, context, gold from qc"
+_SQL["f3_prompt_tokens"] = _w(*_CANDS, _toks(P.EVAL_MAX_LEN)) + """select task, row_id, idx::int as idx,
+  n_ctx::int as n_ctx, n_opt::int as n_opt, array_to_string(ids, ' ') as ids from ctok2"""
+_SQL["f10_bigram_counts"] = _w(*_SCORER) + "select v::int as v, w::int as w, c from bg"
+_SQL["f4_option_scores"] = _w(*_SCORER, *_CANDS, *_scores(P.EVAL_MAX_LEN, P.LAMBDA)) + \
+    "select task, row_id, idx::int as idx, round(score, 6) as score from sc"
+_SQL["f5_truncated_scores"] = _w(*_SCORER, *_CANDS, *_scores(P.TRUNC_MAX_LEN, P.LAMBDA)) + \
+    "select task, row_id, idx::int as idx, round(score, 6) as score from sc"
+_SQL["f6_predictions"] = _w(*_SCORER, *_CANDS, *_scores(P.EVAL_MAX_LEN, P.LAMBDA), _preds_sql()) + \
+    """select task, row_id, pred::int as pred, gold::int as gold,
+  (case when pred = gold then 1 else 0 end)::int as correct from pr"""
+_SQL["f7_accuracy"] = _w(*_SCORER, *_CANDS, *_scores(P.EVAL_MAX_LEN, P.LAMBDA), _preds_sql()) + \
+    _ACC.format("pr")
+
+
+def _f8() -> str:
+    a = _scores(P.EVAL_MAX_LEN, 0.0, "sa")
+    b = _scores(P.EVAL_MAX_LEN, P.LAMBDA, "sb")
+    # the two scorers share the token CTEs; rename the second chain's helpers
+    b = [x.replace("ctok2", "ctokb2").replace("ctok ", "ctokb ").replace("from ctok)", "from ctokb)")
+          .replace("pos as", "posb as").replace("from pos)", "from posb)").replace("prs as", "prsb as")
+          .replace("'prs'", "'prsb'").replace("from prs ", "from prsb ") for x in b]
+    acc = lambda n: _ACC.format(n)
+    return _w(*_SCORER, *_CANDS, *a, *b, _preds_sql("sa", "pa"), _preds_sql("sb", "pb"),
+              f"aa as ({acc('pa')})", f"ab as ({acc('pb')})") + \
+        """select aa.task, aa.accuracy as base, ab.accuracy as tuned,
+  round(ab.accuracy - aa.accuracy, 6) as delta from aa join ab using (task)"""
+
+
+_SQL["f8_model_comparison"] = _f8()
+
+
+def _f9() -> str:
+    vb, win = _val_sql()
+    return _w(*_SCORER, vb, win, _val_body(),
+              """vp as (select loader, eval_round, batch_id, unnest(x) as prev, unnest(y) as cur from wx)""",
+              f"""sc as {_score_join('vp', P.LAMBDA)}""",
+              """pb as (select loader, eval_round, batch_id, -avg(logp) as loss from sc group by all)""",
+              """ps as (select loader, eval_round, avg(loss) as loss from pb group by all)""") + \
+        """select eval_round, 'val_' || loader as series, round(loss, 6) as loss from ps
+union all select eval_round, 'val_avg', round(avg(loss), 6) from ps group by eval_round"""
+
+
+_SQL["f9_heldout_loss"] = _f9()
+
+_SQL["f11_topk_next_token"] = _w(*_SCORER, f"""pr0 as {_score_join('(select v as prev, w as cur from bg)', P.LAMBDA)}""",
+                                 f"""pr1 as (select prev, cur, logp / {max(P.TEMPERATURE, 1e-6)} as logit,
+  rank() over (partition by prev order by logp / {max(P.TEMPERATURE, 1e-6)} desc) as rk from pr0)""",
+                                 """pr2 as (select prev, cur, exp(logit - max(logit) over (partition by prev)) as e
+  from pr1 where rk <= """ + str(P.TOPK) + ")") + \
+    "select prev::int as prev, cur::int as cur, round(e / sum(e) over (partition by prev), 6) as prob from pr2"

@@ -23,3 +23,9 @@ SFT_MAX_LEN = 512
 SFT_EPOCHS = 3
 SFT_BATCH = 16
 SFT_SEED = 0
+EVAL_LIMIT = 500            # questions per task (reference default)
+EVAL_MAX_LEN = 512          # context window of the scored model
+TRUNC_MAX_LEN = 8           # a window shorter than most options, to exercise F5
+LAMBDA = 0.9                # bigram weight of the count scorer
+TOPK = 5
+TEMPERATURE = 0.7
