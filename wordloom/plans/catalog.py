@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ids_string, pieces, r6
 from ..operators import chat as ch
 from ..operators import evaluation as ev
+from ..operators import metrics as mt
 from ..operators import mixing as mx
 from ..operators import tokenizer as tk
 from ..operators import tokens as tok
@@ -482,3 +483,60 @@ def f11_topk_next_token(spark, sf):
     t = ev.topk_distribution(_scorer(spark, sf), P.TOPK, P.TEMPERATURE)
     return t.select(F.col("prev").cast("int").alias("prev"), F.col("cur").cast("int").alias("cur"),
                     "prob")
+
+
+# --- G: run metrics ----------------------------------------------------------------------
+
+def _log(spark, sf):
+    return mt.dedup_resumed(tables.metrics(spark, sf))
+
+
+@query("g1_curves_long")
+def g1_curves_long(spark, sf):
+    c = mt.curves(_log(spark, sf))
+    return c.select("run", "step", "series", r6(F.col("value")).alias("value"))
+
+
+@query("g2_running_best")
+def g2_running_best(spark, sf):
+    b = mt.running_best(_log(spark, sf))
+    return b.select("run", "step", r6(F.col("val_avg")).alias("val_avg"),
+                    r6(F.col("best_before")).alias("best_before"), "is_best")
+
+
+@query("g3_latest_state")
+def g3_latest_state(spark, sf):
+    s = mt.latest_state(_log(spark, sf))
+    return s.select("run", "step", r6(F.col("val_avg")).alias("val_avg"),
+                    r6(F.col("train_loss")).alias("train_loss"), r6(F.col("best_val")).alias("best_val"))
+
+
+@query("g4_resume_dedup")
+def g4_resume_dedup(spark, sf):
+    d = _log(spark, sf)
+    return d.select("run", "step", "ingest_seq", r6(F.col("train_loss")).alias("train_loss"))
+
+
+@query("g5_throughput")
+def g5_throughput(spark, sf):
+    return mt.throughput(_log(spark, sf), P.TOKENS_PER_STEP)
+
+
+@query("g6_lr_audit")
+def g6_lr_audit(spark, sf):
+    sched = mt.Schedule(*P.LR_SCHEDULE)
+    a = mt.lr_audit(tables.metrics_scheduled(spark, sf, sched, P.LR_FAULT_EVERY), sched)
+    return a.select("run", "step", "ingest_seq", r6(F.col("rel_err")).alias("rel_err"))
+
+
+@query("g7_run_comparison")
+def g7_run_comparison(spark, sf):
+    r = mt.run_comparison(_log(spark, sf))
+    return r.select("run", "series", r6(F.col("best")).alias("best"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("g8_start_end_gap")
+def g8_start_end_gap(spark, sf):
+    r = mt.start_end_report(_log(spark, sf))
+    return r.select("run", "series", r6(F.col("first_value")).alias("first_value"),
+                    r6(F.col("last_value")).alias("last_value"), r6(F.col("gap")).alias("gap"))

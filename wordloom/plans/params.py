@@ -29,3 +29,7 @@ TRUNC_MAX_LEN = 8           # a window shorter than most options, to exercise F5
 LAMBDA = 0.9                # bigram weight of the count scorer
 TOPK = 5
 TEMPERATURE = 0.7
+TOKENS_PER_STEP = 8 * 8 * 512   # local30m preset: batch x accum x seq_len
+# local30m learning-rate schedule (fixed values): lr, min_lr, warmup_steps, max_steps
+LR_SCHEDULE = (8.0e-4, 8.0e-5, 200, 6000)
+LR_FAULT_EVERY = 97             # G6 fixture: every 97th logged row carries a wrong lr

@@ -93,3 +93,12 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         (v * 1.25).alias("val_de"),
         F.col("ts"),
     )
+
+
+def metrics_scheduled(spark: SparkSession, sf_dir: str, sched, fault_every: int) -> DataFrame:
+    """The metrics log with ``lr`` as the schedule at ``step - 1`` and a
+    deliberate error (x1.5) on every ``fault_every``-th ingested row (G6)."""
+    m = metrics(spark, sf_dir)
+    exp = sched.at(F.col("step") - 1)
+    return m.withColumn("lr", F.when(F.col("ingest_seq") % fault_every == 0, exp * 1.5)
+                        .otherwise(exp))
