@@ -19,7 +19,9 @@ from ..operators import mixing as mx
 from ..operators import tokenizer as tk
 from ..operators import tokens as tok
 from ..operators.bpe import BpeModel, learn_merges, pair_counts
+from ..sources import files as fs
 from ..sources import tables
+from ..streaming import ingest as st
 from ..sources.corpus import SourceSpec, scan_sources
 from . import corpus_build as cb
 from . import params as P
@@ -540,3 +542,89 @@ def g8_start_end_gap(spark, sf):
     r = mt.start_end_report(_log(spark, sf))
     return r.select("run", "series", r6(F.col("first_value")).alias("first_value"),
                     r6(F.col("last_value")).alias("last_value"), r6(F.col("gap")).alias("gap"))
+
+
+# --- A4-A9, S1-S3: sinks, sources and streams ----------------------------------------------
+
+def _doc_schema(spark, sf):
+    return tables.table(spark, sf, "documents").schema
+
+
+@query("a4_stream_ingest")
+def a4_stream_ingest(spark, sf):
+    base = fs.scratch_path(spark, "ingest")
+    stream = st.file_stream(spark, sf, _doc_schema(spark, sf), glob="documents.parquet")
+    st.ingest_corpus(stream, "lang", tables.LANG_REGISTRY, st.sub(base, "out"), st.sub(base, "ckpt"))
+    out = spark.read.parquet(st.sub(base, "out"))
+    return out.select("source", "ord", "doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("a5_block_sink_roundtrip")
+def a5_block_sink_roundtrip(spark, sf):
+    path = fs.scratch_path(spark, "blocks")
+    fs.write_blocks(byte_blocks(spark, sf), path)
+    b = fs.read_blocks(spark, path)
+    return b.select("source", "split", "block_id", F.size("toks").cast("bigint").alias("n"),
+                    ids_string(F.col("toks")).alias("toks"))
+
+
+@query("a6_build_if_absent")
+def a6_build_if_absent(spark, sf):
+    path = fs.scratch_path(spark, "built")
+    corpus = tables.corpus(spark, sf)
+
+    def build(c):
+        return tok.to_blocks(cb.token_segments(c, None, P.FULL_BUDGET))
+    # pass 1 builds two sources; pass 2 must only add the missing ones
+    first = corpus.filter(F.col("source").isin("en", "de"))
+    fs.build_if_absent(first, build, path)
+    fs.build_if_absent(corpus, build, path)
+    fs.build_if_absent(corpus, build, path)  # nothing left: appends no rows
+    b = fs.read_blocks(spark, path)
+    return b.groupBy("source", "split").agg(F.count(F.lit(1)).alias("blocks"),
+                                            F.sum(F.size("toks")).cast("bigint").alias("tokens"))
+
+
+@query("a7_tokenizer_tables")
+def a7_tokenizer_tables(spark, sf):
+    path = fs.scratch_path(spark, "tokenizer")
+    fs.save_tokenizer(spark, trained_model(spark, sf), path)
+    return fs.load_tokenizer(spark, path).merges_df(spark)
+
+
+@query("a8_chat_jsonl")
+def a8_chat_jsonl(spark, sf):
+    path = fs.scratch_path(spark, "chat")
+    fs.write_chat_jsonl(_chat_union(spark, sf), path)
+    return fs.read_chat_jsonl(spark, path)
+
+
+@query("a9_metrics_jsonl")
+def a9_metrics_jsonl(spark, sf):
+    path = fs.scratch_path(spark, "metrics")
+    fs.write_metrics_jsonl(tables.metrics(spark, sf).drop("ts"), path)
+    m = fs.read_metrics_jsonl(spark, path)
+    return m.select("run", "step", "ingest_seq", r6(F.col("val_avg")).alias("val_avg"),
+                    r6(F.col("val_de")).alias("val_de"))
+
+
+@query("s2_stream_piece_counts")
+def s2_stream_piece_counts(spark, sf):
+    base = fs.scratch_path(spark, "pieces")
+    stream = st.file_stream(spark, sf, _doc_schema(spark, sf), glob="documents.parquet")
+    st.piece_counts_stream(stream, "lang", tables.LANG_REGISTRY, st.sub(base, "out"),
+                           st.sub(base, "ckpt"))
+    return spark.read.parquet(st.sub(base, "out")).select("piece", F.col("n").cast("bigint").alias("n"))
+
+
+@query("s3_stream_run_best")
+def s3_stream_run_best(spark, sf):
+    base = fs.scratch_path(spark, "runbest")
+    logs = st.sub(base, "logs")
+    fs.write_metrics_jsonl(tables.metrics(spark, sf).drop("ts"), logs)
+    schema = spark.read.json(logs).schema
+    stream = st.file_stream(spark, logs, schema, fmt="json")
+    st.run_best_stream(stream, st.sub(base, "out"), st.sub(base, "ckpt"))
+    out = spark.read.parquet(st.sub(base, "out"))
+    return out.select("run", r6(F.col("best_val")).alias("best_val"),
+                      F.col("rows").cast("bigint").alias("rows"))

@@ -69,10 +69,3 @@ def stored_blocks(corpus: DataFrame, model: BpeModel | None, budget: int,
     blocks = to_blocks(token_segments(corpus, model, budget, val_frac))
     return blocks.checkpoint(eager=True)
 
-
-def write_blocks(blocks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A5 sink: parquet partitioned by source and split, blocks sorted by id
-    inside each file so a window read can skip row groups."""
-    (blocks.repartition("source", "split")
-     .sortWithinPartitions("source", "split", "block_id")
-     .write.mode(mode).partitionBy("source", "split").parquet(path))

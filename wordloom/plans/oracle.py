@@ -582,3 +582,23 @@ _SQL["g8_start_end_gap"] = _w(_METRICS, _DEDUP, _LONG, """se as (select run, ser
     """select s.run, s.series, round(s.first_value, 6) as first_value, round(s.last_value, 6) as last_value,
   round(case when s.series like 'val_%' then t.last_value - s.last_value end, 6) as gap
 from se s left join (select run, last_value from se where series = 'train_loss') t using (run)"""
+
+
+# --- A4-A9, S: sinks, sources and streams ------------------------------------------------
+
+_SQL["a4_stream_ingest"] = _w(CORPUS) + "select source, ord, doc_id, md5(text) as text_md5 from corpus"
+_SQL["a5_block_sink_roundtrip"] = _SQL["a5_token_blocks"]
+_SQL["a6_build_if_absent"] = _w(CORPUS, LENS, cut_sql(P.FULL_BUDGET), _DOC_IDS,
+                                """u as (select source, doc_id, unnest(ids) as tok,
+  unnest(range(0, len(ids))) as j from docids)""",
+                                """t as (select s.source, s.split, s.pos + u.j - s.skip as p, u.tok
+  from segs s join u on s.source = u.source and s.doc_id = u.doc_id
+  and u.j >= s.skip and u.j < s.skip + s.len)""") + \
+    """select source, split, count(distinct p // 4096)::bigint as blocks, count(*)::bigint as tokens
+from t group by all"""
+_SQL["a8_chat_jsonl"] = _SQL["e5_chat_union"]
+_SQL["a9_metrics_jsonl"] = _w(_METRICS) + """select run, step, ingest_seq, round(val_avg, 6) as val_avg,
+  round(val_de, 6) as val_de from metrics"""
+_SQL["s2_stream_piece_counts"] = _SQL["b4_piece_counts"]
+_SQL["s3_stream_run_best"] = _w(_METRICS) + \
+    "select run, round(min(val_avg), 6) as best_val, count(*)::bigint as rows from metrics group by run"
