@@ -71,14 +71,19 @@ def utf8_hex_pairs(c) -> Column:
 
 
 def byte_ids(c) -> Column:
-    """Byte-level token ids (``5 + byte``) of a string, no merges applied."""
-    return F.transform(utf8_hex_pairs(c),
-                       lambda h: F.conv(h, 16, 10).cast("int") + F.lit(BYTE_OFFSET))
+    """Byte-level token ids (``5 + byte``) of a string, no merges applied.
+
+    The UTF-8 bytes are re-read as ISO-8859-1, where every byte is exactly one
+    character whose code point is the byte value; splitting into characters
+    and taking code points stays a linear, JVM-side pass."""
+    raw = F.decode(F.encode(_c(c), "UTF-8"), "ISO-8859-1")
+    ids = F.transform(F.split(raw, "", -1), lambda ch: F.ascii(ch) + F.lit(BYTE_OFFSET))
+    return F.when(F.length(raw) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
 def ids_string(c) -> Column:
     """Space-joined id list: the flat form used in oracle comparisons."""
-    return F.array_join(F.transform(_c(c), lambda x: x.cast("string")), " ")
+    return F.array_join(_c(c).cast("array<string>"), " ")
 
 
 def r6(c) -> Column:

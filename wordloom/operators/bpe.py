@@ -87,22 +87,49 @@ def encode_piece(piece: bytes, merges: list[tuple[int, int]],
 
 # --- B6: exact batched merge learning ------------------------------------------
 
-def _pairs(sym: str = "sym"):
-    s = F.col(sym)
-    return F.transform(F.sequence(F.lit(1), F.size(s) - 1),
-                       lambda i: F.struct(F.element_at(s, i).alias("l"),
-                                          F.element_at(s, i + 1).alias("r")))
-
-
 def pair_counts(state: DataFrame) -> DataFrame:
-    """Sum of piece counts over each adjacent symbol pair (overlaps counted).
-    Partial aggregation combines map-side, so a hot pair is pre-summed per task."""
-    return (state.filter(F.size("sym") >= 2)
-            .select(F.explode(_pairs()).alias("p"), "n")
+    """Sum of piece counts over each adjacent symbol pair (overlaps counted),
+    on ``(sym ARRAY<INT>, n)``. Partial aggregation combines map-side, so a
+    hot pair is pre-summed in every task before the shuffle."""
+    s = state.filter(F.size("sym") >= 2)
+    z = F.arrays_zip(F.slice("sym", 1, F.size("sym") - 1).alias("l"),
+                     F.slice("sym", 2, F.size("sym") - 1).alias("r"))
+    return (s.select(F.explode(z).alias("p"), "n")
             .groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
             .agg(F.sum("n").alias("c")))
 
 
+# The learner keeps each piece as a string with one character per symbol: byte
+# ``b`` (id 5 + b) is the character with code point ``b`` - exactly what reading
+# the UTF-8 bytes as ISO-8859-1 gives - and merge ids continue upwards, skipping
+# the surrogate block. Pair counting is then a lookahead regex and a merge is a
+# literal left-to-right ``replace``: both are codegen'd string functions.
+_SURROGATE_LO, _SURROGATE_SPAN = 0xD800, 0x800
+
+
+def sym_char(sym_id: int) -> str:
+    cp = sym_id - BYTE_OFFSET
+    return chr(cp if cp < _SURROGATE_LO else cp + _SURROGATE_SPAN)
+
+
+def _cp_to_id(cp):
+    return F.when(cp < _SURROGATE_LO, cp).otherwise(cp - _SURROGATE_SPAN) + F.lit(BYTE_OFFSET)
+
+
+def _string_state(piece_counts: DataFrame) -> DataFrame:
+    s = F.decode(F.encode(F.col("piece"), "UTF-8"), "ISO-8859-1")
+    return piece_counts.select(s.alias("s"), F.col("n").cast("bigint")).filter(F.length("s") >= 2)
+
+
+def _top_pairs(state: DataFrame, min_frequency: int, limit: int) -> list[tuple[int, int, int]]:
+    pairs = state.select(F.explode(F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1)))
+                         .alias("p"), "n")
+    c = pairs.groupBy("p").agg(F.sum("n").alias("c")).filter(F.col("c") >= min_frequency)
+    c = c.select(_cp_to_id(F.ascii(F.substring("p", 1, 1))).alias("l"),
+                 _cp_to_id(F.ascii(F.substring("p", 2, 1))).alias("r"), "c")
+    return [(r.l, r.r, r.c) for r in order_pairs(c).limit(limit).collect()]
+
+
 def order_pairs(pairs: DataFrame) -> DataFrame:
     """Merge priority: count desc, then max(left, right), left, right ascending."""
     return pairs.orderBy(F.desc("c"), F.greatest("l", "r"), "l", "r")
@@ -123,24 +150,14 @@ def accept_prefix(top: list[tuple[int, int, int]], room: int) -> list[tuple[int,
 
 
 def apply_batch(state: DataFrame, batch: list[tuple[int, int]], first_new: int) -> DataFrame:
-    """Rewrite symbol arrays with one left-to-right pass over a disjoint batch.
-    Pieces holding none of the batch's left symbols are passed through."""
-    kv = []
+    """Merge every pair of a symbol-disjoint batch. Disjoint pairs cannot
+    overlap, so replacing them one after another equals one left-to-right
+    pass; ``replace`` itself is left-to-right and non-overlapping, which is the
+    BPE rule for runs like ``aaa``. Pieces reduced to one symbol drop out."""
+    s = F.col("s")
     for j, (a, b) in enumerate(batch):
-        kv += [F.lit(a * _KEY + b).cast("bigint"), F.lit(first_new + j)]
-    table = F.create_map(*kv)
-    lefts = F.array(*[F.lit(a) for a, _ in batch])
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        hit = F.try_element_at(table, last.cast("bigint") * F.lit(_KEY) + x)
-        return F.when(hit.isNotNull(),
-                      F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))
-                      ).otherwise(F.concat(acc, F.array(x)))
-
-    rewritten = F.aggregate("sym", F.array().cast("array<int>"), step)
-    new_sym = F.when(F.arrays_overlap("sym", lefts), rewritten).otherwise(F.col("sym"))
-    return state.select(new_sym.alias("sym"), "n").filter(F.size("sym") >= 2)
+        s = F.replace(s, F.lit(sym_char(a) + sym_char(b)), F.lit(sym_char(first_new + j)))
+    return state.select(s.alias("s"), "n").filter(F.length("s") >= 2)
 
 
 def learn_merges(piece_counts: DataFrame, vocab_size: int, min_frequency: int = 2,
@@ -151,28 +168,26 @@ def learn_merges(piece_counts: DataFrame, vocab_size: int, min_frequency: int =
     ``piece_counts`` is ``(piece STRING, n BIGINT)`` (B4). Each round is one
     pair aggregation plus a bounded ``limit(batch_limit)`` collect; the batch
     accepted from it is exactly what one-merge-at-a-time greedy would pick.
+    The piece table is persisted between rounds and cut by a reliable
+    checkpoint every ``checkpoint_every`` rounds.
     """
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size {vocab_size} exceeds the uint16 id range")
     spark = piece_counts.sparkSession
     checkpoint_dir(spark)
-    from ..functions.text import byte_ids
-    state = (piece_counts.select(byte_ids(F.col("piece")).alias("sym"), F.col("n").cast("bigint"))
-             .filter(F.size("sym") >= 2))
-    state = state.checkpoint(eager=True)
+    state = _string_state(piece_counts).checkpoint(eager=True)
     merges: list[tuple[int, int]] = []
     rounds = 0
     release = None
     while FIRST_MERGE_ID + len(merges) < vocab_size:
         if max_rounds is not None and rounds >= max_rounds:
             break
-        top = (order_pairs(pair_counts(state).filter(F.col("c") >= min_frequency))
-               .limit(batch_limit).collect())
+        top = _top_pairs(state, min_frequency, batch_limit)
         if release is not None:  # the new state is materialised now
             release.unpersist()
             release = None
         room = vocab_size - FIRST_MERGE_ID - len(merges)
-        batch = accept_prefix([(r.l, r.r, r.c) for r in top], room)
+        batch = accept_prefix(top, room)
         if not batch:
             break
         nxt = apply_batch(state, batch, FIRST_MERGE_ID + len(merges))

@@ -130,7 +130,8 @@ def truncate_examples(df: DataFrame, max_len: int) -> DataFrame:
                   F.slice("full", 1, max_len).alias("full"),
                   F.slice("labels", 1, max_len).alias("labels"))
     t = t.filter(F.size("full") >= MIN_TOKENS)
-    return t.withColumn("n_target", F.size(F.filter("labels", lambda x: x != IGNORE)))
+    # labels are -1 exactly on the (kept part of the) prompt
+    return t.withColumn("n_target", F.size("labels") - F.least(F.col("n_prompt"), F.size("labels")))
 
 
 def epoch_batches(df: DataFrame, epochs: int, batch_size: int, seed: int = 0) -> DataFrame:
@@ -153,13 +154,15 @@ def collate(batches: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
     pad = F.col("__m") - F.size("full")
     x = F.concat(F.slice("full", 1, F.size("full") - 1), F.array_repeat(F.lit(pad_id), pad))
     y = F.concat(F.slice("labels", 2, F.size("labels") - 1), F.array_repeat(F.lit(IGNORE), pad))
+    # y is -1 on the prompt minus its first position (dropped by the shift) and on the pad
+    masked = F.greatest(F.least(F.col("n_prompt"), F.size("labels")) - 1, F.lit(0)) + pad
     return t.select("epoch", "batch_id", "row", "source", "row_id", x.alias("x"), y.alias("y"),
-                    pad.cast("int").alias("n_pad"))
+                    pad.cast("int").alias("n_pad"), masked.cast("int").alias("n_masked"))
 
 
 def padding_report(collated: DataFrame) -> DataFrame:
     """Share of pad and of masked target positions per epoch."""
-    masked = F.size(F.filter("y", lambda v: v == IGNORE))
+    masked = F.col("n_masked")
     return collated.groupBy("epoch").agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("batch_id").alias("batches"),

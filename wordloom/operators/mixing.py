@@ -124,7 +124,7 @@ def read_windows(windows: DataFrame, blocks: DataFrame, seq_len: int,
     piece = F.slice("toks", (lo - F.col("block_id") * block + 1).cast("int"), (hi - lo).cast("int"))
     parts = j.select(*keys, lo.alias("lo"), piece.alias("piece"))
     g = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "piece"))).alias("__p"))
-    flat = F.flatten(F.transform("__p", lambda s: s["piece"]))
+    flat = F.flatten(F.col("__p.piece"))
     w = g.select(*keys, flat.alias("__w"))
     return w.select(*keys, F.slice("__w", 1, seq_len).alias("x"),
                     F.slice("__w", 2, seq_len).alias("y"))

@@ -14,19 +14,30 @@ from .bpe import ENCODED_SCHEMA, BpeModel, encode_piece
 TRAIN_CHAR_CAP = 5000  # B2: code points of each document seen by the trainer (fixed value)
 
 
+BROADCAST_ROWS = 5_000_000  # rank tables up to this many (measured) rows are broadcast
+
+
 def blend(corpus: DataFrame, docs_per_source: int | None = None) -> DataFrame:
     """B1 + A3 cap: round-robin blend of the sources.
 
     ``k`` is the 0-based position of a doc inside its source; the blend order
     is ``(k, ord)``. Exhausted sources simply have no more ``k`` values, which
-    is exactly the reference's drop-out rule.
+    is exactly the reference's drop-out rule. Only ``(source, doc_id)`` goes
+    through the ranking; the text meets its rank in one join afterwards,
+    broadcast when the rank table is provably small (``docs_per_source`` times
+    the measured number of sources).
     """
-    ranked = prefix_sum(corpus.withColumn("__one", F.lit(1).cast("bigint")), ["source"],
-                        "doc_id", "__one", "k",
+    keys = corpus.select("source", "doc_id", F.lit(1).cast("bigint").alias("__one"))
+    ranked = prefix_sum(keys, ["source"], "doc_id", "__one", "k",
                         stop_at=docs_per_source if docs_per_source else None)
     if docs_per_source:
         ranked = ranked.filter(F.col("k") < docs_per_source)
-    return ranked.drop("__one")
+    ranked = ranked.select("source", "doc_id", "k")
+    small = False
+    if docs_per_source:
+        n_src = corpus.select("source").distinct().count()
+        small = docs_per_source * n_src <= BROADCAST_ROWS
+    return corpus.join(F.broadcast(ranked) if small else ranked, ["source", "doc_id"])
 
 
 def cap_chars(df: DataFrame, n: int = TRAIN_CHAR_CAP, text: str = "text") -> DataFrame:
@@ -46,8 +57,10 @@ def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def training_pieces(corpus: DataFrame, docs_per_source: int | None = None) -> DataFrame:
-    """B1 -> B2 -> B4: the piece table the merge learner starts from."""
-    return piece_counts(cap_chars(blend(corpus, docs_per_source)))
+    """B1 -> B2 -> B4: the piece table the merge learner starts from. Counts do
+    not depend on the blend order, only on which documents are in it."""
+    docs = blend(corpus, docs_per_source) if docs_per_source else corpus
+    return piece_counts(cap_chars(docs))
 
 
 def _encoder(model: BpeModel):
@@ -79,7 +92,7 @@ def encode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], text: str
     parts = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
                                                F.struct("pos", "pids"))))
     return (joined.groupBy(*keys).agg(parts.alias("__parts"))
-            .select(*keys, F.flatten(F.transform("__parts", lambda s: s["pids"])).alias(out)))
+            .select(*keys, F.flatten(F.col("__parts.pids")).alias(out)))
 
 
 def decode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], ids: str = "ids",
@@ -97,7 +110,7 @@ def decode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], ids: str
     joined = ex.join(F.broadcast(vocab), "__id", "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("token_hex").isNotNull(),
                                                F.struct("__pos", "token_hex"))))
-    hexed = F.array_join(F.transform("__parts", lambda s: s["token_hex"]), "")
+    hexed = F.array_join(F.col("__parts.token_hex"), "")
     text = F.make_valid_utf8(F.unhex(hexed).cast("string"))
     return joined.groupBy(*keys).agg(parts.alias("__parts")).select(*keys, text.alias(out))
 

@@ -106,8 +106,10 @@ def id_guard(df: DataFrame, vocab_size: int, ids: str = "ids",
     """Id range per source and the number of ids outside ``[0, vocab)`` or
     the uint16 range."""
     limit = min(vocab_size, 1 << 16)
-    bad = F.aggregate(F.col(ids), F.lit(0).cast("bigint"),
-                      lambda acc, x: acc + F.when((x < 0) | (x >= limit), 1).otherwise(0))
+    # the per-id count only runs for documents whose range is already out of bounds
+    out_of_range = (F.array_min(ids) < 0) | (F.array_max(ids) >= limit)
+    bad = F.when(out_of_range, F.size(F.filter(F.col(ids), lambda x: (x < 0) | (x >= limit))))\
+        .otherwise(F.lit(0))
     return df.groupBy(*part).agg(
         F.min(F.array_min(ids)).alias("min_id"),
         F.max(F.array_max(ids)).alias("max_id"),
@@ -134,7 +136,7 @@ def to_blocks(segments: DataFrame, block: int = BLOCK, ids: str = "ids",
     grouped = sl.groupBy(*part, "block_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "toks"))).alias("__p"))
     return grouped.select(*part, F.col("block_id").cast("bigint").alias("block_id"),
-                          F.flatten(F.transform("__p", lambda s: s["toks"])).alias("toks"))
+                          F.flatten(F.col("__p.toks")).alias("toks"))
 
 
 def block_lengths(blocks: DataFrame, part: Sequence[str] = ("source", "split")) -> DataFrame:
