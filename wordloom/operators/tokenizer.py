@@ -59,8 +59,8 @@ def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def training_pieces(corpus: DataFrame, docs_per_source: int | None = None) -> DataFrame:
     """B1 -> B2 -> B4: the piece table the merge learner starts from. Counts do
     not depend on the blend order, only on which documents are in it."""
-    docs = blend(corpus, docs_per_source) if docs_per_source else corpus
-    return piece_counts(cap_chars(docs))
+    from ..sources.corpus import cap_per_source
+    return piece_counts(cap_chars(cap_per_source(corpus, docs_per_source)))
 
 
 def _encoder(model: BpeModel):
