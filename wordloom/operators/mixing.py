@@ -132,12 +132,12 @@ def read_windows(windows: DataFrame, blocks: DataFrame, seq_len: int,
 
 def mixed_batches(spark: SparkSession, blocks: DataFrame, mix: Mapping[str, float],
                   seq_len: int, batch_size: int, n_batches: int, seed: int = 1337,
-                  split: str = "train") -> DataFrame:
+                  split: str = "train", block: int = BLOCK) -> DataFrame:
     """D1-D8 end to end: ``(batch_id, seq_in_batch, source, split, start, x, y)``."""
     bounds = resolved_bounds(spark, blocks, mix, split, seq_len)
     n_seq = n_batches * batch_size
     draws = draw_windows(spark, bounds, n_seq, seq_len, batch_size, seed, split)
-    return read_windows(draws, blocks, seq_len, n_seq).drop("i")
+    return read_windows(draws, blocks, seq_len, n_seq, block).drop("i")
 
 
 def batch_audit(windows: DataFrame, seq_len: int, vocab_size: int) -> DataFrame:
@@ -168,7 +168,8 @@ def windows_as_strings(w: DataFrame) -> DataFrame:
 
 
 def val_windows(spark: SparkSession, blocks: DataFrame, sources: list[str], seq_len: int,
-                batch_size: int, n_batches: int, eval_rounds: int, seed: int = 1337) -> DataFrame:
+                batch_size: int, n_batches: int, eval_rounds: int, seed: int = 1337,
+                block: int = BLOCK) -> DataFrame:
     """One single-source val loader per mix entry, ``eval_rounds`` times.
 
     All loaders and rounds are one draw over ``range(loaders * rounds * n)``;
@@ -195,7 +196,7 @@ def val_windows(spark: SparkSession, blocks: DataFrame, sources: list[str], seq_
                      (F.col("i") % batch_size).cast("int").alias("seq_in_batch"),
                      "source", F.col("read_split").alias("split"),
                      F.floor(u2 * (F.col("n") - seq_len - 1)).cast("bigint").alias("start"))
-    return read_windows(draws, blocks, seq_len, len(sources) * per_loader).drop("i")
+    return read_windows(draws, blocks, seq_len, len(sources) * per_loader, block).drop("i")
 
 
 def run_plan(presets: DataFrame, lengths: DataFrame) -> DataFrame:
