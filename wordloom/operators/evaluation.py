@@ -71,14 +71,18 @@ def bigram_counts(blocks: DataFrame, split: str = "train") -> DataFrame:
 
 
 def fit_bigram(blocks: DataFrame, vocab_size: int, lam: float = 0.9) -> BigramScorer:
-    """count tables materialised once (reliable checkpoint)."""
+    """the bigram table is materialised once (reliable checkpoint); the
+    unigram and context counts follow from it exactly - every token but the
+    first of each (source, train) array is the right side of one bigram - so
+    the corpus is exploded only once."""
     from ..session import checkpoint_dir
     checkpoint_dir(blocks.sparkSession)
     big = bigram_counts(blocks).checkpoint(eager=True)
-    train = blocks.filter(F.col("split") == "train")
-    uni = (train.select(F.explode("toks").alias("w")).groupBy("w")
-           .agg(F.count(F.lit(1)).alias("cw"))).checkpoint(eager=True)
-    ctx = big.groupBy("v").agg(F.sum("c").alias("cv")).checkpoint(eager=True)
+    firsts = (blocks.filter((F.col("split") == "train") & (F.col("block_id") == 0))
+              .select(F.element_at("toks", 1).alias("w"), F.lit(1).cast("bigint").alias("c")))
+    uni = (big.select("w", "c").unionByName(firsts).groupBy("w").agg(F.sum("c").alias("cw"))
+           .persist())
+    ctx = big.groupBy("v").agg(F.sum("c").alias("cv")).persist()
     n = uni.agg(F.sum("cw")).first()[0] or 0
     return BigramScorer(big, uni, ctx, int(n), vocab_size, lam)
 
