@@ -65,6 +65,8 @@ def test_merged_encode_equals_python(spark):
     from wordloom.operators.tokenizer import piece_counts
     model = learn_merges(piece_counts(df), 280, min_frequency=2)
     got = {r.doc_id: list(r.ids) for r in encode(df, model, ["doc_id"]).collect()}
+    other = {r.doc_id: list(r.ids) for r in encode(df, model, ["doc_id"], strategy="distinct").collect()}
+    assert got == other
     import regex
     from wordloom.functions.text import PIECE_PATTERN
     ranks = model.ranks()

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordering import prefix_sum
 from ..functions.text import (BYTE_OFFSET, SPECIAL_TOKENS, byte_ids, pieces, word_count)
@@ -60,10 +61,11 @@ def training_pieces(corpus: DataFrame, docs_per_source: int | None = None) -> Da
     """B1 -> B2 -> B4: the piece table the merge learner starts from. Counts do
     not depend on the blend order, only on which documents are in it."""
     from ..sources.corpus import cap_per_source
-    return piece_counts(cap_chars(cap_per_source(corpus, docs_per_source)))
+    docs = cap_per_source(corpus, docs_per_source).select("source", "doc_id", "text")
+    return piece_counts(cap_chars(_spread(docs, ["source", "doc_id"])))
 
 
-def _encoder(model: BpeModel):
+def _piece_encoder(model: BpeModel):
     merges, ranks = model.merges, model.ranks()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,21 +75,72 @@ def _encoder(model: BpeModel):
     return run
 
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` when the input has fewer partitions than the
+    cluster has cores (a small table, or files with few row groups), so the
+    pre-tokenizer and encoder run on every core. A scan of many files already
+    has that parallelism and is left as it is - no extra shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if not df.isStreaming and df.rdd.getNumPartitions() < par:
+        return df.repartition(par, *keys)
+    return df
+
+
+MEMO_LIMIT = 1 << 20  # encoded pieces remembered per task before the memo is reset
+
+
+def _doc_encoder(model: BpeModel, keys: list[str], out: str):
+    merges, ranks = model.merges, model.ranks()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, list[int]] = {}
+        for pdf in batches:
+            col = []
+            for ps in pdf["__pieces"]:
+                ids: list[int] = []
+                if ps is not None:
+                    for p in ps:
+                        e = memo.get(p)
+                        if e is None:
+                            e = encode_piece(p.encode("utf-8"), merges, ranks)
+                            if len(memo) >= MEMO_LIMIT:
+                                memo.clear()
+                            memo[p] = e
+                        ids.extend(e)
+                col.append(ids)
+            res = pdf[keys].copy()
+            res[out] = col
+            yield res
+    return run
+
+
 def encode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], text: str = "text",
-           out: str = "ids") -> DataFrame:
+           out: str = "ids", strategy: str = "local") -> DataFrame:
     """Text -> token ids, no special tokens added.
 
-    Without merges the ids are the UTF-8 bytes, computed in place. With merges,
-    only the *distinct* pieces are encoded (Arrow batches over a shuffled,
-    de-duplicated piece set; the merge table is bounded by the vocabulary),
-    then joined back on ``piece`` and regrouped per document in piece order.
+    Without merges the ids are the UTF-8 bytes, computed in place (JVM).
+
+    With merges the pieces are cut JVM-side (``regexp_extract_all``) and the
+    default ``local`` strategy encodes them in Arrow batches inside the task
+    that holds the document, remembering every piece it has encoded: a common
+    piece is encoded once per task, and no row leaves its partition - at 100 TB
+    that avoids shuffling every piece twice. ``distinct`` instead encodes the
+    de-duplicated piece set once, joins ids back on ``piece`` and regroups each
+    document in piece order (two shuffles of all pieces; useful when the
+    encoder is far costlier than a shuffle).
     """
     keys = list(keys)
     if model is None or not model.merges:
         return df.select(*keys, byte_ids(F.col(text)).alias(out))
+    if strategy == "local":
+        src = _spread(df.select(*keys, text), keys)
+        src = src.select(*keys, pieces(F.col(text)).alias("__pieces"))
+        schema = T.StructType([f for f in src.schema.fields if f.name in keys] +
+                              [T.StructField(out, T.ArrayType(T.IntegerType()))])
+        return src.mapInPandas(_doc_encoder(model, keys, out), schema)
     exploded = df.select(*keys, F.posexplode_outer(pieces(F.col(text))).alias("pos", "piece"))
     distinct = exploded.select("piece").filter(F.col("piece").isNotNull()).distinct()
-    coded = distinct.mapInPandas(_encoder(model), ENCODED_SCHEMA)
+    coded = distinct.mapInPandas(_piece_encoder(model), ENCODED_SCHEMA)
     joined = exploded.join(coded, "piece", "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
                                                F.struct("pos", "pids"))))
