@@ -547,7 +547,7 @@ def g8_start_end_gap(spark, sf):
 # --- A4-A9, S1-S3: sinks, sources and streams ----------------------------------------------
 
 def _doc_schema(spark, sf):
-    return tables.table(spark, sf, "documents").schema
+    return tables.table(spark, sf, "documents", spread=False).schema
 
 
 @query("a4_stream_ingest")
