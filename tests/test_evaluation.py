@@ -48,4 +48,33 @@ def test_topk_keeps_ties_and_handles_small_k(spark):
     got = {r.cur: r.prob for r in ev.topk_distribution(s, 2, 1.0).collect()}
     assert set(got) == {2, 3, 4}                              # tie at the k-th is kept
     assert math.isclose(sum(got.values()), 1.0, abs_tol=1e-5)
-    assert len(ev.topk_distribution(s, 10, 0.0).collect()) == 4   # k > candidates; T=0 clamps
+    # k above the observed successors reaches unseen tokens (vocab 6: ids 0..5);
+    # ids 0 and 1 never occur and tie at the smallest score, so both are kept
+    assert {r.cur for r in ev.topk_distribution(s, 5, 1.0).collect()} == {0, 1, 2, 3, 4, 5}
+    assert len(ev.topk_distribution(s, 10, 0.0).collect()) == 6   # k > vocab; T=0 clamps
+
+
+def test_topk_matches_brute_force(spark):
+    import random
+    rng = random.Random(5)
+    pairs = {}
+    for _ in range(60):
+        v, w = rng.randrange(12), rng.randrange(12)
+        pairs[(v, w)] = pairs.get((v, w), 0) + rng.randint(1, 3)
+    uni = {}
+    for (v, w), c in pairs.items():
+        uni[w] = uni.get(w, 0) + c
+    n, vocab, lam, k = sum(uni.values()), 15, 0.7, 3
+    s = _scorer(spark, [(v, w, c) for (v, w), c in pairs.items()], list(uni.items()), n, vocab, lam)
+    got = {}
+    for r in ev.topk_distribution(s, k, 1.0).collect():
+        got.setdefault(r.prev, set()).add(r.cur)
+    cv = {}
+    for (v, w), c in pairs.items():
+        cv[v] = cv.get(v, 0) + c
+    for v in cv:
+        sc = {w: math.log(lam * pairs.get((v, w), 0) / cv[v] + (1 - lam) * (uni.get(w, 0) + 1) / (n + vocab))
+              for w in range(vocab)}
+        kth = sorted(sc.values(), reverse=True)[k - 1]
+        want = {w for w, x in sc.items() if x >= kth - 1e-12}
+        assert got[v] == want, v

@@ -192,10 +192,34 @@ def heldout_loss(windows: DataFrame, scorer: BigramScorer) -> DataFrame:
                       r6(F.col("loss")).alias("loss"))
 
 
+def topk_candidates(scorer: BigramScorer, k: int) -> DataFrame:
+    """Every ``(prev, cur)`` pair that can reach the top ``k`` of its context
+    over the *whole* vocabulary, without scoring the full vocab x vocab grid.
+
+    A successor never seen after ``prev`` scores by its unigram count alone,
+    so it can only make the top ``k`` (ties included) if its global rank by
+    unigram count is at most ``k + m`` where ``m`` is the number of observed
+    successors of ``prev``. The vocabulary table has one row per id (bounded
+    by the vocabulary), so it is ranked in one window and broadcast.
+    """
+    spark = scorer.bigrams.sparkSession
+    vocab = spark.range(scorer.vocab_size).select(F.col("id").cast("int").alias("cur"))
+    vocab = vocab.join(F.broadcast(scorer.unigrams.select(F.col("w").cast("int").alias("cur"), "cw")),
+                       "cur", "left").withColumn("cw", F.coalesce("cw", F.lit(0)))
+    ranked = vocab.withColumn("grank", F.rank().over(Window.orderBy(F.desc("cw"))))  # <= vocab rows
+    observed = scorer.bigrams.select(F.col("v").alias("prev"), F.col("w").alias("cur"))
+    m = observed.groupBy("prev").agg(F.count(F.lit(1)).alias("m"))
+    near = m.join(F.broadcast(ranked.select("cur", "grank")),
+                  F.col("grank") <= F.col("m") + F.lit(k)).select("prev", "cur")
+    unseen = near.join(observed, ["prev", "cur"], "left_anti")
+    return observed.unionByName(unseen)
+
+
 def topk_distribution(scorer: BigramScorer, k: int, temperature: float) -> DataFrame:
     """per context token, next-token probabilities after temperature and
-    top-k (every candidate tied with the k-th is kept), over observed successors."""
-    pairs = scorer.bigrams.select(F.col("v").alias("prev"), F.col("w").alias("cur"))
+    top-k over the whole vocabulary (every candidate tied with the k-th is
+    kept), softmax over the kept ones."""
+    pairs = topk_candidates(scorer, k)
     s = scorer.score_pairs(pairs).withColumn("logit", F.col("logp") / F.lit(max(temperature, 1e-6)))
     w = Window.partitionBy("prev").orderBy(F.desc("logit"))  # one context: <= vocab rows
     kept = s.withColumn("rk", F.rank().over(w)).filter(F.col("rk") <= k)

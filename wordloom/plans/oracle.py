@@ -519,86 +519,10 @@ union all select eval_round, 'val_avg', round(avg(loss), 6) from ps group by eva
 
 _SQL["f9_heldout_loss"] = _f9()
 
-_SQL["f11_topk_next_token"] = _w(*_SCORER, f"""pr0 as {_score_join('(select v as prev, w as cur from bg)', P.LAMBDA)}""",
+_SQL["f11_topk_next_token"] = _w(*_SCORER, f"""pr0 as {_score_join(
+    f'(select c.v as prev, r.w as cur from ctxc c, range(0, {P.BYTE_VOCAB}) r(w))', P.LAMBDA)}""",
                                  f"""pr1 as (select prev, cur, logp / {max(P.TEMPERATURE, 1e-6)} as logit,
   rank() over (partition by prev order by logp / {max(P.TEMPERATURE, 1e-6)} desc) as rk from pr0)""",
                                  """pr2 as (select prev, cur, exp(logit - max(logit) over (partition by prev)) as e
   from pr1 where rk <= """ + str(P.TOPK) + ")") + \
     "select prev::int as prev, cur::int as cur, round(e / sum(e) over (partition by prev), 6) as prob from pr2"
-
-
-# --- G: run metrics -------------------------------------------------------------------
-
-_METRICS = """metrics as (select event_type as run, event_id as ingest_seq, 250 * (event_id % 24 + 1) as step,
-  value as train_loss, 0.0008::double as lr, (value + value * 1.25) / 2 as val_avg, value as val_en,
-  value * 1.25 as val_de, ts from events)"""
-_DEDUP = """dd as (select * from metrics
-  qualify row_number() over (partition by run, step order by ingest_seq desc) = 1)"""
-_LONG = """lg as (select run, step, 'val_en' as series, val_en as value from dd
-  union all select run, step, 'val_de', val_de from dd
-  union all select run, step, 'val_avg', val_avg from dd
-  union all select run, step, 'train_loss', train_loss from dd)"""
-
-_SQL["g1_curves_long"] = _w(_METRICS, _DEDUP, _LONG) + \
-    "select run, step, series, round(value, 6) as value from lg where value is not null"
-_SQL["g2_running_best"] = _w(_METRICS, _DEDUP) + """select run, step, round(val_avg, 6) as val_avg,
-  round(min(val_avg) over (partition by run order by step rows between unbounded preceding and 1 preceding), 6)
-    as best_before,
-  coalesce(val_avg < min(val_avg) over (partition by run order by step rows between unbounded preceding
-    and 1 preceding), true) as is_best from dd"""
-_SQL["g3_latest_state"] = _w(_METRICS, _DEDUP) + """select run, max(step) as step,
-  round(arg_max(val_avg, step), 6) as val_avg, round(arg_max(train_loss, step), 6) as train_loss,
-  round(min(val_avg), 6) as best_val from dd group by run"""
-_SQL["g4_resume_dedup"] = _w(_METRICS, _DEDUP) + \
-    "select run, step, ingest_seq, round(train_loss, 6) as train_loss from dd"
-_SQL["g5_throughput"] = _w(_METRICS, _DEDUP, f"""th as (select run, step,
-  (step - lag(step) over (partition by run order by step)) * {P.TOKENS_PER_STEP} as tokens,
-  (epoch_us(ts) - lag(epoch_us(ts)) over (partition by run order by step)) / 1e6 as secs from dd)""") + \
-    """select run, step, tokens::bigint as tokens, round(secs, 6) as secs,
-  round(case when secs = 0 then null else tokens / secs end, 6) as tokens_per_sec
-from th where secs is not null"""
-
-_LR, _MIN_LR, _WARM, _MAX = P.LR_SCHEDULE
-
-
-def _sched(s: str) -> str:
-    return f"""(case when {s} < {_WARM} then {_LR}::double * ({s} + 1) / {_WARM}::double
-  when {s} >= {_MAX} then {_MIN_LR}::double
-  else {_MIN_LR}::double + 0.5 * (1.0 + cos(pi() * ({s} - {_WARM}) / {max(1, _MAX - _WARM)}::double))
-       * ({_LR}::double - {_MIN_LR}::double) end)"""
-
-
-_SQL["g6_lr_audit"] = _w(_METRICS, f"""ms as (select run, step, ingest_seq,
-  case when ingest_seq % {P.LR_FAULT_EVERY} = 0 then {_sched('step - 1')} * 1.5 else {_sched('step - 1')} end as lr,
-  {_sched('step - 1')} as expected from metrics)""",
-                         """au as (select *, abs(lr - expected) / greatest(abs(expected), 1e-30) as rel_err from ms)""") + \
-    "select run, step, ingest_seq, round(rel_err, 6) as rel_err from au where rel_err > 1e-9"
-_SQL["g7_run_comparison"] = _w(_METRICS, _DEDUP, _LONG, """bst as (select run, series, min(value) as best
-  from lg where series like 'val_%' and value is not null group by all)""") + \
-    """select run, series, round(best, 6) as best, (rank() over (partition by series order by best))::int as rank
-from bst"""
-_SQL["g8_start_end_gap"] = _w(_METRICS, _DEDUP, _LONG, """se as (select run, series, arg_min(value, step) as first_value,
-  arg_max(value, step) as last_value from lg where value is not null group by all)""") + \
-    """select s.run, s.series, round(s.first_value, 6) as first_value, round(s.last_value, 6) as last_value,
-  round(case when s.series like 'val_%' then t.last_value - s.last_value end, 6) as gap
-from se s left join (select run, last_value from se where series = 'train_loss') t using (run)"""
-
-
-# --- A4-A9, S: sinks, sources and streams ------------------------------------------------
-
-_SQL["a4_stream_ingest"] = _w(CORPUS) + "select source, ord, doc_id, md5(text) as text_md5 from corpus"
-_SQL["a5_block_sink_roundtrip"] = _SQL["a5_token_blocks"]
-_SQL["a6_build_if_absent"] = _w(CORPUS, LENS, cut_sql(P.FULL_BUDGET), _DOC_IDS,
-                                """u as (select source, doc_id, unnest(ids) as tok,
-  unnest(range(0, len(ids))) as j from docids)""",
-                                """t as (select s.source, s.split, s.pos + u.j - s.skip as p, u.tok
-  from segs s join u on s.source = u.source and s.doc_id = u.doc_id
-  and u.j >= s.skip and u.j < s.skip + s.len)""") + \
-    """select source, split, count(distinct p // 4096)::bigint as blocks, count(*)::bigint as tokens
-from t group by all"""
-_SQL["a8_chat_jsonl"] = _SQL["e5_chat_union"]
-_SQL["a9_metrics_jsonl"] = _w(_METRICS) + """select run, step, ingest_seq, round(val_avg, 6) as val_avg,
-  round(val_de, 6) as val_de from metrics"""
-_SQL["s2_stream_piece_counts"] = _SQL["b4_piece_counts"]
-_SQL["s3_stream_run_best"] = _w(_METRICS) + \
-    "select run, round(min(val_avg), 6) as best_val, count(*)::bigint as rows from metrics group by run"
