@@ -230,3 +230,36 @@ def topk_distribution(scorer: BigramScorer, k: int, temperature: float) -> DataF
 
 def byte_vocab() -> int:
     return BYTE_OFFSET + 256
+
+
+def greedy_table(scorer: BigramScorer) -> tuple[DataFrame, int]:
+    """Top-1 next token per context over the whole vocabulary (ties -> lowest
+    id), plus the choice for a context never seen in training (unigram term
+    only). One row per context: bounded by the vocabulary."""
+    pairs = topk_candidates(scorer, 1)
+    s = scorer.score_pairs(pairs)
+    best = s.groupBy("prev").agg(
+        F.max_by("cur", F.struct(F.col("logp"), (-F.col("cur")).alias("neg"))).alias("nxt"))
+    spark = scorer.bigrams.sparkSession
+    vocab = spark.range(scorer.vocab_size).select(F.col("id").cast("int").alias("w"))
+    vocab = vocab.join(F.broadcast(scorer.unigrams), "w", "left").withColumn("cw", F.coalesce("cw", F.lit(0)))
+    fallback = vocab.agg(F.max_by("w", F.struct(F.col("cw"), (-F.col("w")).alias("neg")))).first()[0]
+    return best, int(fallback)
+
+
+def greedy_generate(prompts: DataFrame, scorer: BigramScorer, n_new: int, eos: int,
+                    ids: str = "prompt", key: str = "item_id") -> DataFrame:
+    """Deterministic stand-in for sampling (top-k = 1): ``n_new`` rounds, each
+    a broadcast lookup of the last token's best successor; a row stops after
+    emitting ``eos``. Adds ``out`` = prompt + generated ids."""
+    best, fallback = greedy_table(scorer)
+    table = F.broadcast(best.select(F.col("prev").alias("__last"), F.col("nxt").alias("__nxt")))
+    state = prompts.withColumn("out", F.col(ids)).withColumn("__done", F.lit(False))
+    for _ in range(n_new):
+        state = state.withColumn("__last", F.element_at("out", -1)).join(table, "__last", "left")
+        tok = F.coalesce(F.col("__nxt"), F.lit(fallback))
+        state = state.select(
+            *[c for c in state.columns if c not in ("out", "__done", "__last", "__nxt")],
+            F.when(F.col("__done"), F.col("out")).otherwise(F.concat("out", F.array(tok))).alias("out"),
+            (F.col("__done") | (tok == eos)).alias("__done"))
+    return state.drop("__done")

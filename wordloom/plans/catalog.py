@@ -628,3 +628,15 @@ def s3_stream_run_best(spark, sf):
     out = spark.read.parquet(st.sub(base, "out"))
     return out.select("run", r6(F.col("best_val")).alias("best_val"),
                       F.col("rows").cast("bigint").alias("rows"))
+
+
+@query("e13_completion_extraction")
+def e13_completion_extraction(spark, sf):
+    p = ch.inference_prompts(tables.table(spark, sf, "benchmark"), None)
+    sc = _scorer(spark, sf)
+    from ..functions.text import EOT_ID
+    chat = ev.greedy_generate(p.select("item_id", F.col("chat").alias("prompt")), sc, P.GEN_TOKENS, EOT_ID)
+    plain = ev.greedy_generate(p.select("item_id", F.col("plain").alias("prompt")), sc, P.GEN_TOKENS, EOT_ID)
+    c = ch.completion(chat, True).select("item_id", ids_string(F.col("completion")).alias("chat_completion"))
+    q = ch.completion(plain, False).select("item_id", ids_string(F.col("completion")).alias("plain_output"))
+    return c.join(q, "item_id")

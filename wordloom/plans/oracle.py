@@ -526,3 +526,31 @@ _SQL["f11_topk_next_token"] = _w(*_SCORER, f"""pr0 as {_score_join(
                                  """pr2 as (select prev, cur, exp(logit - max(logit) over (partition by prev)) as e
   from pr1 where rk <= """ + str(P.TOPK) + ")") + \
     "select prev::int as prev, cur::int as cur, round(e / sum(e) over (partition by prev), 6) as prob from pr2"
+
+
+def _e13() -> str:
+    best = f"""gbest as (select prev, first(cur order by logp desc, cur) as nxt from {_score_join(
+        f'(select c.v as prev, r.w as cur from ctxc c, range(0, {P.BYTE_VOCAB}) r(w))', P.LAMBDA)} z
+        group by prev)"""
+    fb = f"""gfb as (select first(r.w order by coalesce(u.cw, 0) desc, r.w) as nxt
+        from range(0, {P.BYTE_VOCAB}) r(w) left join uni u on u.w = r.w)"""
+    prompts = f"""pq as (select item_id,
+        list_concat([3], {byte_ids_sql("chr(10) || text")}, [4, 15]) as chat,
+        {byte_ids_sql("text")} as plain from benchmark)"""
+
+    def chain(col: str, tag: str) -> list[str]:
+        steps = [f"{tag}0 as (select item_id, {col} as pr, {col} as out, false as done from pq)"]
+        for i in range(P.GEN_TOKENS):
+            steps.append(f"""{tag}{i + 1} as (select item_id, pr,
+  case when done then out else list_append(out, nx) end as out, done or nx = 0 as done
+  from (select s.*, coalesce(g.nxt, (select nxt from gfb)) as nx from {tag}{i} s
+        left join gbest g on g.prev = s.out[-1]) t)""")
+        return steps
+    n = P.GEN_TOKENS
+    return _w(*_SCORER, best, fb, prompts, *chain("chat", "gc"), *chain("plain", "gp")) + f"""select c.item_id,
+  array_to_string(c.out[len(c.pr) + 1:], ' ') as chat_completion,
+  array_to_string(p.out, ' ') as plain_output
+from gc{n} c join gp{n} p using (item_id)"""
+
+
+_SQL["e13_completion_extraction"] = _e13()

@@ -33,3 +33,4 @@ TOKENS_PER_STEP = 8 * 8 * 512   # local30m preset: batch x accum x seq_len
 # local30m learning-rate schedule (fixed values): lr, min_lr, warmup_steps, max_steps
 LR_SCHEDULE = (8.0e-4, 8.0e-5, 200, 6000)
 LR_FAULT_EVERY = 97             # G6 fixture: every 97th logged row carries a wrong lr
+GEN_TOKENS = 8              # E13: greedy continuation length
