@@ -383,7 +383,7 @@ def e11_collate(spark, sf):
 
 @query("e12_inference_prompts")
 def e12_inference_prompts(spark, sf):
-    p = ch.inference_prompts(tables.table(spark, sf, "benchmark"), None)
+    p = ch.inference_prompts(tables.table(spark, sf, "benchmark", ["item_id", "text"]), None)
     return p.select("item_id", ids_string(F.col("chat")).alias("chat"),
                     ids_string(F.col("plain")).alias("plain"))
 
@@ -632,7 +632,7 @@ def s3_stream_run_best(spark, sf):
 
 @query("e13_completion_extraction")
 def e13_completion_extraction(spark, sf):
-    p = ch.inference_prompts(tables.table(spark, sf, "benchmark"), None)
+    p = ch.inference_prompts(tables.table(spark, sf, "benchmark", ["item_id", "text"]), None)
     sc = _scorer(spark, sf)
     from ..functions.text import EOT_ID
     chat = ev.greedy_generate(p.select("item_id", F.col("chat").alias("prompt")), sc, P.GEN_TOKENS, EOT_ID)

@@ -15,13 +15,17 @@ from .corpus import corpus_by_column
 LANG_REGISTRY = ("en", "de", "es", "fr")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """One driver table. A scan that yields fewer partitions than the cluster
-    has cores (a small table, or a file with one row group) is spread over all
-    cores once and materialised by a reliable checkpoint, so every consumer of
-    it - plans often read a table twice - works in parallel from the same copy.
-    A table of many files is returned as scanned: no extra shuffle at scale."""
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+          spread: bool = True) -> DataFrame:
+    """One driver table, pruned to ``columns``. A scan that yields fewer
+    partitions than the cluster has cores (a small table, or a file with one
+    row group) is spread over all cores once and materialised by a reliable
+    checkpoint - after pruning - so every consumer of it (plans often read a
+    table twice) works in parallel from the same copy. A table of many files
+    is returned as scanned: no extra shuffle at scale."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
     return spread_thin(df) if spread else df
 
 
@@ -36,13 +40,13 @@ def spread_thin(df: DataFrame) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str, max_docs: int | None = None) -> DataFrame:
     """``(source, ord, doc_id, text)``: documents split into one source per language."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
     return corpus_by_column(docs, "lang", LANG_REGISTRY, max_docs=max_docs)
 
 
 def mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiple-choice rows (question, opa..opd, cop, exp) with planted gaps."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
     k = F.col("p_partkey")
     return p.select(
         k.alias("row_id"),
@@ -61,7 +65,7 @@ def mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yes/no/maybe rows (question, final_decision, long_answer)."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
     k = F.col("o_orderkey")
     m5 = k % 5
     return o.select(
@@ -79,7 +83,7 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction rows: each user turn followed by an assistant turn; the
     conversation's system turn, if any, is the input."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     w = Window.partitionBy("conv_id").orderBy("turn")
     wc = Window.partitionBy("conv_id")
     t = c.select(
@@ -96,7 +100,7 @@ def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-metrics log rows: one run per event type, 24 eval steps, repeats."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value"])
     v = F.col("value")
     return e.select(
         F.col("event_type").alias("run"),
