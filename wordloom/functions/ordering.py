@@ -52,16 +52,6 @@ def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str,
     return res.drop(b, "__boff")
 
 
-def dense_rank_rows(df: DataFrame, part: Sequence[str], order: str, out: str = "rn",
-                    bucket_width: int = DEFAULT_BUCKET) -> DataFrame:
-    """0-based row number within ``part`` by a unique integer key ``order``,
-    via the two-level prefix sum of ones (no whole-partition window)."""
-    tmp = "__one"
-    res = prefix_sum(df.withColumn(tmp, F.lit(1).cast("bigint")), part, order, tmp, out,
-                     bucket_width)
-    return res.drop(tmp)
-
-
 def hash_key(*parts) -> Column:
     """Deterministic shuffle key: md5 hex of ``p1:p2:...``."""
     return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p))

@@ -65,11 +65,6 @@ def pieces(c) -> Column:
     return F.regexp_extract_all(_c(c), F.lit("(?U)" + PIECE_PATTERN), F.lit(0))
 
 
-def utf8_hex_pairs(c) -> Column:
-    """UTF-8 bytes of a string as an array of two-digit hex strings."""
-    return F.regexp_extract_all(F.hex(F.encode(_c(c), "UTF-8")), F.lit(".."), F.lit(0))
-
-
 def byte_ids(c) -> Column:
     """Byte-level token ids (``5 + byte``) of a string, no merges applied.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BYTE_OFFSET, byte_ids, py_strip, r6
+from ..functions.text import byte_ids, py_strip, r6
 from .bpe import BpeModel
 from .chat import mcq_valid
 from .tokenizer import encode
@@ -50,10 +50,6 @@ class BigramScorer:
         p = F.lit(self.lam) * big + F.lit(1.0 - self.lam) * uni
         return j.withColumn("logp", F.log(p)).drop("c", "cw", "cv")
 
-    def with_lambda(self, lam: float) -> "BigramScorer":
-        return BigramScorer(self.bigrams, self.unigrams, self.contexts, self.n_tokens,
-                            self.vocab_size, lam)
-
 
 def bigram_counts(blocks: DataFrame, split: str = "train") -> DataFrame:
     """Adjacent-token counts over the stored corpus of one split: pairs inside
@@ -228,10 +224,6 @@ def topk_distribution(scorer: BigramScorer, k: int, temperature: float) -> DataF
     return e.select("prev", "cur", r6(F.col("e") / F.sum("e").over(wp)).alias("prob"))
 
 
-def byte_vocab() -> int:
-    return BYTE_OFFSET + 256
-
-
 def greedy_table(scorer: BigramScorer) -> tuple[DataFrame, int]:
     """Top-1 next token per context over the whole vocabulary (ties -> lowest
     id), plus the choice for a context never seen in training (unigram term

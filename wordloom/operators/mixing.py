@@ -155,11 +155,15 @@ def batch_audit(windows: DataFrame, seq_len: int, vocab_size: int) -> DataFrame:
         F.sum(F.when(in_range, 0).otherwise(1)).cast("bigint").alias("bad_range"))
 
 
-def realised_mix(windows: DataFrame) -> DataFrame:
-    """Share of drawn sequences per source (compare with the normalised weights)."""
-    w = Window.partitionBy()
-    return (windows.groupBy("source").agg(F.count(F.lit(1)).alias("seqs"))
-            .withColumn("share", r6(F.col("seqs") / F.sum("seqs").over(w))))
+def realised_mix(draws: DataFrame, bounds: DataFrame) -> DataFrame:
+    """D10 companion: share of drawn sequences per source next to its
+    normalised weight (expected share)."""
+    w = Window.partitionBy()  # one row per source
+    got = (draws.groupBy("source").agg(F.count(F.lit(1)).alias("seqs"))
+           .withColumn("share", r6(F.col("seqs") / F.sum("seqs").over(w))))
+    return got.join(F.broadcast(bounds.select("source", r6(F.col("p")).alias("weight"))), "source", "right") \
+        .select("source", F.coalesce("seqs", F.lit(0)).cast("bigint").alias("seqs"),
+                F.coalesce("share", F.lit(0.0)).alias("share"), "weight")
 
 
 def windows_as_strings(w: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordering import prefix_sum
-from ..functions.text import (BYTE_OFFSET, SPECIAL_TOKENS, byte_ids, pieces, word_count)
+from ..functions.text import SPECIAL_TOKENS, byte_ids, pieces, word_count
 from .bpe import ENCODED_SCHEMA, BpeModel, encode_piece
 
 TRAIN_CHAR_CAP = 5000  # B2: code points of each document seen by the trainer (fixed value)
@@ -86,7 +86,7 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-MEMO_LIMIT = 1 << 20  # encoded pieces remembered per task before the memo is reset
+MEMO_LIMIT = 1 << 18  # pieces remembered per task (tens of MB) before the memo is reset
 
 
 def _doc_encoder(model: BpeModel, keys: list[str], out: str):
@@ -197,7 +197,3 @@ def special_audit(spark: SparkSession, model: BpeModel) -> DataFrame:
     vocab = model.vocab_df(spark).filter("special").select("text", "id")
     return want.join(F.broadcast(vocab), "text", "left").select(
         "text", "declared", F.col("id"), F.col("id").isNotNull().alias("resolved"))
-
-
-def byte_id(b: int) -> int:
-    return BYTE_OFFSET + b

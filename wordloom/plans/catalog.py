@@ -588,8 +588,11 @@ def a6_build_if_absent(spark, sf):
 @query("a7_tokenizer_tables")
 def a7_tokenizer_tables(spark, sf):
     path = fs.scratch_path(spark, "tokenizer")
-    fs.save_tokenizer(spark, trained_model(spark, sf), path)
-    return fs.load_tokenizer(spark, path).merges_df(spark)
+    first = fs.ensure_tokenizer(spark, path, lambda: trained_model(spark, sf))   # trains, saves
+    again = fs.ensure_tokenizer(spark, path, lambda: BpeModel())                 # loads
+    if again.merges != first.merges:
+        raise AssertionError("reloaded tokenizer differs from the saved one")
+    return again.merges_df(spark)
 
 
 @query("a8_chat_jsonl")
@@ -640,3 +643,10 @@ def e13_completion_extraction(spark, sf):
     c = ch.completion(chat, True).select("item_id", ids_string(F.col("completion")).alias("chat_completion"))
     q = ch.completion(plain, False).select("item_id", ids_string(F.col("completion")).alias("plain_output"))
     return c.join(q, "item_id")
+
+
+@query("d10_realised_mix")
+def d10_realised_mix(spark, sf):
+    b = mx.resolved_bounds(spark, byte_blocks(spark, sf), P.MIX, "train", P.SEQ_LEN)
+    d = mx.draw_windows(spark, b, P.N_BATCHES * P.BATCH, P.SEQ_LEN, P.BATCH, P.SEED, "train")
+    return mx.realised_mix(d, b)

@@ -631,3 +631,9 @@ from gc{n} c join gp{n} p using (item_id)"""
 
 
 _SQL["e13_completion_extraction"] = _e13()
+
+
+_SQL["d10_realised_mix"] = _w(*_FLAT, _MIX, _resolve("train"), _BOUNDS, _WIN) + """select b.source,
+  coalesce(w.seqs, 0)::bigint as seqs, coalesce(round(w.seqs / sum(w.seqs) over (), 6), 0.0) as share,
+  round(b.p, 6) as weight
+from bounds b left join (select source, count(*) as seqs from win group by source) w using (source)"""

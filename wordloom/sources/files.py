@@ -32,10 +32,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # --- A5: token blocks ------------------------------------------------------------------
 
 def write_blocks(blocks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet partitioned by source and split; rows sorted by ``block_id``
-    inside each file so a window read can skip row groups by statistics."""
-    (blocks.repartition("source", "split")
-     .sortWithinPartitions("block_id")
+    """Parquet partitioned by source and split. Range partitioning on
+    ``(source, split, block_id)`` spreads even the largest source over many
+    writer tasks, and each file then holds one contiguous, sorted block-id
+    range, so a window read can skip row groups by their statistics."""
+    (blocks.repartitionByRange("source", "split", "block_id")
+     .sortWithinPartitions("source", "split", "block_id")
      .write.mode(mode).partitionBy("source", "split").parquet(path))
 
 
@@ -108,3 +110,13 @@ def read_metrics_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Union schema across runs (columns a run never logged are null); the run
     name comes from the folder; blank lines are skipped by the reader."""
     return spark.read.option("primitivesAsString", "false").json(path)
+
+
+def ensure_tokenizer(spark: SparkSession, path: str, train) -> BpeModel:
+    """A6 for the tokenizer: load the tables when present, else ``train()``
+    and save them, so a rerun never retrains."""
+    if tokenizer_exists(spark, path):
+        return load_tokenizer(spark, path)
+    model = train()
+    save_tokenizer(spark, model, path)
+    return model
