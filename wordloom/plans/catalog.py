@@ -617,7 +617,8 @@ def s2_stream_piece_counts(spark, sf):
     stream = st.file_stream(spark, sf, _doc_schema(spark, sf), glob="documents.parquet")
     st.piece_counts_stream(stream, "lang", tables.LANG_REGISTRY, st.sub(base, "out"),
                            st.sub(base, "ckpt"))
-    return spark.read.parquet(st.sub(base, "out")).select("piece", F.col("n").cast("bigint").alias("n"))
+    out = st.latest(spark, st.sub(base, "out"), ["piece"], ["n"])
+    return out.select("piece", F.col("n").cast("bigint").alias("n"))
 
 
 @query("s3_stream_run_best")
@@ -628,7 +629,7 @@ def s3_stream_run_best(spark, sf):
     schema = spark.read.json(logs).schema
     stream = st.file_stream(spark, logs, schema, fmt="json")
     st.run_best_stream(stream, st.sub(base, "out"), st.sub(base, "ckpt"))
-    out = spark.read.parquet(st.sub(base, "out"))
+    out = st.latest(spark, st.sub(base, "out"), ["run"], ["best_val", "rows"])
     return out.select("run", r6(F.col("best_val")).alias("best_val"),
                       F.col("rows").cast("bigint").alias("rows"))
 
