@@ -51,6 +51,11 @@ class BigramScorer:
         p = F.lit(self.lam) * big + F.lit(1.0 - self.lam) * uni
         return j.withColumn("logp", F.log(p)).drop("c", "cw", "cv")
 
+    def with_lambda(self, lam: float) -> "BigramScorer":
+        """The same count tables with another interpolation weight."""
+        return BigramScorer(self.bigrams, self.unigrams, self.contexts, self.n_tokens,
+                            self.vocab_size, lam)
+
 
 def bigram_counts(blocks: DataFrame, split: str = "train") -> DataFrame:
     """Adjacent-token counts over the stored corpus of one split: pairs inside

@@ -447,9 +447,10 @@ def f5_truncated_scores(spark, sf):
                     r6(F.col("score")).alias("score"))
 
 
-def _preds(spark, sf, lam=P.LAMBDA):
+def _preds(spark, sf, scorer=None):
     c = _cands(spark, sf)
-    s = ev.option_scores(ev.candidate_tokens(c, None, P.EVAL_MAX_LEN), _scorer(spark, sf, lam))
+    scorer = scorer or _scorer(spark, sf)
+    s = ev.option_scores(ev.candidate_tokens(c, None, P.EVAL_MAX_LEN), scorer)
     return ev.predictions(s, c)
 
 
@@ -466,8 +467,9 @@ def f7_accuracy(spark, sf):
 
 @query("f8_model_comparison")
 def f8_model_comparison(spark, sf):
-    a = ev.accuracy(_preds(spark, sf, 0.0)).withColumn("model", F.lit("unigram"))
-    b = ev.accuracy(_preds(spark, sf, P.LAMBDA)).withColumn("model", F.lit("bigram"))
+    tuned = _scorer(spark, sf)                       # count tables fitted once
+    a = ev.accuracy(_preds(spark, sf, tuned.with_lambda(0.0))).withColumn("model", F.lit("unigram"))
+    b = ev.accuracy(_preds(spark, sf, tuned)).withColumn("model", F.lit("bigram"))
     return ev.compare_models(a.unionByName(b), "unigram", "bigram")
 
 
