@@ -58,7 +58,7 @@ def trained_model(spark: SparkSession, sf_dir: str, vocab_size: int = P.VOCAB) -
 @query("a1_corpus_scan")
 def a1_corpus_scan(spark, sf):
     c = tables.corpus(spark, sf)
-    return c.select("source", "ord", "doc_id", F.length("text").alias("n_chars"),
+    return c.select("source", "ord", "doc_id", F.length("text").cast("bigint").alias("n_chars"),
                     F.octet_length("text").cast("bigint").alias("n_bytes"),
                     F.md5("text").alias("text_md5"))
 
@@ -78,7 +78,7 @@ def _multi_specs(sf: str) -> list[SourceSpec]:
 def a1_multi_source_scan(spark, sf):
     c = scan_sources(spark, _multi_specs(sf))
     return c.select("source", F.col("ord").cast("int").alias("ord"), "doc_id",
-                    F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+                    F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("a3_doc_cap")
@@ -99,7 +99,7 @@ def b1_blend(spark, sf):
 @query("b2_char_cap")
 def b2_char_cap(spark, sf):
     b = tk.cap_chars(tk.blend(tables.corpus(spark, sf), None))
-    return b.select("source", "doc_id", F.length("text").alias("n_chars"),
+    return b.select("source", "doc_id", F.length("text").cast("bigint").alias("n_chars"),
                     F.md5("text").alias("text_md5"))
 
 
