@@ -63,3 +63,20 @@ def test_prefix_sum_independent_of_bucket_and_partitions(spark):
     for width in (1, 7, 64, 4096):
         got = prefix_sum(df.repartition(5), ["source"], "doc_id", "n", bucket_width=width).collect()
         assert {(r.source, r.doc_id): r.off for r in got} == want
+
+
+def test_merged_build_prunes_exactly(spark):
+    """The lower-bound prune never drops a document the budget reaches."""
+    from wordloom.operators.bpe import learn_merges
+    from wordloom.operators.tokenizer import piece_counts
+    from wordloom.plans.corpus_build import token_documents
+    texts = ["the cat sat on the mat " * (i % 5 + 1) for i in range(40)]
+    df = spark.createDataFrame([("s", 0, i, t) for i, t in enumerate(texts)],
+                               "source string, ord int, doc_id long, text string")
+    model = learn_merges(piece_counts(df), 275)
+    for budget in (1, 37, 200, 10_000):
+        got = token_documents(df, model, budget).orderBy("doc_id").collect()
+        flat = [x for r in got for x in r.ids]
+        full = token_documents(df, model, 10 ** 9).orderBy("doc_id").collect()
+        want = [x for r in full for x in r.ids][:budget]
+        assert flat == want, budget

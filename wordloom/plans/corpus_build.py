@@ -31,12 +31,24 @@ def length_segments(corpus: DataFrame, budget: int, val_frac: float = VAL_FRAC)
 def _prune_by_lower_bound(corpus: DataFrame, model: BpeModel, budget: int) -> DataFrame:
     """Drop documents that start past the budget even if every token were as
     long as the longest token in the vocabulary. Exact: a dropped document could
-    never be reached, so no encode work is spent on it."""
+    never be reached, so no encode work is spent on it.
+
+    Per-source totals of the bound come first (one row per source): where
+    even the total stays under the budget nothing can be pruned and the rows
+    pass untouched; elsewhere only the keys are ranked and the survivors meet
+    the text in one semi-join."""
     longest = max(len(b) for b in model.token_bytes())
     lb = (F.ceil(F.octet_length("text") / F.lit(longest)) + 1).cast("bigint")
-    cum = prefix_sum(corpus.withColumn("__lb", lb), ["source"], "doc_id", "__lb", "__off",
-                     stop_at=budget)
-    return cum.filter(F.col("__off") < budget).drop("__lb", "__off")
+    totals = corpus.groupBy("source").agg(F.sum(lb).alias("t")).collect()
+    over = [r.source for r in totals if r.t is not None and r.t > budget]
+    if not over:
+        return corpus
+    hot = F.col("source").isin(over)
+    keys = corpus.filter(hot).select("source", "doc_id", lb.alias("__lb"))
+    cum = prefix_sum(keys, ["source"], "doc_id", "__lb", "__off", stop_at=budget)
+    kept = cum.filter(F.col("__off") < budget).select("source", "doc_id")
+    return corpus.filter(~hot).unionByName(
+        corpus.filter(hot).join(kept, ["source", "doc_id"], "left_semi"))
 
 
 def token_documents(corpus: DataFrame, model: BpeModel | None, budget: int) -> DataFrame:
