@@ -9,7 +9,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -37,8 +36,9 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     from wordloom.session import build_session
     spark = build_session(f"local[{cpus}]", app="wordloom-bench",
-                          shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="wl-bench-")})
+                          shuffle_partitions=int(cpus) * 2)
+    from wordloom.session import checkpoint_dir
+    checkpoint_dir(spark)  # the session's folder; a scratch one only if none is configured
     from wordloom.plans import catalog
     from wordloom.plans import params as P
     reg = catalog.registry()
