@@ -653,3 +653,14 @@ def d10_realised_mix(spark, sf):
     b = mx.resolved_bounds(spark, byte_blocks(spark, sf), P.MIX, "train", P.SEQ_LEN)
     d = mx.draw_windows(spark, b, P.N_BATCHES * P.BATCH, P.SEQ_LEN, P.BATCH, P.SEED, "train")
     return mx.realised_mix(d, b)
+
+
+@query("g6_sft_lr_schedule")
+def g6_sft_lr_schedule(spark, sf):
+    """The instruction-tuning schedule over its real step count:
+    epochs * ceil(examples / batch) steps, cosine from the peak to 0."""
+    n = _examples(spark, sf).count()                          # one number
+    total = P.SFT_EPOCHS * -(-n // P.SFT_BATCH)
+    steps = spark.range(total).withColumnRenamed("id", "step")
+    lr = mt.sft_lr(F.col("step"), total, P.SFT_LR)
+    return steps.select("step", r6(lr * F.lit(1e6)).alias("lr_micro"))

@@ -637,3 +637,9 @@ _SQL["d10_realised_mix"] = _w(*_FLAT, _MIX, _resolve("train"), _BOUNDS, _WIN) +
   coalesce(w.seqs, 0)::bigint as seqs, coalesce(round(w.seqs / sum(w.seqs) over (), 6), 0.0) as share,
   round(b.p, 6) as weight
 from bounds b left join (select source, count(*) as seqs from win group by source) w using (source)"""
+
+_SQL["g6_sft_lr_schedule"] = _w(*_CHAT, _ENC, _EX,
+                                f"""tot as (select {P.SFT_EPOCHS} * ceil(count(*) / {P.SFT_BATCH}.0)::bigint as total
+  from ex2)""") + f"""select step, round({P.SFT_LR}::double * 0.5 * (1.0 + cos(pi() * step / total::double))
+  * 1e6, 6) as lr_micro
+from (select unnest(range(0, (select total from tot))) as step, (select total from tot) as total) s"""

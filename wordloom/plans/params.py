@@ -34,3 +34,4 @@ TOKENS_PER_STEP = 8 * 8 * 512   # local30m preset: batch x accum x seq_len
 LR_SCHEDULE = (8.0e-4, 8.0e-5, 200, 6000)
 LR_FAULT_EVERY = 97             # G6 fixture: every 97th logged row carries a wrong lr
 GEN_TOKENS = 8              # E13: greedy continuation length
+SFT_LR = 1.0e-4             # instruction-tuning peak learning rate (reference default)
