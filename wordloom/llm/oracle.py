@@ -83,4 +83,31 @@ select page_id, v.host, path, rule, coalesce(fixed, case when lower >= 0.5 then
 from v join hl on v.host = hl.host
 """
 
-ORACLE = {"op3_mix": MIX, "op4_url_reputation": URL}
+DECONTAMINATE = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select coalesce(item_id::varchar, 'null') as item, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+m as (select item, w, least(10, len(w)) as m from b where len(w) > 0),
+win as (
+  select distinct item, m, array_to_string(w[i:i + m - 1], ' ') as g
+  from (select item, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from m)),
+lens as (select distinct m from win),
+pos as (
+  select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as g
+  from (select doc_id, w, lens.m, unnest(generate_series(1, len(w) - lens.m + 1)) as i from d, lens where len(w) >= lens.m)),
+hit as (select doc_id, win.item, pos.m, pos.i from pos join win on pos.m = win.m and pos.g = win.g),
+covered as (select distinct doc_id, unnest(generate_series(i, i + m - 1)) as p from hit),
+nh as (select doc_id, count(*) as n_hit from covered group by doc_id),
+ni as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as sha
+  from (select distinct doc_id, item from hit) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       coalesce(sha, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join nh using (doc_id) left join ni using (doc_id)
+"""
+
+ORACLE = {"op2_decontaminate": DECONTAMINATE, "op3_mix": MIX, "op4_url_reputation": URL}

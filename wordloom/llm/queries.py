@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, token_rollup, url_reputation
+from . import decontaminate, mixing, secrets, token_rollup, toxicity, url_reputation
 from .oracle import ORACLE
 from .shared import materialize, shared_path
 
@@ -17,6 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    return toxicity.score(docs, net, ["doc_id"]).select(
+        "doc_id", held.alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +77,8 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_decontaminate": op2_decontaminate,
         "op3_mix": op3_mix,
         "op4_url_reputation": op4_url_reputation,
         "op9_token_rollup": op9_token_rollup,
