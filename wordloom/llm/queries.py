@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, token_rollup, toxicity, url_reputation
+from . import decontaminate, mixing, neighbours, secrets, token_rollup, toxicity, url_reputation
 from .oracle import ORACLE
 from .shared import materialize, shared_path
 
@@ -38,6 +38,10 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(_table(spark, sf_dir, "pages"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 WORDS_1, WORDS_2, BPE = "words-1", "words-2", "byte-bpe-50k"
 WORDS_2_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -81,6 +85,7 @@ def registry() -> dict[str, Query]:
         "op2_decontaminate": op2_decontaminate,
         "op3_mix": op3_mix,
         "op4_url_reputation": op4_url_reputation,
+        "op8_neighbours": op8_neighbours,
         "op9_token_rollup": op9_token_rollup,
         "op10_secret_ledger": op10_secret_ledger,
     }
