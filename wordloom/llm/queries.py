@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neighbours, secrets, similarity, token_rollup, toxicity, url_reputation
+from . import decontaminate, mixing, neighbours, repeats, secrets, similarity, token_rollup, toxicity, url_reputation
 from .oracle import ORACLE
 from .shared import materialize, shared_path
 
@@ -38,6 +38,10 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.join(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ def registry() -> dict[str, Query]:
         "op2_decontaminate": op2_decontaminate,
         "op3_mix": op3_mix,
         "op4_url_reputation": op4_url_reputation,
+        "op5_suffix_array": op5_suffix_array,
         "op6_chosen_path_join": op6_chosen_path_join,
         "op8_neighbours": op8_neighbours,
         "op9_token_rollup": op9_token_rollup,
