@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_TABLE, hashed_words, materialize, mix64, text_bytes, word_list
+from .shared import WORD_TABLE, hashed_words, materialize, mix64, text_bytes, with_fields, word_list
 
 WINDOW = 10
 GRAM = 3
@@ -248,9 +248,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: st
     for k, shard in enumerate(shards_of(benchmark, window, shard_words)):
         if k and k % PASSES_PER_WRITE == 0:
             out = materialize(out, "decontaminate")
-        kept = [f for f in out.schema.fields if f.name not in ("n_words", "hits", "items")]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(shard), text_col, k > 0), f"{schema}, {ADDED}")
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(shard), text_col, k > 0), with_fields(out.schema, ADDED))
     return out.select(*columns, "n_words", "hits", "items")
 
 

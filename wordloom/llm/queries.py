@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neighbours, repeats, secrets, similarity, token_rollup, toxicity, url_reputation
+from . import decontaminate, mixing, neighbours, repeats, secrets, similarity, surrogates, token_rollup, toxicity, url_reputation
 from .oracle import ORACLE
 from .shared import materialize, shared_path
 
@@ -46,6 +46,10 @@ def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.join(_table(spark, sf_dir, "documents"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.anonymize(_table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -95,6 +99,7 @@ def registry() -> dict[str, Query]:
         "op4_url_reputation": op4_url_reputation,
         "op5_suffix_array": op5_suffix_array,
         "op6_chosen_path_join": op6_chosen_path_join,
+        "op7_surrogates": op7_surrogates,
         "op8_neighbours": op8_neighbours,
         "op9_token_rollup": op9_token_rollup,
         "op10_secret_ledger": op10_secret_ledger,

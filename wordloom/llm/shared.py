@@ -6,6 +6,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
 
@@ -36,6 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """``schema`` with further fields; names given again are replaced."""
+    more = StructType.fromDDL(ddl).fields
+    names = {f.name for f in more}
+    return StructType([*(f for f in schema.fields if f.name not in names), *more])
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """``(data, offsets)`` of an Arrow string column without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

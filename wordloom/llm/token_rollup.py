@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import PIECE_PATTERN
+from .shared import with_fields
 
 GROUP = ("source", "lang", "tokenizer_version")
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -38,8 +39,7 @@ def bpe_counts(docs: DataFrame, columns: list[str], text_col: str = "text",
                ranks_path: str = RANKS_PATH) -> DataFrame:
     """``columns`` plus ``n_tokens`` under a public byte-level vocabulary. Each task loads the
     file once; ``ranks_path`` must exist on every worker."""
-    fields = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in columns) + ", n_tokens long"
+    schema = with_fields(docs.select(*columns).schema, "n_tokens long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken

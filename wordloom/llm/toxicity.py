@@ -12,8 +12,7 @@ Scoring is one pass of ``mapInArrow``; the model (some MB, bounded by ``MAX_VOCA
 broadcast. ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` bound the training documents; the sample is
 the lowest hashes of doc_id, so reruns agree.
 
-Defined cases: null and empty texts, and texts without words, get the score of an empty
-window; rows without a label are scored alike; repeated labels of a doc_id count as toxic if
+Defined cases: null and empty texts, and texts without words, get 0; rows without a label are scored alike; repeated labels of a doc_id count as toxic if
 one is; without both classes in the sample every row gets 0.5; null ids are scored; an empty
 table gives an empty result.
 """
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_LUT, hashed_words, mix64, row_slices, text_bytes
+from .shared import WORD_LUT, hashed_words, mix64, row_slices, text_bytes, with_fields
 
 WINDOW, STEP = 24, 20
 WORD_DIM = CHAR_DIM = 8
@@ -362,10 +361,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return [r["text"] or "" for r in got], np.array([r["toxic"] for r in got], bool)
 
 
-def score(docs: DataFrame, net: GatedNet | None, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` with ``score``."""
+def score(docs: DataFrame, net: GatedNet | None, columns: list[str], text_col: str = "text",
+          out: str = "score") -> DataFrame:
+    """``columns`` with the score as ``out``."""
     names = list(dict.fromkeys([*columns, text_col]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
+    schema = with_fields(docs.select(*columns).schema, f"`{out}` double")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,11 +380,11 @@ def score(docs: DataFrame, net: GatedNet | None, columns: list[str], text_col: s
                 for i, j in row_slices(off, 1 << 21):
                     rows, keys = word_features(data, off[i:j + 1])
                     best, _ = model.document_logits(rows, [model.vocab.ids(k) for k in keys], j - i)
-                    s[i:j] = model.score(best)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(s)],
-                                             names=[*columns, "score"])
+                    s[i:j] = np.where(np.bincount(rows, minlength=j - i) > 0, model.score(best), 0.0)
+            keep = [c for c in columns if c != out]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s)], names=[*keep, out])
 
-    return docs.select(*names).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 
