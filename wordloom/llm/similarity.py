@@ -113,8 +113,8 @@ def _sketcher():
                 sk[i:j] = sketches(rows, g, j - i)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SKETCH), n, [None, pa.py_buffer(sk.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size),
-                 raw.cast(pa.binary())], names=["doc_id", "k1", "k2", "n_set", "sketch"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size),
+                 raw.cast(pa.binary())], names=["doc_id", "text_hash", "k1", "k2", "n_set", "sketch"])
     return run
 
 
@@ -336,9 +336,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
          recall: float = RECALL) -> DataFrame:
     """``(doc_id, class_id, n_links, n_copies)`` for every row: the smallest id of its class,
     how many other texts (shingle sets) are linked to it, and how many rows share its set."""
+    return _classes(docs, id_col, text_col, threshold, recall).drop("text_hash")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> DataFrame:
+    """``join`` with the hash of the row's text."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    sk = materialize(own.mapInArrow(_sketcher(), f"doc_id {kind}, k1 long, k2 long, n_set long, sketch binary"), "sketches")
+    sk = materialize(own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _sketcher(), f"doc_id {kind}, text_hash long, k1 long, k2 long, n_set long, sketch binary"), "sketches")
     sk = sk.withColumn("node", F.xxhash64("k1", "k2"))
     nodes = materialize(sk.filter("n_set > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("k1").alias("k1"),
@@ -361,9 +367,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = materialize(named.join(ids, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
                                                        "n_copies"), "classes")
-    rest = sk.filter("n_set > 0").select("doc_id", "node").join(named, "node")
-    cols = [F.col("doc_id").alias(id_col), "class_id", "n_links", "n_copies"]
-    empty = sk.filter("n_set = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+    rest = sk.filter("n_set > 0").select("doc_id", "text_hash", "node").join(named, "node")
+    cols = [F.col("doc_id").alias(id_col), "text_hash", "class_id", "n_links", "n_copies"]
+    empty = sk.filter("n_set = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
                                           F.lit(1).cast("long").alias("n_copies"))
     return rest.select(*cols).unionByName(empty.select(*cols))
 
@@ -371,9 +377,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id. Rows without an id stay
     unless their class has one; of rows that share the kept id one stays."""
-    keep = materialize(join(docs, id_col, text_col, threshold).filter(F.col(id_col).eqNullSafe(F.col("class_id")))
-                       .groupBy(id_col).count(), "kept-ids").withColumnRenamed(id_col, "__id")
-    kept = docs.join(keep.select("__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    again = keep.filter("count > 1 and __id is not null").select("__id")
+    keep = _classes(docs, id_col, text_col, threshold, RECALL).filter(F.col(id_col).eqNullSafe(F.col("class_id")))
+    keep = materialize(keep.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__t")).count(), "kept-ids")
+    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__t")), "left_semi")
+    again = keep.groupBy("__id").agg(F.sum("count").alias("n")).filter("n > 1 and __id is not null").select("__id")
     same = F.col(id_col).eqNullSafe(F.col("__id"))
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
