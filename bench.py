@@ -71,7 +71,7 @@ def main() -> None:
     from wordloom.operators.tokens import to_blocks
     from wordloom.plans.corpus_build import token_segments
     t0 = time.time()
-    blocks = to_blocks(token_segments(tables.corpus(spark, sf_dir), model, P.FULL_BUDGET))
+    blocks = to_blocks(token_segments(tables.corpus(spark, sf_dir), model, None))
     blocks.write.format("noop").mode("overwrite").save()
     times["corpus_build_merged"] = round(time.time() - t0, 3)
     text_mb = tables.corpus(spark, sf_dir).selectExpr("sum(octet_length(text))").first()[0] / 1e6

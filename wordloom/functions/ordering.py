@@ -2,9 +2,10 @@
 
 * ``hashed_uniform`` - a uniform draw keyed by row identity, so results do not
   depend on partitioning (``rand(seed)`` does).
-* ``prefix_sum`` - the two-level ordered running sum: bucket totals first (a
-  tiny table), then a window inside each ``(partition, bucket)``. No task ever
-  holds more than one bucket, however large a source is.
+* ``prefix_sum`` - the ordered running sum by levels: totals of key ranges, of
+  ranges of those ranges and so on, each summed in windows of at most
+  ``FAN`` rows, then a window inside one range. Keys may be dense, sparse or
+  hashed, and no task ever holds more than one range of a source.
 """
 from __future__ import annotations
 
@@ -13,43 +14,95 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET = 4096
+FAN_BITS = 12
+FAN = 1 << FAN_BITS
+DRAW_HEX = 13                # 52 bits: every start of a source of 2^52 tokens can be drawn
 
 
 def hashed_uniform(*parts) -> Column:
-    """U[0,1) from the first 32 bits of md5 over ``p1:p2:...``."""
+    """U[0,1) from the first 52 bits of md5 over ``p1:p2:...``."""
     key = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p))
                              for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(key), 1, DRAW_HEX), 16, 10).cast("bigint") / F.lit(float(1 << 4 * DRAW_HEX))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``cols`` where null equals null; the columns come from the left."""
+    named = right.select(*[F.col(c).alias(f"__j_{c}") if c in cols else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__j_{c}"))
+    return left.join(named, cond, how).drop(*[f"__j_{c}" for c in cols])
 
 
 def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str,
-               out: str = "off", bucket_width: int = DEFAULT_BUCKET,
-               stop_at: Column | int | None = None,
-               bucket: Column | None = None) -> DataFrame:
+               out: str = "off", stop_at: Column | int | None = None,
+               tie: Sequence[str] = ()) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``part``,
-    ordered by the integer key ``order`` (exclusive running sum).
+    ordered by the integer key ``order`` (exclusive running sum; null keys
+    first, null parts are a part of their own). Rows of one key are ordered by
+    ``tie``, then by ``value``.
 
     ``stop_at`` (a literal or a column of ``df`` constant per partition) lets
-    whole buckets whose start offset is already past it be dropped before the
-    row-level window runs; rows in kept buckets are returned unfiltered.
+    whole ranges whose start offset is already past it be dropped before the
+    row-level window runs; rows in kept ranges are returned unfiltered. Pass
+    keys and counts only: the rows go through one shuffle by range.
     """
     part = list(part)
-    b = "__bkt"
-    if bucket is None:  # integer keys: fixed-width ranges of the key
-        bucket = F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint")
-    keyed = df.withColumn(b, bucket)
-    totals = keyed.groupBy(*part, b).agg(F.sum(value).alias("__btot"))
-    w_b = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__boff", F.coalesce(F.sum("__btot").over(w_b), F.lit(0)))
-    totals = totals.drop("__btot")
-    keyed = keyed.join(totals, part + [b], "inner")
-    if stop_at is not None:
-        keyed = keyed.filter(F.col("__boff") < (stop_at if isinstance(stop_at, Column)
-                                                else F.lit(stop_at)))
-    w_r = Window.partitionBy(*part, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    res = keyed.withColumn(out, F.col("__boff") + F.sum(value).over(w_r) - F.col(value))
-    return res.drop(b, "__boff")
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    levels = 1
+    while lo is not None and (hi >> (FAN_BITS * levels)) - (lo >> (FAN_BITS * levels)) >= FAN:
+        levels += 1
+    stop = None if stop_at is None else stop_at if isinstance(stop_at, Column) else F.lit(stop_at)
+    keyed = df.withColumn("__b1", F.shiftright(F.col(order), FAN_BITS))
+    carry = [F.max(stop).alias("__stop")] if stop is not None else []
+    totals = [keyed.groupBy(*part, "__b1").agg(F.sum(value).alias("__t"), *carry)]
+    carry = [F.max("__stop").alias("__stop")] if stop is not None else []
+    for k in range(2, levels + 1):
+        up = totals[-1].withColumn(f"__b{k}", F.shiftright(F.col(f"__b{k - 1}"), FAN_BITS))
+        totals[-1] = up
+        totals.append(up.groupBy(*part, f"__b{k}").agg(F.sum("__t").alias("__t"), *carry))
+    offsets = None
+    for k in range(levels, 0, -1):
+        t, group = totals[k - 1], list(part)
+        if offsets is not None:
+            t, group = null_safe_join(t, offsets, [*part, f"__b{k + 1}"]), [*part, f"__b{k + 1}"]
+        else:
+            t = t.withColumn("__o", F.lit(0))
+        before = Window.partitionBy(*group).orderBy(f"__b{k}").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.col("__o") + F.coalesce(F.sum("__t").over(before), F.lit(0))
+        t = t.withColumn("__off", start)
+        if stop is not None:
+            t = t.filter(F.col("__off") < F.col("__stop"))
+        offsets = t.select(*part, f"__b{k}", F.col("__off").alias("__o"))
+    rows = null_safe_join(keyed, offsets, [*part, "__b1"])
+    w_r = (Window.partitionBy(*part, "__b1").orderBy(order, *tie, value)
+           .rowsBetween(Window.unboundedPreceding, 0))
+    res = rows.withColumn(out, F.col("__o") + F.sum(value).over(w_r) - F.col(value))
+    return res.drop("__b1", "__o")
+
+
+def ranked_keys(df: DataFrame, part: Sequence[str], order: str, limit: int | None = None) -> DataFrame:
+    """``(*part, order, n, off)``: rows of each key and rows before it; repeated
+    keys are one row here, so ranks can meet the rows without multiplying them."""
+    keys = df.groupBy(*part, order).agg(F.count(F.lit(1)).alias("__n"))
+    return prefix_sum(keys, part, order, "__n", "__off", stop_at=limit)
+
+
+def ranked_rows(df: DataFrame, part: Sequence[str], order: str, out: str, limit: int | None = None,
+                tie: Sequence[str] = ()) -> DataFrame:
+    """Rows with their 0-based rank ``out`` inside ``part`` by ``order``; with
+    ``limit`` only the first so many. Only keys are ranked; the rows meet them
+    in one join, and rows of one key are numbered by ``tie``."""
+    keys = ranked_keys(df, part, order, limit)
+    if limit:
+        keys = keys.filter(F.col("__off") < limit)
+    rows = null_safe_join(df, keys, [*part, order])
+    w = Window.partitionBy(*part, order).orderBy(*(tie or [F.lit(0)]))
+    rows = rows.withColumn(out, F.col("__off") + F.row_number().over(w) - 1)
+    if limit:
+        rows = rows.filter(F.col(out) < limit)
+    return rows.drop("__n", "__off")
 
 
 def hash_key(*parts) -> Column:
@@ -58,16 +111,9 @@ def hash_key(*parts) -> Column:
                                     for p in parts]))
 
 
-def rank_by_hash(df: DataFrame, key: str, part: Sequence[str] = (), out: str = "rank",
-                 prefix_hex: int = 4) -> DataFrame:
-    """0-based global rank by a hex hash key (E6/E10 shuffles).
-
-    Buckets are the key's first ``prefix_hex`` hex digits - uniform by
-    construction, so no bucket is hot - and the rank is the two-level prefix
-    count: bucket counts, their running sum, then a window inside a bucket.
-    """
-    one = "__one"
-    bucket = F.conv(F.substring(F.col(key), 1, prefix_hex), 16, 10).cast("bigint")
-    res = prefix_sum(df.withColumn(one, F.lit(1).cast("bigint")), part, key, one, out,
-                     bucket=bucket)
-    return res.drop(one)
+def rank_by_hash(df: DataFrame, key: str, part: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """0-based global rank by a hex hash key (E6/E10 shuffles): the running
+    count over the key's first 60 bits, equal keys in the key's own order."""
+    h = F.conv(F.substring(F.col(key), 1, 15), 16, 10).cast("bigint")
+    rows = df.withColumn("__h", h).withColumn("__one", F.lit(1).cast("bigint"))
+    return prefix_sum(rows, part, "__h", "__one", out, tie=[key]).drop("__h", "__one")

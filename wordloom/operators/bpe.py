@@ -1,22 +1,22 @@
 """Byte-level BPE: the learned model and its exact batched merge learner.
 
-The merge table is bounded by the vocabulary size (at most 65,536 ids, the
-uint16 range), which is what makes it safe to hold on the driver and to ship
+The merge table is bounded by the vocabulary size (``MAX_VOCAB`` ids), which is what makes it safe to hold on the driver and to ship
 to tasks. Everything that grows with the corpus stays in DataFrames.
 """
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import BYTE_OFFSET, FIRST_MERGE_ID, SPECIAL_TOKENS
 from ..session import checkpoint_dir
 
-MAX_VOCAB = 1 << 16
-_KEY = 1 << 16  # pair key = left * 65536 + right
+# Symbols are held as characters of the basic plane (without surrogates), one UTF-16 unit
+# each: that, not the uint16 range, bounds the ids.
+MAX_VOCAB = (1 << 16) - 0x800 + BYTE_OFFSET
 
 
 @dataclass
@@ -60,29 +60,32 @@ class BpeModel:
 
 def encode_piece(piece: bytes, merges: list[tuple[int, int]],
                  ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Encode one pre-tokenized piece: repeatedly merge the lowest-rank pair
-    present (all its occurrences, left to right) until none applies. Equal to
-    applying the merges in rank order."""
+    """Encode one pre-tokenized piece: the lowest-rank pair present merges first,
+    its occurrences left to right, until none applies. Pairs wait in a heap and
+    symbols are linked, so a piece of n bytes takes n log n steps."""
     syms = [b + BYTE_OFFSET for b in piece]
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and (best is None or r < best):
-                best = r
-        if best is None:
-            break
-        a, b = merges[best]
-        new, out, i = FIRST_MERGE_ID + best, [], 0
-        while i < len(syms):
-            if i + 1 < len(syms) and syms[i] == a and syms[i + 1] == b:
-                out.append(new)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return syms
+    n = len(syms)
+    if n < 2:
+        return syms
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((syms[i], syms[i + 1]))) is not None]
+    if not heap:
+        return syms
+    heapq.heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if syms[i] < 0 or j >= n or (syms[i], syms[j]) != merges[r]:
+            continue                                   # merged away meanwhile
+        syms[i], syms[j] = FIRST_MERGE_ID + r, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (x := ranks.get((syms[i], syms[k]))) is not None:
+                heapq.heappush(heap, (x, i))
+        if (h := before[i]) >= 0 and (x := ranks.get((syms[h], syms[i]))) is not None:
+            heapq.heappush(heap, (x, h))
+    return [s for s in syms if s >= 0]
 
 
 # --- B6: exact batched merge learning ------------------------------------------
@@ -172,7 +175,7 @@ def learn_merges(piece_counts: DataFrame, vocab_size: int, min_frequency: int =
     checkpoint every ``checkpoint_every`` rounds.
     """
     if vocab_size > MAX_VOCAB:
-        raise ValueError(f"vocab_size {vocab_size} exceeds the uint16 id range")
+        raise ValueError(f"vocab_size {vocab_size} exceeds {MAX_VOCAB}")
     spark = piece_counts.sparkSession
     checkpoint_dir(spark)
     state = _string_state(piece_counts).checkpoint(eager=True)
@@ -207,40 +210,3 @@ def learn_merges(piece_counts: DataFrame, vocab_size: int, min_frequency: int =
     if release is not None:
         release.unpersist()
     return BpeModel(merges)
-
-
-def learn_merges_sequential(counts: dict[bytes, int], vocab_size: int,
-                            min_frequency: int = 2) -> BpeModel:
-    """Plain one-merge-at-a-time greedy with the same tie rule; the test oracle
-    for ``learn_merges`` on small inputs."""
-    words = {tuple(b + BYTE_OFFSET for b in k): v for k, v in counts.items()}
-    merges: list[tuple[int, int]] = []
-    while FIRST_MERGE_ID + len(merges) < vocab_size:
-        pc: dict[tuple[int, int], int] = {}
-        for w, n in words.items():
-            for i in range(len(w) - 1):
-                pc[(w[i], w[i + 1])] = pc.get((w[i], w[i + 1]), 0) + n
-        cand = [(p, c) for p, c in pc.items() if c >= min_frequency]
-        if not cand:
-            break
-        (a, b), _ = min(cand, key=lambda pc_: (-pc_[1], max(pc_[0]), pc_[0][0], pc_[0][1]))
-        new = FIRST_MERGE_ID + len(merges)
-        merges.append((a, b))
-        nxt: dict[tuple[int, ...], int] = {}
-        for w, n in words.items():
-            out, i = [], 0
-            while i < len(w):
-                if i + 1 < len(w) and w[i] == a and w[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(w[i])
-                    i += 1
-            t = tuple(out)
-            nxt[t] = nxt.get(t, 0) + n
-        words = nxt
-    return BpeModel(merges)
-
-
-ENCODED_SCHEMA = T.StructType([T.StructField("piece", T.StringType()),
-                               T.StructField("pids", T.ArrayType(T.IntegerType()))])

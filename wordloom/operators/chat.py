@@ -89,8 +89,8 @@ def quota_union(pairs: Mapping[str, tuple[DataFrame, int | None]]) -> DataFrame:
 
 def seeded_shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
     """A deterministic permutation: ``position`` = rank of md5(seed:source:row_id)."""
-    k = df.withColumn("__key", hash_key(F.lit(seed), F.col("source"), F.col("row_id")))
-    return rank_by_hash(k, "__key", out="position").drop("__key")
+    k = df.select("source", "row_id").withColumn("__key", hash_key(F.lit(seed), F.col("source"), F.col("row_id")))
+    return df.join(rank_by_hash(k, "__key", out="position").drop("__key"), ["source", "row_id"])
 
 
 def _chat_arrays(prompt_ids: Column, resp_ids: Column) -> tuple[Column, Column]:
@@ -103,8 +103,7 @@ def chat_encode(df: DataFrame, model: BpeModel | None) -> DataFrame:
     """prompt = [user] + enc("\n" + user) + [assistant];
     response = enc("\n" + assistant) + [eot]; labels mask the prompt with -1.
 
-    At byte level both texts are encoded in place; with merges each text goes
-    through the distinct-piece encoder and the two id lists meet on the key."""
+    Both texts are encoded in one pass."""
     keys = ["source", "row_id"]
     t = df.select(*keys, F.concat(F.lit("\n"), F.col("user")).alias("u"),
                   F.concat(F.lit("\n"), F.col("assistant")).alias("a"))
@@ -112,8 +111,7 @@ def chat_encode(df: DataFrame, model: BpeModel | None) -> DataFrame:
         from ..functions.text import byte_ids
         j = t.select(*keys, byte_ids(F.col("u")).alias("eu"), byte_ids(F.col("a")).alias("ea"))
     else:
-        j = encode(t, model, keys, text="u", out="eu").join(
-            encode(t, model, keys, text="a", out="ea"), keys)
+        j = encode(t, model, keys, text=["u", "a"], out=["eu", "ea"])
     prompt, resp = _chat_arrays(F.col("eu"), F.col("ea"))
     j = j.select(*keys, prompt.alias("prompt"), resp.alias("resp"))
     return j.select(*keys, F.size("prompt").alias("n_prompt"),
@@ -138,10 +136,11 @@ def epoch_batches(df: DataFrame, epochs: int, batch_size: int, seed: int = 0) ->
     """Every epoch is its own permutation (md5(seed:epoch:source:row_id));
     consecutive slices of ``batch_size`` form batches, the last one partial.
     ``epochs`` is a parameter, so the epoch frame is parameter-sized."""
-    j = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    j = df.select("source", "row_id").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     k = j.withColumn("__key", hash_key(F.lit(seed), F.col("epoch"), F.col("source"),
                                        F.col("row_id")))
     r = rank_by_hash(k, "__key", part=["epoch"], out="rank").drop("__key")
+    r = r.join(df, ["source", "row_id"])                 # only keys are ranked
     return r.withColumn("batch_id", (F.col("rank") / batch_size).cast("bigint")) \
             .withColumn("row", (F.col("rank") % batch_size).cast("int"))
 
@@ -182,8 +181,7 @@ def inference_prompts(df: DataFrame, model: BpeModel | None, text: str = "text",
         from ..functions.text import byte_ids
         j = t.select(key, byte_ids(F.col("u")).alias("eu"), byte_ids(F.col("p")).alias("plain"))
     else:
-        j = encode(t, model, [key], text="u", out="eu").join(
-            encode(t, model, [key], text="p", out="plain"), key)
+        j = encode(t, model, [key], text=["u", "p"], out=["eu", "plain"])
     chat = F.concat(F.array(F.lit(USER_ID)), F.col("eu"), F.array(F.lit(ASSISTANT_ID)),
                     F.array(F.lit(BYTE_OFFSET + 10)))
     return j.select(key, chat.alias("chat"), "plain")

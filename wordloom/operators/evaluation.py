@@ -1,8 +1,9 @@
 """Evaluation by answer-likelihood (F1-F11) with a pluggable scorer.
 
-A scorer turns ``(prev, cur)`` token pairs into ``logp``; the default is the
-count-based bigram model of F10 (a stand-in for the trained network: its
-numbers are not comparable with a neural model's). Every candidate option of
+``context_scores`` hands whole id sequences to any model. The registered queries
+use the count-based bigram model of F10, which needs ``(prev, cur)`` pairs only (a
+stand-in for the trained network: its numbers are not comparable with a neural
+model's). Every candidate option of
 every question is scored in one distributed job.
 """
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .chat import mcq_valid
 from .tokenizer import encode
 
 QA_OPTIONS = ("yes", "no", "maybe")   # fixed values
+RANK_BUCKET = 64
 MCQ_CHANCE, QA_CHANCE = 0.25, 1 / 3
 
 
@@ -133,8 +135,7 @@ def candidate_tokens(cands: DataFrame, model: BpeModel | None, max_len: int) ->
     if model is None or not model.merges:
         e = t.select(*keys, byte_ids(F.col("context")).alias("ctx"), byte_ids(F.col("opt")).alias("oid"))
     else:
-        e = encode(t, model, keys, text="context", out="ctx").join(
-            encode(t, model, keys, text="opt", out="oid"), keys)
+        e = encode(t, model, keys, text=["context", "opt"], out=["ctx", "oid"])
     full = F.concat("ctx", "oid")
     return e.select(*keys, full.alias("ids"), F.size("oid").alias("n_opt"),
                     F.size("ctx").alias("n_ctx"),
@@ -157,6 +158,27 @@ def option_scores(tokens: DataFrame, scorer: BigramScorer) -> DataFrame:
     return j.select(*keys, score.alias("score"))
 
 
+def context_scores(tokens: DataFrame, log_probs) -> DataFrame:
+    """F4 with any model: ``log_probs(ids)`` gets the kept ids of one option's
+    whole sequence and returns the log-probability of each id given all before
+    it (the first is ignored). Sequences go to the executors' Python in Arrow
+    batches, so the callable may hold a network and batch as it likes."""
+    keys = ["task", "row_id", "idx"]
+    t = tokens.select(*keys, F.slice("ids", (F.col("cut") + 1).cast("int"), F.size("ids")).alias("ids"),
+                      (F.greatest(F.col("n_ctx"), F.col("cut") + 1) - F.col("cut")).alias("first"), "n_opt")
+
+    def run(batches):
+        for pdf in batches:
+            s = []
+            for ids, first, n in zip(pdf["ids"], pdf["first"], pdf["n_opt"]):
+                p = log_probs(ids) if len(ids) > first else []
+                s.append(float(sum(p[first:])) / max(n, 1))
+            yield pdf[keys].assign(score=s)
+
+    fields = ", ".join(f"{k} {tokens.schema[k].dataType.simpleString()}" for k in keys)
+    return t.mapInPandas(run, f"{fields}, score double")
+
+
 def predictions(scores: DataFrame, cands: DataFrame) -> DataFrame:
     """arg-max option per question; ties go to the lowest index."""
     best = scores.groupBy("task", "row_id").agg(
@@ -218,8 +240,10 @@ def topk_candidates(scorer: BigramScorer, k: int) -> DataFrame:
     ranked = vocab.withColumn("grank", F.rank().over(Window.orderBy(F.desc("cw"))))  # <= vocab rows
     observed = scorer.bigrams.select(F.col("v").alias("prev"), F.col("w").alias("cur"))
     m = observed.groupBy("prev").agg(F.count(F.lit(1)).alias("m"))
-    near = m.join(F.broadcast(ranked.select("cur", "grank")),
-                  F.col("grank") <= F.col("m") + F.lit(k)).select("prev", "cur")
+    # ranks meet their contexts by bucket: an equi-join that yields the first k + m only
+    near = (m.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") + k) / RANK_BUCKET).cast("int"))))
+            .join(ranked.select("cur", "grank", F.floor(F.col("grank") / RANK_BUCKET).cast("int").alias("bucket")), "bucket")
+            .filter(F.col("grank") <= F.col("m") + F.lit(k)).select("prev", "cur"))
     unseen = near.join(observed, ["prev", "cur"], "left_anti")
     return observed.unionByName(unseen)
 
@@ -235,36 +259,3 @@ def topk_distribution(scorer: BigramScorer, k: int, temperature: float) -> DataF
     wp = Window.partitionBy("prev")
     e = kept.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(wp)))
     return e.select("prev", "cur", r6(F.col("e") / F.sum("e").over(wp)).alias("prob"))
-
-
-def greedy_table(scorer: BigramScorer) -> tuple[DataFrame, int]:
-    """Top-1 next token per context over the whole vocabulary (ties -> lowest
-    id), plus the choice for a context never seen in training (unigram term
-    only). One row per context: bounded by the vocabulary."""
-    pairs = topk_candidates(scorer, 1)
-    s = scorer.score_pairs(pairs)
-    best = s.groupBy("prev").agg(
-        F.max_by("cur", F.struct(F.col("logp"), (-F.col("cur")).alias("neg"))).alias("nxt"))
-    spark = scorer.bigrams.sparkSession
-    vocab = spark.range(scorer.vocab_size).select(F.col("id").cast("int").alias("w"))
-    vocab = vocab.join(F.broadcast(scorer.unigrams), "w", "left").withColumn("cw", F.coalesce("cw", F.lit(0)))
-    fallback = vocab.agg(F.max_by("w", F.struct(F.col("cw"), (-F.col("w")).alias("neg")))).first()[0]
-    return best, int(fallback)
-
-
-def greedy_generate(prompts: DataFrame, scorer: BigramScorer, n_new: int, eos: int,
-                    ids: str = "prompt", key: str = "item_id") -> DataFrame:
-    """Deterministic stand-in for sampling (top-k = 1): ``n_new`` rounds, each
-    a broadcast lookup of the last token's best successor; a row stops after
-    emitting ``eos``. Adds ``out`` = prompt + generated ids."""
-    best, fallback = greedy_table(scorer)
-    table = F.broadcast(best.select(F.col("prev").alias("__last"), F.col("nxt").alias("__nxt")))
-    state = prompts.withColumn("out", F.col(ids)).withColumn("__done", F.lit(False))
-    for _ in range(n_new):
-        state = state.withColumn("__last", F.element_at("out", -1)).join(table, "__last", "left")
-        tok = F.coalesce(F.col("__nxt"), F.lit(fallback))
-        state = state.select(
-            *[c for c in state.columns if c not in ("out", "__done", "__last", "__nxt")],
-            F.when(F.col("__done"), F.col("out")).otherwise(F.concat("out", F.array(tok))).alias("out"),
-            (F.col("__done") | (tok == eos)).alias("__done"))
-    return state.drop("__done")

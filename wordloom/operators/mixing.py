@@ -17,7 +17,6 @@ from ..functions.text import ids_string, r6
 from .tokens import BLOCK
 
 VAL_SEED_SHIFT = 99           # D8: val draws use seed + 99 (fixed value)
-BROADCAST_ROW_LIMIT = 2_000_000  # window-block rows above which the read is a shuffle join
 
 
 def split_lengths(blocks: DataFrame) -> DataFrame:
@@ -60,18 +59,18 @@ def mix_bounds(resolved: DataFrame) -> DataFrame:
     w_cum = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     w_last = Window.orderBy(F.desc("ord"))
     t = live.withColumn("p", F.col("weight") / F.sum("weight").over(w_all))
-    t = t.withColumn("hi", F.sum("p").over(w_cum)).withColumn("lo", F.col("hi") - F.col("p"))
+    t = t.withColumn("hi", F.sum("p").over(w_cum))
     t = t.withColumn("hi", F.when(F.row_number().over(w_last) == 1, F.lit(1.0))
                      .otherwise(F.col("hi")))
-    return t
+    # the previous bound itself, not hi - p: no draw falls into a gap or on two entries
+    return t.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("ord")))
 
 
-def resolved_bounds(spark: SparkSession, blocks: DataFrame, mix: Mapping[str, float],
+def resolved_bounds(spark: SparkSession, lengths: DataFrame, mix: Mapping[str, float],
                     split: str, seq_len: int) -> DataFrame:
     """D1-D3 evaluated once: the bounds table has at most one row per mix entry,
     so it is collected and re-served as a literal frame (no corpus recompute in
     every later use). Raises when no entry is usable, as the reference does."""
-    lengths = split_lengths(blocks)
     rows = mix_bounds(resolve_mix(mix_frame(spark, mix), lengths, split, seq_len)) \
         .select("source", "ord", "read_split", "n", "p", "lo", "hi").collect()
     if not rows:
@@ -97,15 +96,14 @@ def draw_windows(spark: SparkSession, bounds: DataFrame, n_seq: int, seq_len: in
                     "source", F.col("read_split").alias("split"), start.alias("start"))
 
 
-def read_windows(windows: DataFrame, blocks: DataFrame, seq_len: int,
-                 n_windows: int | None = None, block: int = BLOCK) -> DataFrame:
+def read_windows(windows: DataFrame, blocks: DataFrame, seq_len: int, block: int = BLOCK) -> DataFrame:
     """``seq_len + 1`` contiguous tokens per draw; ``x`` drops the last,
     ``y`` the first.
 
     Each window explodes only the block ids it touches and meets the blocks on
-    ``(source, split, block_id)``. The window side is broadcast when its row
-    count - known from the parameters, not the data - is small; otherwise the
-    join shuffles. Blocks are sliced to the overlap *before* regrouping, so
+    ``(source, split, block_id)``; Spark broadcasts the window side if its
+    measured size allows, and then prunes the blocks' source and split folders.
+    Blocks are sliced to the overlap *before* regrouping, so
     the regroup moves ``seq_len`` tokens per window, not whole blocks.
     """
     keys = windows.columns  # every draw column is carried through the regroup
@@ -114,10 +112,7 @@ def read_windows(windows: DataFrame, blocks: DataFrame, seq_len: int,
     wb = windows.select(*keys,
                         F.explode(F.sequence(F.floor(st / block),
                                              F.floor((st + span - 1) / block))).alias("block_id"))
-    per_window = (span + block - 1) // block + 1
-    small = n_windows is not None and n_windows * per_window <= BROADCAST_ROW_LIMIT
-    side = F.broadcast(wb) if small else wb
-    j = side.join(blocks.select("source", "split", "block_id", "toks"),
+    j = wb.join(blocks.select("source", "split", "block_id", "toks"),
                   ["source", "split", "block_id"])
     lo = F.greatest(F.col("block_id") * block, st)
     hi = F.least((F.col("block_id") + 1) * block, st + span)
@@ -132,12 +127,13 @@ def read_windows(windows: DataFrame, blocks: DataFrame, seq_len: int,
 
 def mixed_batches(spark: SparkSession, blocks: DataFrame, mix: Mapping[str, float],
                   seq_len: int, batch_size: int, n_batches: int, seed: int = 1337,
-                  split: str = "train", block: int = BLOCK) -> DataFrame:
-    """D1-D8 end to end: ``(batch_id, seq_in_batch, source, split, start, x, y)``."""
-    bounds = resolved_bounds(spark, blocks, mix, split, seq_len)
+                  split: str = "train", block: int = BLOCK, lengths: DataFrame | None = None) -> DataFrame:
+    """D1-D8 end to end: ``(batch_id, seq_in_batch, source, split, start, x, y)``.
+    ``lengths`` (tokens per source and split), if known, saves counting the blocks."""
+    bounds = resolved_bounds(spark, split_lengths(blocks) if lengths is None else lengths, mix, split, seq_len)
     n_seq = n_batches * batch_size
     draws = draw_windows(spark, bounds, n_seq, seq_len, batch_size, seed, split)
-    return read_windows(draws, blocks, seq_len, n_seq, block).drop("i")
+    return read_windows(draws, blocks, seq_len, block).drop("i")
 
 
 def batch_audit(windows: DataFrame, seq_len: int, vocab_size: int) -> DataFrame:
@@ -173,7 +169,7 @@ def windows_as_strings(w: DataFrame) -> DataFrame:
 
 def val_windows(spark: SparkSession, blocks: DataFrame, sources: list[str], seq_len: int,
                 batch_size: int, n_batches: int, eval_rounds: int, seed: int = 1337,
-                block: int = BLOCK) -> DataFrame:
+                block: int = BLOCK, lengths: DataFrame | None = None) -> DataFrame:
     """One single-source val loader per mix entry, ``eval_rounds`` times.
 
     All loaders and rounds are one draw over ``range(loaders * rounds * n)``;
@@ -181,7 +177,7 @@ def val_windows(spark: SparkSession, blocks: DataFrame, sources: list[str], seq_
     reference's generator is not reset between evaluations). Entries without
     usable data are dropped (see ``resolve_mix`` for the reason).
     """
-    lengths = split_lengths(blocks)
+    lengths = split_lengths(blocks) if lengths is None else lengths
     mix = spark.createDataFrame([(s, k, 1.0) for k, s in enumerate(sources)],
                                 "source string, ord int, weight double")
     live = resolve_mix(mix, lengths, "val", seq_len).filter(F.col("drop_reason").isNull())
@@ -200,7 +196,7 @@ def val_windows(spark: SparkSession, blocks: DataFrame, sources: list[str], seq_
                      (F.col("i") % batch_size).cast("int").alias("seq_in_batch"),
                      "source", F.col("read_split").alias("split"),
                      F.floor(u2 * (F.col("n") - seq_len - 1)).cast("bigint").alias("start"))
-    return read_windows(draws, blocks, seq_len, len(sources) * per_loader, block).drop("i")
+    return read_windows(draws, blocks, seq_len, block).drop("i")
 
 
 def run_plan(presets: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -3,42 +3,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordering import prefix_sum
+from ..functions.ordering import ranked_rows
 from ..functions.text import SPECIAL_TOKENS, byte_ids, pieces, word_count
-from .bpe import ENCODED_SCHEMA, BpeModel, encode_piece
+from .bpe import BpeModel, encode_piece
 
 TRAIN_CHAR_CAP = 5000  # B2: code points of each document seen by the trainer (fixed value)
 
 
-BROADCAST_ROWS = 5_000_000  # rank tables up to this many (measured) rows are broadcast
-
-
 def blend(corpus: DataFrame, docs_per_source: int | None = None) -> DataFrame:
     """B1 + A3 cap: round-robin blend of the sources.
 
     ``k`` is the 0-based position of a doc inside its source; the blend order
     is ``(k, ord)``. Exhausted sources simply have no more ``k`` values, which
-    is exactly the reference's drop-out rule. Only ``(source, doc_id)`` goes
-    through the ranking; the text meets its rank in one join afterwards,
-    broadcast when the rank table is provably small (``docs_per_source`` times
-    the measured number of sources).
+    is exactly the reference's drop-out rule. Only keys go through the
+    ranking; rows that share a key are numbered by the hash of their text.
     """
-    keys = corpus.select("source", "doc_id", F.lit(1).cast("bigint").alias("__one"))
-    ranked = prefix_sum(keys, ["source"], "doc_id", "__one", "k",
-                        stop_at=docs_per_source if docs_per_source else None)
-    if docs_per_source:
-        ranked = ranked.filter(F.col("k") < docs_per_source)
-    ranked = ranked.select("source", "doc_id", "k")
-    small = False
-    if docs_per_source:
-        n_src = corpus.select("source").distinct().count()
-        small = docs_per_source * n_src <= BROADCAST_ROWS
-    return corpus.join(F.broadcast(ranked) if small else ranked, ["source", "doc_id"])
+    t = corpus.withColumn("__tie", F.xxhash64("text"))
+    return ranked_rows(t, ["source"], "doc_id", "k", docs_per_source, tie=["__tie"]).drop("__tie")
 
 
 def cap_chars(df: DataFrame, n: int = TRAIN_CHAR_CAP, text: str = "text") -> DataFrame:
@@ -61,119 +49,92 @@ def training_pieces(corpus: DataFrame, docs_per_source: int | None = None) -> Da
     """B1 -> B2 -> B4: the piece table the merge learner starts from. Counts do
     not depend on the blend order, only on which documents are in it."""
     from ..sources.corpus import cap_per_source
-    docs = cap_per_source(corpus, docs_per_source).select("source", "doc_id", "text")
-    return piece_counts(cap_chars(_spread(docs, ["source", "doc_id"])))
-
-
-def _piece_encoder(model: BpeModel):
-    merges, ranks = model.merges, model.ranks()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = [encode_piece(p.encode("utf-8"), merges, ranks) for p in pdf["piece"]]
-            yield pd.DataFrame({"piece": pdf["piece"], "pids": ids})
-    return run
-
-
-def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partition by ``keys`` when the input has fewer partitions than the
-    cluster has cores (a small table, or files with few row groups), so the
-    pre-tokenizer and encoder run on every core. A scan of many files already
-    has that parallelism and is left as it is - no extra shuffle."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if not df.isStreaming and df.rdd.getNumPartitions() < par:
-        return df.repartition(par, *keys)
-    return df
-
-
-MEMO_LIMIT = 1 << 18  # pieces remembered per task (tens of MB) before the memo is reset
-
-
-def _doc_encoder(model: BpeModel, keys: list[str], out: str):
-    merges, ranks = model.merges, model.ranks()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, list[int]] = {}
-        for pdf in batches:
-            col = []
-            for ps in pdf["__pieces"]:
-                ids: list[int] = []
-                if ps is not None:
-                    for p in ps:
-                        e = memo.get(p)
-                        if e is None:
-                            e = encode_piece(p.encode("utf-8"), merges, ranks)
-                            if len(memo) >= MEMO_LIMIT:
-                                memo.clear()
-                            memo[p] = e
-                        ids.extend(e)
-                col.append(ids)
-            res = pdf[keys].copy()
-            res[out] = col
-            yield res
-    return run
-
-
-def encode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], text: str = "text",
-           out: str = "ids", strategy: str = "local") -> DataFrame:
-    """Text -> token ids, no special tokens added.
-
-    Without merges the ids are the UTF-8 bytes, computed in place (JVM).
-
-    With merges the pieces are cut JVM-side (``regexp_extract_all``) and the
-    default ``local`` strategy encodes them in Arrow batches inside the task
-    that holds the document, remembering every piece it has encoded: a common
-    piece is encoded once per task, and no row leaves its partition - at 100 TB
-    that avoids shuffling every piece twice. ``distinct`` instead encodes the
-    de-duplicated piece set once, joins ids back on ``piece`` and regroups each
-    document in piece order (two shuffles of all pieces; useful when the
-    encoder is far costlier than a shuffle).
+    return piece_counts(cap_chars(cap_per_source(corpus, docs_per_source)))
+
+
+def _gather(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``index`` of a flat list array one after another, and their ends."""
+    size = (offsets[1:] - offsets[:-1])[index]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(offsets[index] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+def _encode_lists(column, merges, ranks) -> pa.ListArray:
+    """Piece lists to id lists: every distinct piece of the batch is encoded once."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    words = column.flatten()
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    if not len(words):
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(column) + 1, np.int32)), pa.array([], pa.int32()))
+    coded = words.dictionary_encode()
+    ids = [encode_piece(p.as_buffer().to_pybytes(), merges, ranks) for p in coded.dictionary]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+    flat, ends = _gather(np.concatenate(ids).astype(np.int32), offsets, coded.indices.to_numpy())
+    rows = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+    return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(flat))
+
+
+def encode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], text: str | Sequence[str] = "text",
+           out: str | Sequence[str] = "ids") -> DataFrame:
+    """Text -> token ids, no special tokens added; ``keys`` may be any columns
+    to carry along. Several text columns are encoded in one pass.
+
+    Without merges the ids are the UTF-8 bytes, computed in place (JVM). With
+    merges the pieces are cut JVM-side (``regexp_extract_all``); an Arrow batch
+    is then flattened, each of its distinct pieces encoded once, and the id
+    lists rebuilt by index. No row leaves its partition.
     """
     keys = list(keys)
+    texts, outs = ([text], [out]) if isinstance(text, str) else (list(text), list(out))
     if model is None or not model.merges:
-        return df.select(*keys, byte_ids(F.col(text)).alias(out))
-    if strategy == "local":
-        src = _spread(df.select(*keys, text), keys)
-        src = src.select(*keys, pieces(F.col(text)).alias("__pieces"))
-        schema = T.StructType([f for f in src.schema.fields if f.name in keys] +
-                              [T.StructField(out, T.ArrayType(T.IntegerType()))])
-        return src.mapInPandas(_doc_encoder(model, keys, out), schema)
-    exploded = df.select(*keys, F.posexplode_outer(pieces(F.col(text))).alias("pos", "piece"))
-    distinct = exploded.select("piece").filter(F.col("piece").isNotNull()).distinct()
-    coded = distinct.mapInPandas(_piece_encoder(model), ENCODED_SCHEMA)
-    joined = exploded.join(coded, "piece", "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
-                                               F.struct("pos", "pids"))))
-    return (joined.groupBy(*keys).agg(parts.alias("__parts"))
-            .select(*keys, F.flatten(F.col("__parts.pids")).alias(out)))
+        return df.select(*keys, *[byte_ids(F.col(t)).alias(o) for t, o in zip(texts, outs)])
+    merges, ranks = model.merges, model.ranks()
+    cut = [f"__pieces{i}" for i in range(len(texts))]
+    src = df.select(*keys, *[pieces(F.coalesce(F.col(t), F.lit(""))).alias(c) for t, c in zip(texts, cut)])
+    schema = T.StructType([*(src.schema[k] for k in keys),
+                           *(T.StructField(o, T.ArrayType(T.IntegerType())) for o in outs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in keys), *(_encode_lists(b.column(c), merges, ranks) for c in cut)],
+                names=[*keys, *outs])
+
+    return src.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], ids: str = "ids",
            out: str = "text") -> DataFrame:
     """Ids -> text. Specials are dropped; a cut character decodes to U+FFFD.
 
-    The vocabulary (<= 65,536 rows by the id guard) is broadcast and joined on
-    the exploded ids; bytes are concatenated in position order.
-    """
+    The vocabulary (<= 65,536 entries by the id guard) is one Arrow array; the
+    tokens of a batch are taken from it at once, and a document is the slice
+    of the taken bytes between its ends. No explode, no shuffle."""
     keys = list(keys)
-    spark = df.sparkSession
-    vocab = (model or BpeModel()).vocab_df(spark).filter(~F.col("special")) \
-        .select(F.col("id").alias("__id"), "token_hex")
-    ex = df.select(*keys, F.posexplode_outer(F.col(ids)).alias("__pos", "__id"))
-    joined = ex.join(F.broadcast(vocab), "__id", "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("token_hex").isNotNull(),
-                                               F.struct("__pos", "token_hex"))))
-    hexed = F.array_join(F.col("__parts.token_hex"), "")
-    text = F.make_valid_utf8(F.unhex(hexed).cast("string"))
-    return joined.groupBy(*keys).agg(parts.alias("__parts")).select(*keys, text.alias(out))
+    tokens = (model or BpeModel()).token_bytes()
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("__raw", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = pa.array(tokens, pa.large_binary())
+        for b in batches:
+            column = b.column(ids)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            taken = vocab.take(column.flatten())
+            _, off, data = taken.buffers()
+            at = np.frombuffer(off, np.int64, len(taken) + 1)[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+            raw = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.tobytes()), data])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), raw.cast(pa.binary())], names=[*keys, "__raw"])
+
+    text = F.make_valid_utf8(F.col("__raw").cast("string"))
+    return df.select(*keys, ids).mapInArrow(run, schema).select(*keys, text.alias(out))
 
 
 def roundtrip_audit(corpus: DataFrame, model: BpeModel | None) -> DataFrame:
     """Per source, how many documents do not decode back to their text."""
-    enc = encode(corpus, model, ["source", "doc_id"])
-    dec = decode(enc, model, ["source", "doc_id"], out="decoded")
-    j = corpus.select("source", "doc_id", "text").join(dec, ["source", "doc_id"], "left")
-    return j.groupBy("source").agg(
+    both = corpus.select("source", "text", F.col("text").alias("__in"))
+    enc = encode(both, model, ["source", "text"], text="__in")
+    dec = decode(enc, model, ["source", "text"], out="decoded")
+    return dec.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum(F.when(F.col("decoded").eqNullSafe(F.col("text")), 0).otherwise(1))
          .cast("bigint").alias("mismatched"))
@@ -181,19 +142,19 @@ def roundtrip_audit(corpus: DataFrame, model: BpeModel | None) -> DataFrame:
 
 def fertility(corpus: DataFrame, model: BpeModel | None) -> DataFrame:
     """Tokens per whitespace-separated word, per source."""
-    enc = encode(corpus, model, ["source", "doc_id"])
-    words = corpus.select("source", "doc_id", word_count(F.col("text")).alias("words"))
-    j = enc.join(words, ["source", "doc_id"])
-    return j.groupBy("source").agg(
+    t = corpus.select("source", "text", word_count(F.col("text")).alias("words"))
+    return encode(t, model, ["source", "words"]).groupBy("source").agg(
         F.sum(F.size("ids")).cast("bigint").alias("tokens"),
         F.sum("words").cast("bigint").alias("words"),
         F.round(F.sum(F.size("ids")) / F.sum("words"), 6).alias("fertility"))
 
 
-def special_audit(spark: SparkSession, model: BpeModel) -> DataFrame:
-    """Every declared special resolves to an id in the vocabulary."""
+def special_audit(vocab: DataFrame) -> DataFrame:
+    """Every declared special resolves to an id in the stored vocabulary
+    table (``id, token_hex, special, text``)."""
+    spark = vocab.sparkSession
     want = spark.createDataFrame([(s, i) for i, s in enumerate(SPECIAL_TOKENS)],
                                  "text string, declared int")
-    vocab = model.vocab_df(spark).filter("special").select("text", "id")
-    return want.join(F.broadcast(vocab), "text", "left").select(
+    found = vocab.filter("special").select("text", "id")
+    return want.join(found, "text", "left").select(
         "text", "declared", F.col("id"), F.col("id").isNotNull().alias("resolved"))

@@ -6,12 +6,12 @@ planned on counts and the arrays sliced afterwards.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import prefix_sum
+from ..functions.ordering import null_safe_join, prefix_sum
 from ..functions.text import EOT_ID
 
 VAL_FRAC = 0.005     # head share held out for validation (fixed value)
@@ -28,20 +28,31 @@ def with_length(df: DataFrame, ids: str = "ids", n: str = "n") -> DataFrame:
     return df.withColumn(n, F.size(F.col(ids)).cast("bigint"))
 
 
-def budget_cut(df: DataFrame, budget: int, part: Sequence[str] = ("source",),
-               order: str = "doc_id", n: str = "n", ids: str | None = "ids") -> DataFrame:
-    """Documents in order until the running total reaches ``budget`` (the
-    crossing document included), truncated to exactly ``budget`` tokens.
+UNLIMITED = (1 << 63) - 1
 
-    Adds ``off`` (tokens before the doc) and ``m`` (tokens kept). Buckets that
-    start past the budget are dropped before the row-level window.
+
+def budget_of(budget: int | Mapping[str, int] | None, source: str = "source") -> Column:
+    """One budget for all sources, one per source (others have none), or none."""
+    if budget is None or isinstance(budget, int):
+        return F.lit(UNLIMITED if budget is None else budget).cast("bigint")
+    out = F.lit(UNLIMITED).cast("bigint")
+    for name, b in budget.items():
+        out = F.when(F.col(source) == name, F.lit(b).cast("bigint")).otherwise(out)
+    return out
+
+
+def budget_cut(df: DataFrame, budget: int | Mapping[str, int] | None, part: Sequence[str] = ("source",),
+               order: str = "doc_id", n: str = "n", tie: Sequence[str] = ()) -> DataFrame:
+    """Documents in order until the running total reaches the source's
+    budget (the crossing document included), truncated to exactly as many.
+
+    Adds ``off`` (tokens before the doc) and ``m`` (tokens kept). Ranges that
+    start past the budget are dropped before the row-level window. Pass keys
+    and counts only.
     """
-    cum = prefix_sum(df, part, order, n, "off", stop_at=budget)
-    kept = cum.filter(F.col("off") < F.lit(budget))
-    kept = kept.withColumn("m", F.least(F.col(n), F.lit(budget) - F.col("off")).cast("bigint"))
-    if ids and ids in df.columns:
-        kept = kept.withColumn(ids, F.slice(F.col(ids), 1, F.col("m").cast("int")))
-    return kept
+    cum = prefix_sum(df, part, order, n, "off", stop_at=None if budget is None else budget_of(budget), tie=tie)
+    left = budget_of(budget) - F.col("off")
+    return cum.filter(left > 0).withColumn("m", F.least(F.col(n), left).cast("bigint"))
 
 
 def progress_marks(df: DataFrame, budget: int, step: int = PROGRESS_STEP,
@@ -63,17 +74,19 @@ def source_totals(kept: DataFrame, part: Sequence[str] = ("source",),
 
 
 def head_split(kept: DataFrame, val_frac: float = VAL_FRAC,
-               part: Sequence[str] = ("source",), ids: str | None = "ids") -> DataFrame:
+               part: Sequence[str] = ("source",), ids: str | None = "ids",
+               n_val: str | None = None) -> DataFrame:
     """The first ``floor(total * val_frac)`` tokens of each source are val,
     the rest train; a document may straddle the cut and yield two segments.
 
     Output: ``(*part, split, doc_id, pos, len[, ids])`` where ``pos`` is the
-    segment's offset inside its split. The per-source totals table has one row
-    per source, so it is broadcast.
+    segment's offset inside its split. The totals have one row per source.
     """
     part = list(part)
-    tot = source_totals(kept, part, val_frac)
-    j = kept.join(F.broadcast(tot.select(*part, "n_val")), part)
+    if n_val:                                   # the caller knows the cut of each row
+        j = kept.withColumn("n_val", F.col(n_val))
+    else:
+        j = null_safe_join(kept, source_totals(kept, part, val_frac).select(*part, "n_val"), part)
     off, m, nv = F.col("off"), F.col("m"), F.col("n_val")
     val_len = F.least(off + m, nv) - off
     train_start = F.greatest(off, nv)

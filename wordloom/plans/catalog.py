@@ -148,7 +148,8 @@ def b8_encode_bytes(spark, sf):
 def b8_encode_merged(spark, sf):
     m = trained_model(spark, sf)
     e = tk.encode(tables.corpus(spark, sf), m, ["source", "doc_id"])
-    return e.select("source", "doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
+    return e.select("source", "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                    ids_string(F.col("ids")).alias("ids"))
 
 
 @query("b9_decode")
@@ -169,7 +170,9 @@ def b11_fertility(spark, sf):
 
 @query("b12_special_audit")
 def b12_special_audit(spark, sf):
-    return tk.special_audit(spark, trained_model(spark, sf))
+    path = fs.scratch_path(spark, "tokenizer")
+    fs.save_tokenizer(spark, trained_model(spark, sf), path)
+    return tk.special_audit(fs.read_vocab(spark, path))
 
 
 # --- C: token corpus ----------------------------------------------------------------
@@ -187,10 +190,23 @@ def c1_eot_append(spark, sf):
 
 @query("c2_budget_cut")
 def c2_budget_cut(spark, sf):
-    k = tok.budget_cut(_lengths(spark, sf), P.BUDGET, ids=None)
+    k = tok.budget_cut(_lengths(spark, sf), P.BUDGET)
+    return k.select("source", "doc_id", F.col("off").cast("bigint").alias("off"), "m")
+
+
+@query("c2_source_budgets")
+def c2_source_budgets(spark, sf):
+    k = tok.budget_cut(_lengths(spark, sf), P.SOURCE_BUDGETS)
     return k.select("source", "doc_id", F.col("off").cast("bigint").alias("off"), "m")
 
 
+@query("c3_head_split_merged")
+def c3_head_split_merged(spark, sf):
+    s = cb.token_segments(tables.corpus(spark, sf), trained_model(spark, sf), P.BUDGET // 2)
+    return s.select("source", "split", "doc_id", F.col("pos").cast("bigint").alias("pos"),
+                    F.col("len").cast("bigint").alias("len"))
+
+
 @query("c3_head_split")
 def c3_head_split(spark, sf):
     s = cb.length_segments(tables.corpus(spark, sf), P.BUDGET)
@@ -211,13 +227,13 @@ def c5_corpus_report(spark, sf):
 
 @query("c6_id_guard")
 def c6_id_guard(spark, sf):
-    segs = cb.token_segments(tables.corpus(spark, sf), None, P.FULL_BUDGET)
+    segs = cb.token_segments(tables.corpus(spark, sf), None, None)
     return tok.id_guard(segs, P.BYTE_VOCAB)
 
 
 @query("a5_token_blocks")
 def a5_token_blocks(spark, sf):
-    segs = cb.token_segments(tables.corpus(spark, sf), None, P.FULL_BUDGET)
+    segs = cb.token_segments(tables.corpus(spark, sf), None, None)
     b = tok.to_blocks(segs)
     return b.select("source", "split", "block_id", F.size("toks").cast("bigint").alias("n"),
                     ids_string(F.col("toks")).alias("toks"))
@@ -225,31 +241,42 @@ def a5_token_blocks(spark, sf):
 
 # --- D: mixing loader ---------------------------------------------------------------
 
+_BLOCKS: dict[tuple, str] = {}
+
+
 def byte_blocks(spark, sf):
-    """The stored token corpus at byte level (whole corpus: the reference's budget),
-    materialised once in the session's checkpoint folder like the reference's
-    token files, so every loader reads a stored table."""
-    return cb.stored_blocks(tables.corpus(spark, sf), None, P.FULL_BUDGET)
+    """The stored token corpus at byte level, written once per session like the
+    reference's token files; every loader reads the same Parquet, pruned to the
+    sources and splits it needs."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BLOCKS:
+        path = fs.scratch_path(spark, "blocks")
+        cb.stored_blocks(tables.corpus(spark, sf), None, path=path)
+        _BLOCKS[key] = path
+    return fs.read_blocks(spark, _BLOCKS[key])
+
+
+def byte_split_lengths(spark, sf):
+    """Tokens per source and split, from text lengths alone: no block is built."""
+    return cb.split_lengths(tables.corpus(spark, sf))
 
 
 @query("d1_split_resolution")
 def d1_split_resolution(spark, sf):
-    lengths = mx.split_lengths(byte_blocks(spark, sf))
-    r = mx.resolve_mix(mx.mix_frame(spark, P.MIX), lengths, "val", P.SEQ_LEN)
+    r = mx.resolve_mix(mx.mix_frame(spark, P.MIX), byte_split_lengths(spark, sf), "val", P.SEQ_LEN)
     return r.select("source", "ord", "read_split", "n", "fell_back", "drop_reason")
 
 
 @query("d3_mix_weights")
 def d3_mix_weights(spark, sf):
-    lengths = mx.split_lengths(byte_blocks(spark, sf))
-    b = mx.mix_bounds(mx.resolve_mix(mx.mix_frame(spark, P.MIX), lengths, "train", P.SEQ_LEN))
+    b = mx.mix_bounds(mx.resolve_mix(mx.mix_frame(spark, P.MIX), byte_split_lengths(spark, sf), "train", P.SEQ_LEN))
     return b.select("source", "n", r6(F.col("p")).alias("p"), r6(F.col("lo")).alias("lo"),
                     r6(F.col("hi")).alias("hi"))
 
 
 @query("d4_source_picks")
 def d4_source_picks(spark, sf):
-    b = mx.resolved_bounds(spark, byte_blocks(spark, sf), P.MIX, "train", P.SEQ_LEN)
+    b = mx.resolved_bounds(spark, byte_split_lengths(spark, sf), P.MIX, "train", P.SEQ_LEN)
     d = mx.draw_windows(spark, b, P.N_BATCHES * P.BATCH, P.SEQ_LEN, P.BATCH, P.SEED, "train")
     return d.select("i", "source", "start")
 
@@ -257,20 +284,20 @@ def d4_source_picks(spark, sf):
 @query("d6_mixed_windows")
 def d6_mixed_windows(spark, sf):
     w = mx.mixed_batches(spark, byte_blocks(spark, sf), P.MIX, P.SEQ_LEN, P.BATCH,
-                         P.N_BATCHES, P.SEED)
+                         P.N_BATCHES, P.SEED, lengths=byte_split_lengths(spark, sf))
     return mx.windows_as_strings(w)
 
 
 @query("d9_batch_audit")
 def d9_batch_audit(spark, sf):
     w = mx.mixed_batches(spark, byte_blocks(spark, sf), P.MIX, P.SEQ_LEN, P.BATCH,
-                         P.N_BATCHES, P.SEED)
+                         P.N_BATCHES, P.SEED, lengths=byte_split_lengths(spark, sf))
     return mx.batch_audit(w, P.SEQ_LEN, P.BYTE_VOCAB)
 
 
 @query("d10_run_plan")
 def d10_run_plan(spark, sf):
-    lengths = mx.split_lengths(byte_blocks(spark, sf))
+    lengths = byte_split_lengths(spark, sf)
     presets = spark.createDataFrame(list(P.PRESETS),
                                     "preset string, seq_len int, batch_size int, grad_accum int, max_steps int")
     return mx.run_plan(presets, lengths)
@@ -280,7 +307,7 @@ def d10_run_plan(spark, sf):
 def d11_val_windows(spark, sf):
     srcs = [s for s in P.MIX if s != "xx"]
     w = mx.val_windows(spark, byte_blocks(spark, sf), srcs, P.SEQ_LEN, P.VAL_BATCH,
-                       P.VAL_BATCHES, P.EVAL_ROUNDS, P.SEED)
+                       P.VAL_BATCHES, P.EVAL_ROUNDS, P.SEED, lengths=byte_split_lengths(spark, sf))
     return w.select("loader", "eval_round", "batch_id", "seq_in_batch", "source", "split",
                     "start", ids_string(F.col("x")).alias("x"), ids_string(F.col("y")).alias("y"))
 
@@ -346,6 +373,14 @@ def e7_chat_encode(spark, sf):
                     F.md5(ids_string(F.col("labels"))).alias("labels_md5"))
 
 
+@query("e7_chat_encode_merged")
+def e7_chat_encode_merged(spark, sf):
+    e = ch.chat_encode(_chat_union(spark, sf), trained_model(spark, sf))
+    return e.select("source", "row_id", F.col("n_prompt").cast("int").alias("n_prompt"),
+                    F.size("full").cast("int").alias("n_full"),
+                    F.md5(ids_string(F.col("full"))).alias("full_md5"))
+
+
 @query("e8_truncate_mask")
 def e8_truncate_mask(spark, sf):
     e = _examples(spark, sf)
@@ -478,7 +513,7 @@ def f9_heldout_loss(spark, sf):
     blocks = byte_blocks(spark, sf)
     srcs = [s for s in P.MIX if s != "xx"]
     w = mx.val_windows(spark, blocks, srcs, P.SEQ_LEN, P.VAL_BATCH, P.VAL_BATCHES,
-                       P.EVAL_ROUNDS, P.SEED)
+                       P.EVAL_ROUNDS, P.SEED, lengths=byte_split_lengths(spark, sf))
     return ev.heldout_loss(w, ev.fit_bigram(blocks, P.BYTE_VOCAB, P.LAMBDA))
 
 
@@ -548,14 +583,17 @@ def g8_start_end_gap(spark, sf):
 
 # --- A4-A9, S1-S3: sinks, sources and streams ----------------------------------------------
 
-def _doc_schema(spark, sf):
-    return tables.table(spark, sf, "documents", spread=False).schema
+def _document_files(spark, sf, base: str, n: int = 4):
+    """The documents as a folder of ``n`` files, for streams of several triggers."""
+    path = st.sub(base, "files")
+    tables.table(spark, sf, "documents").repartition(n, "doc_id").write.parquet(path)
+    return st.file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
 
 
 @query("a4_stream_ingest")
 def a4_stream_ingest(spark, sf):
     base = fs.scratch_path(spark, "ingest")
-    stream = st.file_stream(spark, sf, _doc_schema(spark, sf), glob="documents.parquet")
+    stream = _document_files(spark, sf, base)
     st.ingest_corpus(stream, "lang", tables.LANG_REGISTRY, st.sub(base, "out"), st.sub(base, "ckpt"))
     out = spark.read.parquet(st.sub(base, "out"))
     return out.select("source", "ord", "doc_id", F.md5("text").alias("text_md5"))
@@ -576,7 +614,7 @@ def a6_build_if_absent(spark, sf):
     corpus = tables.corpus(spark, sf)
 
     def build(c):
-        return tok.to_blocks(cb.token_segments(c, None, P.FULL_BUDGET))
+        return tok.to_blocks(cb.token_segments(c, None, None))
     # pass 1 builds two sources; pass 2 must only add the missing ones
     first = corpus.filter(F.col("source").isin("en", "de"))
     fs.build_if_absent(first, build, path)
@@ -616,7 +654,7 @@ def a9_metrics_jsonl(spark, sf):
 @query("s2_stream_piece_counts")
 def s2_stream_piece_counts(spark, sf):
     base = fs.scratch_path(spark, "pieces")
-    stream = st.file_stream(spark, sf, _doc_schema(spark, sf), glob="documents.parquet")
+    stream = _document_files(spark, sf, base)
     st.piece_counts_stream(stream, "lang", tables.LANG_REGISTRY, st.sub(base, "out"),
                            st.sub(base, "ckpt"))
     out = st.latest(spark, st.sub(base, "out"), ["piece"], ["n"])
@@ -629,7 +667,7 @@ def s3_stream_run_best(spark, sf):
     logs = st.sub(base, "logs")
     fs.write_metrics_jsonl(tables.metrics(spark, sf).drop("ts"), logs)
     schema = spark.read.json(logs).schema
-    stream = st.file_stream(spark, logs, schema, fmt="json")
+    stream = st.file_stream(spark, logs, schema, fmt="json", files_per_trigger=1)
     st.run_best_stream(stream, st.sub(base, "out"), st.sub(base, "ckpt"))
     out = st.latest(spark, st.sub(base, "out"), ["run"], ["best_val", "rows"])
     return out.select("run", r6(F.col("best_val")).alias("best_val"),
@@ -638,19 +676,21 @@ def s3_stream_run_best(spark, sf):
 
 @query("e13_completion_extraction")
 def e13_completion_extraction(spark, sf):
-    p = ch.inference_prompts(tables.table(spark, sf, "benchmark", ["item_id", "text"]), None)
-    sc = _scorer(spark, sf)
-    from ..functions.text import EOT_ID
-    chat = ev.greedy_generate(p.select("item_id", F.col("chat").alias("prompt")), sc, P.GEN_TOKENS, EOT_ID)
-    plain = ev.greedy_generate(p.select("item_id", F.col("plain").alias("prompt")), sc, P.GEN_TOKENS, EOT_ID)
-    c = ch.completion(chat, True).select("item_id", ids_string(F.col("completion")).alias("chat_completion"))
-    q = ch.completion(plain, False).select("item_id", ids_string(F.col("completion")).alias("plain_output"))
-    return c.join(q, "item_id")
+    """Completions of stored conversations: the response ids without the chat
+    prompt, and the plain form with it."""
+    pairs = ch.instr_to_chat(tables.instr(spark, sf)).withColumn("source", F.lit("instr"))
+    enc = ch.chat_encode(pairs, None)
+    chat = ch.completion(enc.select("row_id", F.slice("full", 1, F.col("n_prompt")).alias("prompt"),
+                                    F.col("full").alias("out")), True)
+    t = pairs.select("row_id", F.col("user").alias("u"), F.concat("user", "assistant").alias("ua"))
+    plain = ch.completion(tk.encode(t, None, ["row_id"], text=["u", "ua"], out=["prompt", "out"]), False)
+    c = chat.select("row_id", ids_string(F.col("completion")).alias("chat_completion"))
+    return c.join(plain.select("row_id", ids_string(F.col("completion")).alias("plain_output")), "row_id")
 
 
 @query("d10_realised_mix")
 def d10_realised_mix(spark, sf):
-    b = mx.resolved_bounds(spark, byte_blocks(spark, sf), P.MIX, "train", P.SEQ_LEN)
+    b = mx.resolved_bounds(spark, byte_split_lengths(spark, sf), P.MIX, "train", P.SEQ_LEN)
     d = mx.draw_windows(spark, b, P.N_BATCHES * P.BATCH, P.SEQ_LEN, P.BATCH, P.SEED, "train")
     return mx.realised_mix(d, b)
 

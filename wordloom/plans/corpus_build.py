@@ -4,17 +4,20 @@ documents -> non-blank -> encode -> EOT -> budget -> head split -> blocks/report
 """
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import prefix_sum
-from ..functions.text import EOT_ID, byte_ids
+from ..functions.ordering import null_safe_join
 from ..operators.bpe import BpeModel
 from ..operators.tokenizer import encode
-from ..operators.tokens import (VAL_FRAC, append_eot, budget_cut, head_split, to_blocks,
-                                with_length)
+from ..operators.tokens import (VAL_FRAC, append_eot, budget_cut, head_split, source_totals,
+                                to_blocks, with_length)
 from ..session import checkpoint_dir
 
+Budget = int | Mapping[str, int] | None
+
 
 def byte_lengths(corpus: DataFrame) -> DataFrame:
     """Token counts at byte level (no merges): UTF-8 bytes + the EOT id."""
@@ -22,62 +25,53 @@ def byte_lengths(corpus: DataFrame) -> DataFrame:
                          (F.octet_length("text") + 1).cast("bigint").alias("n"))
 
 
-def length_segments(corpus: DataFrame, budget: int, val_frac: float = VAL_FRAC) -> DataFrame:
+def length_segments(corpus: DataFrame, budget: Budget, val_frac: float = VAL_FRAC) -> DataFrame:
     """Phase-0 plan on counts only: which part of each doc lands in which split."""
-    kept = budget_cut(byte_lengths(corpus), budget, ids=None)
-    return head_split(kept, val_frac, ids=None)
-
-
-def _prune_by_lower_bound(corpus: DataFrame, model: BpeModel, budget: int) -> DataFrame:
-    """Drop documents that start past the budget even if every token were as
-    long as the longest token in the vocabulary. Exact: a dropped document could
-    never be reached, so no encode work is spent on it.
-
-    Per-source totals of the bound come first (one row per source): where
-    even the total stays under the budget nothing can be pruned and the rows
-    pass untouched; elsewhere only the keys are ranked and the survivors meet
-    the text in one semi-join."""
-    longest = max(len(b) for b in model.token_bytes())
-    lb = (F.ceil(F.octet_length("text") / F.lit(longest)) + 1).cast("bigint")
-    totals = corpus.groupBy("source").agg(F.sum(lb).alias("t")).collect()
-    over = [r.source for r in totals if r.t is not None and r.t > budget]
-    if not over:
-        return corpus
-    hot = F.col("source").isin(over)
-    keys = corpus.filter(hot).select("source", "doc_id", lb.alias("__lb"))
-    cum = prefix_sum(keys, ["source"], "doc_id", "__lb", "__off", stop_at=budget)
-    kept = cum.filter(F.col("__off") < budget).select("source", "doc_id")
-    return corpus.filter(~hot).unionByName(
-        corpus.filter(hot).join(kept, ["source", "doc_id"], "left_semi"))
-
-
-def token_documents(corpus: DataFrame, model: BpeModel | None, budget: int) -> DataFrame:
-    """C1 + C2 on real ids: ``(source, ord, doc_id, off, m, ids)`` for kept docs."""
-    if model is None or not model.merges:
-        # counts are known without encoding: cut first, build arrays for kept docs only
-        lens = corpus.withColumn("n", (F.octet_length("text") + 1).cast("bigint"))
-        kept = budget_cut(lens, budget, ids=None)
-        ids = F.slice(F.concat(byte_ids(F.col("text")), F.array(F.lit(EOT_ID))), 1,
-                      F.col("m").cast("int"))
-        return kept.select("source", "ord", "doc_id", "off", "m", ids.alias("ids"))
-    pruned = _prune_by_lower_bound(corpus, model, budget)
-    enc = encode(pruned, model, ["source", "ord", "doc_id"])
-    enc = with_length(append_eot(enc))
-    return budget_cut(enc, budget).select("source", "ord", "doc_id", "off", "m", "ids")
-
-
-def token_segments(corpus: DataFrame, model: BpeModel | None, budget: int,
-                   val_frac: float = VAL_FRAC) -> DataFrame:
-    """C3 on real ids: ``(source, split, doc_id, pos, len, ids)``."""
-    return head_split(token_documents(corpus, model, budget), val_frac)
+    return head_split(budget_cut(byte_lengths(corpus), budget), val_frac, ids=None)
 
 
-def stored_blocks(corpus: DataFrame, model: BpeModel | None, budget: int,
-                  val_frac: float = VAL_FRAC) -> DataFrame:
-    """A5: the block table, materialised through a reliable checkpoint (the
-    session's shared checkpoint folder), so later jobs read it instead of
-    re-running the build and a lost executor does not lose it."""
+def split_lengths(corpus: DataFrame, budget: Budget = None, val_frac: float = VAL_FRAC) -> DataFrame:
+    """Tokens per (source, split) at byte level, from counts alone."""
+    return (length_segments(corpus, budget, val_frac).groupBy("source", "split")
+            .agg(F.sum("len").cast("bigint").alias("n")))
+
+
+def encoded_documents(corpus: DataFrame, model: BpeModel | None) -> DataFrame:
+    """``(source, ord, doc_id, rid, n, ids)``, encoded once and kept in the
+    session's checkpoint folder; ``rid`` tells rows apart whose ids repeat."""
     checkpoint_dir(corpus.sparkSession)
-    blocks = to_blocks(token_segments(corpus, model, budget, val_frac))
-    return blocks.checkpoint(eager=True)
+    enc = with_length(append_eot(encode(corpus, model, ["source", "ord", "doc_id"])))
+    return enc.withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+
 
+def token_documents(corpus: DataFrame, model: BpeModel | None, budget: Budget) -> DataFrame:
+    """C1 + C2 on real ids: ``(source, ord, doc_id, off, m, ids)`` for kept docs.
+    Only keys and counts go through the running sum."""
+    enc = encoded_documents(corpus, model)
+    kept = budget_cut(enc.select("source", "doc_id", "rid", "n"), budget, tie=["rid"])
+    rows = enc.select("ord", "rid", "ids").join(kept, "rid")
+    return rows.select("source", "ord", "doc_id", "off", "m",
+                       F.slice("ids", 1, F.col("m").cast("int")).alias("ids"))
+
+
+def token_segments(corpus: DataFrame, model: BpeModel | None, budget: Budget,
+                   val_frac: float = VAL_FRAC) -> DataFrame:
+    """C3 on real ids: ``(source, split, doc_id, pos, len, ids)``. The split is
+    found on counts; the encoded rows meet it once."""
+    enc = encoded_documents(corpus, model)
+    kept = budget_cut(enc.select("source", "doc_id", "rid", "n"), budget, tie=["rid"])
+    totals = source_totals(kept, val_frac=val_frac).select("source", "n_val")
+    cut = null_safe_join(kept, totals, ["source"]).select("rid", "off", "m", "n_val")
+    rows = enc.select("source", "doc_id", "rid", "ids").join(cut, "rid")
+    return head_split(rows, val_frac, n_val="n_val")
+
+
+def stored_blocks(corpus: DataFrame, model: BpeModel | None, budget: Budget = None, path: str | None = None,
+                  val_frac: float = VAL_FRAC) -> DataFrame:
+    """A5: the block table as Parquet, partitioned by source and split, so loaders
+    read only the partitions and columns they need."""
+    from ..sources.files import read_blocks, scratch_path, write_blocks
+    spark = corpus.sparkSession
+    path = path or scratch_path(spark, "blocks")
+    write_blocks(to_blocks(token_segments(corpus, model, budget, val_frac)), path)
+    return read_blocks(spark, path)

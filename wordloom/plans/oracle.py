@@ -34,7 +34,7 @@ CORPUS = r"""corpus as (
 LENS = """lens as (select source, ord, doc_id, strlen(text)::bigint + 1 as n from corpus)"""
 
 
-def cut_sql(budget: int) -> str:
+def cut_sql(budget: int | str) -> str:
     return f"""cum as (
   select *, sum(n) over (partition by source order by doc_id
                          rows between unbounded preceding and current row) - n as off
@@ -130,11 +130,72 @@ _SQL["b12_special_audit"] = """select text, declared, declared as id, true as re
 ) t(text, declared)
 where (select count(*) from documents) > 0"""
 
+
+# --- learned merges: one CTE per merge, symbols as characters (id + 256) ---------------
+
+def _learned() -> list[str]:
+    """``m0..`` with the best pair of every step, ``merges`` and ``vocab``."""
+    out = [PIECE_COUNTS, f"""st0 as materialized (select array_to_string(list_transform({byte_ids_sql('piece')},
+  lambda x: chr((x + 256)::int)), '') as s, n from pc)"""]
+    for k in range(P.VOCAB - 261):
+        new = 261 + k
+        out.append(f"""m{k} as materialized (select {k} as rank, unicode(l) - 256 as left_id, unicode(r) - 256 as right_id,
+  {new} as new_id, l || r as pair from (
+  select substr(s, i::int, 1) as l, substr(s, i::int + 1, 1) as r, sum(n) as c
+  from (select s, n, unnest(range(1, length(s))) as i from st{k}) group by all) where c >= 2
+  order by c desc, greatest(unicode(l), unicode(r)), unicode(l), unicode(r) limit 1)""")
+        out.append(f"""st{k + 1} as materialized (select replace(s, (select pair from m{k}), chr({new + 256})) as s, n from st{k})""")
+    out.append("merges as (" + " union all ".join(f"select * from m{k}" for k in range(P.VOCAB - 261)) + ")")
+    return out
+
+
+_LEARNED = [CORPUS, *_learned()]
+# st<last> holds every training piece in merged symbols; any other piece is merged the same way
+_MERGED_ALL = "s0"
+for _k in range(P.VOCAB - 261):
+    _MERGED_ALL = f"replace({_MERGED_ALL}, (select pair from m{_k}), chr({261 + _k + 256}))"
+
+
+def merged_ids_sql(table: str, keys: str, text: str, name: str) -> list[str]:
+    """``name (keys, ids)``: learned ids of ``text`` in ``table``."""
+    return [f"""{name}_p as (select {keys}, unnest({pieces_sql(text)}) as piece,
+  unnest(range(0, len({pieces_sql(text)}))) as pos from {table})""",
+            f"""{name}_d as (select piece, list_transform(regexp_extract_all(s1, '(?s).'), lambda c: unicode(c) - 256) as e from (
+  select piece, {_MERGED_ALL} as s1 from (select piece, array_to_string(list_transform({byte_ids_sql('piece')},
+  lambda x: chr((x + 256)::int)), '') as s0 from (select distinct piece from {name}_p))))""",
+            f"""{name} as (select {keys}, flatten(list(e order by pos)) as ids from {name}_p join {name}_d using (piece)
+  group by all)"""]
+
+
+_SQL["b6_learn_merges"] = _w(*_LEARNED) + "select rank, left_id, right_id, new_id from merges"
+_SQL["a7_tokenizer_tables"] = _SQL["b6_learn_merges"]
+
+
+def _vocab() -> str:
+    out = ["v0 as (select i::int as id, case when i < 5 then '' else printf('%02X', i - 5) end as hex from range(0, 261) r(i))"]
+    for k in range(P.VOCAB - 261):
+        out.append(f"""v{k + 1} as (select id, hex from v{k} union all select new_id, a.hex || b.hex from m{k}
+  join v{k} a on a.id = left_id join v{k} b on b.id = right_id)""")
+    return _w(*_LEARNED, *out) + f"select id, hex as token_hex, id < 5 as special from v{P.VOCAB - 261}"
+
+
+_SQL["b7_vocab"] = _vocab()
+_ENCODED = [*_LEARNED, *merged_ids_sql("corpus", "source, ord, doc_id", "text", "learned")]
+_SQL["b8_encode_merged"] = _w(*_ENCODED) + """select source, doc_id, len(ids)::bigint as n_tokens,
+  array_to_string(ids, ' ') as ids from learned"""
+
 _SQL["c1_eot_append"] = _w(CORPUS) + \
     "select source, doc_id, strlen(text)::bigint + 1 as n, 0 as last_id from corpus"
 
 _SQL["c2_budget_cut"] = _w(CORPUS, LENS, cut_sql(P.BUDGET)) + "select source, doc_id, off, m from cut"
 
+_PER_SOURCE = "(case " + " ".join(f"when source = '{k}' then {v}" for k, v in P.SOURCE_BUDGETS.items()) + \
+    f" else {P.NO_BUDGET} end)"
+_SQL["c2_source_budgets"] = _w(CORPUS, LENS, cut_sql(_PER_SOURCE)) + "select source, doc_id, off, m from cut"
+_MERGED_LENS = "lens as (select source, ord, doc_id, len(ids)::bigint + 1 as n from learned)"
+_SQL["c3_head_split_merged"] = _w(*_ENCODED, _MERGED_LENS, cut_sql(P.BUDGET // 2)) + \
+    "select source, split, doc_id, pos::bigint as pos, len::bigint as len from segs"
+
 _SQL["c3_head_split"] = _w(CORPUS, LENS, cut_sql(P.BUDGET)) + \
     "select source, split, doc_id, pos::bigint as pos, len::bigint as len from segs"
 
@@ -146,14 +207,14 @@ _SQL["c5_corpus_report"] = _w(CORPUS, LENS, cut_sql(P.BUDGET)) + """select sourc
 
 _DOC_IDS = f"""docids as (select source, doc_id, list_concat({byte_ids_sql('text')}, [0]) as ids from corpus)"""
 
-_SQL["c6_id_guard"] = _w(CORPUS, LENS, cut_sql(P.FULL_BUDGET), _DOC_IDS,
+_SQL["c6_id_guard"] = _w(CORPUS, LENS, cut_sql(P.NO_BUDGET), _DOC_IDS,
                          """sids as (select s.source, d.ids[s.skip + 1 : s.skip + s.len] as ids
   from segs s join docids d using (source, doc_id))""") + \
     f"""select source, min(list_min(ids))::int as min_id, max(list_max(ids))::int as max_id,
   sum(len(list_filter(ids, lambda x: x < 0 or x >= {P.BYTE_VOCAB})))::bigint as violations
 from sids group by source"""
 
-_SQL["a5_token_blocks"] = _w(CORPUS, LENS, cut_sql(P.FULL_BUDGET), _DOC_IDS,
+_SQL["a5_token_blocks"] = _w(CORPUS, LENS, cut_sql(P.NO_BUDGET), _DOC_IDS,
                              """u as (select source, doc_id, unnest(ids) as tok,
   unnest(range(0, len(ids))) as j from docids)""",
                              """t as (select s.source, s.split, s.pos + u.j - s.skip as p, u.tok
@@ -169,7 +230,7 @@ def oracle() -> dict[str, str]:
 
 # --- D: mixing --------------------------------------------------------------------
 
-_FLAT = [CORPUS, LENS, cut_sql(P.FULL_BUDGET), _DOC_IDS,
+_FLAT = [CORPUS, LENS, cut_sql(P.NO_BUDGET), _DOC_IDS,
          """u as (select source, doc_id, unnest(ids) as tok, unnest(range(0, len(ids))) as j from docids)""",
          """t as (select s.source, s.split, s.pos + u.j - s.skip as p, u.tok
   from segs s join u on s.source = u.source and s.doc_id = u.doc_id
@@ -197,12 +258,12 @@ res2 as (select *, case when read_split is null then 'no data'
 
 _BOUNDS = """b0 as (select *, weight / sum(weight) over () as p from res2 where drop_reason is null),
 b1 as (select *, sum(p) over (order by ord rows between unbounded preceding and current row) as hi0 from b0),
-bounds as (select *, hi0 - p as lo,
+bounds as (select *, lag(hi0, 1, 0.0) over (order by ord) as lo,
   case when ord = max(ord) over () then 1.0::double else hi0 end as hi from b1)"""
 
 
 def _uniform(key: str) -> str:
-    return f"(('0x' || substr(md5({key}), 1, 8))::bigint / 4294967296.0)"
+    return f"(('0x' || substr(md5({key}), 1, 13))::bigint / 4503599627370496.0::double)"
 
 
 def _draws(n_seq: int, seed: int, split: str, tag: str = "", batch: int = P.BATCH,
@@ -383,6 +444,11 @@ from chatu"""
 _SQL["e7_chat_encode"] = _w(*_CHAT, _ENC) + """select source, row_id, n_prompt::int as n_prompt,
   len("full")::int as n_full, md5(array_to_string("full", ' ')) as full_md5,
   md5(array_to_string(labels, ' ')) as labels_md5 from enc2"""
+_SQL["e7_chat_encode_merged"] = _w(*_LEARNED, *_CHAT, *merged_ids_sql("chatu", "source, row_id", "chr(10) || \"user\"", "eu"),
+                                   *merged_ids_sql("chatu", "source, row_id", "chr(10) || assistant", "ea")) + \
+    """select source, row_id, (len(eu.ids) + 2)::int as n_prompt, (len(eu.ids) + len(ea.ids) + 3)::int as n_full,
+  md5(array_to_string(list_concat([3], eu.ids, [4], ea.ids, [0]), ' ')) as full_md5
+from eu join ea using (source, row_id)"""
 _SQL["e8_truncate_mask"] = _w(*_CHAT, _ENC, _EX) + \
     'select source, row_id, len("full")::int as n_full, n_target::int as n_target from ex2'
 _SQL["e9_short_drop"] = _w(*_CHAT, _ENC, _EX) + """select e.source, count(*)::bigint as encoded,
@@ -590,7 +656,7 @@ from se s left join (select run, last_value from se where series = 'train_loss')
 
 _SQL["a4_stream_ingest"] = _w(CORPUS) + "select source, ord, doc_id, md5(text) as text_md5 from corpus"
 _SQL["a5_block_sink_roundtrip"] = _SQL["a5_token_blocks"]
-_SQL["a6_build_if_absent"] = _w(CORPUS, LENS, cut_sql(P.FULL_BUDGET), _DOC_IDS,
+_SQL["a6_build_if_absent"] = _w(CORPUS, LENS, cut_sql(P.NO_BUDGET), _DOC_IDS,
                                 """u as (select source, doc_id, unnest(ids) as tok,
   unnest(range(0, len(ids))) as j from docids)""",
                                 """t as (select s.source, s.split, s.pos + u.j - s.skip as p, u.tok
@@ -605,32 +671,10 @@ _SQL["s2_stream_piece_counts"] = _SQL["b4_piece_counts"]
 _SQL["s3_stream_run_best"] = _w(_METRICS) + \
     "select run, round(min(val_avg), 6) as best_val, count(*)::bigint as rows from metrics group by run"
 
-def _e13() -> str:
-    best = f"""gbest as (select prev, first(cur order by logp desc, cur) as nxt from {_score_join(
-        f'(select c.v as prev, r.w as cur from ctxc c, range(0, {P.BYTE_VOCAB}) r(w))', P.LAMBDA)} z
-        group by prev)"""
-    fb = f"""gfb as (select first(r.w order by coalesce(u.cw, 0) desc, r.w) as nxt
-        from range(0, {P.BYTE_VOCAB}) r(w) left join uni u on u.w = r.w)"""
-    prompts = f"""pq as (select item_id,
-        list_concat([3], {byte_ids_sql("chr(10) || text")}, [4, 15]) as chat,
-        {byte_ids_sql("text")} as plain from benchmark)"""
-
-    def chain(col: str, tag: str) -> list[str]:
-        steps = [f"{tag}0 as (select item_id, {col} as pr, {col} as out, false as done from pq)"]
-        for i in range(P.GEN_TOKENS):
-            steps.append(f"""{tag}{i + 1} as (select item_id, pr,
-  case when done then out else list_append(out, nx) end as out, done or nx = 0 as done
-  from (select s.*, coalesce(g.nxt, (select nxt from gfb)) as nx from {tag}{i} s
-        left join gbest g on g.prev = s.out[-1]) t)""")
-        return steps
-    n = P.GEN_TOKENS
-    return _w(*_SCORER, best, fb, prompts, *chain("chat", "gc"), *chain("plain", "gp")) + f"""select c.item_id,
-  array_to_string(c.out[len(c.pr) + 1:], ' ') as chat_completion,
-  array_to_string(p.out, ' ') as plain_output
-from gc{n} c join gp{n} p using (item_id)"""
-
-
-_SQL["e13_completion_extraction"] = _e13()
+_SQL["e13_completion_extraction"] = _w(*_CHAT, _ENC, f"""pl as (select source, row_id,
+  {byte_ids_sql('"user"')} as pr, {byte_ids_sql('"user" || assistant')} as out from chatu)""") + """select e.row_id,
+  array_to_string(resp, ' ') as chat_completion, array_to_string(pl.out, ' ') as plain_output
+from enc e join pl on e.source = pl.source and e.row_id = pl.row_id where e.source = 'instr'"""
 
 
 _SQL["d10_realised_mix"] = _w(*_FLAT, _MIX, _resolve("train"), _BOUNDS, _WIN) + """select b.source,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.ordering import prefix_sum
+from ..functions.ordering import ranked_rows
 from ..functions.text import PY_NONSPACE, truthy
 
 Reader = Callable[[SparkSession], DataFrame]
@@ -39,34 +39,17 @@ def keep_nonblank(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(F.col(text).rlike("(?U)" + PY_NONSPACE))
 
 
-BROADCAST_ROWS = 5_000_000  # measured rank tables up to this many rows are broadcast
-
-
 def cap_per_source(df: DataFrame, max_docs: int | None, part: Sequence[str] = ("source",),
                    order: str = "doc_id") -> DataFrame:
     """A3 cap: first ``max_docs`` rows of each source by ``order``; None/0 = no cap.
 
-    Doc counts per source come first (one row per source); sources within the
-    cap pass through untouched. Only sources over it are ranked, on their keys
-    alone, with the two-level prefix count - so a source holding a third of
-    all rows is still ranked in bucket-sized tasks - and the kept keys meet the
-    rows in one join (broadcast when ``max_docs`` x sources is small).
+    Keys alone are ranked, in range-sized tasks; null sources count as one
+    source, and rows that share a key are taken by the hash of their text.
     """
     if not max_docs:
         return df
-    part = list(part)
-    counts = df.groupBy(*part).count().collect()          # bounded: one row per source
-    over = [tuple(r[c] for c in part) for r in counts if r["count"] > max_docs]
-    if not over:
-        return df
-    key = F.struct(*[F.col(c) for c in part])
-    hot = key.isin([F.struct(*[F.lit(v) for v in t]) for t in over])
-    keys = df.filter(hot).select(*part, order, F.lit(1).cast("bigint").alias("__one"))
-    ranked = prefix_sum(keys, part, order, "__one", "__rank", stop_at=max_docs)
-    kept = ranked.filter(F.col("__rank") < max_docs).select(*part, order)
-    small = max_docs * len(over) <= BROADCAST_ROWS
-    capped = df.filter(hot).join(F.broadcast(kept) if small else kept, part + [order], "left_semi")
-    return df.filter(~hot).unionByName(capped)
+    t = df.withColumn("__tie", F.xxhash64("text"))
+    return ranked_rows(t, list(part), order, "__rank", max_docs, tie=["__tie"]).drop("__tie", "__rank")
 
 
 def scan_source(spark: SparkSession, spec: SourceSpec, ord_: int) -> DataFrame:

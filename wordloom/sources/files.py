@@ -53,7 +53,8 @@ def built_sources(spark: SparkSession, path: str) -> DataFrame:
         b = spark.read.parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], "source string")
-    return b.filter((F.col("split") == "train") & (F.size("toks") > 0)).select("source").distinct()
+    # a block holds a token at least, so a folder's rows tell; only folder names are read
+    return b.filter(F.col("split") == "train").select("source").distinct()
 
 
 def build_if_absent(corpus: DataFrame, build, path: str) -> DataFrame:
@@ -61,10 +62,12 @@ def build_if_absent(corpus: DataFrame, build, path: str) -> DataFrame:
     built, appending their partitions. Returns the list of sources built
     (one row per source)."""
     spark = corpus.sparkSession
-    todo = corpus.join(F.broadcast(built_sources(spark, path)), "source", "left_anti")
-    blocks = build(todo)
-    write_blocks(blocks, path, mode="append")
-    return blocks.select("source").distinct()
+    done = built_sources(spark, path)
+    todo = corpus.join(done.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left_anti")
+    names = todo.select("source").distinct().collect()          # a row per source
+    if names:
+        write_blocks(build(todo), path, mode="append")
+    return spark.createDataFrame(names, "source string")
 
 
 # --- A7: tokenizer tables ---------------------------------------------------------------------
@@ -79,6 +82,10 @@ def load_tokenizer(spark: SparkSession, path: str) -> BpeModel:
     return BpeModel.from_merges_df(spark.read.parquet(os.path.join(path, "merges")))
 
 
+def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(path, "vocab"))
+
+
 def tokenizer_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(os.path.join(path, "merges")).limit(1).count()

@@ -8,34 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
 from .corpus import corpus_by_column
 
 # Registry order of the language sources (fixed value): en, de, es, fr.
 LANG_REGISTRY = ("en", "de", "es", "fr")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
-          spread: bool = True) -> DataFrame:
-    """One driver table, pruned to ``columns``. A scan that yields fewer
-    partitions than the cluster has cores (a small table, or a file with one
-    row group) is spread over all cores once and materialised by a reliable
-    checkpoint - after pruning - so every consumer of it (plans often read a
-    table twice) works in parallel from the same copy. A table of many files
-    is returned as scanned: no extra shuffle at scale."""
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """One driver table, pruned to ``columns`` and dealt over the session's
+    cores: the driver's files hold one row group each, so a scan alone would be
+    one task. Corpora of many files are read by ``scan_sources``, undealt."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if columns:
         df = df.select(*columns)
-    return spread_thin(df) if spread else df
-
-
-def spread_thin(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    checkpoint_dir(spark)
-    return df.repartition(par).checkpoint(eager=True)
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def corpus(spark: SparkSession, sf_dir: str, max_docs: int | None = None) -> DataFrame:

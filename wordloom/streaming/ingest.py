@@ -18,13 +18,6 @@ from ..functions.text import pieces
 from ..operators.tokenizer import TRAIN_CHAR_CAP
 from ..sources.corpus import corpus_by_column
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def _use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def file_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet",
                 glob: str | None = None, files_per_trigger: int = 16) -> DataFrame:
     r = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger)
@@ -63,8 +56,8 @@ def latest(spark: SparkSession, out: str, keys: Sequence[str], values: Sequence[
 def piece_counts_stream(stream: DataFrame, source_col: str, registry: Sequence[str], out: str,
                         checkpoint: str) -> None:
     """Running piece counts (B3 + B4 on capped text) kept in RocksDB
-    state; update mode emits only the pieces a trigger changed."""
-    _use_rocksdb(stream.sparkSession)
+    state; update mode emits only the pieces a trigger changed. All documents
+    count: B4's limit of documents per source needs their whole order."""
     c = corpus_by_column(stream, source_col, registry)
     counts = (c.select(F.explode(pieces(F.substring("text", 1, TRAIN_CHAR_CAP))).alias("piece"))
               .groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
@@ -76,7 +69,6 @@ def piece_counts_stream(stream: DataFrame, source_col: str, registry: Sequence[s
 def run_best_stream(stream: DataFrame, out: str, checkpoint: str) -> None:
     """S3: lowest ``val_avg`` per run over every logged row (before the
     last-wins de-duplication of G4), updated per trigger."""
-    _use_rocksdb(stream.sparkSession)
     best = stream.groupBy("run").agg(F.min("val_avg").alias("best_val"),
                                      F.count(F.lit(1)).alias("rows"))
     q = (best.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
