@@ -29,6 +29,9 @@ HEADLINE = [
 ]
 
 
+MERGES = 120
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -38,7 +41,7 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", app="wordloom-bench",
                           shuffle_partitions=int(cpus) * 2)
     from wordloom.session import checkpoint_dir
-    checkpoint_dir(spark)  # the session's folder; a scratch one only if none is configured
+    folder = checkpoint_dir(spark).removeprefix("file:")  # a scratch one only if none is configured
     from wordloom.plans import catalog
     from wordloom.plans import params as P
     reg = catalog.registry()
@@ -60,8 +63,10 @@ def main() -> None:
     from wordloom.sources import tables
     t0 = time.time()
     pc = tk.training_pieces(tables.corpus(spark, sf_dir), P.TOK_DOCS)
-    model = learn_merges(pc, 261 + 24)
-    times["b6_learn_24_merges"] = round(time.time() - t0, 3)
+    stats: dict = {}
+    model = learn_merges(pc, 261 + MERGES, stats=stats)
+    learn = round(time.time() - t0, 3)
+    times["b6_learn_merges"] = learn
     t0 = time.time()
     enc = tk.encode(tables.corpus(spark, sf_dir), model, ["source", "doc_id"])
     enc.write.format("noop").mode("overwrite").save()
@@ -75,12 +80,16 @@ def main() -> None:
     blocks.write.format("noop").mode("overwrite").save()
     times["corpus_build_merged"] = round(time.time() - t0, 3)
     text_mb = tables.corpus(spark, sf_dir).selectExpr("sum(octet_length(text))").first()[0] / 1e6
-    build = times["b6_learn_24_merges"] + times["corpus_build_merged"]
+    build = times["b6_learn_merges"] + times["corpus_build_merged"]
+    stored = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec",
                       "queries": times, "sf": sf, "cpus": int(cpus),
                       "tokenizer_plus_build": {"sec": round(build, 3), "text_mb": round(text_mb, 2),
-                                               "mb_per_sec": round(text_mb / build, 3)},
+                                               "mb_per_sec": round(text_mb / build, 3),
+                                               "merges": len(model.merges), "rounds": stats["rounds"],
+                                               "sec_per_round": round(learn / max(1, stats["rounds"]), 3)},
+                      "checkpoint_mb": round(stored / 1e6, 1),
                       "warmup": {"dir": warm_dir, "sec": warm_sec}}))
     spark.stop()
 

@@ -78,3 +78,20 @@ def test_topk_matches_brute_force(spark):
         kth = sorted(sc.values(), reverse=True)[k - 1]
         want = {w for w, x in sc.items() if x >= kth - 1e-12}
         assert got[v] == want, v
+
+
+def test_context_scorer_sees_the_whole_sequence(spark):
+    """A model whose probability depends on more than the previous token."""
+    def log_probs(ids):
+        return [-float(sum(ids[:i]) % 7) for i in range(len(ids))]
+
+    cands = spark.createDataFrame([("t", 1, "abc", 0, 0, "xy"), ("t", 1, "abc", 0, 1, "z"), ("t", 2, "q" * 9, 0, 0, "zz")],
+                                  "task string, row_id long, context string, gold int, idx int, option string")
+    for max_len in (100, 5):
+        toks = ev.candidate_tokens(cands, None, max_len)
+        got = {(r.row_id, r.idx): r.score for r in ev.context_scores(toks, log_probs).collect()}
+        for r in toks.collect():
+            kept = list(r.ids)[r.cut:]
+            first = max(r.n_ctx, r.cut + 1) - r.cut
+            want = sum(log_probs(kept)[first:]) / r.n_opt
+            assert abs(got[(r.row_id, r.idx)] - want) < 1e-9

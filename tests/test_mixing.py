@@ -51,7 +51,7 @@ def test_windows_are_flat_slices(spark):
 
 def test_draws_do_not_depend_on_partitioning(spark):
     blocks, _ = _blocks(spark, {("a", "train"): 50, ("b", "train"): 50})
-    b = mx.resolved_bounds(spark, blocks, {"a": 1, "b": 2}, "train", 4)
+    b = mx.resolved_bounds(spark, mx.split_lengths(blocks), {"a": 1, "b": 2}, "train", 4)
     one = mx.draw_windows(spark, b, 200, 4, 8, 1337, "train").orderBy("i").collect()
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
@@ -62,3 +62,30 @@ def test_draws_do_not_depend_on_partitioning(spark):
     # val draws use a different seed
     v = mx.draw_windows(spark, b, 200, 4, 8, 1337, "val").orderBy("i").collect()
     assert [r.start for r in v] != [r.start for r in one]
+
+
+def test_bounds_leave_no_gap(spark):
+    """For any number of equal weights, one bound starts where the last one ends."""
+    for n in (3, 7, 11, 39):
+        lengths = spark.createDataFrame([(f"s{i}", "train", 99) for i in range(n)], "source string, split string, n long")
+        mix = mx.mix_frame(spark, {f"s{i}": 0.1 for i in range(n)})
+        b = mx.mix_bounds(mx.resolve_mix(mix, lengths, "train", 4)).orderBy("ord").collect()
+        assert b[0].lo == 0.0 and b[-1].hi == 1.0
+        assert all(x.hi == y.lo for x, y in zip(b, b[1:]))
+
+
+def test_starts_of_a_large_source_are_spread(spark):
+    """2^45 tokens: the starts fall on far more residues than 32-bit draws could reach."""
+    b = spark.createDataFrame([("a", "train", 1 << 45, 0.0, 1.0)], "source string, read_split string, n long, lo double, hi double")
+    d = mx.draw_windows(spark, b, 2000, 128, 8, 1, "train").select((F.col("start") % 8192).alias("r")).distinct().count()
+    assert d > 1700
+
+
+def test_loader_reads_only_its_partitions(spark):
+    from wordloom.sources.files import read_blocks, scratch_path, write_blocks
+    blocks, _ = _blocks(spark, {("a", "train"): 40, ("a", "val"): 9, ("b", "train"): 40})
+    path = scratch_path(spark, "t-blocks")
+    write_blocks(blocks, path)
+    stored = read_blocks(spark, path).filter("source = 'a' and split = 'val'")
+    assert "PartitionFilters: [isnotnull(source" in stored._jdf.queryExecution().executedPlan().toString()
+    assert stored.count() == 3

@@ -60,11 +60,55 @@ def test_prefix_sum_independent_of_bucket_and_partitions(spark):
             if s == src:
                 want[(s, i)] = acc
                 acc += n
-    for width in (1, 7, 64, 4096):
-        got = prefix_sum(df.repartition(5), ["source"], "doc_id", "n", bucket_width=width).collect()
+    for parts in (1, 5):
+        got = prefix_sum(df.repartition(parts), ["source"], "doc_id", "n").collect()
         assert {(r.source, r.doc_id): r.off for r in got} == want
 
 
+def _plain_offsets(rows):
+    acc, out = {}, []
+    for s, i, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        out.append((s, i, n, acc.get(s, 0)))
+        acc[s] = acc.get(s, 0) + n
+    return sorted(out, key=repr)
+
+
+def test_prefix_sum_null_source_repeated_and_sparse_keys(spark):
+    import random
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", None]), rng.choice([1, 2, 2, -(1 << 62), 1 << 62, rng.getrandbits(62), None]), rng.randrange(9))
+            for _ in range(300)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, n long").repartition(3)
+    got = [(r.source, r.doc_id, r.n, r.off) for r in prefix_sum(df, ["source"], "doc_id", "n").collect()]
+    assert sorted(got, key=repr) == _plain_offsets(rows)
+    cut = budget_cut(df, {"a": 50}).collect()
+    assert sum(r.m for r in cut if r.source == "a") == 50
+    assert sum(r.m for r in cut if r.source is None) == sum(n for s, _, n in rows if s is None)
+
+
+def test_cap_and_blend_with_repeated_keys_and_null_source(spark):
+    from wordloom.operators.tokenizer import blend
+    from wordloom.sources.corpus import cap_per_source
+    rows = [("a", 0, 1, "x"), ("a", 0, 1, "y"), ("a", 0, 1, "z"), ("a", 0, 2, "w"), (None, 0, 1, "p"), (None, 0, 1, "p")]
+    df = spark.createDataFrame(rows, "source string, ord int, doc_id long, text string")
+    for cap, want in ((1, 2), (2, 4), (3, 5), (9, 6)):
+        assert cap_per_source(df, cap).count() == want
+    b = blend(df).collect()
+    assert sorted((str(r.source), r.k) for r in b) == [("None", 0), ("None", 1), ("a", 0), ("a", 1), ("a", 2), ("a", 3)]
+    assert {r.doc_id for r in b if r.k == 3} == {2}
+
+
+def test_documents_are_encoded_once(spark):
+    """The plan behind the segments reads encoded rows; no encoder is left in it."""
+    from wordloom.operators.bpe import BpeModel
+    from wordloom.plans.corpus_build import token_segments
+    df = spark.createDataFrame([("s", 0, i, "ab " * i) for i in range(9)] + [(None, 0, 1, "ab")],
+                               "source string, ord int, doc_id long, text string")
+    segs = token_segments(df, BpeModel([(102, 103)]), None)
+    assert "MapInArrow" not in segs._jdf.queryExecution().executedPlan().toString()
+    assert {r.source for r in segs.select("source").collect()} == {"s", None}
+
+
 def test_merged_build_prunes_exactly(spark):
     """The lower-bound prune never drops a document the budget reaches."""
     from wordloom.operators.bpe import learn_merges

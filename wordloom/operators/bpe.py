@@ -165,14 +165,15 @@ def apply_batch(state: DataFrame, batch: list[tuple[int, int]], first_new: int)
 
 def learn_merges(piece_counts: DataFrame, vocab_size: int, min_frequency: int = 2,
                  batch_limit: int = 64, checkpoint_every: int = 4,
-                 max_rounds: int | None = None) -> BpeModel:
+                 max_rounds: int | None = None, stats: dict | None = None) -> BpeModel:
     """Greedy BPE merges until ``vocab_size`` or no pair reaches ``min_frequency``.
 
     ``piece_counts`` is ``(piece STRING, n BIGINT)`` (B4). Each round is one
     pair aggregation plus a bounded ``limit(batch_limit)`` collect; the batch
     accepted from it is exactly what one-merge-at-a-time greedy would pick.
     The piece table is persisted between rounds and cut by a reliable
-    checkpoint every ``checkpoint_every`` rounds.
+    checkpoint every ``checkpoint_every`` rounds. ``stats``, if given, gets the
+    number of rounds.
     """
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size {vocab_size} exceeds {MAX_VOCAB}")
@@ -209,4 +210,6 @@ def learn_merges(piece_counts: DataFrame, vocab_size: int, min_frequency: int =
         state.unpersist()
     if release is not None:
         release.unpersist()
+    if stats is not None:
+        stats["rounds"] = rounds
     return BpeModel(merges)
