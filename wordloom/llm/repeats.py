@@ -181,16 +181,29 @@ CONTEXT = "h long, doc long, tie int, pos int, left binary, right binary"
 WINDOW_ROW = "w1 long, w2 long, doc long, tie int, pos int"
 
 
+def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes: a shuffle of texts moves and stores less."""
+    for b in batches:
+        data, off = text_bytes(b.column("text"))
+        small = [pa.compress(pa.py_buffer(data[i:j]), "zstd", asbytes=True) for i, j in zip(off[:-1], off[1:])]
+        at = b.schema.names.index("text")
+        cols = [*b.columns[:at], pa.array(small, pa.binary()), *b.columns[at + 1:], pa.array(np.diff(off), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "n"])
+
+
+def _unpress(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for small, n in zip(b.column("text"), b.column("n").to_pylist()):
+        yield np.frombuffer(pa.decompress(small.as_buffer(), n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+
+
 def _contexts(hot: bool):
     """Texts with their anchors in question to the bytes around each (``hot``: to the hash of
     every string around each)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = text_bytes(b.column("text"))
             doc, tie = b.column("doc").to_numpy(), b.column("tie").to_numpy()
             cols: list[list] = [[] for _ in range(6)]
-            for r, raw in enumerate(b.column("edges")):
-                x = data[off[r]:off[r + 1]]
+            for r, (raw, x) in enumerate(zip(b.column("edges"), _unpress(b))):
                 for one in raw.as_py():
                     e = np.frombuffer(one, EDGE)
                     for h, p in zip(e["h"].view(np.int64).tolist(), e["pos"].tolist()):
@@ -321,8 +334,8 @@ def merged(whole: list[bytes], spans: list[bytes], n: int) -> np.ndarray:
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """``(texts, covers)``: the keyed texts ``(id, doc, tie, text)`` and per document what of
-    it is covered (``whole`` anchors and ``spans``)."""
+    """``(texts, covers)``: the keyed texts ``(id, doc, tie, text, n)``, compressed, and per
+    document what of it is covered (``whole`` anchors and ``spans``)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
@@ -330,12 +343,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     sampled = keyed.select("doc", "tie", "text").mapInArrow(_sampler(n_shards), SAMPLED)
+    kind = keyed.schema["id"].dataType.simpleString()
+    pressed = keyed.mapInArrow(_press, f"id {kind}, doc long, tie int, text binary, n long")
     shards = sampled.repartition(n_shards, "shard").sortWithinPartitions("shard")
     first = materialize(shards.mapInArrow(_shard_scan(hot), COVER), "repeat-shards")
 
     def asked(kind: str) -> DataFrame:
         per = first.filter(F.col(kind).isNotNull()).groupBy("doc", "tie").agg(F.collect_list(kind).alias("edges"))
-        return keyed.select("doc", "tie", "text").join(per, ["doc", "tie"])
+        return pressed.select("doc", "tie", "text", "n").join(per, ["doc", "tie"])
 
     near = asked("edges").mapInArrow(_contexts(False), CONTEXT).repartition("h").sortWithinPartitions("h")
     covers = first.filter("whole is not null").unionByName(materialize(near.mapInArrow(_interval_tree, COVER), "repeat-tree"))
@@ -345,7 +360,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   .filter("n > 1").drop("n"))
         later = strings.join(firsts, ["w1", "w2"]).filter(F.struct("doc", "tie", "pos") != F.col("first"))
         covers = covers.unionByName(later.select("doc", "tie", "pos").mapInArrow(_string_spans, COVER))
-    return keyed, covers
+    return pressed, covers
 
 
 def _string_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,10 +371,8 @@ def _string_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, off = text_bytes(b.column("text"))
         out = []
-        for r, (whole, spans) in enumerate(zip(b.column("whole").to_pylist(), b.column("spans").to_pylist())):
-            x = data[off[r]:off[r + 1]]
+        for whole, spans, x in zip(b.column("whole").to_pylist(), b.column("spans").to_pylist(), _unpress(b)):
             runs = merged(whole or [], spans or [], len(x))
             kept, at = hashlib.sha256(), 0
             for s, e in runs.tolist():
@@ -378,6 +391,6 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed, covers = removed_spans(docs, id_col, text_col, hot)
     per = covers.groupBy("doc", "tie").agg(F.collect_list("whole").alias("whole"), F.collect_list("spans").alias("spans"))
     kind = keyed.schema["id"].dataType.simpleString()
-    rows = keyed.join(per, ["doc", "tie"], "left").select("id", "text", "whole", "spans")
+    rows = keyed.join(per, ["doc", "tie"], "left").select("id", "text", "n", "whole", "spans")
     return rows.mapInArrow(_digest, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
                            ).withColumnRenamed("id", id_col)
