@@ -3,12 +3,13 @@
 The tree is fitted on at most ``SAMPLE`` vectors (lowest hashes of vec_id) by spherical
 k-means, ``BRANCH`` children a node, until a leaf stands for ``LEAF`` rows or has fewer than
 ``MIN_SPLIT`` sample vectors. Every row is put into the leaf its vector descends to. A query
-walks the tree with a priority queue, nearest branch first, and names the leaves it visits;
-queries and rows meet by leaf. How many leaves are visited is calibrated: the exact neighbours
+walks the tree with a priority queue, nearest branch first, and names the leaves it visits.
+Neighbouring leaves of about ``PART`` rows together form a bin; queries and rows meet by bin,
+where a query sees the rows of its own leaves only. How many leaves are visited is calibrated: the exact neighbours
 of ``CALIBRATION`` queries are found by one pass over all rows, and visits widen until those
 queries reach ``RECALL`` (at worst all leaves: then the search is exact).
 
-Hot leaves are split on both sides: rows by a hash into parts of ``PART`` rows, queries into
+Large bins are split on both sides: rows by a hash into parts of ``PART`` rows, queries into
 parts of ``QUERY_PART``; each pair of parts is a group of bounded size. Of rows with one and
 the same vector only the k + 1 smallest ids can be among k neighbours, so the others leave
 before the search (they stay queries).
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,14 +145,17 @@ def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((v * v).sum(axis=-1)))
 
 
-def _nearest(q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int):
-    """``(query_id, row, score)`` of each query's k nearest rows, ties to the smaller id."""
+def _nearest(q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, seen=None):
+    """``(query_id, row, score)`` of each query's k nearest rows, ties to the smaller id;
+    ``seen(i, j)`` masks the rows that queries i..j visit."""
     out_q, out_row, out_s = [], [], []
     qu, vu = _unit(q), _unit(v)
     step = max(1, 4_000_000 // max(1, len(v)))
     for i in range(0, len(q), step):
         near = qu[i:i + step] @ vu.T
         near[q_id[i:i + step, None] == ids[None, :]] = -np.inf
+        if seen is not None:
+            near[~seen(i, i + step)] = -np.inf
         kth = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
         rows, cols = np.nonzero((near >= kth[:, None] - 1e-9) & np.isfinite(near))
         s = cosine(q[i + rows], v[cols])
@@ -222,14 +227,15 @@ def calibrate(tree: Tree, indexed: DataFrame, queries: DataFrame, k: int, recall
     return len(tree.leaves)
 
 
-def _visitor(shared, visits: int):
+def _visitor(shared, visits: int, bin_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u = _unit(_matrix(b.column("embedding"))) if b.num_rows else []
             leaves = [shared.value.visit(q, visits) for q in u]
+            bins = [np.unique(bin_of[x]) for x in leaves]
             yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id"), b.column("embedding"), pa.array(leaves, pa.list_(pa.int32()))],
-                names=["vec_id", "embedding", "leaves"])
+                [b.column("vec_id"), b.column("embedding"), pa.array(leaves, pa.list_(pa.int32())),
+                 pa.array(bins, pa.list_(pa.int32()))], names=["vec_id", "embedding", "leaves", "bins"])
     return run
 
 
@@ -252,29 +258,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     element = base.schema["embedding"].dataType.simpleString()
     indexed = materialize(base.mapInArrow(_assigner(shared), f"vec_id long, embedding {element}, leaf int"), "ann-index")
     visits = calibrate(tree, indexed, queries, k, recall, calibration)
-    asked = materialize(
-        queries.mapInArrow(_visitor(shared, visits), f"vec_id long, embedding {element}, leaves array<int>")
-        .select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("leaves").alias("leaf")),
-        "ann-visits")
-
-    def parts(df: DataFrame, size: int, name: str) -> DataFrame:       # a row per leaf
-        return df.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
-
-    split = F.broadcast(parts(indexed, PART, "rp").join(parts(asked, QUERY_PART, "qp"), "leaf").coalesce(1))
+    counts = dict(indexed.groupBy("leaf").count().collect())             # a row per leaf
+    bin_of, size = np.zeros(len(tree.leaves), np.int32), [0]
+    for leaf in range(len(tree.leaves)):                                  # neighbours in the tree
+        if size[-1] and size[-1] + counts.get(leaf, 0) > PART:
+            size.append(0)
+        bin_of[leaf] = len(size) - 1
+        size[-1] += counts.get(leaf, 0)
+    asked = queries.mapInArrow(_visitor(shared, visits, bin_of), f"vec_id long, embedding {element}, leaves array<int>, bins array<int>")
+    asked = materialize(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "leaves",
+                                     F.explode("bins").alias("bin")), "ann-visits")
+    asks = dict(asked.groupBy("bin").count().collect())
+    split = spark.createDataFrame(
+        [(leaf, int(b), max(1, -(-size[b] // PART)), max(1, -(-asks.get(int(b), 0) // QUERY_PART)))
+         for leaf, b in enumerate(bin_of)], "leaf int, bin int, rp int, qp int")
+    bins = F.broadcast(split.drop("leaf").distinct().coalesce(1))         # both bounded by the leaves
     own = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(split, "leaf").select("leaf", own("query_id", "qp").alias("q"), each("rp").alias("r"), "query_id", "query")
-    right = indexed.join(split, "leaf").select("leaf", own("vec_id", "rp").alias("r"), each("qp").alias("q"), "vec_id", "embedding")
+    left = asked.join(bins, "bin").select("bin", own("query_id", "qp").alias("q"), each("rp").alias("r"), "query_id", "query", "leaves")
+    right = indexed.join(F.broadcast(split.coalesce(1)), "leaf").select(
+        "bin", own("vec_id", "rp").alias("r"), each("qp").alias("q"), "vec_id", "embedding", "leaf")
+    n_leaves = len(tree.leaves)
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        ids = b.column("vec_id").to_numpy()
-        q, row, s = _nearest(a.column("query_id").to_numpy(), _matrix(a.column("query")), ids, _matrix(b.column("embedding")), k)
+        visited = np.zeros((a.num_rows, n_leaves), bool)
+        leaves = a.column("leaves").combine_chunks()
+        visited[np.repeat(np.arange(a.num_rows), pa.compute.list_value_length(leaves).to_numpy()), leaves.flatten().to_numpy()] = True
+        ids, leaf = b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
+        q, row, s = _nearest(a.column("query_id").to_numpy(), _matrix(a.column("query")), ids, _matrix(b.column("embedding")), k,
+                             lambda i, j: visited[i:j][:, leaf])
         return pa.table([pa.array(q), pa.array(ids[row]), pa.array(s)], names=names)
 
-    keys = ["leaf", "q", "r"]
+    keys = ["bin", "q", "r"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
