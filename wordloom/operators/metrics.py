@@ -78,11 +78,11 @@ class Schedule:
 
     def at(self, step) -> Column:
         s = step if isinstance(step, Column) else F.lit(step)
-        ratio = (s - self.warmup_steps) / F.lit(max(1, self.max_steps - self.warmup_steps))
-        coeff = F.lit(0.5) * (F.lit(1.0) + F.cos(F.lit(math.pi) * ratio))
-        return (F.when(s < self.warmup_steps, F.lit(self.lr) * (s + 1) / F.lit(self.warmup_steps))
-                .when(s >= self.max_steps, F.lit(self.min_lr))
-                .otherwise(F.lit(self.min_lr) + coeff * F.lit(self.lr - self.min_lr)))
+        warm = F.lit(self.lr) * (s + 1) / F.lit(self.warmup_steps)
+        done = (s - self.warmup_steps) / F.lit(max(1, self.max_steps - self.warmup_steps))
+        left = (F.cos(F.lit(math.pi) * done) + F.lit(1.0)) / F.lit(2.0)      # 1 down to 0
+        decay = F.lit(self.min_lr) + left * F.lit(self.lr - self.min_lr)
+        return F.when(s < self.warmup_steps, warm).when(s >= self.max_steps, F.lit(self.min_lr)).otherwise(decay)
 
 
 def sft_lr(step, total: int, lr: float) -> Column:
