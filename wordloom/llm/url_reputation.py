@@ -84,10 +84,10 @@ def rule_verdict(rule: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def strength(counts: DataFrame) -> Column:
+def strength() -> Column:
     """Prior strength of one level from ``(n, k)`` per group by the method of moments:
     between-group variance of the rates against the binomial variance expected alone.
-    One row; groups without spread give ``MAX_STRENGTH``, fewer than two ``DEFAULT``."""
+    Groups without spread give ``MAX_STRENGTH``, fewer than two ``DEFAULT``."""
     p = F.sum("k") / F.sum("n")
     s2 = F.sum(F.col("n") * F.pow(F.col("k") / F.col("n"), 2)) / F.sum("n") - F.pow(p, 2)
     mean_var = p * (1 - p) * F.count("n") / F.sum("n")
@@ -105,24 +105,23 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     domains = base.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
-    def level(df: DataFrame, as_: str) -> DataFrame:     # one row of bounded size
-        return df.filter("n > 0").agg(strength(df).alias(as_))
+    # a row per level, of a few numbers each
+    levels = [df.select(F.lit(name).alias("level"), "n", "k") for name, df in
+              (("suffix", suffixes), ("domain", domains), ("host", base))]
+    every = levels[0].unionByName(levels[1]).unionByName(levels[2]).filter("n > 0").groupBy("level")
+    found = {r["level"]: r for r in every.agg(strength().alias("m"), F.sum("n").alias("n"), F.sum("k").alias("k")).collect()}
+    m = {name: found[name]["m"] if name in found else DEFAULT_STRENGTH for name in ("suffix", "domain", "host")}
+    top = found.get("suffix")
+    world = ((top["k"] if top else 0) + 0.5) / ((top["n"] if top else 0) + 1.0)
 
-    world = suffixes.agg(F.sum("n").alias("wn"), F.sum("k").alias("wk")).select(
-        ((F.coalesce("wk", F.lit(0)) + 0.5) / (F.coalesce("wn", F.lit(0)) + 1.0)).alias("world"))
-    knobs = (world.join(F.broadcast(level(suffixes, "ms")), F.lit(True))
-             .join(F.broadcast(level(domains, "md")), F.lit(True))
-             .join(F.broadcast(level(base, "mh")), F.lit(True))).first()
+    def shrunk(prior: Column, weight: float) -> Column:
+        return (F.col("k") + F.lit(weight) * prior) / (F.col("n") + F.lit(weight))
 
-    def shrunk(n: str, k: str, prior: Column, m: float) -> Column:
-        return (F.col(k) + F.lit(m) * prior) / (F.col(n) + F.lit(m))
-
-    s = suffixes.select("suffix", shrunk("n", "k", F.lit(knobs["world"]), knobs["ms"]).alias("sr"))
-    d = (domains.join(s, "suffix").select(
-        "domain", shrunk("n", "k", F.col("sr"), knobs["md"]).alias("dr")))
+    s = suffixes.select("suffix", shrunk(F.lit(world), m["suffix"]).alias("sr"))
+    d = domains.join(s, "suffix").select("domain", shrunk(F.col("sr"), m["domain"]).alias("dr"))
     h = base.join(d, "domain")
-    a = F.col("k") + knobs["mh"] * F.col("dr")
-    b = F.col("n") - F.col("k") + knobs["mh"] * (1 - F.col("dr"))
+    a = F.col("k") + m["host"] * F.col("dr")
+    b = F.col("n") - F.col("k") + m["host"] * (1 - F.col("dr"))
     rate = a / (a + b)
     sd = F.sqrt(rate * (1 - rate) / (a + b + 1))
     return h.select("host", rate.alias("rate"), (rate - Z * sd).alias("lower"))
