@@ -37,12 +37,12 @@ N = 5
 THRESHOLD = 0.8
 SKETCH = 64
 SPLIT = 0.7
-SMALL = 100
+SMALL = 400
 DEPTH = 6
 SHRINK = 0.7                 # a subproblem that keeps this share of its parent is dense
 LOOSE = 0.6                  # four standard deviations below the threshold
 RECALL = 0.99
-RUNS = 8                     # a batch of runs
+RUNS = 10                    # a batch of runs: enough down to five levels
 BLOCK = 1_000
 
 _A = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -236,35 +236,34 @@ def recall_at(depth: int, runs: int, threshold: float = THRESHOLD) -> float:
 
 def chosen_path_edges(nodes: DataFrame, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """Loose candidate edges ``(u, v)`` between the nodes ``(node, sketch)``."""
-    spark = nodes.sparkSession
     found: list[DataFrame] = []
     done, depth = 0, 1
     while done == 0 or recall_at(depth, done) < recall:
         roots = mix64(np.arange(done, done + RUNS, dtype=np.uint64) + np.uint64(seed * 1_000_003))
         rows = nodes.mapInArrow(_splitter(roots), "path long, parent long, node long")
         for level in range(1, DEPTH + 1):
-            rows = materialize(rows, "paths")
             sizes = rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-            met = materialize(rows.join(sizes, "path"), "path-groups")
+            met = materialize(rows.join(sizes.hint("merge"), "path"), "path-groups")
             dense = (F.col("parent") > 0) & (F.col("size") > SHRINK * F.col("parent")) | F.lit(level == DEPTH)
             small = met.filter(F.col("size") <= SMALL)
             large = met.filter(F.col("size") > SMALL)
             dealt = blocked(large.filter(dense), "path", "size", "node", BLOCK)
-            leaf = small.select("path", "node").unionByName(
-                dealt.select(F.xxhash64("path", "__i", "__j").alias("path"), "node"))
-            leaf = leaf.join(nodes, "node").repartition("path").sortWithinPartitions("path")
-            found.append(materialize(leaf.mapInArrow(_brute, "u long, v long").distinct(), "loose"))
+            found.append(small.select("path", "node").unionByName(
+                dealt.select(F.xxhash64("path", "__i", "__j").alias("path"), "node")))
             go = large.filter(~dense)
             if not go.take(1):
                 break
             depth = max(depth, level + 1)
-            rows = go.join(nodes, "node").select("path", "size", "node", "sketch").mapInArrow(
+            rows = go.join(nodes.hint("merge"), "node").select("path", "size", "node", "sketch").mapInArrow(
                 _splitter(None), "path long, parent long, node long")
         done += RUNS
-    out = found[0]
+    leaf = found[0]
     for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        leaf = leaf.unionByName(f)
+    # one pass over all subproblems of all levels; by sort-merge whatever the sizes, so the
+    # plan does not change as tables grow
+    leaf = leaf.join(nodes.hint("merge"), "node").repartition("path").sortWithinPartitions("path", "node")
+    return materialize(leaf.mapInArrow(_brute, "u long, v long").distinct(), "loose")
 
 
 def jaccard_links(rows: np.ndarray, g: np.ndarray, n: int, threshold: float) -> np.ndarray:
@@ -297,7 +296,7 @@ def _verifier(threshold: float):
         for t in whole_groups(batches, "part", 500):
             part = t.column("part").to_numpy()
             start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            nodes, roots, links = [], [], []
+            nodes, roots, links, split = [], [], [], []
             for s, e in zip(start, np.append(start[1:], len(part))):
                 own = t.slice(s, e - s)
                 node, block = own.column("node").to_numpy(), own.column("block").to_numpy()
@@ -326,9 +325,11 @@ def _verifier(threshold: float):
                 nodes.append(node)
                 roots.append(root)
                 links.append(counted.sum(axis=1))
+                split.append(np.full(len(node), own.column("split")[0].as_py()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(nodes)), pa.array(np.concatenate(roots)),
-                 pa.array(np.concatenate(links).astype(np.int64))], names=["node", "root", "n_links"])
+                 pa.array(np.concatenate(links).astype(np.int64)), pa.array(np.concatenate(split))],
+                names=["node", "root", "n_links", "split"])
     return run
 
 
@@ -354,13 +355,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     cand = groups.join(sizes, "root").join(nodes.select("node", "doc_id", "k1", "k2"), "node")
     cand = materialize(cand, "candidates")
-    texts = own.withColumnRenamed("doc_id", "__id").join(cand, F.col("__id").eqNullSafe(F.col("doc_id")), "inner")
+    texts = own.withColumnRenamed("doc_id", "__id").join(cand.hint("merge"), F.col("__id").eqNullSafe(F.col("doc_id")), "inner")
     dealt = blocked(texts, "root", "size", "node", BLOCK)
     parts = (dealt.select(F.xxhash64("root", "__i", "__j").alias("part"), "node", F.col("__b").alias("block"),
-                          F.col("__i").alias("i"), F.col("__j").alias("j"), "k1", "k2", "text")
-             .repartition("part").sortWithinPartitions("part"))
-    linked = materialize(parts.mapInArrow(_verifier(threshold), "node long, root long, n_links long"), "links")
-    classes = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")), "link-components")
+                          F.col("__i").alias("i"), F.col("__j").alias("j"), (F.col("size") > BLOCK).alias("split"),
+                          "k1", "k2", "text")
+             .repartition("part").sortWithinPartitions("part", "node"))
+    linked = materialize(parts.mapInArrow(_verifier(threshold), "node long, root long, n_links long, split boolean"), "links")
+    # a group compared as a whole has its classes; only split groups' edges are still to be joined
+    classes = linked.filter("not split and node <> root").select("node", "root")
+    if linked.filter("split and node <> root").take(1):
+        classes = classes.unionByName(components(
+            linked.filter("split").select(F.col("node").alias("u"), F.col("root").alias("v")), "link-components"))
     degree = linked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     named = (nodes.select("node", "doc_id", "n_copies").join(classes, "node", "left").join(degree, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
