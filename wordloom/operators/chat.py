@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hash_key, prefix_sum, rank_by_hash
+from ..functions.ordering import hash_key, rank_by_hash, ranked_rows
 from ..functions.text import (ASSISTANT_ID, BYTE_OFFSET, EOT_ID, PAD_ID, USER_ID, capitalize,
                               py_strip, r6, truthy)
 from .bpe import BpeModel
@@ -71,7 +71,7 @@ def instr_to_chat(df: DataFrame) -> DataFrame:
 
 def quota_union(pairs: Mapping[str, tuple[DataFrame, int | None]]) -> DataFrame:
     """E4 + E5: first ``n`` valid rows of each source (by ``row_id``), then the
-    bag union with a ``source`` column. Ranking is the two-level prefix count."""
+    bag union with a ``source`` column. Only keys are ranked."""
     out = None
     for name, (df, n) in pairs.items():
         t = df.withColumn("source", F.lit(name))
@@ -79,12 +79,11 @@ def quota_union(pairs: Mapping[str, tuple[DataFrame, int | None]]) -> DataFrame:
     quotas = {k: n for k, (_, n) in pairs.items() if n}
     if not quotas:
         return out
-    ranked = prefix_sum(out.withColumn("__one", F.lit(1).cast("bigint")), ["source"], "row_id",
-                        "__one", "__rank")
+    ranked = ranked_rows(out, ["source"], "row_id", "__rank")
     limit = F.lit(None).cast("bigint")
     for k, n in quotas.items():
         limit = F.when(F.col("source") == k, F.lit(n)).otherwise(limit)
-    return ranked.filter(limit.isNull() | (F.col("__rank") < limit)).drop("__one", "__rank")
+    return ranked.filter(limit.isNull() | (F.col("__rank") < limit)).drop("__rank")
 
 
 def seeded_shuffle(df: DataFrame, seed: int = 0) -> DataFrame:

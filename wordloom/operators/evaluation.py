@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import prefix_sum
+from ..functions.ordering import ranked_rows
 from ..functions.text import byte_ids, py_strip, r6
 from .bpe import BpeModel
 from .chat import mcq_valid
@@ -96,14 +96,12 @@ def fit_bigram(blocks: DataFrame, vocab_size: int, lam: float = 0.9) -> BigramSc
 def first_n(df: DataFrame, n: int | None, order: str = "row_id") -> DataFrame:
     """The first ``n`` rows by ``order`` (the evaluation limit is the feature).
 
-    A two-level prefix count rather than ``orderBy().limit()``, whose final
-    merge would gather ``n`` rows from every partition into one task; buckets
+    A prefix count of keys rather than ``orderBy().limit()``, whose final
+    merge would gather ``n`` rows from every partition into one task; ranges
     that start past ``n`` are dropped before the row-level window."""
     if not n:
         return df
-    ranked = prefix_sum(df.withColumn("__one", F.lit(1).cast("bigint")), [], order, "__one",
-                        "__rank", stop_at=n)
-    return ranked.filter(F.col("__rank") < n).drop("__one", "__rank")
+    return ranked_rows(df, [], order, "__rank", n).drop("__rank")
 
 
 def mcq_candidates(mcq: DataFrame, limit: int | None) -> DataFrame:
