@@ -83,9 +83,10 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
                 .filter((F.col("__up") >= F.col("left")) & (F.col("__up") - F.col("__n") < F.col("left"))))
         hit = hist.select(F.col("__s").alias("__h"), F.col("__b").alias("__p"),
                           (F.col("left") - F.col("__up") + F.col("__n")).alias("__l"), "__n")
-        state = (state.join(hit, F.col("__s").eqNullSafe(F.col("__h")), "left")
-                 .select("__s", "full", F.coalesce("__l", "left").alias("left"),
-                         F.coalesce("__p", "prefix").alias("prefix"), F.col("__n").alias("tied")))
+        # a row per source, written out: each level's plan stays as small as the first
+        state = materialize(state.join(hit, F.col("__s").eqNullSafe(F.col("__h")), "left").select(
+            "__s", "full", F.coalesce("__l", "left").alias("left"),
+            F.coalesce("__p", "prefix").alias("prefix"), F.col("__n").alias("tied")), "mix-level")
     return state.select(F.col("__s"), "full", F.col("left").alias("part"),
                         F.col("prefix").alias("hash"), "tied")
 
