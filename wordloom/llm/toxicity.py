@@ -8,7 +8,7 @@ validation documents best. Training is plain NumPy (Adam, back-propagation throu
 bounded sample of labelled documents; documents carry one label, so the windows that stand
 for a toxic document are chosen by word evidence first and by the model afterwards.
 
-Scoring is one pass of ``mapInArrow``; the model (some MB, bounded by ``MAX_VOCAB``) is
+Training runs in one task on the bounded sample. Scoring is one pass of ``mapInArrow``; the model (some MB, bounded by ``MAX_VOCAB``) is
 broadcast. ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` bound the training documents; the sample is
 the lowest hashes of doc_id, so reruns agree.
 
@@ -18,6 +18,7 @@ table gives an empty result.
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -344,9 +345,9 @@ def _split(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return shift, float(np.clip(6.0 / max(apart, 1e-3), 0.05, 5.0))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
-                  max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> tuple[list[str], np.ndarray]:
-    """A bounded sample of labelled documents of the training folds."""
+def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
+                max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
+    """A bounded sample of labelled documents of the training folds: ``(__id, text, toxic)``."""
     known = (labels.select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("toxic"))
              .filter("__id is not null and toxic is not null")
              .groupBy("__id").agg(F.max("toxic").alias("toxic"))
@@ -355,9 +356,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     picked = [known.filter(F.col("toxic") == t).orderBy("__h", "__id").limit(n)
               for t, n in ((1, max_positive), (0, max_negative))]
     keys = picked[0].unionByName(picked[1]).select("__id", "toxic")
-    got = (docs.select(F.col(id_col).alias("__id"), "text").join(F.broadcast(keys), "__id")
-           .groupBy("__id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-           .orderBy("__id").collect())
+    return (docs.select(F.col(id_col).alias("__id"), "text").join(F.broadcast(keys), "__id")
+            .groupBy("__id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, **bounds) -> tuple[list[str], np.ndarray]:
+    got = sample_rows(docs, labels, **bounds).orderBy("__id").collect()
     return [r["text"] or "" for r in got], np.array([r["toxic"] for r in got], bool)
 
 
@@ -389,5 +393,17 @@ def score(docs: DataFrame, net: GatedNet | None, columns: list[str], text_col: s
 
 
 
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, toxic = [], []
+    for b in batches:
+        texts += [t or "" for t in b.column("text").to_pylist()]
+        toxic += b.column("toxic").to_pylist()
+    net = fit(texts, np.array(toxic, bool)) if texts else None
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+
 def train(docs: DataFrame, labels: DataFrame, **bounds) -> GatedNet | None:
-    return fit(*training_rows(docs, labels, **bounds))
+    """Fit in one task: the sample is bounded by its parameters, the driver gets the model only."""
+    one = sample_rows(docs, labels, **bounds).repartition(1).sortWithinPartitions("__id")
+    got = one.select("text", "toxic").mapInArrow(_fit_task, "net binary").collect()
+    return pickle.loads(bytes(got[0]["net"])) if got else None
