@@ -60,6 +60,24 @@ def test_decontaminated_texts_are_clean(spark):
     assert out[2]["n_chars"] == len(out[2]["text"]) and len(word_list(out[2]["text"])) == 200
 
 
+def test_shards_do_not_show_in_the_cut_texts(spark):
+    """Coverage is that of all shards' items; a cut may join a window of any other shard."""
+    r = random.Random(6)
+    say = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    items = [(i, say(30)) for i in range(40)]
+    text = [t for _, t in items]
+    docs = [(1, " ".join([*text[:6], say(120)])), (2, " ".join([*text[6:12], say(400)])), (3, say(50))]
+    for k in range(0, 40, 2):           # one item's words around another's
+        own = text[k].split()
+        docs.append((10 + k, " ".join([say(80), *own[:9], text[k + 1], *own[9:15], say(80)])))
+        docs.append((11 + k, " ".join([say(80), *text[k + 1].split()[:9], text[k], *text[k + 1].split()[9:15], say(80)])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    one, many = ({x["doc_id"]: x["text"] for x in D.decontaminate(df, bench, shard_words=n).collect()}
+                 for n in (D.SHARD_WORDS, 100))
+    assert one == many and 1 not in one and set(one) == {i for i, _ in docs} - {1}
+    assert all(n == 0 for _, n, _ in brute(many.values(), items))
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     bench = spark.createDataFrame([(1, odd_rows[3][1][:300]), (1, "one two"), (None, "word word")], ITEMS)
     rows = D.contamination(odd, bench).collect()

@@ -10,7 +10,8 @@ by side in an item: elsewhere no window can be, so nothing is lost. That test ru
 words in NumPy over the Arrow buffers; the automaton itself compares the real words.
 
 The benchmark is split into shards of at most ``SHARD_WORDS`` words, so what a task loads is
-bounded; a larger benchmark takes several passes, each adding its hits to the rows.
+bounded; a larger benchmark takes several passes, each adding its hits to the rows. Cuts are
+made on the hits of all shards.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no
 window; repeated items count by their id, once; repeated rows are judged each; an empty
@@ -239,17 +240,25 @@ def shards_of(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHA
         yield Shard([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], window)
 
 
+def _scanned(rows: DataFrame, shards: list, text_col: str, cutter=None, schema=None) -> DataFrame:
+    """``rows`` with ``n_words``, ``hits`` and ``items`` over all (broadcast) shards; a ``cutter``
+    takes them in the last pass's own worker, to ``schema``."""
+    for k, shard in enumerate(shards):
+        if k and k % PASSES_PER_WRITE == 0:
+            rows = materialize(rows, "decontaminate")
+        one = _pass(shard, text_col, k > 0)
+        if cutter and k == len(shards) - 1:
+            return rows.mapInArrow(lambda batches: cutter(one(batches)), schema)
+        rows = rows.mapInArrow(one, with_fields(rows.schema, ADDED))
+    return rows
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text",
          window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``columns`` with ``n_words``, ``hits`` (word ranges) and ``items`` per row."""
-    spark = docs.sparkSession
     names = list(dict.fromkeys([*columns, text_col]))
-    out = docs.select(*names)
-    for k, shard in enumerate(shards_of(benchmark, window, shard_words)):
-        if k and k % PASSES_PER_WRITE == 0:
-            out = materialize(out, "decontaminate")
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(shard), text_col, k > 0), with_fields(out.schema, ADDED))
-    return out.select(*columns, "n_words", "hits", "items")
+    shards = [docs.sparkSession.sparkContext.broadcast(x) for x in shards_of(benchmark, window, shard_words)]
+    return _scanned(docs.select(*names), shards, text_col).select(*columns, "n_words", "hits", "items")
 
 
 def n_hit(hits="hits"):
@@ -265,53 +274,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     (F.size("hits") > 0).alias("contaminated"))
 
 
-def _cleaner(shard, text_col: str, max_coverage: float):
-    """Rows without their hit spans; a row hit beyond the coverage limit is null."""
-    def clean(raw: bytes, sh: Shard) -> bytes | None:
-        total = hit = 0
-        while True:
-            off = np.array([0, len(raw)])
-            rows, s, e, h = hashed_words(np.frombuffer(raw, np.uint8), off)
-            total = total or len(s)
-            spans = []
-            for i0, i1 in sh.stretches(rows, h):
-                got, _ = sh.automaton.scan(raw[s[i0]:e[i1 - 1]].translate(WORD_TABLE).split())
-                spans += [(x + i0, y + i0) for x, y in got]
-            if not spans:
-                return raw
-            spans = _merge(spans)
-            hit += sum(y - x for x, y in spans)
-            if hit > max_coverage * total:
-                return None
-            parts, at = [], 0
-            for x, y in spans:
-                parts.append(raw[at:s[x]])
-                at = e[y - 1]
-            raw = b"".join([*parts, raw[at:]])    # what is left may form a window again
+def _cutter(text_col: str, chars_col: str | None, max_coverage: float):
+    """Rows without their hit spans; a row cut beyond the coverage limit goes."""
+    def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+        _, s, e, _ = hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        parts, at = [], 0
+        for x, y in spans:
+            parts.append(raw[at:s[x]])
+            at = int(e[y - 1])
+        return b"".join([*parts, raw[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = shard.value
         for b in batches:
-            data, off = text_bytes(b.column(text_col))
-            rows, _, _, h = hashed_words(data, off)
-            hit = {int(rows[i]) for i, _ in sh.stretches(rows, h)}
-            texts = b.column(text_col)
-            gone = np.zeros(len(texts), bool)
-            changed: dict[str, pa.Array] = {}
-            if hit:
-                kind, new = texts.type, texts.to_pylist()
-                chars = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else None
-                for r in hit:
-                    got = clean(new[r].encode(), sh)
-                    gone[r] = got is None
-                    new[r] = None if got is None else got.decode()
-                    if chars and got is not None and len(got) < off[r + 1] - off[r]:
-                        chars[r] = len(new[r])
-                changed[text_col] = pa.array(new, kind)
+            hits = b.column("hits")
+            hit = np.flatnonzero(hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            changed, gone = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, bool)
+            total = np.array([n if t is None else t for t, n in zip(
+                b.column("__total").to_pylist(), b.column("n_words").to_pylist())], np.int64)
+            new: dict[str, pa.Array] = {"__total": pa.array(total, pa.int64())}
+            if len(hit):
+                lost = b.column("__cut").to_numpy().copy()
+                texts = b.column(text_col).to_pylist()
+                chars = b.column(chars_col).to_pylist() if chars_col else None
+                for r in hit.tolist():
+                    spans = [(x["start"], x["end"]) for x in hits[r].as_py()]
+                    lost[r] += sum(y - x for x, y in spans)
+                    gone[r] = lost[r] > max_coverage * total[r]
+                    if gone[r]:
+                        continue
+                    changed[r] = True
+                    texts[r] = cut(texts[r].encode(), spans).decode()
+                    if chars:
+                        chars[r] = len(texts[r])
+                new["__cut"] = pa.array(lost, pa.int64())
+                new[text_col] = pa.array(texts, b.column(text_col).type)
                 if chars:
-                    changed["n_chars"] = pa.array(chars, b.column("n_chars").type)
-            out = pa.RecordBatch.from_arrays(
-                [changed.get(c, b.column(c)) for c in b.schema.names], names=b.schema.names)
+                    new[chars_col] = pa.array(chars, b.column(chars_col).type)
+            names = [c for c in b.schema.names if c not in ("n_words", "hits", "items")]
+            out = pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in names), pa.array(changed)],
+                                             names=[*names, "__changed"])
             yield out.filter(pa.array(~gone)) if gone.any() else out
 
     return run
@@ -320,11 +321,20 @@ def _cleaner(shard, text_col: str, max_coverage: float):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW,
                   max_coverage: float = MAX_COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without the benchmark's passages: hit spans are cut from the text (``n_chars``,
-    if there, follows); a row hit in more than ``max_coverage`` of its words goes."""
-    spark = docs.sparkSession
-    out = docs
-    for k, shard in enumerate(shards_of(benchmark, window, shard_words)):
-        if k and k % PASSES_PER_WRITE == 0:
-            out = materialize(out, "decontaminate")
-        out = out.mapInArrow(_cleaner(spark.sparkContext.broadcast(shard), text_col, max_coverage), docs.schema)
-    return out
+    if there, follows); a row hit in more than ``max_coverage`` of its words goes. A round cuts
+    what all shards hit; rows it changed are scanned again, as what is left may form a window,
+    until no shard hits. Coverage counts all rounds against the words of the text as given, so
+    the shards do not show in the result."""
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    chars = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
+    shards = [docs.sparkSession.sparkContext.broadcast(x) for x in shards_of(benchmark, window, shard_words)]
+    left = docs.toDF(*names).withColumns({"__total": F.lit(None).cast("long"), "__cut": F.lit(0).cast("long")})
+    done = None
+    while done is None or left.take(1):
+        seen = materialize(_scanned(left, shards, text, _cutter(text, chars, max_coverage),
+                                    with_fields(left.schema, "__changed boolean")), "decontaminated")
+        clean = seen.filter("not __changed").select(*names)
+        done = clean if done is None else done.unionByName(clean)
+        left = seen.filter("__changed").drop("__changed")
+    return done.toDF(*docs.columns)
