@@ -83,6 +83,25 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert [i for n, i in ids if not n] == [1, 3, 5, 6, 7, 8, 10, 11, 12, 13] and sum(n for n, _ in ids) == 1
 
 
+def test_classes_apart_from_ids(spark):
+    """A class is its texts: one id may stand in several, and a class may be without any."""
+    r = random.Random(8)
+    say = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    text = [say(60) for _ in range(8)]
+    near = text[6].split()
+    near[30] = "edit"
+    rows = [(0, t) for t in text[:4]] + [(0, text[0].upper()), (0, text[1])] + [(None, text[4])] * 3 + [(None, text[5]), (0, "..."), (None, None)]
+    rows += [(None, text[6])] * 2 + [(None, " ".join(near)), (3, text[7]), (2, text[7] + "!"), (None, text[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(S.join(df)) == key(brute(rows))
+    joined = S.join(df).collect()
+    assert len({x["class_key"] for x in joined} - {None}) == 8 and sum(x["class_key"] is None for x in joined) == 2
+    kept = [(x["doc_id"], x["text"]) for x in S.deduplicate(df).collect()]
+    words = sorted(" ".join(w.decode() for w in word_list(t)).replace("edit", near[29]) for _, t in kept if word_list(t))
+    assert len(words) == len(kept) - 2 == 8 and (2, text[7] + "!") in kept and {(0, "..."), (None, None)} <= set(kept)
+    assert {t for t in text[1:6]} <= {t for _, t in kept}
+
+
 def test_recall_bound():
     assert S.recall_at(3, S.RUNS) > S.RECALL and S.recall_at(6, 2 * S.RUNS) > S.RECALL
 

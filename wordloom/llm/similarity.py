@@ -17,8 +17,10 @@ never written: blocks return spanning edges and link counts.
 Defined cases: texts of one to N-1 words are one shingle; null and empty texts and texts
 without words have no shingles, no links and a class of their own; equal sets (copies) are one
 node: they share class and links, and ``n_copies`` counts them; null ids belong to the class of
-their text, a class without any id has a null class id; repeated rows are copies; an empty
-table gives an empty result; further columns are not read.
+their text, a class without any id has a null class id; repeated ids may stand in several
+classes, so ``class_key`` (the hash of one of its sets) tells classes apart, and is null for a
+row without words, its own class; repeated rows are copies; an empty table gives an empty
+result; further columns are not read.
 """
 from __future__ import annotations
 
@@ -303,7 +305,7 @@ def _verifier(threshold: float):
                 data, off = text_bytes(own.column("text"))
                 rows, g = shingle_sets(data, off)
                 k1, k2, size = set_keys(rows, g, len(node))
-                # a row whose id is repeated may bring another text; and one text is enough
+                # a text of the same hash may be another one; and one text is enough
                 want1, want2 = own.column("k1").to_numpy(), own.column("k2").to_numpy()
                 right = (k1.view(np.int64) == want1) & (k2.view(np.int64) == want2)
                 first = np.zeros(len(node), bool)
@@ -335,8 +337,9 @@ def _verifier(threshold: float):
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
          recall: float = RECALL) -> DataFrame:
-    """``(doc_id, class_id, n_links, n_copies)`` for every row: the smallest id of its class,
-    how many other texts (shingle sets) are linked to it, and how many rows share its set."""
+    """``(doc_id, class_id, class_key, n_links, n_copies)`` for every row: the smallest id of its
+    class, the class itself, how many other texts (shingle sets) are linked to it, and how many
+    rows share its set."""
     return _classes(docs, id_col, text_col, threshold, recall).drop("text_hash")
 
 
@@ -347,15 +350,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
     sk = materialize(own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
         _sketcher(), f"doc_id {kind}, text_hash long, k1 long, k2 long, n_set long, sketch binary"), "sketches")
     sk = sk.withColumn("node", F.xxhash64("k1", "k2"))
-    nodes = materialize(sk.filter("n_set > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("k1").alias("k1"),
-        F.first("k2").alias("k2"), F.first("sketch").alias("sketch")), "nodes")
+    # a node's text is read at its first (id, text), which ``n_rows`` rows share
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n_rows")).alias("first")
+    nodes = (sk.filter("n_set > 0").groupBy("node", "doc_id", "text_hash").agg(
+        F.count("*").alias("n_rows"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("sketch").alias("sketch"))
+        .groupBy("node").agg(first, F.sum("n_rows").alias("n_copies"), F.first("k1").alias("k1"),
+                             F.first("k2").alias("k2"), F.first("sketch").alias("sketch")))
+    nodes = materialize(nodes.select("node", "first.doc_id", "first.text_hash", "first.n_rows", "n_copies", "k1", "k2", "sketch"),
+                        "nodes")
     loose = chosen_path_edges(nodes.select("node", "sketch"), recall)
     groups = components(loose, "loose-components")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    cand = groups.join(sizes, "root").join(nodes.select("node", "doc_id", "k1", "k2"), "node")
+    cand = groups.join(sizes, "root").join(nodes.select("node", "doc_id", "text_hash", "n_rows", "k1", "k2"), "node")
     cand = materialize(cand, "candidates")
-    texts = own.withColumnRenamed("doc_id", "__id").join(cand.hint("merge"), F.col("__id").eqNullSafe(F.col("doc_id")), "inner")
+    texts = own.withColumnRenamed("doc_id", "__id").join(
+        cand.hint("merge"), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_hash")), "inner")
+    if cand.filter("n_rows > 1").take(1):
+        texts = texts.filter("n_rows = 1").unionByName(texts.filter("n_rows > 1").dropDuplicates(["node"]))
     dealt = blocked(texts, "root", "size", "node", BLOCK)
     parts = (dealt.select(F.xxhash64("root", "__i", "__j").alias("part"), "node", F.col("__b").alias("block"),
                           F.col("__i").alias("i"), F.col("__j").alias("j"), (F.col("size") > BLOCK).alias("split"),
@@ -371,21 +382,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
     named = (nodes.select("node", "doc_id", "n_copies").join(classes, "node", "left").join(degree, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = materialize(named.join(ids, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    named = materialize(named.join(ids, "root").select("node", "class_id", F.col("root").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                                                        "n_copies"), "classes")
     rest = sk.filter("n_set > 0").select("doc_id", "text_hash", "node").join(named, "node")
-    cols = [F.col("doc_id").alias(id_col), "text_hash", "class_id", "n_links", "n_copies"]
-    empty = sk.filter("n_set = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+    cols = [F.col("doc_id").alias(id_col), "text_hash", "class_id", "class_key", "n_links", "n_copies"]
+    empty = sk.filter("n_set = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"),
+                                          F.lit(None).cast("long").alias("class_key"), F.lit(0).cast("long").alias("n_links"),
                                           F.lit(1).cast("long").alias("n_copies"))
     return rest.select(*cols).unionByName(empty.select(*cols))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id. Rows without an id stay
-    unless their class has one; of rows that share the kept id one stays."""
-    keep = _classes(docs, id_col, text_col, threshold, RECALL).filter(F.col(id_col).eqNullSafe(F.col("class_id")))
-    keep = materialize(keep.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__t")).count(), "kept-ids")
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__t")), "left_semi")
-    again = keep.groupBy("__id").agg(F.sum("count").alias("n")).filter("n > 1 and __id is not null").select("__id")
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+    """``docs`` with one row of each class: that of the smallest id, rows without one last, then
+    of the smallest text hash; of equal rows one stays. Rows without words all stay."""
+    rows = _classes(docs, id_col, text_col, threshold, RECALL).select(
+        F.col(id_col).alias("__id"), F.col("text_hash").alias("__t"), F.col("class_key").alias("__class"))
+    pick = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__t", "n")).alias("pick")
+    keep = (rows.filter("__class is not null").groupBy("__class", "__id", "__t").agg(F.count("*").alias("n"))
+            .groupBy("__class").agg(pick).select("__class", "pick.__id", "pick.__t", "pick.n"))
+    blank = rows.filter("__class is null").select("__class", "__id", "__t", F.lit(1).cast("long").alias("n")).distinct()
+    keep = materialize(keep.unionByName(blank), "kept-ids")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__t"))
+    kept = docs.join(keep.filter("n = 1"), same, "left_semi")
+    again = docs.join(keep.filter("n > 1"), same).dropDuplicates(["__class"]).select(*docs.columns)
+    return kept.unionByName(again)
