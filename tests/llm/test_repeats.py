@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.llm import anchors as A
 from wordloom.llm import repeats as R
@@ -69,6 +70,22 @@ def test_interval_tree_holds_all_occurrences():
                       (60, 40): [0, 1, 2, 3, 4]}
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows are documents of their own: copies go but for one, and texts whose 32-bit hashes
+    are equal do not mix."""
+    made = spark.range(300_000).select(F.concat(*(F.sha2(F.concat(F.lit(x), "id"), 256) for x in "ab")).alias("text"))
+    u, v = made.groupBy(F.hash("text")).agg(F.sort_array(F.collect_list("text")).alias("t")).filter("size(t) > 1").first()["t"][:2]
+    w = "".join(hashlib.sha256(bytes([k])).hexdigest() for k in range(3))
+    rows = [(None, u)] * 3 + [(None, v)] * 2 + [(7, w)] * 2 + [(7, u[:120] + w[:80])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = R.repeat_report(df).collect()
+    assert len(seen) == len(rows)
+    assert sorted(r["n_removed"] for r in seen if r["n_bytes"] == len(w)) == [0, len(w)]
+    nulls = [(r["n_removed"], r["kept_sha256"]) for r in seen if r["doc_id"] is None]
+    rest, none = (hashlib.sha256(x.encode()).hexdigest() for x in (u[120:], ""))
+    assert sorted(nulls) == sorted([(120, rest), (128, none), (128, none), (0, hashlib.sha256(v.encode()).hexdigest()), (128, none)])
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     got = R.repeat_report(odd).collect()
     assert len(got) == len(odd_rows) and R.repeat_report(empty).count() == 0

@@ -16,10 +16,13 @@ go to one shard. There
    occurrences; all but the first lose that span. Groups of more than ``HOT`` contexts are
    dealt by each string's own hash instead, which needs no group in one task.
 
+A document is a row: it is numbered once (``tie``) in the order of doc_id, nulls last, and a
+64-bit hash of its text.
+
 Defined cases: null texts are empty; texts below ``LENGTH`` bytes keep everything; rows with
 one doc_id are ordered by a hash of their text, rows without one come last; rows equal in both
-are one document and share its result; an empty table gives an empty result; further columns
-are not read.
+are documents of their own, of which one comes first; an empty table gives an empty result;
+further columns are not read.
 """
 from __future__ import annotations
 
@@ -41,7 +44,7 @@ HOT = 100_000                # contexts of one gram
 LAST = (1 << 63) - 1         # order of rows without an id
 
 PACK = np.dtype([("h", "<u8"), ("c", "<u8"), ("row", "<u4"), ("pos", "<u4")])
-COVER = "doc long, tie int, whole binary, spans binary, edges binary, hot binary"
+COVER = "doc long, tie long, whole binary, spans binary, edges binary, hot binary"
 EDGE = np.dtype([("h", "<u8"), ("pos", "<u4")])
 
 
@@ -53,7 +56,7 @@ def _by_document(doc, tie, values: np.ndarray, kind: str, names: list[str], orde
     cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])])) if len(doc) else []
     ends = np.append(cut[1:], len(doc)) if len(doc) else []
     packed = [values[a:b].tobytes() for a, b in zip(cut, ends)]
-    cols = {"doc": pa.array(doc[cut] if len(doc) else [], pa.int64()), "tie": pa.array(tie[cut] if len(doc) else [], pa.int32())}
+    cols = {"doc": pa.array(doc[cut] if len(doc) else [], pa.int64()), "tie": pa.array(tie[cut] if len(doc) else [], pa.int64())}
     none = pa.nulls(len(packed), pa.binary())
     return pa.RecordBatch.from_arrays(
         [cols.get(n, pa.array(packed, pa.binary()) if n == kind else none) for n in names], names=names)
@@ -67,7 +70,7 @@ def _firsts(h, c, doc, tie, pos):
     new_c = new_h.copy()
     new_c[1:] |= c[1:] != c[:-1]
     d, t, p = doc[order], tie[order], pos[order]
-    same = np.zeros(len(h), bool)        # one place seen twice (equal rows) is no repeat
+    same = np.zeros(len(h), bool)        # one place seen twice is no repeat
     same[1:] = ~new_c[1:] & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (p[1:] == p[:-1])
     first = np.zeros(len(h), np.int64)
     first[new_c] = np.flatnonzero(new_c)
@@ -83,11 +86,10 @@ def _sampler(n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, down = _powers()
         for b in batches:
-            data, off = text_bytes(b.column("text"))
             doc, tie = b.column("doc").to_numpy(), b.column("tie").to_numpy()
             rows, pos, hs, cs = [], [], [], []
-            for r in range(len(off) - 1):
-                at, h, c = text_anchors(data[off[r]:off[r + 1]], up, down)
+            for r, x in enumerate(_unpress(b)):
+                at, h, c = text_anchors(x, up, down)
                 if len(at):
                     rows.append(np.full(len(at), r, np.int64))
                     pos.append(at)
@@ -116,17 +118,17 @@ def _sampler(n_shards: int):
                 used, local = np.unique(row[own], return_inverse=True)
                 a = np.empty(len(own), PACK)
                 a["h"], a["c"], a["row"], a["pos"] = h[own], c[own], local, p[own]
-                head = np.stack([doc[used], tie[used].astype(np.int64)]).astype("<i8")
+                head = np.stack([doc[used], tie[used]]).astype("<i8")
                 out.append((s, head.tobytes(), b"".join(a[k].tobytes() for k in PACK.names)))
             cols = list(zip(*out))
             n = len(out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()),
-                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
     return run
 
 
-SAMPLED = "shard int, head binary, packed binary, doc long, tie int, whole binary"
+SAMPLED = "shard int, head binary, packed binary, doc long, tie long, whole binary"
 NAMES = ["doc", "tie", "whole", "spans", "edges", "hot"]
 
 
@@ -160,7 +162,7 @@ def _shard_scan(most: int):
                 parts.append(a)
                 docs.append(d[0][a["row"]])
                 ties.append(d[1][a["row"]])
-            a, doc, tie = np.concatenate(parts), np.concatenate(docs), np.concatenate(ties).astype(np.int32)
+            a, doc, tie = np.concatenate(parts), np.concatenate(docs), np.concatenate(ties)
             order, new_h, new_c, later, _ = _firsts(a["h"], a["c"], doc, tie, a["pos"])
             gone = order[later]
             if len(gone):
@@ -177,8 +179,8 @@ def _shard_scan(most: int):
     return run
 
 
-CONTEXT = "h long, doc long, tie int, pos int, left binary, right binary"
-WINDOW_ROW = "w1 long, w2 long, doc long, tie int, pos int"
+CONTEXT = "h long, doc long, tie long, pos int, left binary, right binary"
+WINDOW_ROW = "w1 long, w2 long, doc long, tie long, pos int"
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +219,8 @@ def _contexts(hot: bool):
                             for c, v in zip(cols, (h, doc[r], tie[r], p, x[max(0, p - LEFT):p][::-1].tobytes(),
                                                    x[p:p + LENGTH].tobytes())):
                                 c.append(v)
-            types = ((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()) if hot else
-                     (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+            types = ((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()) if hot else
+                     (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))
             names = [f.split()[0] for f in (WINDOW_ROW if hot else CONTEXT).split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
     return run
@@ -280,7 +282,7 @@ def _interval_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Contexts of whole grams to removed spans."""
     for t in whole_groups(batches, "h"):
         key = [t.column(c).to_numpy() for c in ("pos", "tie", "doc", "h")]
-        order = np.lexsort(key)              # equal rows bring a place twice: one stays
+        order = np.lexsort(key)              # of a place seen twice one stays
         new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)])
         t = t.take(pa.array(np.sort(order[new])))
         h, doc, tie, pos = (t.column(c).to_numpy() for c in ("h", "doc", "tie", "pos"))
@@ -339,12 +341,16 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
-                        F.hash(text).alias("tie"), text.alias("text"))
+                        F.xxhash64(text).alias("hash"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    sampled = keyed.select("doc", "tie", "text").mapInArrow(_sampler(n_shards), SAMPLED)
     kind = keyed.schema["id"].dataType.simpleString()
-    pressed = keyed.mapInArrow(_press, f"id {kind}, doc long, tie int, text binary, n long")
+    pressed = keyed.mapInArrow(_press, f"id {kind}, doc long, hash long, text binary, n long")
+    # the last key only lets equal rows lie in several tasks
+    pressed = pressed.withColumn("any", F.monotonically_increasing_id()).sort("doc", "hash", "any").select(
+        "id", "doc", F.monotonically_increasing_id().alias("tie"), "text", "n")
+    pressed = materialize(pressed, "repeat-texts")
+    sampled = pressed.select("doc", "tie", "text", "n").mapInArrow(_sampler(n_shards), SAMPLED)
     shards = sampled.repartition(n_shards, "shard").sortWithinPartitions("shard")
     first = materialize(shards.mapInArrow(_shard_scan(hot), COVER), "repeat-shards")
 
