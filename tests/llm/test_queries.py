@@ -9,14 +9,14 @@ SF = "/root/testdata/sf0.001"
 
 def test_registry():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in Q.registry()}
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in Q.registry()}
     assert set(Q.registry()) | {"pipeline"} <= names and set(Q.oracle()) <= names
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle()))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = Q.registry()[name](spark, SF).toPandas()
     want = c.sql(Q.oracle()[name]).df()

@@ -110,4 +110,33 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from d left join nh using (doc_id) left join ni using (doc_id)
 """
 
-ORACLE = {"op2_decontaminate": DECONTAMINATE, "op3_mix": MIX, "op4_url_reputation": URL}
+AUDIT = r"""
+with w as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+f as (select t, min(doc_id) as first from w group by t),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (
+  select part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+                100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t),
+                regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] as x,
+         coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+  from w join f using (t) left join l on w.doc_id = l.doc_id),
+c as (select part, x, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by all),
+i as (select unnest(range(1, 6)) as i),
+o as (select [a.i, b.i, c.i, d.i, e.i] as o from i a, i b, i c, i d, i e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select o, i as step, o[i] as f, o[:i - 1] as before from o, i),
+r as (
+  select part, array_to_string(list_transform(o, lambda q: 'ABCDE'[q]), '') as filter_order, step::int as step, f,
+         coalesce(sum(n) filter (where len(list_filter(before, lambda q: x[q])) = 0 and not x[f]), 0)::bigint as kept,
+         coalesce(sum(n) filter (where len(list_filter(before, lambda q: x[q])) = 0 and x[f]), 0)::bigint as removed,
+         coalesce(sum(n) filter (where len(list_filter(before, lambda q: x[q])) > 0 and x[f]), 0)::bigint as redundant,
+         coalesce(sum(n) filter (where x[f] and len(list_filter(x, lambda q: q)) = 1), 0)::bigint as unique_fails,
+         coalesce(sum(good) filter (where len(list_filter(before, lambda q: x[q])) = 0 and x[f]), 0)::bigint as good_lost,
+         coalesce(sum(toxic) filter (where len(list_filter(before, lambda q: x[q])) = 0 and x[f]), 0)::bigint as toxic_lost
+  from c, s group by part, o, step, f)
+select * exclude (f), (sum(removed) over (partition by part, f))::bigint as shapley from r
+"""
+
+ORACLE = {"op11_filter_audit": AUDIT,
+          "op2_decontaminate": DECONTAMINATE, "op3_mix": MIX, "op4_url_reputation": URL}

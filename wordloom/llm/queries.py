@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neighbours, repeats, secrets, similarity, surrogates, token_rollup, toxicity, url_reputation
+from . import decontaminate, filter_audit, mixing, neighbours, repeats, secrets, similarity, surrogates, token_rollup, toxicity, url_reputation
 from .oracle import ORACLE
 from .shared import materialize, shared_path
 
@@ -91,6 +91,10 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"), ledger)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -103,6 +107,7 @@ def registry() -> dict[str, Query]:
         "op8_neighbours": op8_neighbours,
         "op9_token_rollup": op9_token_rollup,
         "op10_secret_ledger": op10_secret_ledger,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
