@@ -138,5 +138,24 @@ r as (
 select * exclude (f), (sum(removed) over (partition by part, f))::bigint as shapley from r
 """
 
-ORACLE = {"op11_filter_audit": AUDIT,
+SEARCH = r"""
+with d as (
+  select doc_id, row_number() over () as row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+total as (select count(*)::bigint as n_docs, sum(len(w))::bigint as n_words from d where len(w) > 0),
+tf as (select doc_id, row, len(w)::bigint as n, term, count(*)::bigint as tf
+       from (select doc_id, row, w, unnest(w) as term from d) where term in (select term from q) group by all),
+df as (select term, count(*)::bigint as df from tf group by term),
+s as (
+  select q.item_id, row, doc_id, sum(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint
+         * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words)))) as score
+  from q join tf using (term) join df using (term), total group by q.item_id, row, doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score::bigint as score from r where rank <= 50
+"""
+
+ORACLE = {"op12_ranked_search": SEARCH, "op11_filter_audit": AUDIT,
           "op2_decontaminate": DECONTAMINATE, "op3_mix": MIX, "op4_url_reputation": URL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, mixing, neighbours, repeats, secrets, similarity, surrogates, token_rollup, toxicity, url_reputation
+from . import decontaminate, filter_audit, mixing, neighbours, ranked_search, repeats, secrets, similarity, surrogates, token_rollup, toxicity, url_reputation
 from .oracle import ORACLE
 from .shared import materialize, shared_path
 
@@ -95,6 +95,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -108,6 +112,7 @@ def registry() -> dict[str, Query]:
         "op9_token_rollup": op9_token_rollup,
         "op10_secret_ledger": op10_secret_ledger,
         "op11_filter_audit": op11_filter_audit,
+        "op12_ranked_search": op12_ranked_search,
     }
 
 
