@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, mixing, neighbours, ranked_search, repeats, secrets, similarity, surrogates, token_rollup, toxicity, url_reputation
+from . import decontaminate, filter_audit, katz, mixing, neighbours, ranked_search, repeats, secrets, similarity, surrogates, token_rollup, toxicity, url_reputation
 from .oracle import ORACLE
 from .shared import materialize, shared_path
 
@@ -99,6 +99,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -113,6 +117,7 @@ def registry() -> dict[str, Query]:
         "op10_secret_ledger": op10_secret_ledger,
         "op11_filter_audit": op11_filter_audit,
         "op12_ranked_search": op12_ranked_search,
+        "op13_katz": op13_katz,
     }
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hashed_words, materialize, row_slices, text_bytes
+from .shared import hashed_words, materialize, row_slices, small_batches, text_bytes
 
 TOP = 50
 BLOCK_TERMS = 100_000      # (item, term) rows of one block
@@ -80,7 +80,7 @@ def _indexer(block, id_type: pa.DataType):
         v = len(asked)
         some = np.zeros(1 << 20, bool)
         some[asked & np.uint64((1 << 20) - 1)] = True
-        for b in batches:
+        for b in small_batches(batches, "text"):
             data, off = text_bytes(b.column("text"))
             for i, j in row_slices(off):
                 rows, _, _, h = hashed_words(data, off[i:j + 1])

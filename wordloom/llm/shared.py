@@ -1,7 +1,9 @@
 """Helpers shared by the operators of this package: shared-folder tables and byte-level words."""
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,26 @@ def row_slices(offsets: np.ndarray, limit: int = _MAX_POW):
         i = j
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 * _MAX_POW) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``limit`` bytes of text each, one row at least, so that what a
+    worker builds from a batch follows the limit. Memory goes back to the system at the end:
+    workers live on between tasks."""
+    for b in batches:
+        _, offsets = text_bytes(b.column(column))
+        for i, j in row_slices(offsets, limit):
+            yield b.slice(i, j - i)
+    release()
+
+
+def release() -> None:
+    """Give freed memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):         # another C library
+        pass
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """The 64-bit avalanche step (public-domain murmur finaliser constants)."""
     h = h ^ (h >> np.uint64(33))
@@ -113,10 +135,11 @@ def _words_of(x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return s, e, h
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray):
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray = WORD_LUT):
     """Words of the rows of ``text_bytes``: ``(row, start, end, hash)``; start and end are
-    byte offsets inside the row's text. Long texts are cut at non-word bytes, so memory
-    follows the slice, not the text; whole texts are read."""
+    byte offsets inside the row's text. ``lut`` maps a byte to its folded value, 0 where it
+    parts words. Long texts are cut at non-word bytes, so memory follows the slice, not the
+    text; whole texts are read."""
     rows, starts, ends, hashes = [], [], [], []
     for i, j in row_slices(offsets):
         lo, hi = int(offsets[i]), int(offsets[j])
@@ -124,14 +147,14 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray):
         at = lo
         while at < hi:
             to = min(hi, at + _MAX_POW)
-            x = WORD_LUT[data[at:to]]
+            x = lut[data[at:to]]
             if to < hi:                       # one row longer than a slice
                 gaps = np.flatnonzero(x == 0)
                 if len(gaps):
                     to = at + int(gaps[-1]) + 1
                     x = x[:to - at]
                 else:                         # a word longer than a slice
-                    s, to, h = _long_word(data, at, hi)
+                    s, to, h = _long_word(data, at, hi, lut)
                     rows.append(np.full(1, i, np.int64))
                     starts.append(np.array([s - lo]))
                     ends.append(np.array([to - lo]))
@@ -152,11 +175,11 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray):
             np.concatenate(hashes))
 
 
-def _long_word(data: np.ndarray, at: int, hi: int) -> tuple[int, int, int]:
+def _long_word(data: np.ndarray, at: int, hi: int, lut: np.ndarray) -> tuple[int, int, int]:
     import hashlib
     to, digest = at, hashlib.blake2b(digest_size=8)
     while to < hi:
-        x = WORD_LUT[data[to:min(hi, to + _MAX_POW)]]
+        x = lut[data[to:min(hi, to + _MAX_POW)]]
         gaps = np.flatnonzero(x == 0)
         n = int(gaps[0]) if len(gaps) else len(x)
         digest.update(x[:n].tobytes())
