@@ -29,7 +29,7 @@ HEADLINE = [
 ]
 
 
-MERGES = 120
+MERGES = 1000
 
 
 def main() -> None:

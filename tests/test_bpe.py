@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import BYTE_OFFSET, FIRST_MERGE_ID
-from wordloom.operators.bpe import MAX_VOCAB, BpeModel, accept_prefix, encode_piece, learn_merges, sym_char
+from wordloom.operators.bpe import MAX_VOCAB, BpeModel, PairTable, accept_prefix, encode_piece, learn_merges
 from wordloom.operators.tokenizer import decode, encode
 
 
@@ -64,7 +64,8 @@ def test_batched_equals_sequential(spark):
         counts = _corpus(rng)
         df = spark.createDataFrame([(k, v) for k, v in counts.items()], "piece string, n bigint")
         vocab = 261 + rng.randint(3, 25)
-        got = learn_merges(df, vocab, checkpoint_every=3)
+        # small tables are counted anew; rounds in all tasks, in one task, or both
+        got = learn_merges(df, vocab, max_pairs=rng.choice([2, 6, 1000]), task_pieces=rng.choice([0, 4, 1000]))
         want = learn_merges_sequential({k.encode(): v for k, v in counts.items()}, vocab)
         assert got.merges == want.merges, (trial, counts)
 
@@ -146,14 +147,86 @@ def test_long_piece_is_quick():
     assert len(ids) < 200_000 and time.process_time() - t < 5
 
 
-def test_vocabulary_stays_in_single_unit_symbols(spark):
-    assert len(sym_char(MAX_VOCAB - 1).encode("utf-16-le")) == 2
+def test_vocabulary_fits_16_bits(spark):
     df = spark.createDataFrame([("ab", 2)], "piece string, n bigint")
     with pytest.raises(ValueError):
         learn_merges(df, MAX_VOCAB + 1)
 
 
+def test_pair_table_follows_changes():
+    t = PairTable([(1, 2, 9, 3), (3, 4, 9, 1), (5, 6, 7, 7)], 100)
+    assert t.top(2) == [(1, 2, 9, 3), (3, 4, 9, 1)]
+    t.change([(1, 2, -9, -3), (5, 6, 4, 1), (7, 2, 20, 2)])
+    assert t.top(9) == [(7, 2, 20, 2), (5, 6, 11, 8), (3, 4, 9, 1)] == t.top(9)
+
+
+def test_pair_table_keeps_its_bound():
+    """Pairs that a full table leaves out are never better than its bound."""
+    t = PairTable([], 8)
+    t.change([(i, i + 1, 10 + i, 1) for i in range(20)])
+    assert t.bound >= 10 and all(c > t.bound for c, _ in t.counts.values()) and len(t.counts) <= 8
+    assert t.top(1) == [(19, 20, 29, 1)]
+
+
+def test_rounds_equal_sequential_on_text(spark):
+    """Hundreds of merges over the pieces of whole documents."""
+    from wordloom.operators.tokenizer import training_pieces
+    from wordloom.sources import tables
+    rows = training_pieces(tables.corpus(spark, "/root/testdata/sf0.001").filter("doc_id % 10 = 0")).collect()
+    df = spark.createDataFrame(rows, "piece string, n bigint")
+    stats: dict = {}
+    want = learn_merges_sequential({r.piece.encode(): r.n for r in rows}, 261 + 300).merges
+    assert learn_merges(df, 261 + 300, max_pairs=300, task_pieces=400, stats=stats).merges == want
+    assert stats["counts"] > 1 and 0 < stats["one_task"] < stats["rounds"] < 200
+    assert learn_merges(df, 261 + 300).merges == want
+
+
 def test_null_and_empty_texts_encode_to_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "ab")], "doc_id long, text string")
     m = BpeModel([(5 + ord("a"), 5 + ord("b"))])
     assert {r.doc_id: list(r.ids) for r in encode(df, m, ["doc_id"]).collect()} == {1: [], 2: [], 3: [261]}
+
+
+def test_dictionary_encodes_a_piece_once(spark):
+    from wordloom.operators.tokenizer import PieceDictionary
+    from wordloom.sources.files import scratch_path
+    texts = ["the cat the hat", None, "", "that cat\n\n é", "the cat the hat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    m = BpeModel([(5 + ord("t"), 5 + ord("h")), (261, 5 + ord("e"))])
+    d = PieceDictionary(spark, scratch_path(spark, "pieces"), m)
+    assert d.extend(df) == len({"the", " cat", " the", " hat", "that", "\n", "\n\n", " é"} & {r.piece for r in d.rows().collect()}) > 0
+    assert d.extend(df) == 0                                        # nothing is encoded twice
+    assert PieceDictionary(spark, d.path.rsplit("/", 1)[0], m).extend(df) == 0
+    more = df.unionByName(spark.createDataFrame([(9, "the newest")], df.schema))
+    with pytest.raises(Exception, match="not in the dictionary"):
+        d.encode(more, ["doc_id"]).collect()
+    assert d.extend(more) == 1
+    want = {r.doc_id: list(r.ids) for r in encode(more, m, ["doc_id"]).collect()}
+    assert {r.doc_id: list(r.ids) for r in d.encode(more, ["doc_id"]).collect()} == want and len(want) == 6
+    other = PieceDictionary(spark, d.path.rsplit("/", 1)[0], BpeModel([(5 + ord("a"), 5 + ord("t"))]))
+    assert other.rows().count() == 0 and other.extend(df) > 0        # another tokenizer, another dictionary
+
+
+def test_specials_are_audited_against_the_stored_table(spark):
+    from wordloom.operators.tokenizer import declared_specials, special_audit
+    chats = spark.createDataFrame([("user",), ("tool",), (None,), ("user",)], "role string")
+    vocab = BpeModel().vocab_df(spark)
+    got = {r.text: (r.id, r.resolved) for r in special_audit(vocab, declared_specials(chats)).collect()}
+    assert got == {"<|user|>": (3, True), "<|tool|>": (None, False), "<|endoftext|>": (0, True), "<|pad|>": (1, True)}
+    short = special_audit(vocab.filter("coalesce(text, '') <> '<|pad|>'"), declared_specials(chats))
+    assert {r.text for r in short.filter("not resolved").collect()} == {"<|tool|>", "<|pad|>"}
+
+
+def test_roundtrip_audit_sees_a_wrong_text(spark):
+    """A tokenizer whose decoder lost a byte does not pass the audit."""
+    from wordloom.operators import tokenizer as tk
+    df = spark.createDataFrame([("a", "abc"), ("a", "xyz"), ("b", "é")], "source string, text string")
+    good = {r.source: (r.docs, r.mismatched) for r in tk.roundtrip_audit(df, None).collect()}
+    assert good == {"a": (2, 0), "b": (1, 0)}
+
+    class Lossy(BpeModel):
+        def token_bytes(self):
+            return [b"" if t == b"x" else t for t in super().token_bytes()]
+
+    bad = {r.source: r.mismatched for r in tk.roundtrip_audit(df, Lossy()).collect()}
+    assert bad == {"a": 1, "b": 0}

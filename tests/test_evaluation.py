@@ -81,17 +81,54 @@ def test_topk_matches_brute_force(spark):
 
 
 def test_context_scorer_sees_the_whole_sequence(spark):
-    """A model whose probability depends on more than the previous token."""
+    """A model whose probability depends on more than the previous token, over several length
+    buckets; padding and other rows of a batch change nothing."""
+    import numpy as np
+
     def log_probs(ids):
         return [-float(sum(ids[:i]) % 7) for i in range(len(ids))]
 
-    cands = spark.createDataFrame([("t", 1, "abc", 0, 0, "xy"), ("t", 1, "abc", 0, 1, "z"), ("t", 2, "q" * 9, 0, 0, "zz")],
+    def make_predict():
+        return lambda m: np.array([log_probs([int(x) for x in row]) for row in m])
+
+    cands = spark.createDataFrame([("t", i, "abc" * n, 0, k, o) for i, n in enumerate((1, 9, 12, 30, 41)) for k, o in enumerate(("xy", "z", ""))],
                                   "task string, row_id long, context string, gold int, idx int, option string")
-    for max_len in (100, 5):
+    for max_len in (150, 5):
         toks = ev.candidate_tokens(cands, None, max_len)
-        got = {(r.row_id, r.idx): r.score for r in ev.context_scores(toks, log_probs).collect()}
+        got = {(r.row_id, r.idx): r.score for r in ev.context_scores(toks, make_predict, max_len, batch_size=2).collect()}
+        assert len(got) == 15
         for r in toks.collect():
             kept = list(r.ids)[r.cut:]
             first = max(r.n_ctx, r.cut + 1) - r.cut
             want = sum(log_probs(kept)[first:]) / r.n_opt
             assert abs(got[(r.row_id, r.idx)] - want) < 1e-9
+
+
+def test_suffix_model_equals_plain_counts(spark):
+    """Longest-suffix probabilities next to counts over the flat text, blocks of 4 tokens cut anywhere."""
+    import math
+    import random
+    r = random.Random(2)
+    text = [r.choice("abcd").encode()[0] + 5 for _ in range(200)]
+    rows = [("s", "train", i // 4, text[i:i + 4]) for i in range(0, 200, 4)] + [("s", "val", 0, [9, 9])]
+    blocks = spark.createDataFrame(rows, "source string, split string, block_id long, toks array<int>")
+    cands = spark.createDataFrame([("t", i, c, 0, k, o) for i, c in enumerate(("abca", "ddd", "zz", "a")) for k, o in enumerate(("bcd", "ab", "z"))],
+                                  "task string, row_id long, context string, gold int, idx int, option string")
+
+    def p(before, w):
+        q = (text.count(w) + 1) / (len(text) + 261)
+        for k in range(1, min(3, len(before)) + 1):
+            ctx = before[-k:]
+            at = [i for i in range(k, len(text)) if text[i - k:i] == ctx]
+            q = (sum(text[i] == w for i in at) + q) / (len(at) + 1)
+        return q
+
+    for max_len in (64, 5):
+        toks = ev.candidate_tokens(cands, None, max_len)
+        model = ev.fit_suffix_model(ev.suffix_counts(blocks), toks, 261)
+        got = {(r.row_id, r.idx): r.score for r in ev.context_scores(toks, lambda: model.log_probs, max_len).collect()}
+        for t in toks.collect():
+            kept, first = list(t.ids)[t.cut:], max(t.n_ctx, t.cut + 1) - t.cut
+            want = sum(math.log(p(kept[:i], kept[i])) for i in range(first, len(kept))) / t.n_opt
+            assert abs(got[(t.row_id, t.idx)] - want) < 1e-9
+

@@ -89,3 +89,45 @@ def test_loader_reads_only_its_partitions(spark):
     stored = read_blocks(spark, path).filter("source = 'a' and split = 'val'")
     assert "PartitionFilters: [isnotnull(source" in stored._jdf.queryExecution().executedPlan().toString()
     assert stored.count() == 3
+
+
+def test_window_read_leaves_stored_blocks_in_place(spark):
+    """The plan for two million windows: nothing is exchanged above the block scan."""
+    from wordloom.operators import mixing as mx
+    from wordloom.sources.files import scratch_path, store_buckets
+    segs = spark.createDataFrame([(s, sp, i, 5000 * i, 5000, list(range(5000))) for s in ("a", "b") for sp in ("train", "val") for i in range(4)],
+                                 "source string, split string, doc_id long, pos long, len long, ids array<int>")
+    blocks = store_buckets(segs, scratch_path(spark, "blocks"))
+    n = spark.range(2_000_000)
+    draws = n.selectExpr("id as i", "id div 8 as batch_id", "cast(id % 8 as int) as seq_in_batch",
+                         "if(id % 2 = 0, 'a', 'b') as source", "if(id >= 0, 'train', 'val') as split", "(id * 37) % 19000 as start")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)         # this test's few blocks would be broadcast
+    try:
+        _check_plan(mx.read_windows(draws, blocks, 128))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    few = mx.read_windows(draws.filter("i < 200"), blocks, 128).collect()
+    assert len(few) == 200 and all(r.x == [(r.start + k) % 5000 for k in range(128)] for r in few)
+
+
+def _check_plan(windows):
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "SortMergeJoin" in plan
+    lines = plan.splitlines()
+    scan = next(i for i, x in enumerate(lines) if "Bucketed: true" in x)
+    join = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above = [x for i, x in enumerate(lines[join:scan], join) if all(depth(x) < depth(y) for y in lines[i + 1:scan + 1])]
+    assert not any("Exchange" in x for x in above if depth(x) > depth(lines[join]))
+
+
+def test_another_session_reads_the_buckets(spark):
+    from wordloom.sources.files import _block_table, read_buckets, scratch_path, store_buckets
+    segs = spark.createDataFrame([("a", "train", 0, 0, 9000, [7] * 9000)],
+                                 "source string, split string, doc_id long, pos long, len long, ids array<int>")
+    path = scratch_path(spark, "blocks")
+    store_buckets(segs, path, buckets=5)
+    spark.sql(f"drop table {_block_table(path)}")
+    again = read_buckets(spark, path)
+    assert sorted((r.block_id, len(r.toks)) for r in again.collect()) == [(0, 4096), (1, 4096), (2, 808)]
+    assert "SelectedBucketsCount: 5 out of 5" in again.groupBy("source", "split", "block_id").count()._jdf.queryExecution().executedPlan().toString()

@@ -15,8 +15,12 @@ def con():
     return duck(SF)
 
 
+#: Under the learned vocabulary of 8,000 ids; see test_learned.
+LEARNED = {"a7_tokenizer_tables", "b6_learn_merges", "b7_vocab", "b8_encode_dictionary", "b8_encode_merged", "c3_head_split_merged", "e7_chat_encode_merged"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(registry()) == set(oracle())
+    assert set(registry()) - set(oracle()) == LEARNED
 
 
 @pytest.mark.parametrize("name", sorted(oracle()))

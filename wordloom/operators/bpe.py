@@ -6,17 +6,22 @@ to tasks. Everything that grows with the corpus stays in DataFrames.
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BYTE_OFFSET, FIRST_MERGE_ID, SPECIAL_TOKENS
 from ..session import checkpoint_dir
 
-# Symbols are held as characters of the basic plane (without surrogates), one UTF-16 unit
-# each: that, not the uint16 range, bounds the ids.
-MAX_VOCAB = (1 << 16) - 0x800 + BYTE_OFFSET
+MAX_VOCAB = 1 << 16         # ids are stored as 16-bit numbers
+MAX_PAIRS = 400_000         # pairs held by the driver while merges are learned
+TASK_PIECES = 12_000        # pieces one task merges on its own
+COVER = 512                 # pairs it may start from
+REFRESH = 400               # merges after which the pieces are written out as merged
 
 
 @dataclass
@@ -60,10 +65,15 @@ class BpeModel:
 
 def encode_piece(piece: bytes, merges: list[tuple[int, int]],
                  ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Encode one pre-tokenized piece: the lowest-rank pair present merges first,
-    its occurrences left to right, until none applies. Pairs wait in a heap and
-    symbols are linked, so a piece of n bytes takes n log n steps."""
-    syms = [b + BYTE_OFFSET for b in piece]
+    """Encode one pre-tokenized piece."""
+    return merge_symbols([b + BYTE_OFFSET for b in piece], merges, ranks)
+
+
+def merge_symbols(syms: list[int], merges: list[tuple[int, int]], ranks: dict[tuple[int, int], int]) -> list[int]:
+    """Apply the merges in ``ranks``: the lowest-rank pair present merges first, its
+    occurrences left to right, until none applies. Pairs wait in a heap and
+    symbols are linked, so n symbols take n log n steps."""
+    syms = list(syms)
     n = len(syms)
     if n < 2:
         return syms
@@ -102,37 +112,6 @@ def pair_counts(state: DataFrame) -> DataFrame:
             .agg(F.sum("n").alias("c")))
 
 
-# The learner keeps each piece as a string with one character per symbol: byte
-# ``b`` (id 5 + b) is the character with code point ``b`` - exactly what reading
-# the UTF-8 bytes as ISO-8859-1 gives - and merge ids continue upwards, skipping
-# the surrogate block. Pair counting is then a lookahead regex and a merge is a
-# literal left-to-right ``replace``: both are codegen'd string functions.
-_SURROGATE_LO, _SURROGATE_SPAN = 0xD800, 0x800
-
-
-def sym_char(sym_id: int) -> str:
-    cp = sym_id - BYTE_OFFSET
-    return chr(cp if cp < _SURROGATE_LO else cp + _SURROGATE_SPAN)
-
-
-def _cp_to_id(cp):
-    return F.when(cp < _SURROGATE_LO, cp).otherwise(cp - _SURROGATE_SPAN) + F.lit(BYTE_OFFSET)
-
-
-def _string_state(piece_counts: DataFrame) -> DataFrame:
-    s = F.decode(F.encode(F.col("piece"), "UTF-8"), "ISO-8859-1")
-    return piece_counts.select(s.alias("s"), F.col("n").cast("bigint")).filter(F.length("s") >= 2)
-
-
-def _top_pairs(state: DataFrame, min_frequency: int, limit: int) -> list[tuple[int, int, int]]:
-    pairs = state.select(F.explode(F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1)))
-                         .alias("p"), "n")
-    c = pairs.groupBy("p").agg(F.sum("n").alias("c")).filter(F.col("c") >= min_frequency)
-    c = c.select(_cp_to_id(F.ascii(F.substring("p", 1, 1))).alias("l"),
-                 _cp_to_id(F.ascii(F.substring("p", 2, 1))).alias("r"), "c")
-    return [(r.l, r.r, r.c) for r in order_pairs(c).limit(limit).collect()]
-
-
 def order_pairs(pairs: DataFrame) -> DataFrame:
     """Merge priority: count desc, then max(left, right), left, right ascending."""
     return pairs.orderBy(F.desc("c"), F.greatest("l", "r"), "l", "r")
@@ -152,64 +131,316 @@ def accept_prefix(top: list[tuple[int, int, int]], room: int) -> list[tuple[int,
     return batch
 
 
-def apply_batch(state: DataFrame, batch: list[tuple[int, int]], first_new: int) -> DataFrame:
-    """Merge every pair of a symbol-disjoint batch. Disjoint pairs cannot
-    overlap, so replacing them one after another equals one left-to-right
-    pass; ``replace`` itself is left-to-right and non-overlapping, which is the
-    BPE rule for runs like ``aaa``. Pieces reduced to one symbol drop out."""
-    s = F.col("s")
-    for j, (a, b) in enumerate(batch):
-        s = F.replace(s, F.lit(sym_char(a) + sym_char(b)), F.lit(sym_char(first_new + j)))
-    return state.select(s.alias("s"), "n").filter(F.length("s") >= 2)
+Entry = tuple[int, int, int, int]       # merge order: -count, larger symbol, left, right
+
+
+def _entry(pair: tuple[int, int], c: int) -> Entry:
+    return -c, max(pair), *pair
+
+
+class PairTable:
+    """Adjacent symbol pairs with their counts, kept up by signed changes, in merge order.
+
+    A pair has its weighted count and its occurrences (each distinct piece once), which bound
+    the pieces that hold it. The table has at most ``limit`` pairs; pairs left out have counts
+    of ``bound`` at most. That stays true while merges are applied: a pair of old symbols only
+    ever loses occurrences, and the pairs of a new symbol come in with all of theirs. Pairs
+    above the bound are therefore exact and in their right order; when they run out, the
+    caller counts anew.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, int, int]], limit: int, bound: int = 0):
+        self.limit, self.bound = limit, bound
+        self.counts = {(left, right): (c, o) for left, right, c, o in rows if c > bound}
+        self._heapify()
+
+    def _heapify(self) -> None:
+        self.heap = [_entry(p, c) for p, (c, _) in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def change(self, deltas: list[tuple[int, int, int, int]]) -> None:
+        for left, right, dc, do in deltas:
+            c, o = self.counts.get((left, right), (0, 0))
+            if c + dc > self.bound:
+                self.counts[left, right] = c + dc, o + do
+                heapq.heappush(self.heap, _entry((left, right), c + dc))
+            else:
+                self.counts.pop((left, right), None)
+        if len(self.counts) > self.limit:                    # keep the better half
+            order = sorted((c for c, _ in self.counts.values()), reverse=True)
+            self.bound = order[self.limit // 2]
+            self.counts = {p: x for p, x in self.counts.items() if x[0] > self.bound}
+            self._heapify()
+
+    def top(self, n: int) -> list[tuple[int, int, int, int]]:
+        """The next ``n`` pairs in merge order, ``(left, right, count, occurrences)``; they stay in."""
+        out, entries, seen = [], [], set()
+        while self.heap and len(out) < n:
+            e = heapq.heappop(self.heap)
+            pair = e[2:]
+            if self.counts.get(pair, (0,))[0] != -e[0] or pair in seen:
+                continue                                     # changed since
+            seen.add(pair)
+            entries.append(e)
+            out.append((*pair, *self.counts[pair]))
+        for e in entries:
+            heapq.heappush(self.heap, e)
+        return out
+
+
+def _merged(syms: list[int], new: dict[tuple[int, int], int]) -> list[int]:
+    """One left-to-right pass over a piece for a batch of symbol-disjoint pairs."""
+    out, i, n = [], 0, len(syms)
+    while i < n:
+        m = new.get((syms[i], syms[i + 1])) if i + 1 < n else None
+        out.append(syms[i] if m is None else m)
+        i += 1 if m is None else 2
+    return out
+
+
+class _Changes:
+    """Signed changes of pair counts: weighted, and by occurrence."""
+
+    def __init__(self):
+        self.pairs: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+
+    def add(self, syms: list[int], n: int, sign: int = 1) -> None:
+        for pair in zip(syms, syms[1:]):
+            x = self.pairs[pair]
+            x[0] += sign * n
+            x[1] += sign
+
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        return [(*pair, c, o) for pair, (c, o) in self.pairs.items() if c or o]
+
+
+PAIR_ROWS = "l int, r int, c bigint, o bigint"
+_PAIR_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+
+def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((),) * 4, _PAIR_TYPES)],
+                                      names=["l", "r", "c", "o"])
 
 
-def learn_merges(piece_counts: DataFrame, vocab_size: int, min_frequency: int = 2,
-                 batch_limit: int = 64, checkpoint_every: int = 4,
-                 max_rounds: int | None = None, stats: dict | None = None) -> BpeModel:
+def sym_char(sym_id: int) -> str:
+    """A symbol as one character, the surrogate block left out."""
+    return chr(sym_id if sym_id < 0xD800 else sym_id + 0x800)
+
+
+def char_sym(c: str) -> int:
+    return ord(c) if ord(c) < 0xD800 else ord(c) - 0x800
+
+
+class PieceState:
+    """The pieces as strings of symbols, a character each, under the first ``done`` merges. Later
+    merges are applied on the fly to the pieces a round touches; every so many merges the
+    strings are written anew from the raw pieces."""
+
+    def __init__(self, raw: DataFrame, merges: list[tuple[int, int]]):
+        self.merges, self.done = merges, len(merges)
+        ranks = {p: r for r, p in enumerate(merges)}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s = ["".join(map(sym_char, encode_piece(x, merges, ranks))) for x in b.column("raw").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), b.column("n")], names=["s", "n"])
+
+        self.rows = raw.mapInArrow(run, "s string, n bigint").filter(F.length("s") >= 2).persist()
+
+    def expanded(self, sym: int) -> str:
+        """A symbol in the characters of the stored strings."""
+        rank = sym - FIRST_MERGE_ID
+        return sym_char(sym) if rank < self.done else "".join(map(self.expanded, self.merges[rank]))
+
+    def reader(self, pairs: list[tuple[int, int]] | None = None):
+        """What tasks use to get ``(symbols, n)`` of their pieces, as merged so far. With ``pairs`` only
+        the pieces that may hold one: those whose string holds it spelled out."""
+        merges = list(self.merges)
+        ranks = {p: r for r, p in enumerate(merges) if r >= self.done}
+        wanted = None if pairs is None else [self.expanded(a) + self.expanded(b) for a, b in pairs]
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], int]]:
+            for b in batches:
+                for s, n in zip(b.column("s").to_pylist(), b.column("n").to_pylist()):
+                    if wanted is None or any(w in s for w in wanted):
+                        yield merge_symbols([char_sym(c) for c in s], merges, ranks), n
+
+        return read
+
+    def forget(self) -> None:
+        self.rows.unpersist()
+
+
+def all_pairs(state: PieceState) -> DataFrame:
+    """``(l, r, c, o)``: all pairs of the pieces as merged so far."""
+    read = state.reader()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Changes()
+        for syms, n in read(batches):
+            found.add(syms, n)
+        yield _pair_batch(found.rows())
+
+    return state.rows.mapInArrow(run, PAIR_ROWS).groupBy("l", "r").agg(F.sum("c").alias("c"), F.sum("o").alias("o"))
+
+
+def pair_changes(state: PieceState, batch: list[tuple[int, int]]) -> DataFrame:
+    """``(l, r, c, o)``: what merging a symbol-disjoint ``batch`` adds to and takes from the pair counts,
+    a row per task and pair."""
+    new = {p: FIRST_MERGE_ID + len(state.merges) + j for j, p in enumerate(batch)}
+    read = state.reader(batch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Changes()
+        for old, n in read(batches):
+            now = _merged(old, new)
+            if len(now) < len(old):
+                found.add(old, n, -1)
+                found.add(now, n)
+        yield _pair_batch(found.rows())
+
+    return state.rows.mapInArrow(run, PAIR_ROWS)
+
+
+def greedy_here(rows: list[tuple[list[int], int]], cover: list[tuple[int, int]], first_new: int, room: int,
+                outside: Entry) -> tuple[list[tuple[int, int]], _Changes]:
+    """One-at-a-time greedy over ``rows``, which are all pieces that hold a pair of ``cover``: merges
+    while the best pair is a covered one, or one of the new symbols that arise (whose pieces
+    are among them), and comes before ``outside``, the best that any other pair can be."""
+    covered, counts, where = set(cover), defaultdict(int), defaultdict(set)
+    known = lambda p: p in covered or max(p) >= first_new
+    for i, (syms, n) in enumerate(rows):
+        for pair in zip(syms, syms[1:]):
+            if pair in covered:
+                counts[pair] += n
+                where[pair].add(i)
+    heap = [_entry(p, c) for p, c in counts.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int]] = []
+    changes = _Changes()
+    while heap and len(merges) < room:
+        e = heapq.heappop(heap)
+        pair = e[2:]
+        if counts.get(pair) != -e[0]:
+            continue                                         # changed since
+        if e >= outside:
+            break
+        new = {pair: first_new + len(merges)}
+        moved = set()
+        for i in sorted(where.pop(pair)):
+            old, n = rows[i]
+            now = _merged(old, new)
+            if len(now) == len(old):
+                continue                                     # merged away meanwhile
+            rows[i] = now, n
+            changes.add(old, n, -1)
+            changes.add(now, n)
+            for sign, syms in ((-1, old), (1, now)):
+                for p in zip(syms, syms[1:]):
+                    if known(p):
+                        counts[p] += sign * n
+                        moved.add(p)
+                        if sign > 0:
+                            where[p].add(i)
+        merges.append(pair)
+        for p in moved:
+            if counts[p] > 0:
+                heapq.heappush(heap, _entry(p, counts[p]))
+    return merges, changes
+
+
+def greedy_round(state: PieceState, cover: list[tuple[int, int]], room: int, outside: Entry) -> DataFrame:
+    """``greedy_here`` in one task over the pieces that hold a covered pair: rows ``(rank, null, left,
+    right)`` of the merges, then the changes ``(l, r, c, o)``."""
+    first_new = FIRST_MERGE_ID + len(state.merges)
+    wanted, read = set(cover), state.reader(cover)
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [x for x in read([b]) if not wanted.isdisjoint(zip(x[0], x[0][1:]))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.int32())),
+                                              pa.array([n for _, n in rows], pa.int64())], names=["ids", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(b.column("ids").to_pylist(), b.column("n").to_pylist())]
+        rows.sort()
+        new, changes = greedy_here(rows, cover, first_new, room, outside)
+        yield _pair_batch([(i, None, *p) for i, p in enumerate(new)] + changes.rows())
+
+    held = state.rows.mapInArrow(present, "ids array<int>, n bigint")
+    return held.repartition(1).mapInArrow(run, PAIR_ROWS)
+
+
+def learn_merges(piece_counts: DataFrame, vocab_size: int, min_frequency: int = 2, batch_limit: int = 64,
+                 max_pairs: int = MAX_PAIRS, task_pieces: int = TASK_PIECES, max_rounds: int | None = None,
+                 stats: dict | None = None) -> BpeModel:
     """Greedy BPE merges until ``vocab_size`` or no pair reaches ``min_frequency``.
 
-    ``piece_counts`` is ``(piece STRING, n BIGINT)`` (B4). Each round is one
-    pair aggregation plus a bounded ``limit(batch_limit)`` collect; the batch
-    accepted from it is exactly what one-merge-at-a-time greedy would pick.
-    The piece table is persisted between rounds and cut by a reliable
-    checkpoint every ``checkpoint_every`` rounds. ``stats``, if given, gets the
-    number of rounds.
+    ``piece_counts`` is ``(piece STRING, n BIGINT)`` (B4). All pairs are counted once; after that a
+    round brings merges and the signed changes they make to the pair table. While the next
+    pairs stand in many pieces, a round takes as many of them as one-at-a-time greedy would
+    surely take and merges them in all tasks. Once the next pairs stand in at most
+    ``task_pieces`` pieces together, one task gets those pieces and goes on greedily as long
+    as their pairs, and the new ones, come before all others. The raw pieces never change:
+    their state follows from the merges, so what is lost with an executor is made again. The
+    driver holds the merges and at most ``max_pairs`` pairs. ``stats``, if given, gets the number of
+    rounds, of those in one task and of whole counts.
     """
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size {vocab_size} exceeds {MAX_VOCAB}")
     spark = piece_counts.sparkSession
     checkpoint_dir(spark)
-    state = _string_state(piece_counts).checkpoint(eager=True)
+    raw = F.encode(F.col("piece"), "UTF-8")
+    pieces = (piece_counts.select(raw.alias("raw"), F.col("n").cast("bigint")).filter(F.length("raw") >= 2)
+              .repartition(2 * spark.sparkContext.defaultParallelism).checkpoint(eager=True))   # small but costly rows
     merges: list[tuple[int, int]] = []
-    rounds = 0
-    release = None
-    while FIRST_MERGE_ID + len(merges) < vocab_size:
-        if max_rounds is not None and rounds >= max_rounds:
-            break
-        top = _top_pairs(state, min_frequency, batch_limit)
-        if release is not None:  # the new state is materialised now
-            release.unpersist()
-            release = None
+    state = PieceState(pieces, merges)
+    count = {"rounds": 0, "one_task": 0, "counts": 0}
+    held, counted_at, table = max_pairs // 2, -1, None
+    while FIRST_MERGE_ID + len(merges) < vocab_size and (max_rounds is None or count["rounds"] < max_rounds):
+        if len(merges) >= state.done + REFRESH:
+            state.forget()
+            state = PieceState(pieces, merges)
+        if table is None:
+            c = order_pairs(all_pairs(state).filter(F.col("c") >= min_frequency)).limit(held + 1)
+            rows = [tuple(r) for r in c.select("l", "r", "c", "o").collect()]
+            table = PairTable(rows, max(max_pairs, 2 * held), rows[-1][2] if len(rows) > held else min_frequency - 1)
+            count["counts"] += 1
+        top = table.top(COVER + 1)
+        if not top:
+            if table.bound < min_frequency:
+                break
+            held = 2 * held if counted_at == count["rounds"] else held       # more pairs tie than the table holds
+            counted_at, table = count["rounds"], None
+            continue
+        few, total = 0, 0
+        while few < min(len(top), COVER) and total + top[few][3] <= task_pieces:
+            total += top[few][3]
+            few += 1
         room = vocab_size - FIRST_MERGE_ID - len(merges)
-        batch = accept_prefix(top, room)
-        if not batch:
-            break
-        nxt = apply_batch(state, batch, FIRST_MERGE_ID + len(merges))
-        merges.extend(batch)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-            if state.is_cached:
-                state.unpersist()
+        if few:
+            cover = [x[:2] for x in top[:few]]
+            outside = _entry(top[few][:2], top[few][2]) if few < len(top) else (-table.bound, 0, 0, 0)
+            rows = [tuple(r) for r in greedy_round(state, cover, room, outside).collect()]
+            batch = [x[2:] for x in sorted(x for x in rows if x[1] is None)]
+            count["one_task"] += 1
         else:
-            nxt = nxt.persist()
-            if state.is_cached:
-                release = state
-        state = nxt
-    if state.is_cached:
-        state.unpersist()
-    if release is not None:
-        release.unpersist()
+            batch = accept_prefix([x[:3] for x in top[:batch_limit]], room)
+            rows = [tuple(r) for r in pair_changes(state, batch).collect()]
+        table.change(_summed(x for x in rows if x[1] is not None))
+        merges.extend(batch)
+        count["rounds"] += 1
+    state.forget()
     if stats is not None:
-        stats["rounds"] = rounds
+        stats.update(count)
     return BpeModel(merges)
+
+
+def _summed(rows) -> list[tuple[int, int, int, int]]:
+    """The tasks' changes by pair."""
+    out: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+    for left, right, c, o in rows:
+        out[left, right][0] += c
+        out[left, right][1] += o
+    return [(*p, c, o) for p, (c, o) in out.items()]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import hash_key, rank_by_hash, ranked_rows
 from ..functions.text import (ASSISTANT_ID, BYTE_OFFSET, EOT_ID, PAD_ID, USER_ID, capitalize,
                               py_strip, r6, truthy)
+from ..session import stored
 from .bpe import BpeModel
 from .tokenizer import encode
 
@@ -79,15 +80,16 @@ def quota_union(pairs: Mapping[str, tuple[DataFrame, int | None]]) -> DataFrame:
     quotas = {k: n for k, (_, n) in pairs.items() if n}
     if not quotas:
         return out
-    ranked = ranked_rows(out, ["source"], "row_id", "__rank")
     limit = F.lit(None).cast("bigint")
     for k, n in quotas.items():
         limit = F.when(F.col("source") == k, F.lit(n)).otherwise(limit)
-    return ranked.filter(limit.isNull() | (F.col("__rank") < limit)).drop("__rank")
+    limit = F.coalesce(limit, F.lit((1 << 63) - 1))
+    return ranked_rows(stored(out, "chat-pairs"), ["source"], "row_id", "__rank", limit).drop("__rank")
 
 
 def seeded_shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
     """A deterministic permutation: ``position`` = rank of md5(seed:source:row_id)."""
+    df = stored(df, "examples")
     k = df.select("source", "row_id").withColumn("__key", hash_key(F.lit(seed), F.col("source"), F.col("row_id")))
     return df.join(rank_by_hash(k, "__key", out="position").drop("__key"), ["source", "row_id"])
 
@@ -135,6 +137,7 @@ def epoch_batches(df: DataFrame, epochs: int, batch_size: int, seed: int = 0) ->
     """Every epoch is its own permutation (md5(seed:epoch:source:row_id));
     consecutive slices of ``batch_size`` form batches, the last one partial.
     ``epochs`` is a parameter, so the epoch frame is parameter-sized."""
+    df = stored(df, "examples")
     j = df.select("source", "row_id").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     k = j.withColumn("__key", hash_key(F.lit(seed), F.col("epoch"), F.col("source"),
                                        F.col("row_id")))
@@ -158,15 +161,19 @@ def collate(batches: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
                     pad.cast("int").alias("n_pad"), masked.cast("int").alias("n_masked"))
 
 
-def padding_report(collated: DataFrame) -> DataFrame:
-    """Share of pad and of masked target positions per epoch."""
-    masked = F.col("n_masked")
-    return collated.groupBy("epoch").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("batch_id").alias("batches"),
-        F.sum(F.size("x")).cast("bigint").alias("positions"),
-        F.sum("n_pad").cast("bigint").alias("pad"),
-        F.sum(masked).cast("bigint").alias("masked")) \
+def padding_report(batches: DataFrame) -> DataFrame:
+    """Share of pad and of masked target positions per epoch, from the examples' lengths:
+    a batch of ``n`` rows whose longest has ``m`` tokens has ``n (m - 1)`` positions."""
+    masked = F.greatest(F.least(F.col("n_prompt"), F.size("labels")) - 1, F.lit(0))
+    b = batches.groupBy("epoch", "batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("full")).alias("m"), F.sum(F.size("full")).alias("tokens"),
+        F.sum(masked).alias("prompt"))
+    pad = F.col("n") * F.col("m") - F.col("tokens")
+    total = lambda c: F.sum(c).cast("bigint")
+    return b.groupBy("epoch").agg(
+        total(F.col("n")).alias("rows"), F.count(F.lit(1)).alias("batches"),
+        total(F.col("n") * (F.col("m") - 1)).alias("positions"), total(pad).alias("pad"),
+        total(F.col("prompt") + pad).alias("masked")) \
         .withColumn("pad_share", r6(F.col("pad") / F.col("positions"))) \
         .withColumn("masked_share", r6(F.col("masked") / F.col("positions")))
 

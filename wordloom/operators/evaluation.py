@@ -1,20 +1,24 @@
 """Evaluation by answer-likelihood (F1-F11) with a pluggable scorer.
 
-``context_scores`` hands whole id sequences to any model. The registered queries
-use the count-based bigram model of F10, which needs ``(prev, cur)`` pairs only (a
-stand-in for the trained network: its numbers are not comparable with a neural
-model's). Every candidate option of
+``context_scores`` hands whole id sequences to any model, such as ``SuffixModel``. The
+other queries use the count-based bigram model of F10, which needs ``(prev, cur)``
+pairs only. Both stand in for the trained network: their numbers are not comparable
+with a neural model's. Every candidate option of
 every question is scored in one distributed job.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordering import ranked_rows
 from ..functions.text import byte_ids, py_strip, r6
+from ..session import stored
 from .bpe import BpeModel
 from .chat import mcq_valid
 from .tokenizer import encode
@@ -156,25 +160,122 @@ def option_scores(tokens: DataFrame, scorer: BigramScorer) -> DataFrame:
     return j.select(*keys, score.alias("score"))
 
 
-def context_scores(tokens: DataFrame, log_probs) -> DataFrame:
-    """F4 with any model: ``log_probs(ids)`` gets the kept ids of one option's
-    whole sequence and returns the log-probability of each id given all before
-    it (the first is ignored). Sequences go to the executors' Python in Arrow
-    batches, so the callable may hold a network and batch as it likes."""
+def context_scores(tokens: DataFrame, make_predict, max_len: int, batch_size: int = 128) -> DataFrame:
+    """F4 with any model that sees the whole context. ``make_predict()`` is called once in each
+    Python worker and gives ``predict(ids)``: a batch of id sequences as a matrix, padded with
+    ``PAD``, to the log-probability of each id given all before it (the first is ignored).
+    Sequences are batched with others of about their length: buckets double up to
+    ``max_len``, so at most half of a matrix is padding."""
     keys = ["task", "row_id", "idx"]
-    t = tokens.select(*keys, F.slice("ids", (F.col("cut") + 1).cast("int"), F.size("ids")).alias("ids"),
-                      (F.greatest(F.col("n_ctx"), F.col("cut") + 1) - F.col("cut")).alias("first"), "n_opt")
-
-    def run(batches):
-        for pdf in batches:
-            s = []
-            for ids, first, n in zip(pdf["ids"], pdf["first"], pdf["n_opt"]):
-                p = log_probs(ids) if len(ids) > first else []
-                s.append(float(sum(p[first:])) / max(n, 1))
-            yield pdf[keys].assign(score=s)
-
-    fields = ", ".join(f"{k} {tokens.schema[k].dataType.simpleString()}" for k in keys)
-    return t.mapInPandas(run, f"{fields}, score double")
+    kept = F.slice("ids", (F.col("cut") + 1).cast("int"), F.size("ids"))
+    first = F.greatest(F.col("n_ctx"), F.col("cut") + 1) - F.col("cut")
+    t = stored(tokens.select(*keys, kept.alias("ids"), first.cast("int").alias("first"), "n_opt"), "option-tokens")
+    out, low = None, 0
+    while low < max_len:
+        length = min(max(2 * low, 32), max_len)
+        model = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+                                  input_tensor_shapes=[[length]])
+        own = t.filter((F.size("ids") > low) & (F.size("ids") <= length))
+        padded = F.concat("ids", F.array_repeat(F.lit(PAD), F.lit(length) - F.size("ids")))
+        scored = own.select(*keys, "n_opt", F.slice(model(padded), F.col("first") + 1, F.greatest(F.size("ids") - F.col("first"), F.lit(0))).alias("p"))
+        out = scored if out is None else out.unionByName(scored)
+        low = length
+    total = F.aggregate("p", F.lit(0.0), lambda x, y: x + y)
+    none = t.filter(F.size("ids") == 0).select(*keys, F.lit(0.0).alias("score"))
+    return out.select(*keys, (total / F.greatest(F.col("n_opt"), F.lit(1))).alias("score")).unionByName(none)
+
+
+# --- a count model of longer contexts ----------------------------------------------------
+
+PAD = -1
+SUFFIX = 3               # tokens of context the model can use
+SLOT = 17                # bits of one context token: id + 1, 0 before the start
+NO_TOKEN = (1 << SLOT) - 1     # a place that truncation cut away: never counted
+
+
+def suffix_counts(blocks: DataFrame, depth: int = SUFFIX, split: str = "train") -> DataFrame:
+    """``(ctx, w, c)``: how often ``w`` follows the ``depth`` tokens packed in ``ctx``, the nearest in
+    the lowest bits, so that a mask gives the shorter contexts. Blocks meet the tail of the
+    block before them on their bucket keys."""
+    own = blocks.filter(F.col("split") == split).select("source", "split", "block_id", "toks")
+    tails = own.select("source", "split", (F.col("block_id") + 1).alias("block_id"), F.slice("toks", -depth, depth).alias("tail"))
+    start = F.array_repeat(F.lit(PAD), depth)
+    rows = own.join(tails, ["source", "split", "block_id"], "left").select(
+        F.concat(F.coalesce("tail", start), "toks").alias("x"), F.size("toks").alias("n"))
+
+    def at(i) -> Column:
+        ctx = F.lit(0).cast("bigint")
+        for back in range(1, depth + 1):
+            ctx = ctx + F.shiftleft((F.element_at("x", i + (depth - back + 1)) + 1).cast("bigint"), SLOT * (back - 1))
+        return F.struct(ctx.alias("ctx"), F.element_at("x", i + (depth + 1)).alias("w"))
+
+    pairs = rows.filter("n > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), at)).alias("g"))
+    return pairs.groupBy("g.ctx", "g.w").agg(F.count(F.lit(1)).alias("c"))
+
+
+class SuffixModel:
+    """``p_0(w) = (c(w) + 1) / (N + V)`` and ``p_k(w | k tokens) = (c(k tokens, w) + p_(k-1)) / (c(k tokens) + 1)``:
+    the longest suffix that was seen decides, and an unseen one leaves ``p`` as it is. Holds
+    only the contexts that some candidate asks for."""
+
+    def __init__(self, unigrams: np.ndarray, n_tokens: int, contexts: list[tuple], pairs: list[tuple]):
+        self.p0 = (unigrams + 1) / (n_tokens + len(unigrams))
+        self.contexts, self.pairs = contexts, pairs        # by k: sorted keys and counts
+
+    @staticmethod
+    def _count(table: tuple, key: np.ndarray) -> np.ndarray:
+        keys, counts = table
+        if not len(keys):
+            return np.zeros(key.shape)
+        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[i] == key, counts[i], 0)
+
+    def log_probs(self, ids: np.ndarray) -> np.ndarray:
+        ids = ids.astype(np.int64)
+        inside = (ids >= 0) & (ids < len(self.p0))
+        p = np.where(inside, self.p0[np.where(inside, ids, 0)], 1.0)
+        ctx = np.zeros(ids.shape, np.int64)
+        for k, (contexts, pairs) in enumerate(zip(self.contexts, self.pairs), 1):
+            before = np.full(ids.shape, NO_TOKEN, np.int64)
+            before[:, k:] = ids[:, :-k] + 1
+            ctx += before << SLOT * (k - 1)
+            row = np.searchsorted(contexts[0], ctx)        # a context's place keys its pairs
+            p = (self._count(pairs, row << SLOT | np.where(inside, ids, 0)) * self._known(contexts[0], row, ctx) + p) / \
+                (self._count(contexts, ctx) + 1)
+        return np.log(p)
+
+    @staticmethod
+    def _known(keys: np.ndarray, row: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        return keys[np.minimum(row, len(keys) - 1)] == ctx if len(keys) else np.zeros(ctx.shape, bool)
+
+
+def fit_suffix_model(counts: DataFrame, tokens: DataFrame, vocab_size: int, depth: int = SUFFIX) -> SuffixModel:
+    """The part of the model that ``tokens`` (candidates of a limited evaluation) ask for; what is
+    gathered is at most ``depth`` counts per candidate token and one per id."""
+    counts = stored(counts, "suffix-counts")
+    lo, hi = F.greatest(F.col("n_ctx"), F.col("cut") + 1), F.col("n_ctx") + F.col("n_opt") - 1
+    pos = tokens.select("ids", "cut", F.explode(F.when(hi >= lo, F.sequence(lo, hi))).alias("j"))
+    ctx, asked = F.lit(0).cast("bigint"), []
+    for k in range(1, depth + 1):
+        token = F.when(F.col("j") - k >= F.col("cut"), F.try_element_at("ids", (F.col("j") - k + 1).cast("int")) + 1).otherwise(NO_TOKEN)
+        ctx = ctx + F.shiftleft(token.cast("bigint"), SLOT * (k - 1))
+        asked.append(F.struct(F.lit(k).alias("k"), ctx.alias("ctx"), F.element_at("ids", F.col("j") + 1).alias("w")))
+    asked = stored(pos.select(F.inline(F.array(*asked))).distinct(), "suffix-asked")
+    contexts, pairs = [], []
+    for k in range(1, depth + 1):
+        own = asked.filter(F.col("k") == k)
+        short = counts.select(F.col("ctx").bitwiseAND(F.lit((1 << SLOT * k) - 1)).alias("ctx"), "w", "c")
+        seen = stored(short.join(own.select("ctx").distinct(), "ctx", "left_semi").groupBy("ctx", "w").agg(F.sum("c").alias("c")), "suffix-seen")
+        total = {r["ctx"]: r["c"] for r in seen.groupBy("ctx").agg(F.sum("c").alias("c")).collect()}
+        keys = np.array(sorted(total), np.int64)
+        contexts.append((keys, np.array([total[x] for x in keys.tolist()], np.int64)))
+        hit = seen.join(own.select("ctx", "w"), ["ctx", "w"], "left_semi").collect()
+        rows = sorted((int(np.searchsorted(keys, r["ctx"])) << SLOT | r["w"], r["c"]) for r in hit)
+        pairs.append((np.array([x for x, _ in rows], np.int64), np.array([c for _, c in rows], np.int64)))
+    unigrams = np.zeros(vocab_size, np.int64)
+    for r in counts.groupBy("w").agg(F.sum("c").alias("c")).collect():
+        unigrams[r["w"]] = r["c"]
+    return SuffixModel(unigrams, int(unigrams.sum()), contexts, pairs)
 
 
 def predictions(scores: DataFrame, cands: DataFrame) -> DataFrame:

@@ -77,12 +77,13 @@ class Schedule:
     max_steps: int
 
     def at(self, step) -> Column:
+        """The share ``p`` of the decay done is held to 0..1, so the flat tail is its end:
+        ``cos(pi p / 2)`` squared falls from 1 to 0."""
         s = step if isinstance(step, Column) else F.lit(step)
-        warm = F.lit(self.lr) * (s + 1) / F.lit(self.warmup_steps)
-        done = (s - self.warmup_steps) / F.lit(max(1, self.max_steps - self.warmup_steps))
-        left = (F.cos(F.lit(math.pi) * done) + F.lit(1.0)) / F.lit(2.0)      # 1 down to 0
-        decay = F.lit(self.min_lr) + left * F.lit(self.lr - self.min_lr)
-        return F.when(s < self.warmup_steps, warm).when(s >= self.max_steps, F.lit(self.min_lr)).otherwise(decay)
+        share = (s - self.warmup_steps) / F.lit(float(max(1, self.max_steps - self.warmup_steps)))
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+        fall = F.pow(F.cos(p * (math.pi / 2)), 2) * (self.lr - self.min_lr) + self.min_lr
+        return F.when(s < self.warmup_steps, (s + 1) * (self.lr / max(1, self.warmup_steps))).otherwise(fall)
 
 
 def sft_lr(step, total: int, lr: float) -> Column:

@@ -101,8 +101,8 @@ def read_windows(windows: DataFrame, blocks: DataFrame, seq_len: int, block: int
     ``y`` the first.
 
     Each window explodes only the block ids it touches and meets the blocks on
-    ``(source, split, block_id)``; Spark broadcasts the window side if its
-    measured size allows, and then prunes the blocks' source and split folders.
+    ``(source, split, block_id)``. Blocks stored in buckets of these keys are not
+    moved: the windows are shuffled to them, or broadcast if their size allows.
     Blocks are sliced to the overlap *before* regrouping, so
     the regroup moves ``seq_len`` tokens per window, not whole blocks.
     """

@@ -1,17 +1,21 @@
 """Tokenizer training inputs and use (B1-B12) as DataFrame operators."""
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordering import ranked_rows
-from ..functions.text import SPECIAL_TOKENS, byte_ids, pieces, word_count
+from ..functions.text import EOT_ID, PAD_ID, SPECIAL_TOKENS, byte_ids, pieces, word_count
 from .bpe import BpeModel, encode_piece
 
 TRAIN_CHAR_CAP = 5000  # B2: code points of each document seen by the trainer (fixed value)
@@ -103,6 +107,58 @@ def encode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], text: str
     return src.mapInArrow(run, schema)
 
 
+class PieceDictionary:
+    """The pieces a tokenizer has encoded so far with their ids, as batches in a folder of the
+    tokenizer's own hash. A piece is encoded once however many documents, runs or
+    sessions bring it; another tokenizer has another folder.
+
+    ``encode`` needs a shuffle of the pieces, which the batch-local ``encode`` above does not;
+    it pays where pieces come again and encoding them is the greater part."""
+
+    SCHEMA = "piece string, ids array<int>"
+
+    def __init__(self, spark: SparkSession, path: str, model: BpeModel):
+        self.spark, self.model = spark, model
+        name = hashlib.sha256(",".join(f"{a}:{b}" for a, b in model.merges).encode()).hexdigest()[:24]
+        self.path = f"{path}/{name}"
+
+    def rows(self) -> DataFrame:
+        """``(piece, ids)``, once each, of committed batches."""
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/*").dropDuplicates(["piece"])
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def extend(self, df: DataFrame, text: str = "text") -> int:
+        """Encode the pieces of ``df`` that are not in the dictionary; returns how many."""
+        merges, ranks = self.model.merges, self.model.ranks()
+        new = df.select(F.explode(pieces(F.col(text))).alias("piece")).distinct().join(self.rows(), "piece", "left_anti")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = [encode_piece(p.as_buffer().to_pybytes(), merges, ranks) for p in b.column("piece")]
+                yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(ids, pa.list_(pa.int32()))], names=["piece", "ids"])
+
+        count = Observation()
+        (new.mapInArrow(run, self.SCHEMA).observe(count, F.count(F.lit(1)).alias("n"))
+         .write.parquet(f"{self.path}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"))
+        return count.get["n"]
+
+    def encode(self, df: DataFrame, keys: Sequence[str], text: str = "text", out: str = "ids") -> DataFrame:
+        """B8 by look-up: pieces meet their ids in one join and come back in order. All pieces of
+        ``df`` must be in the dictionary; ``keys`` are carried along."""
+        keys = list(keys)
+        rows = df.withColumn("__row", F.monotonically_increasing_id()).select(
+            "__row", *keys, F.posexplode_outer(pieces(F.col(text))).alias("pos", "piece"))
+        found = rows.join(self.rows().withColumnRenamed("ids", "__ids"), "piece", "left")
+        missing = F.col("piece").isNotNull() & F.col("__ids").isNull()
+        ids = F.when(missing, F.raise_error(F.concat(F.lit("piece not in the dictionary: "), "piece")).cast("array<int>")).otherwise(F.col("__ids"))
+        one = found.groupBy("__row").agg(
+            *[F.first(k).alias(k) for k in keys], F.array_sort(F.collect_list(F.struct("pos", ids.alias("ids")))).alias("__p"))
+        flat = F.flatten(F.transform("__p", lambda x: F.coalesce(x["ids"], F.array().cast("array<int>"))))
+        return one.select(*keys, flat.alias(out))
+
+
 def decode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], ids: str = "ids",
            out: str = "text") -> DataFrame:
     """Ids -> text. Specials are dropped; a cut character decodes to U+FFFD.
@@ -130,14 +186,16 @@ def decode(df: DataFrame, model: BpeModel | None, keys: Sequence[str], ids: str
 
 
 def roundtrip_audit(corpus: DataFrame, model: BpeModel | None) -> DataFrame:
-    """Per source, how many documents do not decode back to their text."""
+    """Per source, how many documents do not decode back to their text, and the sum of the
+    decoded texts' digests (their first 32 bits), which any other reader of the texts can form."""
     both = corpus.select("source", "text", F.col("text").alias("__in"))
     enc = encode(both, model, ["source", "text"], text="__in")
     dec = decode(enc, model, ["source", "text"], out="decoded")
+    digest = F.conv(F.substring(F.md5("decoded"), 1, 8), 16, 10).cast("bigint")
     return dec.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum(F.when(F.col("decoded").eqNullSafe(F.col("text")), 0).otherwise(1))
-         .cast("bigint").alias("mismatched"))
+         .cast("bigint").alias("mismatched"), F.sum(digest).alias("digest_sum"))
 
 
 def fertility(corpus: DataFrame, model: BpeModel | None) -> DataFrame:
@@ -149,12 +207,16 @@ def fertility(corpus: DataFrame, model: BpeModel | None) -> DataFrame:
         F.round(F.sum(F.size("ids")) / F.sum("words"), 6).alias("fertility"))
 
 
-def special_audit(vocab: DataFrame) -> DataFrame:
-    """Every declared special resolves to an id in the stored vocabulary
+def special_audit(vocab: DataFrame, declared: DataFrame) -> DataFrame:
+    """Whether each declared special (``text``) resolves to an id in a stored vocabulary
     table (``id, token_hex, special, text``)."""
-    spark = vocab.sparkSession
-    want = spark.createDataFrame([(s, i) for i, s in enumerate(SPECIAL_TOKENS)],
-                                 "text string, declared int")
     found = vocab.filter("special").select("text", "id")
-    return want.join(found, "text", "left").select(
-        "text", "declared", F.col("id"), F.col("id").isNotNull().alias("resolved"))
+    return declared.select("text").distinct().join(found, "text", "left").select(
+        "text", "id", F.col("id").isNotNull().alias("resolved"))
+
+
+def declared_specials(conversations: DataFrame) -> DataFrame:
+    """The specials that chats call for: one for each role, end of text and padding."""
+    roles = conversations.filter("role is not null").select(F.concat(F.lit("<|"), "role", F.lit("|>")).alias("text"))
+    fixed = conversations.sparkSession.createDataFrame([(SPECIAL_TOKENS[EOT_ID],), (SPECIAL_TOKENS[PAD_ID],)], "text string")
+    return roles.distinct().unionByName(fixed).distinct()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ordering import null_safe_join, prefix_sum
@@ -114,6 +114,26 @@ def corpus_report(segments: DataFrame, part: Sequence[str] = ("source",)) -> Dat
         F.sum("len").cast("bigint").alias("tokens"))
 
 
+def guarded(blocks: DataFrame, vocab_size: int, toks: str = "toks") -> DataFrame:
+    """C6 in the write itself: the first block with an id outside ``[0, vocab)`` or the uint16 range
+    fails the job that writes it."""
+    limit = min(vocab_size, 1 << 16)
+    good = (F.array_min(toks) >= 0) & (F.array_max(toks) < limit)
+    seen = F.concat(F.lit(f"id outside 0..{limit - 1} in block "), F.col("block_id").cast("string"))
+    return blocks.withColumn(toks, F.when(F.coalesce(good, F.lit(True)), F.col(toks)).otherwise(
+        F.raise_error(seen).cast(blocks.schema[toks].dataType)))
+
+
+def watched(blocks: DataFrame, build: Observation, toks: str = "toks") -> DataFrame:
+    """C4/C6 marks of a build, taken from its own write: ``build.get`` has the blocks, tokens, val
+    tokens and the range of ids once the write is done, without another pass."""
+    n = F.size(toks)
+    return blocks.observe(
+        build, F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("tokens"),
+        F.coalesce(F.sum(F.when(F.col("split") == "val", n)), F.lit(0)).cast("bigint").alias("val_tokens"),
+        F.min(F.array_min(toks)).alias("min_id"), F.max(F.array_max(toks)).alias("max_id"))
+
+
 def id_guard(df: DataFrame, vocab_size: int, ids: str = "ids",
              part: Sequence[str] = ("source",)) -> DataFrame:
     """Id range per source and the number of ids outside ``[0, vocab)`` or
@@ -130,12 +150,13 @@ def id_guard(df: DataFrame, vocab_size: int, ids: str = "ids",
 
 
 def to_blocks(segments: DataFrame, block: int = BLOCK, ids: str = "ids",
-              part: Sequence[str] = ("source", "split")) -> DataFrame:
+              part: Sequence[str] = ("source", "split"), buckets: int | None = None) -> DataFrame:
     """A5 layout: fixed-size blocks of the flat per-(source, split) token array.
 
     Each segment explodes only the block ids it touches (rows ~ docs + blocks,
     never tokens); the slices are then grouped by block and concatenated in
-    position order. A block gathers at most ``block`` slices.
+    position order. A block gathers at most ``block`` slices. ``buckets`` fixes the number
+    of partitions by block, for a bucketed write.
     """
     part = list(part)
     pos, ln = F.col("pos"), F.col("len")
@@ -146,6 +167,7 @@ def to_blocks(segments: DataFrame, block: int = BLOCK, ids: str = "ids",
     hi = F.least((F.col("block_id") + 1) * block, pos + ln)
     piece = F.slice(F.col(ids), (lo - pos + 1).cast("int"), (hi - lo).cast("int"))
     sl = ex.select(*part, "block_id", lo.alias("start"), piece.alias("toks"))
+    sl = sl.repartition(buckets, *part, "block_id") if buckets else sl
     grouped = sl.groupBy(*part, "block_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "toks"))).alias("__p"))
     return grouped.select(*part, F.col("block_id").cast("bigint").alias("block_id"),

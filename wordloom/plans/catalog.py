@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ids_string, pieces, r6
 from ..operators import chat as ch
@@ -45,7 +46,8 @@ def registry() -> dict[str, Query]:
 _MODELS: dict[tuple, BpeModel] = {}
 
 
-def trained_model(spark: SparkSession, sf_dir: str, vocab_size: int = P.VOCAB) -> BpeModel:
+def trained_model(spark: SparkSession, sf_dir: str, vocab_size: int | None = None) -> BpeModel:
+    vocab_size = vocab_size or P.VOCAB
     key = (spark.sparkContext.applicationId, sf_dir, vocab_size)
     if key not in _MODELS:
         pc = tk.training_pieces(tables.corpus(spark, sf_dir), P.TOK_DOCS)
@@ -152,6 +154,17 @@ def b8_encode_merged(spark, sf):
                     ids_string(F.col("ids")).alias("ids"))
 
 
+@query("b8_encode_dictionary")
+def b8_encode_dictionary(spark, sf):
+    """``b8_encode_merged`` by way of the stored dictionary of pieces."""
+    words = tk.PieceDictionary(spark, fs.scratch_path(spark, "pieces"), trained_model(spark, sf))
+    c = tables.corpus(spark, sf)
+    words.extend(c)
+    e = words.encode(c, ["source", "doc_id"])
+    return e.select("source", "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                    ids_string(F.col("ids")).alias("ids"))
+
+
 @query("b9_decode")
 def b9_decode(spark, sf):
     e = tk.encode(tables.corpus(spark, sf), None, ["source", "doc_id"])
@@ -171,8 +184,8 @@ def b11_fertility(spark, sf):
 @query("b12_special_audit")
 def b12_special_audit(spark, sf):
     path = fs.scratch_path(spark, "tokenizer")
-    fs.save_tokenizer(spark, trained_model(spark, sf), path)
-    return tk.special_audit(fs.read_vocab(spark, path))
+    fs.save_tokenizer(spark, BpeModel(), path)
+    return tk.special_audit(fs.read_vocab(spark, path), tk.declared_specials(tables.table(spark, sf, "conversations", ["role"])))
 
 
 # --- C: token corpus ----------------------------------------------------------------
@@ -231,6 +244,14 @@ def c6_id_guard(spark, sf):
     return tok.id_guard(segs, P.BYTE_VOCAB)
 
 
+@query("c6_build_watch")
+def c6_build_watch(spark, sf):
+    """What a build reports of its own write: blocks, tokens, val tokens and the range of ids."""
+    watch = Observation("build")
+    cb.stored_blocks(tables.corpus(spark, sf), None, P.BUDGET, build=watch)
+    return spark.createDataFrame([Row(**watch.get)], "blocks bigint, tokens bigint, val_tokens bigint, min_id int, max_id int")
+
+
 @query("a5_token_blocks")
 def a5_token_blocks(spark, sf):
     segs = cb.token_segments(tables.corpus(spark, sf), None, None)
@@ -246,14 +267,13 @@ _BLOCKS: dict[tuple, str] = {}
 
 def byte_blocks(spark, sf):
     """The stored token corpus at byte level, written once per session like the
-    reference's token files; every loader reads the same Parquet, pruned to the
-    sources and splits it needs."""
+    reference's token files; every loader joins the same buckets."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _BLOCKS:
         path = fs.scratch_path(spark, "blocks")
         cb.stored_blocks(tables.corpus(spark, sf), None, path=path)
         _BLOCKS[key] = path
-    return fs.read_blocks(spark, _BLOCKS[key])
+    return fs.read_buckets(spark, _BLOCKS[key])
 
 
 def byte_split_lengths(spark, sf):
@@ -425,7 +445,7 @@ def e12_inference_prompts(spark, sf):
 
 @query("e14_padding_report")
 def e14_padding_report(spark, sf):
-    return ch.padding_report(_collated(spark, sf))
+    return ch.padding_report(ch.epoch_batches(_examples(spark, sf), P.SFT_EPOCHS, P.SFT_BATCH, P.SFT_SEED))
 
 
 # --- F: evaluation ----------------------------------------------------------------------
@@ -474,6 +494,21 @@ def f4_option_scores(spark, sf):
                     r6(F.col("score")).alias("score"))
 
 
+@query("f4_context_scores")
+def f4_context_scores(spark, sf):
+    """Each option given its whole kept context, by the longest suffix seen in training."""
+    t = ev.candidate_tokens(_cands(spark, sf), None, P.EVAL_MAX_LEN)
+    model = ev.fit_suffix_model(ev.suffix_counts(byte_blocks(spark, sf)), t, P.BYTE_VOCAB)
+    s = ev.context_scores(t, lambda: model.log_probs, P.EVAL_MAX_LEN)
+    return s.select("task", "row_id", F.col("idx").cast("int").alias("idx"), r6(F.col("score")).alias("score"))
+
+
+@query("f4_suffix_counts")
+def f4_suffix_counts(spark, sf):
+    """The counts behind the context scores."""
+    return ev.suffix_counts(byte_blocks(spark, sf)).select("ctx", F.col("w").cast("int").alias("w"), F.col("c").cast("bigint").alias("c"))
+
+
 @query("f5_truncated_scores")
 def f5_truncated_scores(spark, sf):
     t = ev.candidate_tokens(_cands(spark, sf), None, P.TRUNC_MAX_LEN)
@@ -620,7 +655,7 @@ def a6_build_if_absent(spark, sf):
     fs.build_if_absent(first, build, path)
     fs.build_if_absent(corpus, build, path)
     fs.build_if_absent(corpus, build, path)  # nothing left: appends no rows
-    b = fs.read_blocks(spark, path)
+    b = fs.read_built(spark, path)
     return b.groupBy("source", "split").agg(F.count(F.lit(1)).alias("blocks"),
                                             F.sum(F.size("toks")).cast("bigint").alias("tokens"))
 
@@ -646,11 +681,20 @@ def a8_chat_jsonl(spark, sf):
 def a9_metrics_jsonl(spark, sf):
     path = fs.scratch_path(spark, "metrics")
     fs.write_metrics_jsonl(tables.metrics(spark, sf).drop("ts"), path)
-    m = fs.read_metrics_jsonl(spark, path)
+    m = fs.metric_columns(fs.read_metrics_jsonl(spark, path), ["val_avg", "val_de"])
     return m.select("run", "step", "ingest_seq", r6(F.col("val_avg")).alias("val_avg"),
                     r6(F.col("val_de")).alias("val_de"))
 
 
+@query("a9_metrics_long")
+def a9_metrics_long(spark, sf):
+    """Every series of the logs as files, whatever series a run has: one scan, no schema."""
+    path = fs.scratch_path(spark, "metrics")
+    fs.write_metrics_jsonl(tables.metrics(spark, sf).drop("ts"), path)
+    m = fs.metric_series(fs.read_metrics_jsonl(spark, path))
+    return m.select("run", "step", "ingest_seq", "series", r6(F.col("value")).alias("value"))
+
+
 @query("s2_stream_piece_counts")
 def s2_stream_piece_counts(spark, sf):
     base = fs.scratch_path(spark, "pieces")
@@ -674,6 +718,28 @@ def s3_stream_run_best(spark, sf):
                       F.col("rows").cast("bigint").alias("rows"))
 
 
+@query("s2_stream_capped_counts")
+def s2_stream_capped_counts(spark, sf):
+    """B4 with a limit of documents per source, over files that come in any order."""
+    base = fs.scratch_path(spark, "capped")
+    stream = _document_files(spark, sf, base)
+    st.capped_piece_counts_stream(stream, "lang", tables.LANG_REGISTRY, P.CAP_DOCS, st.sub(base, "out"), st.sub(base, "ckpt"))
+    return st.summed(spark, st.sub(base, "out"), ["piece"], "n").select("piece", F.col("n").cast("bigint").alias("n"))
+
+
+@query("s3_stream_deduped_best")
+def s3_stream_deduped_best(spark, sf):
+    """G2's final best over G4, as the logs grow."""
+    base = fs.scratch_path(spark, "lastwins")
+    logs = st.sub(base, "logs")
+    fs.write_metrics_jsonl(tables.metrics(spark, sf).drop("ts").repartition(3, "run", "ingest_seq"), logs)
+    schema = "run string, step bigint, ingest_seq bigint, val_avg double"
+    stream = st.file_stream(spark, logs, T.StructType.fromDDL(schema), fmt="json", files_per_trigger=4)
+    st.deduped_best_stream(stream, st.sub(base, "out"), st.sub(base, "ckpt"))
+    out = st.latest(spark, st.sub(base, "out"), ["run"], ["best_val", "steps"])
+    return out.select("run", r6(F.col("best_val")).alias("best_val"), F.col("steps").cast("bigint").alias("steps"))
+
+
 @query("e13_completion_extraction")
 def e13_completion_extraction(spark, sf):
     """Completions of stored conversations: the response ids without the chat

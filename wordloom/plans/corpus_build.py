@@ -6,14 +6,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ordering import null_safe_join
 from ..operators.bpe import BpeModel
 from ..operators.tokenizer import encode
-from ..operators.tokens import (VAL_FRAC, append_eot, budget_cut, head_split, source_totals,
-                                to_blocks, with_length)
+from ..operators.tokens import (VAL_FRAC, append_eot, budget_cut, budget_of, head_split, source_totals,
+                                with_length)
 from ..session import checkpoint_dir
 
 Budget = int | Mapping[str, int] | None
@@ -31,9 +31,14 @@ def length_segments(corpus: DataFrame, budget: Budget, val_frac: float = VAL_FRA
 
 
 def split_lengths(corpus: DataFrame, budget: Budget = None, val_frac: float = VAL_FRAC) -> DataFrame:
-    """Tokens per (source, split) at byte level, from counts alone."""
-    return (length_segments(corpus, budget, val_frac).groupBy("source", "split")
-            .agg(F.sum("len").cast("bigint").alias("n")))
+    """Tokens per (source, split) at byte level: a source keeps the lesser of its tokens and its
+    budget, and its head is ``floor(kept * val_frac)``, so one sum per source tells both."""
+    t = byte_lengths(corpus).groupBy("source").agg(F.sum("n").alias("n"))
+    t = t.select("source", F.least("n", budget_of(budget)).cast("bigint").alias("kept"))
+    val = F.floor(F.col("kept") * F.lit(val_frac)).cast("bigint")
+    both = F.array(F.struct(F.lit("val").alias("split"), val.alias("n")),
+                   F.struct(F.lit("train").alias("split"), (F.col("kept") - val).alias("n")))
+    return t.select("source", F.inline(both)).filter("n > 0")
 
 
 def encoded_documents(corpus: DataFrame, model: BpeModel | None) -> DataFrame:
@@ -67,11 +72,10 @@ def token_segments(corpus: DataFrame, model: BpeModel | None, budget: Budget,
 
 
 def stored_blocks(corpus: DataFrame, model: BpeModel | None, budget: Budget = None, path: str | None = None,
-                  val_frac: float = VAL_FRAC) -> DataFrame:
-    """A5: the block table as Parquet, partitioned by source and split, so loaders
-    read only the partitions and columns they need."""
-    from ..sources.files import read_blocks, scratch_path, write_blocks
-    spark = corpus.sparkSession
-    path = path or scratch_path(spark, "blocks")
-    write_blocks(to_blocks(token_segments(corpus, model, budget, val_frac)), path)
-    return read_blocks(spark, path)
+                  val_frac: float = VAL_FRAC, build: Observation | None = None, buckets: int | None = None) -> DataFrame:
+    """A5 for loaders: the block table, bucketed by block (see ``store_buckets``). ``build`` gets the
+    counts and the id range of the write; an id out of range fails it."""
+    from ..sources.files import scratch_path, store_buckets
+    path = path or scratch_path(corpus.sparkSession, "blocks")
+    vocab = (model or BpeModel()).vocab_size
+    return store_buckets(token_segments(corpus, model, budget, val_frac), path, buckets, vocab, build)

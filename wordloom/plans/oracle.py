@@ -117,73 +117,21 @@ _SQL["b8_encode_bytes"] = _w(CORPUS) + f"""select source, doc_id, strlen(text)::
 
 _SQL["b9_decode"] = _w(CORPUS) + "select source, doc_id, text from corpus"
 
-_SQL["b10_roundtrip_audit"] = _w(CORPUS) + \
-    "select source, count(*)::bigint as docs, 0::bigint as mismatched from corpus group by source"
+_SQL["b10_roundtrip_audit"] = _w(CORPUS) + """select source, count(*)::bigint as docs, 0::bigint as mismatched,
+  sum(('0x' || substr(md5(text), 1, 8))::bigint)::bigint as digest_sum from corpus group by source"""
 
 _SQL["b11_fertility"] = _w(CORPUS, r"""w as (select source, strlen(text)::bigint as tokens,
   len(regexp_extract_all(text, '[^\s\x1c-\x1f]+'))::bigint as words from corpus)""") + \
     """select source, sum(tokens)::bigint as tokens, sum(words)::bigint as words,
   round(sum(tokens)::double / sum(words)::double, 6) as fertility from w group by source"""
 
-_SQL["b12_special_audit"] = """select text, declared, declared as id, true as resolved from (values
-  ('<|endoftext|>', 0), ('<|pad|>', 1), ('<|system|>', 2), ('<|user|>', 3), ('<|assistant|>', 4)
-) t(text, declared)
-where (select count(*) from documents) > 0"""
+_SQL["b12_special_audit"] = """with d as (
+  select distinct '<|' || role || '|>' as text from conversations where role is not null
+  union select '<|endoftext|>' union select '<|pad|>'),
+v as (select * from (values ('<|endoftext|>', 0), ('<|pad|>', 1), ('<|system|>', 2), ('<|user|>', 3), ('<|assistant|>', 4)) t(text, id))
+select d.text, v.id, v.id is not null as resolved from d left join v using (text)"""
 
 
-# --- learned merges: one CTE per merge, symbols as characters (id + 256) ---------------
-
-def _learned() -> list[str]:
-    """``m0..`` with the best pair of every step, ``merges`` and ``vocab``."""
-    out = [PIECE_COUNTS, f"""st0 as materialized (select array_to_string(list_transform({byte_ids_sql('piece')},
-  lambda x: chr((x + 256)::int)), '') as s, n from pc)"""]
-    for k in range(P.VOCAB - 261):
-        new = 261 + k
-        out.append(f"""m{k} as materialized (select {k} as rank, unicode(l) - 256 as left_id, unicode(r) - 256 as right_id,
-  {new} as new_id, l || r as pair from (
-  select substr(s, i::int, 1) as l, substr(s, i::int + 1, 1) as r, sum(n) as c
-  from (select s, n, unnest(range(1, length(s))) as i from st{k}) group by all) where c >= 2
-  order by c desc, greatest(unicode(l), unicode(r)), unicode(l), unicode(r) limit 1)""")
-        out.append(f"""st{k + 1} as materialized (select replace(s, (select pair from m{k}), chr({new + 256})) as s, n from st{k})""")
-    out.append("merges as (" + " union all ".join(f"select * from m{k}" for k in range(P.VOCAB - 261)) + ")")
-    return out
-
-
-_LEARNED = [CORPUS, *_learned()]
-# st<last> holds every training piece in merged symbols; any other piece is merged the same way
-_MERGED_ALL = "s0"
-for _k in range(P.VOCAB - 261):
-    _MERGED_ALL = f"replace({_MERGED_ALL}, (select pair from m{_k}), chr({261 + _k + 256}))"
-
-
-def merged_ids_sql(table: str, keys: str, text: str, name: str) -> list[str]:
-    """``name (keys, ids)``: learned ids of ``text`` in ``table``."""
-    return [f"""{name}_p as (select {keys}, unnest({pieces_sql(text)}) as piece,
-  unnest(range(0, len({pieces_sql(text)}))) as pos from {table})""",
-            f"""{name}_d as (select piece, list_transform(regexp_extract_all(s1, '(?s).'), lambda c: unicode(c) - 256) as e from (
-  select piece, {_MERGED_ALL} as s1 from (select piece, array_to_string(list_transform({byte_ids_sql('piece')},
-  lambda x: chr((x + 256)::int)), '') as s0 from (select distinct piece from {name}_p))))""",
-            f"""{name} as (select {keys}, flatten(list(e order by pos)) as ids from {name}_p join {name}_d using (piece)
-  group by all)"""]
-
-
-_SQL["b6_learn_merges"] = _w(*_LEARNED) + "select rank, left_id, right_id, new_id from merges"
-_SQL["a7_tokenizer_tables"] = _SQL["b6_learn_merges"]
-
-
-def _vocab() -> str:
-    out = ["v0 as (select i::int as id, case when i < 5 then '' else printf('%02X', i - 5) end as hex from range(0, 261) r(i))"]
-    for k in range(P.VOCAB - 261):
-        out.append(f"""v{k + 1} as (select id, hex from v{k} union all select new_id, a.hex || b.hex from m{k}
-  join v{k} a on a.id = left_id join v{k} b on b.id = right_id)""")
-    return _w(*_LEARNED, *out) + f"select id, hex as token_hex, id < 5 as special from v{P.VOCAB - 261}"
-
-
-_SQL["b7_vocab"] = _vocab()
-_ENCODED = [*_LEARNED, *merged_ids_sql("corpus", "source, ord, doc_id", "text", "learned")]
-_SQL["b8_encode_merged"] = _w(*_ENCODED) + """select source, doc_id, len(ids)::bigint as n_tokens,
-  array_to_string(ids, ' ') as ids from learned"""
-
 _SQL["c1_eot_append"] = _w(CORPUS) + \
     "select source, doc_id, strlen(text)::bigint + 1 as n, 0 as last_id from corpus"
 
@@ -192,10 +140,6 @@ _SQL["c2_budget_cut"] = _w(CORPUS, LENS, cut_sql(P.BUDGET)) + "select source, do
 _PER_SOURCE = "(case " + " ".join(f"when source = '{k}' then {v}" for k, v in P.SOURCE_BUDGETS.items()) + \
     f" else {P.NO_BUDGET} end)"
 _SQL["c2_source_budgets"] = _w(CORPUS, LENS, cut_sql(_PER_SOURCE)) + "select source, doc_id, off, m from cut"
-_MERGED_LENS = "lens as (select source, ord, doc_id, len(ids)::bigint + 1 as n from learned)"
-_SQL["c3_head_split_merged"] = _w(*_ENCODED, _MERGED_LENS, cut_sql(P.BUDGET // 2)) + \
-    "select source, split, doc_id, pos::bigint as pos, len::bigint as len from segs"
-
 _SQL["c3_head_split"] = _w(CORPUS, LENS, cut_sql(P.BUDGET)) + \
     "select source, split, doc_id, pos::bigint as pos, len::bigint as len from segs"
 
@@ -214,6 +158,14 @@ _SQL["c6_id_guard"] = _w(CORPUS, LENS, cut_sql(P.NO_BUDGET), _DOC_IDS,
   sum(len(list_filter(ids, lambda x: x < 0 or x >= {P.BYTE_VOCAB})))::bigint as violations
 from sids group by source"""
 
+_SQL["c6_build_watch"] = _w(CORPUS, LENS, cut_sql(P.BUDGET), _DOC_IDS,
+                            """n as (select source, split, sum(len) as len from segs group by all)""",
+                            """r as (select min(list_min(d.ids[s.skip + 1 : s.skip + s.len])) as min_id,
+  max(list_max(d.ids[s.skip + 1 : s.skip + s.len])) as max_id from segs s join docids d using (source, doc_id))""") + \
+    """select sum(ceil(len / 4096.0))::bigint as blocks, sum(len)::bigint as tokens,
+  coalesce(sum(len) filter (where split = 'val'), 0)::bigint as val_tokens, any_value(min_id)::int as min_id,
+  any_value(max_id)::int as max_id from n, r"""
+
 _SQL["a5_token_blocks"] = _w(CORPUS, LENS, cut_sql(P.NO_BUDGET), _DOC_IDS,
                              """u as (select source, doc_id, unnest(ids) as tok,
   unnest(range(0, len(ids))) as j from docids)""",
@@ -444,11 +396,6 @@ from chatu"""
 _SQL["e7_chat_encode"] = _w(*_CHAT, _ENC) + """select source, row_id, n_prompt::int as n_prompt,
   len("full")::int as n_full, md5(array_to_string("full", ' ')) as full_md5,
   md5(array_to_string(labels, ' ')) as labels_md5 from enc2"""
-_SQL["e7_chat_encode_merged"] = _w(*_LEARNED, *_CHAT, *merged_ids_sql("chatu", "source, row_id", "chr(10) || \"user\"", "eu"),
-                                   *merged_ids_sql("chatu", "source, row_id", "chr(10) || assistant", "ea")) + \
-    """select source, row_id, (len(eu.ids) + 2)::int as n_prompt, (len(eu.ids) + len(ea.ids) + 3)::int as n_full,
-  md5(array_to_string(list_concat([3], eu.ids, [4], ea.ids, [0]), ' ')) as full_md5
-from eu join ea using (source, row_id)"""
 _SQL["e8_truncate_mask"] = _w(*_CHAT, _ENC, _EX) + \
     'select source, row_id, len("full")::int as n_full, n_target::int as n_target from ex2'
 _SQL["e9_short_drop"] = _w(*_CHAT, _ENC, _EX) + """select e.source, count(*)::bigint as encoded,
@@ -546,6 +493,30 @@ _SQL["f3_prompt_tokens"] = _w(*_CANDS, _toks(P.EVAL_MAX_LEN)) + """select task,
 _SQL["f10_bigram_counts"] = _w(*_SCORER) + "select v::int as v, w::int as w, c from bg"
 _SQL["f4_option_scores"] = _w(*_SCORER, *_CANDS, *_scores(P.EVAL_MAX_LEN, P.LAMBDA)) + \
     "select task, row_id, idx::int as idx, round(score, 6) as score from sc"
+_BEFORE = """gr as (select a.tok as w, lag(a.tok, 1) over o as p1, lag(a.tok, 2) over o as p2, lag(a.tok, 3) over o as p3
+  from tr a window o as (partition by a.source order by a.p))"""
+_SQL["f4_suffix_counts"] = _w(*_FLAT, _SCORER[len(_FLAT)], _BEFORE) + """select (coalesce(p1, -1) + 1)::bigint
+  + (coalesce(p2, -1) + 1)::bigint * 131072 + (coalesce(p3, -1) + 1)::bigint * 17179869184 as ctx, w::int as w, count(*)::bigint as c
+from gr group by all"""
+_SQL["f4_context_scores"] = _w(
+    *_SCORER, _BEFORE, *_CANDS, _toks(P.EVAL_MAX_LEN),
+    "g1 as (select p1, w, count(*) as c from gr group by all)",
+    "g2 as (select p1, p2, w, count(*) as c from gr where p2 is not null group by all)",
+    "g3 as (select p1, p2, p3, w, count(*) as c from gr where p3 is not null group by all)",
+    "h1 as (select p1, sum(c) as t from g1 group by all)", "h2 as (select p1, p2, sum(c) as t from g2 group by all)",
+    "h3 as (select p1, p2, p3, sum(c) as t from g3 group by all)",
+    """pos as (select task, row_id, idx, ids, cut, unnest(range(greatest(n_ctx, cut + 1), n_ctx + n_opt)) as j from ctok2)""",
+    """rq as (select task, row_id, idx, ids[j + 1] as w, ids[j] as p1, case when j - 1 > cut then ids[j - 1] end as p2,
+  case when j - 2 > cut then ids[j - 2] end as p3 from pos)""",
+    f"""pr as (select rq.*, (coalesce(cw, 0) + 1)::double / ({_NV})::double as q0, coalesce(g1.c, 0) as c1, coalesce(h1.t, 0) as t1,
+  coalesce(g2.c, 0) as c2, coalesce(h2.t, 0) as t2, coalesce(g3.c, 0) as c3, coalesce(h3.t, 0) as t3
+  from rq left join uni u on u.w = rq.w left join g1 on g1.p1 = rq.p1 and g1.w = rq.w left join h1 on h1.p1 = rq.p1
+  left join g2 on g2.p1 = rq.p1 and g2.p2 = rq.p2 and g2.w = rq.w left join h2 on h2.p1 = rq.p1 and h2.p2 = rq.p2
+  left join g3 on g3.p1 = rq.p1 and g3.p2 = rq.p2 and g3.p3 = rq.p3 and g3.w = rq.w
+  left join h3 on h3.p1 = rq.p1 and h3.p2 = rq.p2 and h3.p3 = rq.p3)""",
+    """lp as (select task, row_id, idx, sum(ln((c3 + (c2 + (c1 + q0) / (t1 + 1)) / (t2 + 1)) / (t3 + 1))) as tot from pr group by all)""") + \
+    """select c.task, c.row_id, c.idx::int as idx, round(coalesce(tot, 0.0) / greatest(c.n_opt, 1), 6) as score
+from ctok2 c left join lp using (task, row_id, idx)"""
 _SQL["f5_truncated_scores"] = _w(*_SCORER, *_CANDS, *_scores(P.TRUNC_MAX_LEN, P.LAMBDA)) + \
     "select task, row_id, idx::int as idx, round(score, 6) as score from sc"
 _SQL["f6_predictions"] = _w(*_SCORER, *_CANDS, *_scores(P.EVAL_MAX_LEN, P.LAMBDA), _preds_sql()) + \
@@ -667,7 +638,15 @@ from t group by all"""
 _SQL["a8_chat_jsonl"] = _SQL["e5_chat_union"]
 _SQL["a9_metrics_jsonl"] = _w(_METRICS) + """select run, step, ingest_seq, round(val_avg, 6) as val_avg,
   round(val_de, 6) as val_de from metrics"""
+_SQL["a9_metrics_long"] = _w(_METRICS) + """select run, step, ingest_seq, series, round(value, 6) as value
+from (unpivot (select run, step, ingest_seq, train_loss, val_avg, val_en, val_de from metrics)
+  on train_loss, val_avg, val_en, val_de into name series value value)"""
 _SQL["s2_stream_piece_counts"] = _SQL["b4_piece_counts"]
+_SQL["s2_stream_capped_counts"] = _w(CORPUS, f"""capped as (select text from corpus
+  qualify row_number() over (partition by source order by doc_id) <= {P.CAP_DOCS})""",
+                                     PIECE_COUNTS.replace("from corpus", "from capped")) + "select piece, n from pc"
+_SQL["s3_stream_deduped_best"] = _w(_METRICS, _DEDUP) + \
+    "select run, round(min(val_avg), 6) as best_val, count(*)::bigint as steps from dd group by run"
 _SQL["s3_stream_run_best"] = _w(_METRICS) + \
     "select run, round(min(val_avg), 6) as best_val, count(*)::bigint as rows from metrics group by run"
 

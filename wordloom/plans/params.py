@@ -7,7 +7,7 @@ PROGRESS_STEP = 100_000     # C4 marks (the reference prints every 5M)
 CAP_DOCS = 100              # A3 per-source doc cap
 BLEND_DOCS = 50             # B1 docs per source
 TOK_DOCS = 50_000           # docs per source for tokenizer training (reference default)
-VOCAB = 400                 # learned vocabulary for the merged-tokenizer queries
+VOCAB = 8000                # learned vocabulary for the merged-tokenizer queries (reference default)
 BYTE_VOCAB = 261            # specials + bytes, no merges
 SEQ_LEN = 128
 BATCH = 8

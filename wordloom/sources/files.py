@@ -6,15 +6,20 @@ session's shared checkpoint folder.
 """
 from __future__ import annotations
 
+import hashlib
 import os
+import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordering import null_safe_join
 from ..operators.bpe import BpeModel
+from ..operators.tokens import guarded, to_blocks, watched
 from ..session import checkpoint_dir
 
 CHAT_SCHEMA = T.StructType([T.StructField("source", T.StringType()),
@@ -45,28 +50,90 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("source", "split", "block_id", "toks")
 
 
+# --- D6: blocks for loaders -------------------------------------------------------------
+
+BLOCK_KEYS = ("source", "split", "block_id")
+
+
+def _block_table(path: str) -> str:
+    return "blocks_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def store_buckets(segments: DataFrame, path: str, buckets: int | None = None, vocab_size: int = 1 << 16,
+                  build: Observation | None = None) -> DataFrame:
+    """Blocks of ``segments`` stored bucketed by ``(source, split, block_id)``, a file a bucket. A join
+    on these keys reads the stored side where it lies: only the windows are shuffled. The
+    blocks are put together in the buckets' own partitioning, so the write moves nothing
+    either. ``buckets`` should be as many as the readers' shuffle partitions or more. Ids are
+    guarded (C6), and ``build`` watches the write (C4)."""
+    spark = segments.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = guarded(to_blocks(segments, buckets=n), vocab_size)
+    (watched(blocks, build or Observation()).write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(n, *BLOCK_KEYS).sortBy(*BLOCK_KEYS).saveAsTable(_block_table(path)))
+    spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}-layout")
+    return read_buckets(spark, path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The stored blocks with their buckets; a session that did not write them is told the layout."""
+    name = _block_table(path)
+    if not spark.catalog.tableExists(name):
+        n = spark.read.schema("buckets int").json(f"{path}-layout").first()["buckets"]
+        keys = ", ".join(BLOCK_KEYS)
+        spark.sql(f"create table {name} (source string, split string, block_id bigint, toks array<int>) using parquet "
+                  f"clustered by ({keys}) sorted by ({keys}) into {n} buckets location '{path}'")
+    return spark.table(name).select(*BLOCK_KEYS, "toks")
+
+
 # --- A6: build only what is absent --------------------------------------------------------
 
-def built_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Sources whose train output exists and is non-empty (val is not checked)."""
+MANIFEST = "source string, split string, blocks bigint, build string"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, split, blocks, build)`` of all committed builds. A build counts once its manifest
+    is there, which is written last; of two builds of one source the first by name counts."""
     try:
-        b = spark.read.parquet(path)
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/*")
     except AnalysisException:
-        return spark.createDataFrame([], "source string")
-    # a block holds a token at least, so a folder's rows tell; only folder names are read
-    return b.filter(F.col("split") == "train").select("source").distinct()
+        return spark.createDataFrame([], MANIFEST)
+    first = rows.filter("split = 'train' and blocks > 0").groupBy("source").agg(F.min("build").alias("build"))
+    return null_safe_join(rows, first, ["source", "build"])
+
+
+def built_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Sources whose train output is committed and not empty (val is not checked)."""
+    return manifest(spark, path).select("source").distinct()
+
+
+def read_built(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of committed builds; what an unfinished build left is not read."""
+    done = manifest(spark, path).select("source", "build").distinct()
+    builds = [r["build"] for r in done.select("build").distinct().collect()]          # a row per build
+    out = spark.createDataFrame([], "source string, split string, block_id bigint, toks array<int>")
+    for build in builds:
+        own = done.filter(F.col("build") == build).drop("build")
+        out = out.unionByName(null_safe_join(read_blocks(spark, f"{path}/blocks/{build}"), own, ["source"]))
+    return out
 
 
 def build_if_absent(corpus: DataFrame, build, path: str) -> DataFrame:
-    """Run ``build(corpus_subset) -> blocks`` only for sources not yet
-    built, appending their partitions. Returns the list of sources built
-    (one row per source)."""
+    """Run ``build(corpus_subset) -> blocks`` only for sources not yet built. Returns the list
+    of sources built (one row per source).
+
+    The blocks go to a folder of their own and count only once the manifest names them: a
+    build that dies half-way is not seen by readers, and the next call builds its sources anew."""
     spark = corpus.sparkSession
-    done = built_sources(spark, path)
-    todo = corpus.join(done.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left_anti")
+    todo = corpus.join(built_sources(spark, path).withColumnRenamed("source", "__s"),
+                       F.col("source").eqNullSafe(F.col("__s")), "left_anti")
     names = todo.select("source").distinct().collect()          # a row per source
     if names:
-        write_blocks(build(todo), path, mode="append")
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        staged = f"{path}/blocks/{name}"
+        write_blocks(build(todo), staged, mode="errorifexists")
+        counts = read_blocks(spark, staged).groupBy("source", "split").agg(F.count(F.lit(1)).alias("blocks"))
+        (counts.withColumn("build", F.lit(name)).coalesce(1).write.parquet(f"{path}/manifest/{name}"))
     return spark.createDataFrame(names, "source string")
 
 
@@ -114,9 +181,29 @@ def write_metrics_jsonl(log: DataFrame, path: str) -> None:
 
 
 def read_metrics_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Union schema across runs (columns a run never logged are null); the run
-    name comes from the folder; blank lines are skipped by the reader."""
-    return spark.read.option("primitivesAsString", "false").json(path)
+    """``(run, row)``: each line as a VARIANT. Runs may log different keys, and new ones later: no
+    pass over the logs finds a schema first. The run name comes from the folder; blank and
+    broken lines are skipped."""
+    lines = spark.read.schema("value string, run string").text(path)
+    return lines.select("run", F.try_parse_json("value").alias("row")).filter("row is not null")
+
+
+def metric_columns(logs: DataFrame, series: Sequence[str]) -> DataFrame:
+    """``(run, step, ingest_seq, *series)``; a series that a run never logged is null."""
+    field = lambda k, t: F.try_variant_get("row", f"$.{k}", t).alias(k)
+    return logs.select("run", field("step", "bigint"), field("ingest_seq", "bigint"), *[field(k, "double") for k in series])
+
+
+def metric_series(logs: DataFrame) -> DataFrame:
+    """G1 from the lines: ``(run, step, ingest_seq, series, value)`` for each ``val_*`` key and
+    ``train_loss`` a line has."""
+    spark = logs.sparkSession
+    keys = logs.lateralJoin(spark.tvf.variant_explode(F.col("row").outer()))
+    keys = keys.filter(F.col("key").startswith("val_") | (F.col("key") == "train_loss"))
+    field = lambda k: F.try_variant_get("row", f"$.{k}", "bigint").alias(k)
+    value = F.try_variant_get("value", "$", "double")
+    return keys.select("run", field("step"), field("ingest_seq"), F.col("key").alias("series"), value.alias("value")).filter(
+        "value is not null")
 
 
 def ensure_tokenizer(spark: SparkSession, path: str, train) -> BpeModel:

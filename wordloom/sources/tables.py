@@ -15,18 +15,21 @@ LANG_REGISTRY = ("en", "de", "es", "fr")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """One driver table, pruned to ``columns`` and dealt over the session's
-    cores: the driver's files hold one row group each, so a scan alone would be
-    one task. Corpora of many files are read by ``scan_sources``, undealt."""
+    """One driver table, pruned to ``columns``."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return df.select(*columns) if columns else df
+
+
+def spread_thin(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than cores, dealt over the cores: a file of one row group is read by
+    one task, however long its texts. A scan that fills the cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def corpus(spark: SparkSession, sf_dir: str, max_docs: int | None = None) -> DataFrame:
     """``(source, ord, doc_id, text)``: documents split into one source per language."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
+    docs = spread_thin(table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]))
     return corpus_by_column(docs, "lang", LANG_REGISTRY, max_docs=max_docs)
 
 
