@@ -67,3 +67,28 @@ def test_odd_rows(spark):
     assert N.search(frame(spark, rows).limit(0), F.col("vec_id") % 50 == 0).count() == 0
     alone = N.search(frame(spark, [(0, [1, 2])]), F.col("vec_id") % 50 == 0)
     assert alone.count() == 0
+
+
+def answers(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    return {q: [x for _, x in sorted(v.items())] for q, v in out.items()}
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    """Seven rows of the query's own id and vector leave the other ids of that vector in."""
+    rows = [(0, [1, 2])] * 7 + [(i, [1, 2]) for i in range(1, 8)] + [(20, [1, 3]), (3, [1, 2])]
+    got = answers(N.search(frame(spark, rows), F.col("vec_id") % 50 == 0, recall=1.0))
+    assert got == {0: [1, 2, 3, 3, 4]}
+
+
+def test_every_dimension_is_searched(spark):
+    """A query whose vector is longer than most is answered among vectors as long."""
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(2 if i % 3 else 3).tolist()) for i in range(160)]
+    got = answers(N.search(frame(spark, rows), F.col("vec_id") % 50 == 0, recall=1.0))
+    for q, found in got.items():
+        true = brute([x for x in rows if len(x[1]) == len(rows[q][1])], {q}, 5)
+        assert found == true[q]
+    assert set(got) == {0, 50, 100, 150}

@@ -11,17 +11,19 @@ queries reach ``RECALL`` (at worst all leaves: then the search is exact).
 
 Large bins are split on both sides: rows by a hash into parts of ``PART`` rows, queries into
 parts of ``QUERY_PART``; each pair of parts is a group of bounded size. Of rows with one and
-the same vector only the k + 1 smallest ids can be among k neighbours, so the others leave
-before the search (they stay queries).
+the same vector only those of the k + 1 smallest ids can be among k neighbours, so the others
+leave before the search (they stay queries).
 
-Defined cases: vectors that are null, zero, hold null or non-finite components, or differ from
-the commonest dimension take no part, nor do rows without vec_id; rows that share the query's
-vec_id are its own; repeated query ids are answered once; ties go to the smaller vec_id;
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
+nor do rows without vec_id; vectors of several dimensions are searched among their own
+dimension each, as no cosine joins them; rows that share the query's vec_id are its own;
+repeated query ids are answered once, by the least of their vectors; ties go to the smaller vec_id;
 fewer than k candidates are all returned; an empty table gives an empty result.
 """
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,16 +172,30 @@ def _nearest(q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
 
 
 def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    ok = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).filter(
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).filter(
         F.col("vec_id").isNotNull() & usable())
-    sizes = ok.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return ok.filter(F.size("embedding") == (sizes["d"] if sizes else 0))
+
+
+def _candidates(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows with one and the same vector those of the k + 1 smallest ids, k rows of an id at
+    most: no other can be among a query's k nearest, whichever of the ids is its own."""
+    ids = rows.groupBy("embedding", "vec_id").agg(F.count("*").alias("n"))
+    same = Window.partitionBy("embedding").orderBy("vec_id")
+    first = ids.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1)
+    return first.select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)))).alias("copy")).drop("copy")
 
 
 def fit_tree(rows: DataFrame, n_rows: int, sample: int = SAMPLE) -> Tree | None:
+    """Fitted in one task on the bounded sample; the driver gets the tree only."""
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = [_matrix(b.column("embedding")) for b in batches if b.num_rows]
+        tree = Tree(_unit(np.concatenate(x)), n_rows) if x else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tree)], pa.binary())], names=["tree"])
+
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    x = np.array([r["embedding"] for r in picked.select("embedding").collect()], dtype=np.float64)
-    return Tree(_unit(x), n_rows) if len(x) else None
+    one = picked.repartition(1).sortWithinPartitions(F.xxhash64("vec_id"), "vec_id")
+    got = one.select("embedding").mapInArrow(fit, "tree binary").collect()
+    return pickle.loads(bytes(got[0]["tree"])) if got else None
 
 
 def _assigner(shared):
@@ -239,21 +255,31 @@ def _visitor(shared, visits: int, bin_of: np.ndarray):
     return run
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
            recall: float = RECALL, sample: int = SAMPLE, calibration: int = CALIBRATION) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest rows by cosine of each row for which
-    ``is_query`` (over ``vec_id``) holds."""
-    spark = vectors.sparkSession
+    ``is_query`` (over ``vec_id``) holds, one search for each dimension there is."""
     rows = _prepared(vectors, id_col, vector_col)
-    same = Window.partitionBy("embedding").orderBy("vec_id")
-    base = rows.withColumn("__n", F.row_number().over(same)).filter(F.col("__n") <= k + 1).drop("__n")
-    base = materialize(base, "ann-rows")
-    queries = materialize(rows.filter(is_query).groupBy("vec_id").agg(F.first("embedding").alias("embedding")), "ann-queries")
+    out = vectors.sparkSession.createDataFrame([], RESULT)
+    for d in sorted(r["d"] for r in rows.select(F.size("embedding").alias("d")).distinct().collect()):
+        found = _search(rows.filter(F.size("embedding") == d), is_query, k, recall, sample, calibration)
+        out = out if found is None else out.unionByName(found)
+    return out
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, recall: float, sample: int, calibration: int) -> DataFrame | None:
+    """The search among vectors of one dimension."""
+    spark = rows.sparkSession
+    base = materialize(_candidates(rows, k), "ann-rows")
+    queries = materialize(rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-queries")
     n = base.count()
     tree = fit_tree(base, n, sample)
     result = "query_id long, vec_id long, score double"
     if tree is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     shared = spark.sparkContext.broadcast(tree)
     element = base.schema["embedding"].dataType.simpleString()
     indexed = materialize(base.mapInArrow(_assigner(shared), f"vec_id long, embedding {element}, leaf int"), "ann-index")
