@@ -62,3 +62,15 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     rows = S.secret_report(odd, ledger).collect()
     assert len(rows) == len(odd_rows)
     assert S.secret_report(empty, S.BlobLedger(spark, shared_path(spark, "t-empty"))).count() == 0
+
+
+def test_many_null_ids_meet_their_own_blobs(spark):
+    """A thousand rows without id: each blob's text is read once, not once for each such row."""
+    texts = [f"note {i} token = abcdefgh{i:04d}" for i in range(1000)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[0])], "doc_id long, text string").repartition(4)
+    ledger = S.BlobLedger(spark, shared_path(spark, "t-nulls"))
+    rows = S.secret_report(docs, ledger).collect()
+    assert sorted(r["spans"] for r in rows) == sorted(plain(t) for t in [*texts, texts[0]])
+    assert ledger.entries().count() == 2 * 1000
+    S.secret_report(docs, ledger).count()
+    assert len(ledger.batches()) == 1                        # the second scan had nothing to read

@@ -137,23 +137,26 @@ class BlobLedger:
         per (path, historical version); ``key_cols`` say which copy of a blob is read. Returns
         ``(key_cols..., blob)`` for joining findings back."""
         from .shared import materialize
-        paths = materialize(versions.select(*key_cols, blob_id(F.col(text_col)).alias("blob")), "blob-paths")
+        own_blob = blob_id(F.col(text_col))
+        paths = materialize(versions.select(*key_cols, own_blob.alias("blob")), "blob-paths")
         seen = self.entries().groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
         every = F.array(*[F.lit(v) for v in sorted(self.rule_versions)])
         blobs = (paths.groupBy("blob").agg(F.min(F.struct(*key_cols)).alias("key"))
                  .join(seen, "blob", "left"))
-        todo = (blobs.select("blob", "key",
+        todo = (blobs.select(F.col("blob").alias("__blob"), "key",
                              F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
                 .filter(F.size("todo") > 0))
-        # The text of one copy of each pending blob; copies on equal keys are dropped by blob.
-        same = [F.col("key")[c].eqNullSafe(F.col(f"__{c}")) for c in key_cols]
-        texts = versions.select(*[F.col(c).alias(f"__{c}") for c in key_cols],
+        todo = materialize(todo, "blob-todo")
+        if not todo.take(1):
+            return paths
+        # The text of one copy of each pending blob: by its key and its content, so that rows of
+        # one key, null or other, meet their own blobs only.
+        same = F.col("blob") == F.col("__blob")
+        for c in key_cols:
+            same = same & F.col("key")[c].eqNullSafe(F.col(f"__{c}"))
+        texts = versions.select(*[F.col(c).alias(f"__{c}") for c in key_cols], own_blob.alias("blob"),
                                 F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-        pending = (texts.join(todo, cond, "inner").filter(F.sha2("text", 256) == F.col("blob"))
-                   .select("blob", "text", "todo"))
+        pending = texts.join(todo, same, "inner").select("blob", "text", "todo")
         batch = f"{self.path}/batch-{len(self.batches()):06d}"
         (pending.mapInArrow(_scanner(self.rule_versions), LEDGER_SCHEMA)
          .write.mode("overwrite").parquet(batch))
