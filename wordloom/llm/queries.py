@@ -47,7 +47,7 @@ def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.anonymize(_table(spark, sf_dir, "documents"))
+    return surrogates.anonymize(_table(spark, sf_dir, "documents"), surrogates.session_key(spark))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +87,12 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of one ledger: the first reads every blob, the second finds all pairs scanned
+    and only joins the findings back to the paths."""
+    docs = _table(spark, sf_dir, "documents")
     ledger = secrets.BlobLedger(spark, shared_path(spark, "blob-ledger"))
-    return secrets.secret_report(_table(spark, sf_dir, "documents"), ledger)
+    ledger.scan(docs, ["doc_id"])
+    return secrets.secret_report(docs, ledger)
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

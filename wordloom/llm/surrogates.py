@@ -5,13 +5,19 @@ titled person names) are replaced by surrogates drawn from HMAC-SHA256 under a k
 entity gets the same surrogate wherever it stands and however it is written (coreference), and
 punctuation, length, letter case, check digits, country codes and top-level domains stay as
 they are. Names are mapped word by word, so "Mr. Smith" and "John Smith" stay one family; bare
-mentions of a name that a title introduced in the document follow it.
+mentions of a name that a title introduced in the document follow it. A name's gender is what
+the titles of the whole corpus say ("Dr. Alex" is "Mr. Alex" elsewhere; both genders: neither),
+so a name has one surrogate. Addresses of one domain keep one domain.
 
 Distinctness is checked over the corpus: of entities that draw one surrogate, or a surrogate
 that is itself an entity of the corpus, all but the smallest draw again with the next attempt
-number until none is left; after some attempts a character is added, so this ends. Only the
-attempt numbers above 0 are joined back, by the text's hash, so texts meet a table that is as
-small as the collisions are; Spark broadcasts it only if its written size allows.
+number until none is left. Given and family names share one space, domains have their own.
+After ``RELAX`` attempts a surrogate grows by a character each time (octets of an IPv4 address
+and the length of an IBAN cannot; their spaces are too large to fill), so this ends. Only what
+differs from a text's own first draw is joined back, by the text's hash: texts meet a table
+that is as small as the collisions are; Spark broadcasts it only if its written size allows.
+
+The key is a parameter without default: whoever has it can try out short numbers.
 
 Defined cases: null and empty texts stay; texts without entities stay byte for byte; rows with
 equal texts get equal texts; null and repeated ids stay as rows; ``n_chars``, if there, follows
@@ -25,15 +31,17 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from secrets import token_hex
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, with_fields
+from .shared import materialize, small_batches, with_fields
 
-KEY = "wordloom-surrogates"
 KINDS = ("email", "iban", "ssn", "ipv4", "phone", "number", "given", "family")
+NAMES = ("given", "family")
+KEY_SETTING = "spark.wordloom.surrogateKey"
 RELAX = 6                    # attempts before a surrogate may grow by a character
 
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -105,15 +113,19 @@ class Stream:
                        chr(65 + self.pick(26)) if "A" <= c <= "Z" else c for c in text)
 
 
-def surrogate(kind: str, canon: str, attempt: int = 0, key: str = KEY) -> str:
-    """The canonical surrogate of a canonical entity."""
+def surrogate(kind: str, canon: str, attempt: int, key: str, gender: str = "u", host: str | None = None) -> str:
+    """The canonical surrogate of a canonical entity; ``host`` is the surrogate of an address's
+    domain, its first draw if not given."""
     s = Stream(key, kind, canon, attempt)
     more = max(0, attempt - RELAX)
+    letters = lambda n: "".join(chr(97 + s.pick(26)) for _ in range(n))
+    digits = lambda n: "".join(str(s.pick(10)) for _ in range(n))
+    if kind == "domain":
+        names, top = canon.rsplit(".", 1)
+        return s.like(names) + letters(more) + "." + top
     if kind == "email":
         local, domain = canon.split("@")
-        names, top = domain.rsplit(".", 1)
-        host = Stream(key, "domain", domain, 0).like(names)     # one domain, one surrogate
-        return s.like(local) + "".join(chr(97 + s.pick(26)) for _ in range(more)) + "@" + host + "." + top
+        return s.like(local) + letters(more) + "@" + (host or surrogate("domain", domain, 0, key))
     if kind == "ipv4":
         return ".".join(str(1 + s.pick(254)) for _ in range(4))
     if kind == "iban":
@@ -122,29 +134,42 @@ def surrogate(kind: str, canon: str, attempt: int = 0, key: str = KEY) -> str:
         return f"{canon[:2]}{check:02d}{body}" if iban_ok(canon) else canon[:2] + s.like(canon[2:4]) + body
     if kind == "number":
         if luhn_digit(canon[:-1]) == canon[-1]:
-            body = canon[0] + s.like(canon[1:-1])
+            body = canon[0] + s.like(canon[1:-1]) + digits(more)
             return body + luhn_digit(body)
-        return canon[0] + s.like(canon[1:])
+        return canon[0] + s.like(canon[1:]) + digits(more)
     if kind == "phone":
-        return str(2 + s.pick(8)) + s.like(canon[1:])
+        return str(2 + s.pick(8)) + s.like(canon[1:]) + digits(more)
     if kind == "ssn":
-        return s.like(canon)
-    gender, script, word = canon.split(":", 2)
+        return s.like(canon) + digits(more)
+    script, word = canon.split(":", 1)
     start, middle, end = SYLLABLES[script]
     ends = end[gender]
     size = 1 + min(2, len(word) // 5) + more
     return start[s.pick(len(start))] + "".join(middle[s.pick(len(middle))] for _ in range(size)) + ends[s.pick(len(ends))]
 
 
+def entity(kind: str, canon: str) -> tuple[str, str]:
+    """The entity of a mention, and the gender its document tells."""
+    if kind not in NAMES:
+        return canon, ""
+    gender, canon = canon.split(":", 1)
+    return canon, gender
+
+
 def national(digits: str) -> str:
     """Phone digits without the country code of North America."""
     return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
 
 
 def _shape(original: str, digits: str) -> str:
-    """``digits`` in the places of the original's digits."""
+    """``digits`` in the places of the original's digits, further ones behind them."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in original)
+    return "".join(next(it) if c.isdigit() else c for c in original) + "".join(it)
+
+
+def _cased(original: str, new: str) -> str:
+    """``new`` in the letter case of the original, place by place."""
+    return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new)) + new[len(original):]
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
@@ -204,7 +229,7 @@ def render(original: str, kind: str, canon: str, new: str) -> str:
     if kind in ("given", "family"):
         return new.upper() if original.isupper() else new
     if kind == "email":
-        return new.upper() if original.isupper() else new
+        return "@".join(_cased(*x) for x in zip(original.split("@"), new.split("@")))
     if kind == "phone":
         digits = re.sub(r"\D", "", original)
         return _shape(original, digits[:len(digits) - len(canon)] + new)
@@ -216,77 +241,100 @@ def render(original: str, kind: str, canon: str, new: str) -> str:
     return _shape(original, new)
 
 
-def replaced(text: str, attempts: dict, key: str = KEY) -> tuple[str, list[tuple[int, int, str, str]]]:
+def replaced(text: str, drawn: dict, key: str) -> tuple[str, list[tuple[int, int, str, str]]]:
+    """The text with surrogates, and its mentions. ``drawn`` has ``(attempt, gender, host)`` of the
+    entities whose surrogate is not the text's own first draw."""
     found = detect(text)
     parts, at = [], 0
-    for s, e, kind, canon in found:
-        new = surrogate(kind, canon, attempts.get((kind, canon), 0), key)
-        parts += [text[at:s], render(text[s:e], kind, canon, new)]
+    for s, e, kind, mention in found:
+        canon, gender = entity(kind, mention)
+        attempt, gender, host = drawn.get((kind, canon), (0, gender, None))
+        parts += [text[at:s], render(text[s:e], kind, canon, surrogate(kind, canon, attempt, key, gender, host))]
         at = e
     return "".join([*parts, text[at:]]) if found else text, found
 
 
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small_batches(batches, "text"):
         out = []
         for h, text in zip(b.column("text_hash").to_pylist(), b.column("text")):
             text = text.as_py()
             if text:
-                out += sorted({(h, kind, canon) for _, _, kind, canon in detect(text)})
-        cols = list(zip(*out)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))],
-                                         names=["text_hash", "kind", "canon"])
+                out += sorted({(h, kind, *entity(kind, mention)) for _, _, kind, mention in detect(text)})
+        cols = list(zip(*out)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()))],
+                                         names=["text_hash", "kind", "canon", "gender"])
+
+
+DRAWN = "kind string, canon string, gender string, host string, attempt int, new string"
 
 
 def _drawer(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [surrogate(k, c, a, key) for k, c, a in zip(*(b.column(n).to_pylist() for n in ("kind", "canon", "attempt")))]
+            rows = zip(*(b.column(n).to_pylist() for n in ("kind", "canon", "attempt", "gender", "host")))
+            new = [surrogate(k, c, a, key, g or "u", h) for k, c, a, g, h in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=[*b.schema.names, "new"])
     return run
 
 
-def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """``(kind, canon, attempt, new)`` with distinct surrogates that are no entity themselves."""
-    drawn = "kind string, canon string, attempt int, new string"
+def _settled(entities: DataFrame, key: str) -> DataFrame:
+    """``(kind, canon, gender, host, attempt, new)``: draws until every surrogate is one entity's and
+    no entity itself."""
+    space = F.when(F.col("kind").isin(*NAMES), F.lit("name")).otherwise(F.col("kind")).alias("space")
+    named = F.col("kind").isin(*NAMES)
 
     def draw(df: DataFrame) -> DataFrame:
-        return materialize(df.select("kind", "canon", "attempt").mapInArrow(_drawer(key), drawn), "surrogates")
+        return materialize(df.select("kind", "canon", "gender", "host", "attempt").mapInArrow(_drawer(key), DRAWN), "surrogates")
 
+    originals = entities.select(space, F.when(named, F.element_at(F.split("canon", ":"), -1)).otherwise(F.col("canon")).alias("word"),
+                                F.lit(True).alias("taken")).distinct()
     state = draw(entities.withColumn("attempt", F.lit(0)))
     while True:
-        originals = entities.select("kind", F.col("canon").alias("new")).withColumn("taken", F.lit(True))
-        names = F.col("kind").isin("given", "family")
-        word = F.when(names, F.lower(F.col("new"))).otherwise(F.col("new"))
-        clash = state.withColumn("word", word)
-        originals = originals.select("kind", F.when(names, F.element_at(F.split("new", ":"), -1)).otherwise(F.col("new")).alias("word"),
-                                     "taken").distinct()
+        clash = state.select("*", space, F.when(named, F.lower("new")).otherwise(F.col("new")).alias("word"))
         # the first draws keep theirs: the lowest attempt, then the smallest entity
-        owner = clash.groupBy("kind", "word").agg(F.min(F.struct("attempt", "canon")).alias("owner"))
-        judged = clash.join(owner, ["kind", "word"]).join(originals, ["kind", "word"], "left")
-        bad = F.coalesce("taken", F.lit(False)) | (F.col("owner.canon") != F.col("canon"))
-        judged = materialize(judged.select("kind", "canon", "attempt", "new", bad.alias("bad")), "surrogate-check")
+        owner = clash.groupBy("space", "word").agg(F.min(F.struct("attempt", "kind", "canon")).alias("owner"))
+        judged = clash.join(owner, ["space", "word"]).join(originals, ["space", "word"], "left")
+        bad = (F.coalesce("taken", F.lit(False)) | (F.col("owner.canon") != F.col("canon")) | (F.col("owner.kind") != F.col("kind")))
+        judged = materialize(judged.select(*state.columns, bad.alias("bad")), "surrogate-check")
         if not judged.filter("bad").take(1):
             return judged.drop("bad")
         again = draw(judged.filter("bad").withColumn("attempt", F.col("attempt") + 1))
         state = materialize(judged.filter("not bad").drop("bad").unionByName(again), "surrogate-state")
 
 
+def attempts(entities: DataFrame, key: str) -> DataFrame:
+    """``(kind, canon, gender, host, attempt, new)`` with distinct surrogates that are no entity
+    themselves: first of the domains, then of all else, addresses under their new domain.
+    ``entities`` are ``(kind, canon)`` with the gender of names, if known; ``host`` is null where
+    the domain kept its first draw."""
+    if "gender" not in entities.columns:
+        entities = entities.withColumn("gender", F.lit("u"))
+    domain = F.element_at(F.split("canon", "@"), -1)
+    none = F.lit(None).cast("string")
+    domains = entities.filter("kind = 'email'").select(F.lit("domain").alias("kind"), domain.alias("canon")).distinct()
+    hosts = _settled(domains.select("kind", "canon", F.lit("").alias("gender"), none.alias("host")), key)
+    moved = hosts.filter("attempt > 0").select(F.col("canon").alias("domain"), F.col("new").alias("host"))
+    mails = entities.filter("kind = 'email'").withColumn("domain", domain).join(moved, "domain", "left").drop("domain")
+    rest = entities.filter("kind <> 'email'").withColumn("host", none)
+    return _settled(mails.select(*rest.columns).unionByName(rest), key)
+
+
 def _replacer(text_col: str, key: str, report: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, text_col):
             texts = b.column(text_col)
-            tries = b.column("__tries").to_pylist()
+            other = b.column("__drawn").to_pylist()
             new, n, kinds = [], [], []
             changed = {}
-            for t, more in zip(texts, tries):
+            for t, more in zip(texts, other):
                 t = t.as_py()
                 if not t:
                     new.append(t)
                     n.append(0)
                     kinds.append("")
                     continue
-                out, found = replaced(t, {(x["kind"], x["canon"]): x["attempt"] for x in more or ()}, key)
+                out, found = replaced(t, {(x["kind"], x["canon"]): (x["attempt"], x["gender"], x["host"]) for x in more or ()}, key)
                 new.append(out)
                 n.append(len(found))
                 kinds.append(",".join(sorted({k for _, _, k, _ in found})))
@@ -295,22 +343,34 @@ def _replacer(text_col: str, key: str, report: bool):
                 if "n_chars" in b.schema.names:
                     old = b.column("n_chars").to_pylist()
                     changed["n_chars"] = pa.array([len(x) if k else o for x, k, o in zip(new, n, old)], b.column("n_chars").type)
-            names = [c for c in b.schema.names if c != "__tries"]
+            names = [c for c in b.schema.names if c != "__drawn"]
             added = {"n_entities": pa.array(n, pa.int64()), "entity_kinds": pa.array(kinds, pa.string())} if report else {}
             yield pa.RecordBatch.from_arrays([*(changed.get(c, b.column(c)) for c in names), *added.values()],
                                              names=[*names, *added])
     return run
 
 
-def anonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, report: bool = True) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key set for the session, else a fresh one: surrogates of one run then agree with
+    each other and with no other run's."""
+    return spark.conf.get(KEY_SETTING, None) or token_hex(32)
+
+
+def anonymize(docs: DataFrame, key: str, text_col: str = "text", report: bool = True) -> DataFrame:
     """``docs`` with entities replaced; ``report`` adds ``n_entities`` and ``entity_kinds``."""
     docs = docs.drop("n_entities", "entity_kinds") if report else docs
     mentions = materialize(docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-                           .mapInArrow(_finder, "text_hash long, kind string, canon string").distinct(), "mentions")
-    final = attempts(mentions.select("kind", "canon").distinct(), key)
-    redrawn = (mentions.join(final.filter("attempt > 0").select("kind", "canon", "attempt"), ["kind", "canon"])
-               .groupBy(F.col("text_hash").alias("__text_hash"))
-               .agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__tries")))
+                           .mapInArrow(_finder, "text_hash long, kind string, canon string, gender string").distinct(), "mentions")
+    told = F.collect_set(F.when(F.col("gender").isin("m", "f"), F.col("gender")))
+    entities = mentions.groupBy("kind", "canon").agg(told.alias("told")).select(
+        "kind", "canon", F.when(F.size("told") == 1, F.element_at("told", 1)).when(F.col("kind").isin(*NAMES), F.lit("u"))
+        .otherwise(F.lit("")).alias("gender"))
+    final = attempts(materialize(entities, "entities"), key)
+    final = final.withColumnRenamed("gender", "settled")
+    other = mentions.join(final, ["kind", "canon"]).filter(
+        (F.col("attempt") > 0) | (F.col("gender") != F.col("settled")) | F.col("host").isNotNull())
+    redrawn = other.groupBy(F.col("text_hash").alias("__text_hash")).agg(
+        F.collect_list(F.struct("kind", "canon", "attempt", F.col("settled").alias("gender"), "host")).alias("__drawn"))
     redrawn = materialize(redrawn, "redrawn")
     schema = with_fields(docs.schema, "n_entities long, entity_kinds string") if report else docs.schema
     rows = docs.join(redrawn, F.xxhash64(text_col) == F.col("__text_hash"), "left").drop("__text_hash")
