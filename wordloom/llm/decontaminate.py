@@ -9,9 +9,10 @@ The automaton only reads the stretches in which every ``GRAM`` neighbouring word
 by side in an item: elsewhere no window can be, so nothing is lost. That test runs on hashed
 words in NumPy over the Arrow buffers; the automaton itself compares the real words.
 
-The benchmark is split into shards of at most ``SHARD_WORDS`` words, so what a task loads is
-bounded; a larger benchmark takes several passes, each adding its hits to the rows. Cuts are
-made on the hits of all shards.
+The benchmark is split into shards of about ``SHARD_WORDS`` words, long items into pieces that
+overlap, so what a task loads is bounded; the automata are built by tasks and stored. A larger
+benchmark takes several passes, each adding its hits to the rows. Cuts are made on the hits of
+all shards.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no
 window; repeated items count by their id, once; repeated rows are judged each; an empty
@@ -20,6 +21,8 @@ column are replaced.
 """
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_TABLE, hashed_words, materialize, mix64, text_bytes, with_fields, word_list
+from .shared import WORD_TABLE, hashed_words, materialize, mix64, small_batches, text_bytes, with_fields, word_list
 
 WINDOW = 10
 GRAM = 3
@@ -195,8 +198,8 @@ ADDED = "n_words long, hits array<struct<start:bigint,end:bigint>>, items array<
 
 def _pass(shard, text_col: str, carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = shard.value
-        for b in batches:
+        sh = pickle.loads(zlib.decompress(shard.value)) if shard else Shard([])
+        for b in small_batches(batches, text_col):
             data, off = text_bytes(b.column(text_col))
             rows, s, e, h = hashed_words(data, off)
             n = len(off) - 1
@@ -227,27 +230,79 @@ def _pass(shard, text_col: str, carried: bool):
     return run
 
 
+def _pieces(text: str, most: int, window: int) -> list[str]:
+    """A long item in pieces of ``most`` words that overlap by ``window - 1``: every window of the
+    item lies whole in a piece."""
+    words, most = word_list(text), max(most, window)
+    if len(words) <= most:
+        return [text]
+    return [b" ".join(words[i:i + most]).decode() for i in range(0, len(words) - window + 1, most - window + 1)]
+
+
 def shards_of(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
-              item_col: str = "item_id", text_col: str = "text"):
-    """The benchmark in shards of about ``shard_words`` words, one at a time on the driver."""
+              item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(shard, blob)``: the benchmark in shards of about ``shard_words`` words, their automata
+    built by one task each and stored. A shard holds whole items, or pieces of long ones."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, k, x) for i, t in zip(b.column("item").to_pylist(), b.column("text").to_pylist())
+                    for k, x in enumerate(_pieces(t, shard_words, window))]
+            cols = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()))],
+                                             names=["item", "piece", "text"])
+
+    parts = materialize(items.mapInArrow(cut, "item string, piece int, text string"), "benchmark-items")
+    size = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (4 * shard_words)))      # a word and its gap take 4 bytes or more, mostly
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield Shard([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], window)
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("item", "piece", "text"), F.lit(n)).cast("int"))
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("item").to_pylist(), table.column("text").to_pylist()))
+        own = Shard([(i, t.encode()) for i, t in rows], window)
+        return pa.table([table.column("shard").slice(0, 1), pa.array([_pickled(own)], pa.binary())], names=["shard", "blob"])
+
+    return materialize(dealt.select("shard", "item", "text").groupBy("shard").applyInArrow(build, "shard int, blob binary"),
+                       "benchmark-shards")
+
 
+def _pickled(shard: Shard) -> bytes:
+    return zlib.compress(pickle.dumps(shard), 1)
 
-def _scanned(rows: DataFrame, shards: list, text_col: str, cutter=None, schema=None) -> DataFrame:
-    """``rows`` with ``n_words``, ``hits`` and ``items`` over all (broadcast) shards; a ``cutter``
-    takes them in the last pass's own worker, to ``schema``."""
-    for k, shard in enumerate(shards):
+
+class _Loaded:
+    """Shards sent to the tasks one by one: the driver holds one at a time, as bytes."""
+
+    def __init__(self, shards: DataFrame):
+        self.spark, self.shards = shards.sparkSession, shards
+        self.names = sorted(r["shard"] for r in shards.select("shard").collect())
+        self.sent: list = []
+
+    def send(self, k: int):
+        blob = self.shards.filter(F.col("shard") == self.names[k]).first()["blob"]
+        self.sent.append(self.spark.sparkContext.broadcast(bytes(blob)))
+        return self.sent[-1]
+
+    def forget(self) -> None:
+        """What has been written needs its shards no more."""
+        for x in self.sent:
+            x.unpersist()
+        self.sent = []
+
+
+def _scanned(rows: DataFrame, shards: _Loaded, text_col: str, cutter=None, schema=None) -> DataFrame:
+    """``rows`` with ``n_words``, ``hits`` and ``items`` over all shards; a ``cutter`` takes them in the
+    last pass's own worker, to ``schema``."""
+    n = max(1, len(shards.names))
+    for k in range(n):
         if k and k % PASSES_PER_WRITE == 0:
             rows = materialize(rows, "decontaminate")
-        one = _pass(shard, text_col, k > 0)
-        if cutter and k == len(shards) - 1:
+            shards.forget()
+        one = _pass(shards.send(k) if shards.names else None, text_col, k > 0)
+        if cutter and k == n - 1:
             return rows.mapInArrow(lambda batches: cutter(one(batches)), schema)
         rows = rows.mapInArrow(one, with_fields(rows.schema, ADDED))
     return rows
@@ -257,7 +312,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: st
          window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``columns`` with ``n_words``, ``hits`` (word ranges) and ``items`` per row."""
     names = list(dict.fromkeys([*columns, text_col]))
-    shards = [docs.sparkSession.sparkContext.broadcast(x) for x in shards_of(benchmark, window, shard_words)]
+    shards = _Loaded(shards_of(benchmark, window, shard_words))
     return _scanned(docs.select(*names), shards, text_col).select(*columns, "n_words", "hits", "items")
 
 
@@ -285,7 +340,7 @@ def _cutter(text_col: str, chars_col: str | None, max_coverage: float):
         return b"".join([*parts, raw[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches:                      # small ones, from the pass before
             hits = b.column("hits")
             hit = np.flatnonzero(hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             changed, gone = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, bool)
@@ -328,12 +383,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     names = [f"__{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
     chars = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
-    shards = [docs.sparkSession.sparkContext.broadcast(x) for x in shards_of(benchmark, window, shard_words)]
+    shards = _Loaded(shards_of(benchmark, window, shard_words))
     left = docs.toDF(*names).withColumns({"__total": F.lit(None).cast("long"), "__cut": F.lit(0).cast("long")})
     done = None
     while done is None or left.take(1):
         seen = materialize(_scanned(left, shards, text, _cutter(text, chars, max_coverage),
                                     with_fields(left.schema, "__changed boolean")), "decontaminated")
+        shards.forget()
         clean = seen.filter("not __changed").select(*names)
         done = clean if done is None else done.unionByName(clean)
         left = seen.filter("__changed").drop("__changed")
