@@ -44,6 +44,13 @@ def test_windows_cover_every_word():
     assert (hit > 0).all() and 0 not in w_row
 
 
+def test_a_passage_lies_whole_in_a_window_at_every_offset():
+    for n in (10, 24, 25, 36, 37, 61, 100):
+        _, first, length = T.windows(np.zeros(n, np.int64), 1)
+        for at in range(n - 9):
+            assert any(f <= at and at + 10 <= f + k for f, k in zip(first, length)), (n, at)
+
+
 def test_gradient_is_the_slope():
     r = np.random.default_rng(1)
     vocab = T.Vocabulary(T.mix64(np.arange(1, 40, dtype=np.uint64)))

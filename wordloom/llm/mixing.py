@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)          # by rank of the source, repeating
 MAX_EPOCHS = 3               # a document is repeated at most this often
 SEED = "mix"
@@ -26,6 +27,12 @@ HASH_HEX = 15                # 60 hash bits of md5
 LEVEL_HEX = 3                # 4,096 buckets a level
 
 
+def n_words(text: Column) -> Column:
+    """How many words a text has: each is cut to one mark and the marks are counted, so no list
+    of words is built."""
+    return F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), GAP, "")).cast("long")
+
+
 def doc_hash(doc_id: Column, seed: str = SEED) -> Column:
     """60 bits of md5 over the doc_id's text, as fixed-width hex (null: 'null')."""
     return F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"),
@@ -99,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so every source meets its target to the word."""
     docs = docs.drop("size", "source_size", "target", "taken")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.withColumn("size", F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long"))
+    sized = docs.withColumn("size", n_words(text))
     slim = materialize(sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                                     "size", doc_hash(F.col(id_col), seed).alias("u")), "mix-sizes")
     plan = mix_plan(slim, weights, max_epochs)
@@ -135,7 +142,7 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = materialize(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"),
+        n_words(text).alias("size"),
         doc_hash(F.col(id_col), seed).alias("u")), "mix-sizes")
     plan = mix_plan(slim, weights, max_epochs)
     out = slim.join(plan, F.col("source").eqNullSafe(F.col("__s")), "left")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import hashed_words, materialize, mix64, row_slices, text_bytes
+from .shared import hashed_words, materialize, mix64, row_slices, small_batches, text_bytes
 
 N = 5
 THRESHOLD = 0.8
@@ -104,7 +104,7 @@ def sketches(rows: np.ndarray, g: np.ndarray, n_rows: int) -> np.ndarray:
 
 def _sketcher():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, "text"):
             data, off = text_bytes(b.column("text"))
             n = len(off) - 1
             k1, k2, size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_LUT, hashed_words, mix64, row_slices, text_bytes, with_fields
+from .shared import WORD_LUT, hashed_words, mix64, row_slices, small_batches, text_bytes, with_fields
 
-WINDOW, STEP = 24, 20
+WINDOW, STEP = 24, 12         # a passage of up to 13 words lies whole in a window
 WORD_DIM = CHAR_DIM = 8
 HIDDEN = 8
 MAX_VOCAB = 30_000
@@ -374,7 +374,7 @@ def score(docs: DataFrame, net: GatedNet | None, columns: list[str], text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in small_batches(batches, text_col):
             data, off = text_bytes(b.column(text_col))
             n = len(off) - 1
             if model is None:
