@@ -80,3 +80,34 @@ def test_small_vocabulary_equals_sql(spark, con, monkeypatch, name):
 
 def test_registered_vocabulary_is_whole():
     assert P.VOCAB == 8000
+
+
+def test_merges_come_many_a_round(spark):
+    """Every pair stands in most pieces; still a few rounds learn all merges, and the same ones as one-at-a-time greedy."""
+    import random
+    from tests.test_bpe import learn_merges_sequential
+    from wordloom.operators.bpe import learn_merges
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randint(4, 9))): rng.randint(1, 50) for _ in range(6000)}
+    df = spark.createDataFrame(list(words.items()), "piece string, n bigint")
+    stats: dict = {}
+    got = learn_merges(df, 261 + 80, stats=stats).merges
+    assert got == learn_merges_sequential({k.encode(): n for k, n in words.items()}, 261 + 80).merges
+    assert stats["rounds"] <= 6
+
+
+def test_many_pieces_merge_at_once():
+    """Lists of any length, self-pairs and long runs: as the heap merges them one by one."""
+    import random
+    import pyarrow as pa
+    from wordloom.operators.bpe import MergeTable, encode_piece
+    rng = random.Random(2)
+    for _ in range(20):
+        pairs = [(102, 102)]
+        while len(pairs) < 25:
+            p = (rng.choice([102, 103, 104, *range(261, 261 + len(pairs))]), rng.choice([102, 103, *range(261, 261 + len(pairs))]))
+            pairs += [p] if p not in pairs else []
+        pieces = [bytes(rng.choice(b"aabc") for _ in range(rng.choice([0, 1, 2, 7, 40, 400]))) for _ in range(40)] + [b"a" * 301]
+        flat, ends = MergeTable(pairs).encode(pa.array(pieces, pa.binary()))
+        ranks = {p: r for r, p in enumerate(pairs)}
+        assert [flat[i:j].tolist() for i, j in zip(ends, ends[1:])] == [encode_piece(p, pairs, ranks) for p in pieces]
