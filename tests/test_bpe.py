@@ -207,6 +207,52 @@ def test_dictionary_encodes_a_piece_once(spark):
     assert other.rows().count() == 0 and other.extend(df) > 0        # another tokenizer, another dictionary
 
 
+def test_dictionary_looks_up_distinct_pieces(spark):
+    """Chunks ask once for a piece, and a text is cut once; repeated and null keys, null and empty texts stay."""
+    from wordloom.operators.tokenizer import PieceDictionary
+    from wordloom.sources.files import scratch_path
+    texts = ["the cat the hat the cat", None, "", "that cat\n\n é the the", "", "the"] * 5
+    df = spark.createDataFrame([(None if i % 4 == 0 else i % 3, "a" if i % 2 else None, t) for i, t in enumerate(texts)],
+                               "doc_id long, source string, text string").repartition(2)
+    m = BpeModel([(5 + ord("t"), 5 + ord("h")), (261, 5 + ord("e"))])
+    d = PieceDictionary(spark, scratch_path(spark, "pieces"), m)
+    assert d.extend(df) > 0
+    plan = d.encode(df, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "collect_list" not in plan      # no row a token goes through the join
+    keys = ["source", "doc_id"]
+    want = sorted(map(str, encode(df, m, keys).collect()))
+    for size in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            c = d.number(df, keys)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert d.extend(c) == 0
+        assert sorted(map(str, d.encode(c, keys).collect())) == sorted(map(str, d.encode(df, keys).collect())) == want
+        asked = c.filter("__words is not null").select("__chunk", F.explode("__words").alias("piece"))
+        assert asked.count() == asked.distinct().count() and c.select("__chunk").distinct().count() >= (15 if size == "2" else 1)
+    fresh = PieceDictionary(spark, scratch_path(spark, "pieces"), m)
+    assert fresh.extend(c) == d.rows().count()
+    none = df.filter("false")
+    assert fresh.encode(none, keys).collect() == [] and fresh.extend(none) == 0
+
+
+def test_chunks_keep_documents_whole(monkeypatch):
+    import pyarrow as pa
+    from wordloom.operators import tokenizer as tk
+    monkeypatch.setattr(tk, "CHUNK_PIECES", 4)
+    lists = [["a", "b"], [], ["b"], ["c"] * 9, ["a", "c"], [], ["a"]]
+    b = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["p"])
+    parts = list(tk._chunks(b, "p"))
+    assert len(parts) > 1 and [x for p in parts for x in p.column("p").to_pylist()] == lists
+    for p in parts:
+        at, words = tk._numbered(p.column("p"))
+        first, *rest = words.to_pylist()
+        assert rest == [None] * (len(p) - 1) and len(first) == len(set(first))
+        assert [[first[i] for i in x] for x in at.to_pylist()] == p.column("p").to_pylist()
+    assert list(tk._chunks(b.slice(0, 0), "p")) == []
+
+
 def test_specials_are_audited_against_the_stored_table(spark):
     from wordloom.operators.tokenizer import declared_specials, special_audit
     chats = spark.createDataFrame([("user",), ("tool",), (None,), ("user",)], "role string")
